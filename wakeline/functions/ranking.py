@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from wakeline.sources.scratch import materialize
+
 PREFIX_LEN = 3  # 16**3 = 4096 buckets, a fixed bound
 PAST_EVERY_HASH = "g"  # sorts after any hex digest
 SMALL_GROUP = 1_000_000
@@ -50,13 +52,14 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed: int, by: Sequence[str] =
     )
 
 
-def hash_cut(hashes: DataFrame, k: Column | int) -> DataFrame:
-    """One row, one column: the k-th smallest hash in column `_h`.
+def hash_cut(hashes: DataFrame, k: Column | int) -> Column:
+    """The k-th smallest hash in column `_h`, as a scalar subquery to compare with.
 
-    k may be a scalar subquery. Below 1 the cut is '' (nothing is chosen), past
-    the end it sorts after every hash (everything is chosen).
+    k may itself be a scalar subquery. Below 1 the cut is '' (nothing is chosen);
+    past the end it sorts after every hash (everything is chosen). Choosing rows by
+    `hash <= cut` needs no join, so the rows themselves are not shuffled.
     """
-    k = k if isinstance(k, Column) else F.lit(k)
+    k = k if isinstance(k, Column) else F.lit(int(k))
     counts = _prefix_offsets(hashes, [])
     target = counts.filter((F.col("_before") < k) & (k <= F.col("_before") + F.col("_c"))).select(
         "_b", (k - F.col("_before")).alias("_need")
@@ -67,10 +70,9 @@ def hash_cut(hashes: DataFrame, k: Column | int) -> DataFrame:
         .join(F.broadcast(target), "_b")
         .withColumn("_r", F.row_number().over(inside))
         .filter(F.col("_r") == F.col("_need"))
+        .agg(F.max("_h"))
     )
-    return found.agg(
-        F.coalesce(F.max("_h"), F.max(F.when(k < 1, F.lit(""))), F.when(k < 1, F.lit("")).otherwise(F.lit(PAST_EVERY_HASH))).alias("cut")
-    )
+    return F.when(k < 1, F.lit("")).otherwise(F.coalesce(found.scalar(), F.lit(PAST_EVERY_HASH)))
 
 
 def ordered_rank(df: DataFrame, value: str, keys: Sequence[str], seed: int = 0, name: str = "rank") -> DataFrame:
@@ -81,7 +83,7 @@ def ordered_rank(df: DataFrame, value: str, keys: Sequence[str], seed: int = 0,
     further by hash prefix, so no bucket grows with one hot value. Adds `name`
     (1-based) and `name`_avg; rows with a null value are dropped.
     """
-    kept = df.filter(F.col(value).isNotNull())
+    kept = materialize(df.filter(F.col(value).isNotNull()), "ordered")
     probs = [i / ORDER_BUCKETS for i in range(ORDER_BUCKETS + 1)]
     edges = kept.agg(F.percentile_approx(value, probs, 10 * ORDER_BUCKETS).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
@@ -138,8 +140,9 @@ def exact_percentiles(
     """
     spark = df.sparkSession
     entries = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in values]
+    slim = materialize(df.select(*by, *values), "percentiles")
     tall = (
-        df.select(*by, F.explode(F.array(*entries)).alias("_e"))
+        slim.select(*by, F.explode(F.array(*entries)).alias("_e"))
         .select(*by, "_e.metric", "_e.v")
         .filter(F.col("v").isNotNull() & ~F.isnan("v"))
     )
@@ -160,7 +163,7 @@ def exact_percentiles(
             *group, "n", F.explode(F.arrays_zip(p_arr.alias("p"), F.col("_q").alias("q"))).alias("_z")
         ).select(*group, F.col("_z.p").alias("p"), "n", F.col("_z.q").alias("value"))
 
-    brackets, keep_all = [], []
+    brackets = []
     key_types = {f.name: f.dataType for f in tall.schema.fields}
     for r in sketch:
         for i, p in enumerate(probs):
