@@ -1,7 +1,7 @@
 """Epoch arithmetic on naive UTC timestamps.
 
 TIMESTAMP_NTZ is read through the session zone here, so sessions run in UTC
-(`pin_utc` is called by every job).
+(`prepare_session` is called by every job).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession, functions as F
 
 
-def pin_utc(spark: SparkSession) -> SparkSession:
+def prepare_session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 

@@ -21,7 +21,7 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     half_lat = (p2 - p1) / 2
     half_lon = (F.radians(lon2) - F.radians(lon1)) / 2
     a = F.pow(F.sin(half_lat), F.lit(2)) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(half_lon), F.lit(2))
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def haversine_nm(lat1, lon1, lat2, lon2) -> Column:

@@ -47,7 +47,7 @@ def normalize(raw: DataFrame, source: str = "noaa", timestamp_format: str | None
         number(F.col("sog")).alias("sog"),
         number(F.col("cog")).alias("cog"),
         heading_or_null(number(F.col("heading"))).alias("heading"),
-        F.trim(F.col("vessel_type")).alias("vessel_type"),
+        F.nullif(F.trim(F.col("vessel_type")), F.lit("")).alias("vessel_type"),
         *[F.col(c) for c in raw.columns if c not in RAW_COLUMNS],
     )
     code = number(F.col("vessel_type"), "int") if source == "noaa" else F.lit(None).cast("int")

@@ -13,11 +13,12 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wakeline.functions.clock import pin_utc
+from wakeline.functions.clock import prepare_session
 from wakeline.operators.clean import clean
 from wakeline.operators.resample import resample
 from wakeline.operators.segment import SegmentConfig, build_segments
 from wakeline.operators.windows import build_windows
+from wakeline.sources.scratch import materialize
 
 BOX = (33.0, 48.0, -76.0, -68.0)
 SEGMENTS = SegmentConfig(max_gap_hours=24.0, max_speed_kmh=92.6, min_points=5, min_hours=36.0, min_distance_km=1.0)
@@ -28,7 +29,7 @@ H, N = 8, 4  # steps of history and future
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return prepare_session(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
 def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(u % 5 == 0, F.lit(0.009)).when(u % 5 == 1, F.lit(0.05)).otherwise(F.lit(3.0))
     lat = F.lit(37.0) + size * F.sin(phase) + F.when(i % 211 == 0, F.lit(10.0)).otherwise(F.lit(0.0))
     lon = F.lit(-72.0) + size * F.cos(phase)
-    knots = F.when(u % 5 == 0, F.col("value") % 1).otherwise(F.col("value") % 40)
+    knots = F.when(u % 5 == 0, F.col("value") % 1).otherwise(F.col("value") % 40) * (F.lit(0.99) + F.lit(0.01) * F.sin(phase))
     course = F.when(u % 5 == 2, F.lit(45.0) + i % 4).otherwise(((i * 7) % 360).cast("double"))
     text = lambda c: c.cast("string")
 
@@ -81,3 +82,34 @@ def windows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
         resample_minutes=STEP_MINUTES,
         **options,
     )
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table written once per application and input folder, as the jobs write theirs."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(), name)
+    return _STORED[key]
+
+
+def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare_session(spark)
+    return _stored(spark, sf_dir, "segments", lambda: segments(spark, sf_dir))
+
+
+def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare_session(spark)
+    return _stored(
+        spark,
+        sf_dir,
+        "windows",
+        lambda: build_windows(
+            resample(stored_segments(spark, sf_dir), STEP_MINUTES),
+            history_hours=HISTORY_HOURS,
+            future_hours=FUTURE_HOURS,
+            resample_minutes=STEP_MINUTES,
+        ),
+    )

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wakeline.constants import FUTURE_HOURS, HISTORY_HOURS, MAX_WINDOWS_PER_TRAJECTORY, RESAMPLE_MINUTES
-from wakeline.functions.clock import pin_utc
+from wakeline.functions.clock import prepare_session
 from wakeline.operators.audit import trajectory_audit, vessel_audit
 from wakeline.operators.clean import clean
 from wakeline.operators.land import LandGrid, filter_inland
@@ -74,7 +74,7 @@ def raw_to_windows(
     window_cfg: WindowConfig = WindowConfig(),
 ) -> dict[str, str]:
     """Points, segments, trajectory statistics and windows, each written once and read by the next step."""
-    pin_utc(spark)
+    prepare_session(spark)
     paths = {name: f"{out_dir}/{name}" for name in ("points", "segments", "trajectory_stats", "windows")}
     raw, found, fmt = read_raw(spark, raw_path, source)
     write_table(clean(raw, bounds, source=found, timestamp_format=fmt, commercial_only=commercial_only), paths["points"])
