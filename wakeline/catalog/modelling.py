@@ -199,7 +199,7 @@ def b03(spark, sf):
 def b04(spark, sf):
     steps = B.baseline_step_deltas(F.col("hist"), A.N, MODELS["naive"])
     chunk = B.baseline_displacement(F.col("hist"), 1, MODELS["naive"])
-    w = _win(spark, sf).select("window_id", F.posexplode(steps).alias("k", "s"), chunk.alias("c"))
+    w = _win(spark, sf).select("window_id", F.posexplode_outer(steps).alias("k", "s"), chunk.alias("c"))
     return w.select("window_id", "k", F.col("s.lat").alias("step_lat"), F.col("s.lon").alias("step_lon"), F.col("c.lat").alias("chunk_lat"), F.col("c.lon").alias("chunk_lon"))
 
 
@@ -209,13 +209,13 @@ def b07(spark, sf):
     half = F.zip_with("true_track", "pred_track", lambda t, p: F.struct(((t.lat - p.lat) / 2).alias("lat"), ((t.lon - p.lon) / 2).alias("lon")))
     corrections = forecasts(spark, sf).filter("model = 'naive'").select("window_id", half.alias("correction"))
     out = B.apply_correction(A.stored_windows(spark, sf), corrections, A.N, MODELS["naive"])
-    steps = out.select("window_id", F.posexplode("pred_track").alias("step", "p"))
+    steps = out.select("window_id", F.posexplode_outer("pred_track").alias("step", "p"))
     return steps.select("window_id", "step", F.col("p.lat").alias("pred_lat"), F.col("p.lon").alias("pred_lon"))
 
 
 def _rolled(spark, sf, model: str) -> DataFrame:
     out = B.roll_forward(_win(spark, sf), n_chunks=2, steps_per_chunk=2, step_minutes=STEP, step_of=MODELS[model])
-    steps = out.select("window_id", F.posexplode("pred_track").alias("step", "p"))
+    steps = out.select("window_id", F.posexplode_outer("pred_track").alias("step", "p"))
     return steps.select("window_id", "step", F.round("p.lat", 4).alias("pred_lat"), F.round("p.lon", 4).alias("pred_lon"))
 
 

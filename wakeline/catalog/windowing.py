@@ -161,7 +161,7 @@ def _targets(spark, sf):
 
 
 def _long(df: DataFrame, column: str) -> DataFrame:
-    return df.select("window_id", F.posexplode(column).alias("k", "p")).select("window_id", "k", "p.lat", "p.lon")
+    return df.select("window_id", F.posexplode_outer(column).alias("k", "p")).select("window_id", "k", "p.lat", "p.lon")
 
 
 TARGET = KEYS + "k:i lat:d lon:d"

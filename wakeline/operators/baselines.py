@@ -122,8 +122,8 @@ def roll_forward(
 ) -> DataFrame:
     """Forecast chunk by chunk, feeding each chunk back as synthetic history rows.
 
-    The state of the fold is the shifted history and the track so far; the chunk
-    predictor sees only the history, so any Column function fits.
+    Each chunk is one projection over the shifted history; the chunk predictor sees
+    only the history, so any Column function fits.
     """
     hours = step_minutes / 60.0
 
@@ -164,33 +164,34 @@ def roll_forward(
         return F.struct(*[values[f].cast("float").alias(f) for f in FEATURES])
 
     steps = F.sequence(F.lit(1), F.lit(steps_per_chunk))
-
-    def advance(acc, _):
-        unit = step_of(acc.hist)
-        move = _point(unit.lat * F.lit(steps_per_chunk), unit.lon * F.lit(steps_per_chunk))
-        last = F.element_at(acc.hist, -1)
-        track = F.transform(
-            steps,
-            lambda s: _point(
-                acc.pos.lat + move.lat * (s / F.lit(steps_per_chunk)),
-                acc.pos.lon + move.lon * (s / F.lit(steps_per_chunk)),
-            ),
-        )
-        fresh = F.transform(steps, lambda s: synthetic(last, move, s))
-        n = F.size(acc.hist)
-        drop = F.least(F.lit(steps_per_chunk), n)
-        return F.struct(
-            F.concat(F.slice(acc.hist, drop + 1, n - drop), fresh).alias("hist"),
-            _point(acc.pos.lat + move.lat, acc.pos.lon + move.lon).alias("pos"),
-            F.concat(acc.out, track).alias("out"),
+    out = windows.withColumn("anchor", anchor()).withColumns({"_h": F.col("hist"), "_pos": F.col("anchor")})
+    tracks = []
+    for chunk in range(n_chunks):
+        unit = step_of(F.col("_h"))
+        out = out.withColumn("_move", _point(unit.lat * F.lit(steps_per_chunk), unit.lon * F.lit(steps_per_chunk)))
+        out = out.withColumns(
+            {
+                "_last": F.element_at("_h", -1),
+                f"_track{chunk}": F.transform(
+                    steps,
+                    lambda s: _point(
+                        F.col("_pos.lat") + F.col("_move.lat") * (s / F.lit(steps_per_chunk)),
+                        F.col("_pos.lon") + F.col("_move.lon") * (s / F.lit(steps_per_chunk)),
+                    ),
+                ),
+            }
         )
-
-    empty = F.array().cast("array<struct<lat:double,lon:double>>")
-    start = F.struct(F.col("hist").alias("hist"), F.col("anchor").alias("pos"), empty.alias("out"))
-    return windows.withColumn("anchor", anchor()).withColumn(
-        "pred_track",
-        F.aggregate(F.sequence(F.lit(1), F.lit(n_chunks)), start, advance, lambda acc: acc.out),
-    )
+        tracks.append(f"_track{chunk}")
+        if chunk + 1 < n_chunks:
+            fresh = F.transform(steps, lambda s: synthetic(F.col("_last"), F.col("_move"), s))
+            drop = F.least(F.lit(steps_per_chunk), F.size("_h"))
+            out = out.withColumns(
+                {
+                    "_h": F.concat(F.slice("_h", drop + 1, F.size("_h") - drop), fresh),
+                    "_pos": _point(F.col("_pos.lat") + F.col("_move.lat"), F.col("_pos.lon") + F.col("_move.lon")),
+                }
+            )
+    return out.withColumn("pred_track", F.concat(*tracks)).drop("_h", "_pos", "_move", "_last", *tracks)
 
 
 def fit_horizon_regression(windows: DataFrame, horizon_hours: float, step_minutes: float, future_steps: int, train: Column) -> DataFrame:

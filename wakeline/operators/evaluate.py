@@ -23,9 +23,13 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def to_predictions(forecasts: DataFrame) -> DataFrame:
-    """Long form: one row per model, window and step."""
+    """Long form: one row per model, window and step.
+
+    The outer explode keeps Spark from testing the computed array for emptiness
+    first, which would evaluate it twice.
+    """
     pairs = F.arrays_zip(F.col("true_track").alias("t"), F.col("pred_track").alias("p"))
-    return forecasts.select("model", "window_id", "anchor", F.posexplode(pairs).alias("step", "_z")).select(
+    return forecasts.select("model", "window_id", "anchor", F.posexplode_outer(pairs).alias("step", "_z")).select(
         "model",
         "window_id",
         "step",
@@ -154,7 +158,7 @@ def metrics_by_bucket(errors: DataFrame) -> DataFrame:
 def error_by_horizon(forecasts: DataFrame, step_minutes: float) -> DataFrame:
     """Median, mean and p90 error in nautical miles at each step, per model."""
     tall = forecasts.select(
-        "model", F.posexplode(F.zip_with("true_track", "pred_track", _distance)).alias("step", "km")
+        "model", F.posexplode_outer(F.zip_with("true_track", "pred_track", _distance)).alias("step", "km")
     ).select("model", "step", (F.col("km") / F.lit(NM_TO_KM)).alias("error_nm"))
     slim = materialize(tall, "horizon")
     means = slim.groupBy("model", "step").agg(F.count(F.lit(1)).alias("n"), F.avg("error_nm").alias("mean_error_nm"))
@@ -168,7 +172,7 @@ def track_error(forecasts: DataFrame, ids: Sequence[str], step_minutes: float) -
     """Per-step error of chosen windows."""
     return (
         forecasts.filter(F.col("window_id").isin(*ids))
-        .select("model", "window_id", F.posexplode(F.zip_with("true_track", "pred_track", _distance)).alias("step", "error_km"))
+        .select("model", "window_id", F.posexplode_outer(F.zip_with("true_track", "pred_track", _distance)).alias("step", "error_km"))
         .withColumn("hours_ahead", (F.col("step") + 1) * F.lit(step_minutes / 60.0))
     )
 
@@ -190,7 +194,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by:
 def box_quantiles(forecasts: DataFrame, steps: Sequence[int]) -> DataFrame:
     """Quartiles and tails of the error at chosen steps, per model."""
     errors = F.zip_with("true_track", "pred_track", _distance)
-    tall = forecasts.select("model", F.posexplode(errors).alias("step", "error_km")).filter(F.col("step").isin(*steps))
+    tall = forecasts.select("model", F.posexplode_outer(errors).alias("step", "error_km")).filter(F.col("step").isin(*steps))
     return exact_percentiles(tall, ["error_km"], [0.05, 0.25, 0.5, 0.75, 0.95], ("model", "step"))
 
 

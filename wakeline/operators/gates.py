@@ -62,7 +62,7 @@ def gate_summary(weights: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def gate_by_class(weights: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Mean weight per vessel class and context."""
-    tall = weights.select("vessel_class", F.posexplode("alpha").alias("_i", "weight"))
+    tall = weights.select("vessel_class", F.posexplode_outer("alpha").alias("_i", "weight"))
     return tall.groupBy("vessel_class", label_of(labels, F.col("_i")).alias("context")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("weight").alias("mean_weight")
     )

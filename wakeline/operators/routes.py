@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wakeline.functions.ranking import ordered_rank, seeded_hash
 from wakeline.functions.vessel import vessel_label
 from wakeline.operators.audit import group_column, top_rows
+from wakeline.sources.scratch import materialize
 
 
 def top_by_points(segments: DataFrame, n: int) -> DataFrame:
@@ -83,21 +84,20 @@ def picks_by_error_band(
     examples: window_id, err_km, net_km. Fallbacks: the 20 smallest errors, the
     middle third by rank, the 20 largest.
     """
-    moving = examples.filter(F.col("net_km") > min_net_km).withColumn("band", error_band(F.col("err_km")))
-    have = moving.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordered_rank(examples, "err_km", ["window_id"], seed, "_pos").drop("_pos_avg")
-    total = examples.agg(F.count(F.lit(1))).scalar()
-    pos = F.col("_pos")
-    third = F.floor(total / 3)
-    fall = F.array_compact(
-        F.array(
-            F.when(pos <= 20, F.lit("low")),
-            F.when((pos > third) & (pos <= F.floor(total * 2 / 3)), F.lit("medium")),
-            F.when(pos > total - 20, F.lit("high")),
-        )
-    )
-    fallback = ranked.withColumn("band", F.explode(fall)).drop("_pos").join(F.broadcast(have), "band", "left_anti")
-    pool = moving.select(*examples.columns, "band").unionByName(fallback.select(*examples.columns, "band"))
+    examples = materialize(examples.select("window_id", "err_km", "net_km"), "examples")
+    pool = examples.filter(F.col("net_km") > min_net_km).withColumn("band", error_band(F.col("err_km")))
+    missing = sorted({"low", "medium", "high"} - {r["band"] for r in pool.select("band").distinct().collect()})
+    if missing:
+        ranked = ordered_rank(examples, "err_km", ["window_id"], seed, "_pos").drop("_pos_avg")
+        total = examples.agg(F.count(F.lit(1))).scalar()
+        pos = F.col("_pos")
+        ranges = {
+            "low": pos <= 20,
+            "medium": (pos > F.floor(total / 3)) & (pos <= F.floor(total * 2 / 3)),
+            "high": pos > total - 20,
+        }
+        for band in missing:
+            pool = pool.unionByName(ranked.filter(ranges[band]).drop("_pos").withColumn("band", F.lit(band)))
     return _first_per_group(pool, "band", n_each, prefer_long, seed)
 
 
@@ -151,11 +151,12 @@ def picks_by_shape(shapes: DataFrame, n: int = 15) -> DataFrame:
 
     shapes: window_id, err_km and the track_shape columns. The rules run in order
     on what is left; each takes a few top rows, so only those are carried between
-    rules. Left-over places go to maneuvers, then to any travelling track.
+    rules. Left-over places go to maneuvers, then to any travelling track. Every
+    class implies travel, so only travelling tracks are stored for the rules.
     """
-    classed = shape_classes(shapes).select(
-        "window_id", "err_km", "net_km", "directness", "cross_track_km", "turn_deg", "maneuver_score",
-        "long", "mid", "is_maneuver", "is_straight",
+    columns = ("window_id", "err_km", "net_km", "directness", "cross_track_km", "maneuver_score")
+    classed = materialize(
+        shape_classes(shapes).filter("mid").select(*columns, "long", "mid", "is_maneuver", "is_straight"), "shapes"
     )
     flag = {"straight": "is_straight", "long": "long", "maneuver": "is_maneuver", "mid": "mid"}
     used: list[str] = []

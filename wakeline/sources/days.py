@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def days_between(start: dt.date, end: dt.date) -> list[dt.date]:
@@ -15,42 +15,47 @@ def dataset_label(region: str, tag: str | None) -> str:
     return f"{region}_{tag}" if tag else region
 
 
-def processed_days(spark: SparkSession, days_dir: str) -> set[str]:
-    """Days whose folder was written completely, from the partition folders."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path
-    path = jvm(days_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+def _state(days_dir: str) -> str:
+    return f"{days_dir.rstrip('/')}_processed"
+
+
+def processed_days(spark: SparkSession, days_dir: str) -> set[dt.date]:
+    """Days recorded as done; one short text per run of the ingest."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_state(days_dir))
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return set()
-    done = set()
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("day=") and fs.exists(jvm(f"{days_dir}/{name}/_SUCCESS")):
-            done.add(name[4:])
-    return done
+    rows = spark.read.schema("day date").csv(_state(days_dir)).distinct().collect()
+    return {r["day"] for r in rows}
 
 
-def ingest_days(spark: SparkSession, days_dir: str, start: dt.date, end: dt.date, points_of_day) -> list[str]:
-    """Write the points of each day that is not done; returns the days written.
+def ingest_days(spark: SparkSession, days_dir: str, start: dt.date, end: dt.date, points_of_days) -> list[dt.date]:
+    """Write the points of all days of a range that are not done, in one job; returns those days.
 
-    points_of_day(day) gives the clean points of a day. A day folder is replaced as
-    a whole, so a day that failed half-way is simply written again.
+    points_of_days(days) gives the clean points of the listed days. Day folders are
+    replaced as a whole and days are recorded after the write, so a run that
+    failed half-way is simply repeated.
     """
     done = processed_days(spark, days_dir)
-    written = []
-    for day in days_between(start, end):
-        if day.isoformat() in done:
-            continue
-        points_of_day(day).write.mode("overwrite").parquet(f"{days_dir}/day={day.isoformat()}")
-        written.append(day.isoformat())
-    return written
+    wanted = [d for d in days_between(start, end) if d not in done]
+    if not wanted:
+        return []
+    (
+        points_of_days(wanted)
+        .withColumn("day", F.to_date("timestamp"))
+        .repartition("day", F.pmod("mmsi", F.lit(16)))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(days_dir)
+    )
+    spark.createDataFrame([(d,) for d in wanted], "day date").coalesce(1).write.mode("append").csv(_state(days_dir))
+    return wanted
 
 
 def read_days(spark: SparkSession, days_dir: str) -> DataFrame:
     """All cleaned days as one table of points."""
     from wakeline.operators.clean import deduplicate
 
-    days = spark.read.option("basePath", days_dir).parquet(f"{days_dir}/day=*")
-    return deduplicate(days.drop("day"))
+    return deduplicate(spark.read.parquet(days_dir).drop("day"))
 
 

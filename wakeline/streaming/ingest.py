@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wakeline.functions.vessel import is_commercial
-from wakeline.operators.clean import is_valid, normalize
+from wakeline.operators.clean import deduplicate, is_valid, normalize
 from wakeline.operators.segment import SegmentConfig, build_segments
 from wakeline.sources.ais_csv import stream_raw
 
@@ -54,31 +54,36 @@ def write_points(points: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def write_segments(
-    points: DataFrame, points_path: str, segments_path: str, checkpoint: str, cfg: SegmentConfig = SegmentConfig()
+    points: DataFrame,
+    points_path: str,
+    segments_path: str,
+    checkpoint: str,
+    cfg: SegmentConfig = SegmentConfig(),
+    vessel_groups: int = 256,
 ) -> StreamingQuery:
     """Store each batch of points, then rebuild the segments of the vessel groups it touches.
 
-    Both tables are partitioned by a vessel group (mmsi modulo 256), so a batch
-    rewrites only the groups it touches. A batch folder is named by its number and
-    replaced as a whole, which makes a repeated batch harmless.
+    Both tables are partitioned by a vessel group (mmsi modulo `vessel_groups`), so
+    a batch rewrites only the groups it touches. A batch folder is named by its
+    number and replaced as a whole, which makes a repeated batch harmless.
     """
+    group = F.pmod("mmsi", F.lit(vessel_groups)).cast("int")
+    schema = T.StructType([*points.schema.fields, T.StructField("vessel_group", T.IntegerType())])
 
     def on_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch_dir = f"{points_path}/batch={number}"
-        grouped = batch.withColumn("vessel_group", F.pmod("mmsi", F.lit(256)))
-        grouped.write.mode("overwrite").partitionBy("vessel_group").parquet(batch_dir)
-        stored = spark.read.option("basePath", points_path).parquet(points_path)
-        groups = spark.read.parquet(batch_dir).select("vessel_group").distinct()
-        touched = [r["vessel_group"] for r in groups.collect()]
+        batch.withColumn("vessel_group", group).write.mode("overwrite").partitionBy("vessel_group").parquet(batch_dir)
+        landed = spark.read.schema(schema).parquet(batch_dir)
+        touched = [r["vessel_group"] for r in landed.select("vessel_group").distinct().collect()]
         if not touched:
             return
-        from wakeline.operators.clean import deduplicate
-
-        current = deduplicate(stored.filter(F.col("vessel_group").isin(*touched)).drop("batch", "vessel_group"))
-        segments = build_segments(current, cfg).withColumn("vessel_group", F.pmod("mmsi", F.lit(256)))
+        stored = spark.read.schema(schema).option("basePath", points_path).parquet(f"{points_path}/batch=*")
+        current = deduplicate(stored.filter(F.col("vessel_group").isin(*touched)).select(points.columns))
         (
-            segments.write.mode("overwrite")
+            build_segments(current, cfg)
+            .withColumn("vessel_group", group)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("vessel_group")
             .parquet(segments_path)
