@@ -8,9 +8,9 @@ import random
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from wakeline.operators import segment as G
+from wakeline.sources.scratch import materialize
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "timestamp timestamp_ntz, mmsi long, lat double, lon double, sog double, cog double, heading double, vessel_type string"
@@ -115,11 +115,11 @@ def test_limits(spark, n, hours, km, kept):
 
 
 def test_one_wide_shuffle(spark, wandering):
-    """Rows are exchanged once; the chunk table and the rows read the same exchange."""
-    plan = G.build_segments(wandering)
-    rows = plan.collect()
-    assert isinstance(rows, list)
+    """Rows are exchanged once; the chunk table reads the same exchange."""
+    cfg = G.SegmentConfig(min_points=3, min_hours=1.0, min_distance_km=1.0)
+    plan = G.build_segments(materialize(wandering), cfg)
+    plan.collect()
     text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    wide = [line for line in text.splitlines() if "Exchange hashpartitioning(mmsi" in line and "_chunk" in line and "REPARTITION_BY_COL" in line]
-    assert len(wide) == 1 and "ReusedExchange" in text
-    assert F is not None
+    exchanges = [x for x in text.splitlines() if "Exchange hashpartitioning(" in x and "Reused" not in x]
+    assert sum("REPARTITION_BY_COL" in line for line in exchanges) == 1
+    assert len(exchanges) == 2 and "ReusedExchange" in text

@@ -60,12 +60,16 @@ def _starts_segment(step: str, usable: Column, cfg: SegmentConfig) -> Column:
 
 
 def _chunk_rows(points: DataFrame, cfg: SegmentConfig) -> DataFrame:
-    """Reports with the step inside their chunk and the number of breaks so far in it."""
+    """Reports with the step inside their chunk and the number of breaks so far in it.
+
+    The explicit filter makes every reader of this frame ask for the same shuffle.
+    """
     chunk_us = cfg.chunk_hours * 3_600_000_000
     report = F.struct(*ORDER)
     in_chunk = Window.partitionBy(*KEY).orderBy(*ORDER)
     return (
         points.withColumn("_chunk", F.floor(micros_of(F.col("timestamp")) / F.lit(chunk_us)))
+        .filter(F.col("mmsi").isNotNull() & F.col("_chunk").isNotNull())
         .repartition(*KEY)
         .withColumn("_cur", report)
         .withColumn("_prev", F.lag("_cur").over(in_chunk))
@@ -116,9 +120,9 @@ def _chain_chunks(rows: DataFrame, points: DataFrame, cfg: SegmentConfig) -> Dat
 
 
 def _long_segments_by_chunk(chunks: DataFrame, cfg: SegmentConfig) -> DataFrame:
-    """Adds `_keep`: the local segments of each chunk whose whole trajectory is long enough."""
+    """Chunks with `_keep`: their local segments whose whole trajectory is long enough."""
     parts = chunks.select(
-        *KEY, "_head", "_hin", "_hok", "_base", F.inline("_parts")
+        *KEY, "_head", "_before", "_hin", "_hok", "_hnew", "_base", F.inline("_parts")
     ).withColumn("_is_head", (F.col("_local") == 0) & F.col("_hok"))
     head = lambda c: F.when(F.col("_is_head"), c)
     seg = Window.partitionBy("mmsi", "_segment")
@@ -133,8 +137,12 @@ def _long_segments_by_chunk(chunks: DataFrame, cfg: SegmentConfig) -> DataFrame:
         )
         .withColumn("duration_hours", seconds_between(last, first) / F.lit(3600.0))
     )
-    kept = sized.filter(long_enough(cfg)).groupBy(*KEY).agg(F.collect_list("_local").alias("_keep"))
-    return chunks.join(kept, list(KEY))
+    border = ("_before", "_hin", "_hok", "_hnew", "_base")
+    return (
+        sized.groupBy(*KEY)
+        .agg(*[F.first(c).alias(c) for c in border], F.collect_list(F.when(long_enough(cfg), F.col("_local"))).alias("_keep"))
+        .filter(F.size("_keep") > 0)
+    )
 
 
 def _resolve(joined: DataFrame, points: DataFrame) -> DataFrame:
@@ -173,9 +181,7 @@ def build_segments(points: DataFrame, cfg: SegmentConfig = SegmentConfig()) -> D
     keep_long_segments(drop_invalid_steps(segment_points(points))).
     """
     rows = _chunk_rows(points, cfg)
-    chunks = _long_segments_by_chunk(_chain_chunks(rows, points, cfg), cfg).select(
-        *KEY, "_before", "_hin", "_hok", "_hnew", "_base", "_keep"
-    )
+    chunks = _long_segments_by_chunk(_chain_chunks(rows, points, cfg), cfg)
     border = F.col("_prev").isNull()
     wanted = rows.join(chunks, list(KEY)).filter(
         F.when(border, F.col("_hok")).otherwise(F.col("_ok")) & F.array_contains("_keep", F.col("_local"))
