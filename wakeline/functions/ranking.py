@@ -75,50 +75,78 @@ def hash_cut(hashes: DataFrame, k: Column | int) -> Column:
     return F.when(k < 1, F.lit("")).otherwise(F.coalesce(found.scalar(), F.lit(PAST_EVERY_HASH)))
 
 
-def ordered_rank(df: DataFrame, value: str, keys: Sequence[str], seed: int = 0, name: str = "rank") -> DataFrame:
-    """Exact global position by (value, hash of keys), plus the average rank of ties.
-
-    A quantile sketch (a bounded row) gives bucket edges. A value that holds more
-    than one bucket's share of rows is itself an edge, and such a tie is split
-    further by hash prefix, so no bucket grows with one hot value. Adds `name`
-    (1-based) and `name`_avg; rows with a null value are dropped.
-    """
-    kept = materialize(df.filter(F.col(value).isNotNull()), "ordered")
+def _edges(stored: DataFrame, values: Sequence[str]) -> dict[str, list[float]]:
+    """Bucket edges of each column from a quantile sketch: one bounded row."""
     probs = [i / ORDER_BUCKETS for i in range(ORDER_BUCKETS + 1)]
-    edges = kept.agg(F.percentile_approx(value, probs, 10 * ORDER_BUCKETS).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    edge_arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    v = F.col(value).cast("double")
-    below = F.size(F.filter(edge_arr, lambda b: b < v))
-    on_edge = F.array_contains(edge_arr, v)
-    keyed = (
-        kept.withColumn("_h", seeded_hash(seed, *keys))
-        .withColumn("_bk", below * 2 + F.when(on_edge, 1).otherwise(0))
-        .withColumn("_sub", F.when(on_edge, F.substring("_h", 1, 2)).otherwise(F.lit("")))
-    )
-    counts = keyed.groupBy("_bk", "_sub").agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(F.lit(0)).orderBy("_bk", "_sub")
-    per_bucket = Window.partitionBy("_bk")
-    offsets = (
-        counts.withColumn("_before", F.sum("_c").over(whole) - F.col("_c"))
-        .withColumn("_first", F.min("_before").over(per_bucket))
-        .withColumn("_in_bucket", F.sum("_c").over(per_bucket))
-        .drop("_c")
-    )
-    inside = Window.partitionBy("_bk", "_sub").orderBy(value, "_h", *keys)
-    ties = Window.partitionBy("_bk", "_sub", value)
-    lowest = Window.partitionBy("_bk", "_sub").orderBy(value)
-    tie_average = F.when(
-        F.col("_bk") % 2 == 1, F.col("_first") + (F.col("_in_bucket") + 1) / 2
-    ).otherwise(F.col("_before") + F.col("_lo") + (F.col("_ties") - 1) / 2)
+    row = stored.agg(*[F.percentile_approx(v, probs, 10 * ORDER_BUCKETS).alias(v) for v in values]).first()
+    return {v: sorted({float(x) for x in row[v] or []}) for v in values}
+
+
+def _bucket_case(value: str, edges: list[float], lo: int, hi: int) -> str:
+    """SQL text of a binary search: twice the number of edges below the value, plus 1 on an edge."""
+    if lo == hi:
+        on_edge = f"CASE WHEN `{value}` = CAST('{edges[lo]!r}' AS DOUBLE) THEN {2 * lo + 1} ELSE {2 * lo} END"
+        return on_edge if lo < len(edges) else str(2 * lo)
+    mid = (lo + hi) // 2
+    left, right = _bucket_case(value, edges, lo, mid), _bucket_case(value, edges, mid + 1, hi)
+    return f"CASE WHEN `{value}` <= CAST('{edges[mid]!r}' AS DOUBLE) THEN {left} ELSE {right} END"
+
+
+def _bucketed(df: DataFrame, value: str, keys: Sequence[str], seed: int, edges: list[float]) -> DataFrame:
+    """Adds the bucket of a value (odd = equal to an edge) and, on edges, a hash prefix."""
     return (
-        keyed.withColumn("_r", F.row_number().over(inside))
-        .withColumn("_lo", F.rank().over(lowest))
-        .withColumn("_ties", F.count(F.lit(1)).over(ties))
-        .join(F.broadcast(offsets), ["_bk", "_sub"])
-        .withColumn(name, F.col("_before") + F.col("_r"))
-        .withColumn(f"{name}_avg", tie_average)
-        .drop("_h", "_bk", "_sub", "_r", "_lo", "_ties", "_before", "_first", "_in_bucket")
+        df.withColumn("_h", seeded_hash(seed, *keys))
+        .withColumn("_bk", F.expr(_bucket_case(value, [*edges, float("inf")], 0, len(edges))))
+        .withColumn("_sub", F.when(F.col("_bk") % 2 == 1, F.substring("_h", 1, 2)).otherwise(F.lit("")))
+    )
+
+
+def ordered_ranks(stored: DataFrame, values: Sequence[str], keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """Exact global positions by (value, hash of keys) for each column, and average ranks of ties.
+
+    stored must be a written table without nulls in `values`. A quantile sketch
+    gives bucket edges. A value that holds more than one bucket's share of rows is
+    itself an edge, and such a tie is split further by hash prefix, so no bucket
+    grows with one hot value. Adds <value>_rank (1-based) and <value>_rank_avg; each
+    column costs one shuffle of the rows by bucket.
+    """
+    edges = _edges(stored, values)
+    out = stored
+    for value in values:
+        counts = _bucketed(stored.select(value, *[k for k in keys if k != value]), value, keys, seed, edges[value])
+        counts = counts.groupBy("_bk", "_sub").agg(F.count(F.lit(1)).alias("_c"))
+        whole = Window.partitionBy(F.lit(0)).orderBy("_bk", "_sub")
+        per_bucket = Window.partitionBy("_bk")
+        offsets = (
+            counts.withColumn("_before", F.sum("_c").over(whole) - F.col("_c"))
+            .withColumn("_first", F.min("_before").over(per_bucket))
+            .withColumn("_in_bucket", F.sum("_c").over(per_bucket))
+            .drop("_c")
+        )
+        inside = Window.partitionBy("_bk", "_sub").orderBy(value, "_h", *keys)
+        ties = Window.partitionBy("_bk", "_sub", value)
+        lowest = Window.partitionBy("_bk", "_sub").orderBy(value)
+        tie_average = F.when(
+            F.col("_bk") % 2 == 1, F.col("_first") + (F.col("_in_bucket") + 1) / 2
+        ).otherwise(F.col("_before") + F.col("_lo") + (F.col("_ties") - 1) / 2)
+        out = (
+            _bucketed(out, value, keys, seed, edges[value])
+            .withColumn("_r", F.row_number().over(inside))
+            .withColumn("_lo", F.rank().over(lowest))
+            .withColumn("_ties", F.count(F.lit(1)).over(ties))
+            .join(F.broadcast(offsets), ["_bk", "_sub"])
+            .withColumn(f"{value}_rank", F.col("_before") + F.col("_r"))
+            .withColumn(f"{value}_rank_avg", tie_average)
+            .drop("_h", "_bk", "_sub", "_r", "_lo", "_ties", "_before", "_first", "_in_bucket")
+        )
+    return out
+
+
+def ordered_rank(df: DataFrame, value: str, keys: Sequence[str], seed: int = 0, name: str = "rank") -> DataFrame:
+    """ordered_ranks of one column of any frame, as `name` and `name`_avg; rows with a null value are dropped."""
+    stored = materialize(df.filter(F.col(value).isNotNull()), "ordered")
+    return ordered_ranks(stored, [value], keys, seed).withColumnsRenamed(
+        {f"{value}_rank": name, f"{value}_rank_avg": f"{name}_avg"}
     )
 
 
@@ -128,6 +156,7 @@ def exact_percentiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     small_group: int = SMALL_GROUP,
+    stored: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles as rows (by..., metric, p, n, value).
 
@@ -137,10 +166,11 @@ def exact_percentiles(
     the sketch brackets every wanted rank, only the rows inside a bracket are
     shuffled, counted per distinct value and ranked. If a bracket should ever miss
     its rank, it is widened and the pass repeated, so the result stays exact.
+    `stored` tells that df is cheap to read again; otherwise its columns are written first.
     """
     spark = df.sparkSession
     entries = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in values]
-    slim = materialize(df.select(*by, *values), "percentiles")
+    slim = df.select(*by, *values) if stored else materialize(df.select(*by, *values), "percentiles")
     tall = (
         slim.select(*by, F.explode(F.array(*entries)).alias("_e"))
         .select(*by, "_e.metric", "_e.v")

@@ -203,7 +203,7 @@ def mask_audit(flagged: DataFrame, columns: Sequence[str], mask: str = "removed"
     counts = slim.groupBy(mask).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(F.lit(1))
     counts = counts.withColumn("share", F.col("n") / F.sum("n").over(whole))
-    return counts.join(F.broadcast(percentile_columns(slim, columns, {"median": 0.5}, (mask,))), mask)
+    return counts.join(F.broadcast(percentile_columns(slim, columns, {"median": 0.5}, (mask,), stored=True)), mask)
 
 
 def smart_filter_audit(measured: DataFrame, cfg: SmartMotionConfig = SmartMotionConfig()) -> DataFrame:
@@ -222,7 +222,7 @@ def smart_filter_audit(measured: DataFrame, cfg: SmartMotionConfig = SmartMotion
         F.avg((F.col("future_12h_net_km") >= cfg.audit_future_12h_km).cast("int")).alias("future_12h_moves"),
         F.avg(F.col("arrived_then_stopped").cast("int")).alias("arrived_then_stopped"),
     )
-    med = percentile_columns(kept, ["future_8h_net_km", "future_12h_net_km"], {"median": 0.5})
+    med = percentile_columns(kept, ["future_8h_net_km", "future_12h_net_km"], {"median": 0.5}, stored=True)
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(share).join(F.broadcast(one(motion)), "_k").join(F.broadcast(one(med)), "_k").drop("_k")
 
@@ -264,7 +264,7 @@ def tracking_hours(vessels: DataFrame, span_hours: float | None = None) -> DataF
 def tracking_summary(hours: DataFrame) -> DataFrame:
     slim = materialize(hours.select("hours"), "hours")
     base = slim.agg(F.count(F.lit(1)).alias("vessels"), F.avg("hours").alias("mean_hours"), F.max("hours").alias("max_hours"))
-    q = percentile_columns(slim, ["hours"], {"median": 0.5, "p90": 0.9, "p99_5": 0.995})
+    q = percentile_columns(slim, ["hours"], {"median": 0.5, "p90": 0.9, "p99_5": 0.995}, stored=True)
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(base).join(F.broadcast(one(q)), "_k").drop("_k")
 
@@ -278,7 +278,7 @@ def speed_distribution(points: DataFrame, stationary_below: float = 0.5 * 1.852,
         F.avg((F.col("sog") < stationary_below).cast("int")).alias("stationary_share"),
         F.avg((F.col("sog") >= cruising_from).cast("int")).alias("cruising_share"),
     )
-    q = percentile_columns(slim, ["sog"], {"median": 0.5})
+    q = percentile_columns(slim, ["sog"], {"median": 0.5}, stored=True)
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(base).join(F.broadcast(one(q)), "_k").drop("_k")
 
@@ -305,7 +305,7 @@ def stage_report(flagged: DataFrame, keep: str, metrics: Sequence[str], stage: s
     counts = slim.agg(
         F.count(F.lit(1)).alias("rows_in"), F.coalesce(F.sum(F.col(keep).cast("int")), F.lit(0)).alias("rows_out")
     )
-    q = percentile_columns(slim.filter(F.col(keep)), metrics, {"median": 0.5, "p90": 0.9})
+    q = percentile_columns(slim.filter(F.col(keep)), metrics, {"median": 0.5, "p90": 0.9}, stored=True)
     one = lambda df: df.withColumn("_k", F.lit(1))
     return (
         one(counts)

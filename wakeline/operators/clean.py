@@ -92,8 +92,13 @@ def clean(
     timestamp_format: str | None = None,
     commercial_only: bool = True,
 ) -> DataFrame:
-    """The whole cleaning step, from canonical string columns to points."""
-    points = normalize(raw, source, timestamp_format).filter(is_valid(bounds))
+    """The whole cleaning step, from canonical string columns to points.
+
+    The parsed row passes through a one-element generator. Filters are not pushed
+    below it, where they would parse the text of every row a second time.
+    """
+    parsed = normalize(raw, source, timestamp_format)
+    points = parsed.select(F.inline_outer(F.array(F.struct(*parsed.columns)))).filter(is_valid(bounds))
     if commercial_only:
         points = points.filter(is_commercial(F.col("vessel_type_code"), F.col("vessel_type")))
     return deduplicate(points)

@@ -110,7 +110,7 @@ def final_position_metrics(errors: DataFrame, by: Sequence[str] = ("model",)) ->
         F.avg("displacement_km").alias("mean_future_displacement_km"),
     ]
     base = slim.groupBy(*by).agg(*aggs)
-    q = percentile_columns(slim, ["fde_km", "nfde"], {"median": 0.5, "p90": 0.9, "p95": 0.95}, by)
+    q = percentile_columns(slim, ["fde_km", "nfde"], {"median": 0.5, "p90": 0.9, "p95": 0.95}, by, stored=True)
     out = base.join(F.broadcast(q), list(by))
     km = {"median": "median_fde_km", "p90": "p90_fde_km", "p95": "p95_fde_km"}
     for name, src in km.items():
@@ -131,8 +131,8 @@ def trajectory_metrics(errors: DataFrame, by: Sequence[str] = ("model",)) -> Dat
         F.avg("nade").alias("mean_nade"),
         F.avg("true_path_km").alias("mean_true_path_km"),
     )
-    q_step = percentile_columns(per_step, ["step_error_km"], {"median": 0.5}, by)
-    q_window = percentile_columns(slim, ["ade_km", "nade"], {"median": 0.5, "p90": 0.9}, by)
+    q_step = percentile_columns(per_step, ["step_error_km"], {"median": 0.5}, by, stored=True)
+    q_window = percentile_columns(slim, ["ade_km", "nade"], {"median": 0.5, "p90": 0.9}, by, stored=True)
     out = windows
     for part in (steps, q_step, q_window):
         out = out.join(F.broadcast(part), list(by))
@@ -162,7 +162,7 @@ def error_by_horizon(forecasts: DataFrame, step_minutes: float) -> DataFrame:
     ).select("model", "step", (F.col("km") / F.lit(NM_TO_KM)).alias("error_nm"))
     slim = materialize(tall, "horizon")
     means = slim.groupBy("model", "step").agg(F.count(F.lit(1)).alias("n"), F.avg("error_nm").alias("mean_error_nm"))
-    q = percentile_columns(slim, ["error_nm"], {"median": 0.5, "p90": 0.9}, ("model", "step"))
+    q = percentile_columns(slim, ["error_nm"], {"median": 0.5, "p90": 0.9}, ("model", "step"), stored=True)
     return means.join(F.broadcast(q), ["model", "step"]).withColumn(
         "hours_ahead", (F.col("step") + 1) * F.lit(step_minutes / 60.0)
     )
@@ -323,7 +323,7 @@ def paired_comparison(errors: DataFrame, first: str, second: str) -> DataFrame:
     share = both.agg(
         F.count(F.lit(1)).alias("n"), (100 * F.avg((F.col("difference") < 0).cast("int"))).alias("first_better_pct")
     )
-    median = percentile_columns(both, ["difference"], {"median": 0.5})
+    median = percentile_columns(both, ["difference"], {"median": 0.5}, stored=True)
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(share).join(F.broadcast(one(median)), "_k").drop("_k")
 

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wakeline.functions.ranking import exact_percentiles, ordered_rank, percentile_columns
+from wakeline.functions.ranking import exact_percentiles, ordered_ranks, percentile_columns
 from wakeline.functions.series import total
 from wakeline.operators.motion import bucket_names
 from wakeline.sources.scratch import materialize
@@ -51,7 +51,7 @@ def gate_summary(weights: DataFrame, labels: Sequence[str]) -> DataFrame:
         (100 * F.avg((F.col("choice") == F.col("_i")).cast("int"))).alias("argmax_pct"),
         F.avg("entropy").alias("mean_entropy"),
     )
-    med = percentile_columns(tall, ["weight"], {"median": 0.5}, ("context",))
+    med = percentile_columns(tall, ["weight"], {"median": 0.5}, ("context",), stored=True)
     first = Window.partitionBy(F.lit(1)).orderBy(F.col("argmax_pct").desc(), "_i")
     return (
         base.join(F.broadcast(med), "context")
@@ -73,7 +73,7 @@ def quartile_profile(table: DataFrame, features: Sequence[str], labels: Sequence
     slim = materialize(table.select(*features, *labels), "quartiles")
     cuts = {
         (r["metric"], r["p"]): r["value"]
-        for r in exact_percentiles(slim, list(labels), [0.25, 0.75]).collect()
+        for r in exact_percentiles(slim, list(labels), [0.25, 0.75], stored=True).collect()
     }
     aggs = []
     for w in labels:
@@ -87,7 +87,7 @@ def quartile_profile(table: DataFrame, features: Sequence[str], labels: Sequence
 def tercile_weights(table: DataFrame, feature: str, labels: Sequence[str]) -> DataFrame:
     """Mean weights in the low, middle and high part of a feature (cuts at 33 % and 66 %)."""
     slim = materialize(table.select(feature, *labels), "terciles")
-    cuts = {r["p"]: r["value"] for r in exact_percentiles(slim, [feature], [0.33, 0.66]).collect()}
+    cuts = {r["p"]: r["value"] for r in exact_percentiles(slim, [feature], [0.33, 0.66], stored=True).collect()}
     part = F.when(F.col(feature) <= cuts[0.33], F.lit("low")).when(F.col(feature) <= cuts[0.66], F.lit("mid")).otherwise(F.lit("high"))
     return slim.groupBy(part.alias("motion")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(w).alias(w) for w in labels])
 
@@ -97,12 +97,11 @@ def spearman(table: DataFrame, features: Sequence[str], labels: Sequence[str], k
 
     Each column is ranked over the whole table with average ranks for ties.
     """
-    slim = materialize(table.select(key, *features, *labels), "spearman")
-    ranked = slim.select(key)
-    for c in (*features, *labels):
-        r = ordered_rank(slim.select(key, c), c, [key], name="_r").select(key, F.col("_r_avg").alias(c))
-        ranked = ranked.join(r, key)
-    ranked = materialize(ranked, "ranks")
+    columns = [*features, *labels]
+    slim = materialize(table.select(key, *columns).na.drop(subset=columns), "spearman")
+    ranked = materialize(
+        ordered_ranks(slim, columns, [key]).select(*[F.col(f"{c}_rank_avg").alias(c) for c in columns]), "ranks"
+    )
     pairs = [
         F.struct(F.lit(f).alias("feature"), F.lit(w).alias("context"), F.corr(f, w).alias("r"))
         for f in features
@@ -152,7 +151,7 @@ def best_possible(choices: DataFrame, labels: Sequence[str]) -> DataFrame:
         *[(100 * F.avg((F.col("best") == i).cast("int"))).alias(f"best_pct_{x}") for i, x in enumerate(labels)],
         *[(100 * F.avg((F.col("choice") == i).cast("int"))).alias(f"chosen_pct_{x}") for i, x in enumerate(labels)],
     )
-    med = percentile_columns(slim, ["best_km"], {"median": 0.5})
+    med = percentile_columns(slim, ["best_km"], {"median": 0.5}, stored=True)
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(shares).join(F.broadcast(one(med)), "_k").drop("_k")
 
@@ -219,7 +218,7 @@ def choice_profile(df: DataFrame, labels: Sequence[str]) -> DataFrame:
         (100 * F.avg(F.col("maneuver").cast("int"))).alias("pct_maneuver"),
         (100 * F.avg(F.col("straight").cast("int"))).alias("pct_straight"),
     )
-    med = percentile_columns(slim, ["fde_km"], {"median": 0.5}, ("context",))
+    med = percentile_columns(slim, ["fde_km"], {"median": 0.5}, ("context",), stored=True)
     listed = df.sparkSession.createDataFrame([(x,) for x in labels], "context string")
     return (
         listed.join(base, "context", "left")

@@ -193,6 +193,6 @@ def draw_report(sample: DataFrame, percentiles) -> DataFrame:
     counts = slim.agg(
         F.count(F.lit(1)).alias("sample_size"), *[count(c) for c in ("straight", "maneuver", "anchored", "other")]
     )
-    q = percentiles(slim, ["maneuver_score"], {"median": 0.5, "p90": 0.9})
+    q = percentiles(slim, ["maneuver_score"], {"median": 0.5, "p90": 0.9}, stored=True)
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(counts).join(F.broadcast(one(q)), "_k").drop("_k")

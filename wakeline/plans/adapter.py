@@ -58,7 +58,7 @@ def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     copies = F.when(i % 61 == 0, F.array(report(lat), report(lat + F.lit(0.001)))).otherwise(F.array(report(lat)))
-    return e.select(F.inline(copies))
+    return e.select(F.inline_outer(copies))
 
 
 def points(spark: SparkSession, sf_dir: str, commercial_only: bool = False) -> DataFrame:
