@@ -122,7 +122,9 @@ def test_inland_rule_is_strictly_more_than_half(spark, monkeypatch, inland_steps
     assert (L.filter_inland(df, g, km=3.0).count() == 1) is kept
 
 
-def test_bilinear_occupancy(spark):
+@pytest.mark.parametrize("inline_limit", [10**6, 1])
+def test_bilinear_occupancy(spark, monkeypatch, inline_limit):
+    monkeypatch.setattr(L, "MAX_INLINE_CELLS", inline_limit)
     g = grid(spark)
     pts = spark.createDataFrame(
         [("node", 30.5, -79.9), ("edge", 30.5, -79.525), ("sea", 30.5, -79.2), ("out", 31.5, -79.9)], "k string, lat double, lon double"

@@ -46,10 +46,10 @@ def e11(spark, sf):
 
 @query("s10_read_gate_weights", SUMMARY, SUMMARY_SQL)
 def s10(spark, sf):
-    # Weight files are split into 64 small documents, as one run writes one sample each.
-    docs = weights(spark, sf).groupBy(F.pmod(F.xxhash64("window_id"), F.lit(64)).alias("part")).agg(
+    # A weight document holds the windows of one trajectory and day, at most one per grid step.
+    docs = weights(spark, sf).groupBy("traj_id", F.to_date("start_time").alias("day")).agg(
         F.array(F.lit(9.0), F.lit(12.0), F.lit(18.0), F.lit(24.0)).alias("context_hours"), F.collect_list("alpha").alias("per_sample")
-    ).drop("part")
+    ).drop("traj_id", "day")
     path = new_path(spark, "gate")
     docs.write.json(path)
     return X.gate_summary(reports.read_gate_weights(spark, path, multi_line=False), LABELS)

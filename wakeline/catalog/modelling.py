@@ -457,15 +457,16 @@ def e10_costs(spark, sf):
     SELECT model, step, count(*) AS n, avg(true_lat) AS true_lat, avg(pred_lon) AS pred_lon, avg(anchor_lat) AS anchor_lat FROM pred GROUP BY model, step""")
 def s09(spark, sf):
     pair = lambda p: F.array(p.lat, p.lon)
-    rows = forecasts(spark, sf).select(
+    rows = forecasts(spark, sf, keep=("traj_id", "start_time")).select(
         "model",
-        F.pmod(F.xxhash64("window_id"), F.lit(64)).alias("part"),
+        "traj_id",
+        F.to_date("start_time").alias("day"),
         F.transform("true_track", pair).alias("t"),
         F.transform("pred_track", pair).alias("p"),
         F.array("anchor.lat", "anchor.lon").alias("a"),
     )
-    # Sample files are small by nature; 64 parts per model keep each one so here.
-    docs = rows.groupBy("model", "part").agg(F.collect_list(F.struct("t", "p", "a")).alias("s")).select(
+    # A sample document holds the windows of one trajectory and day, at most one per grid step.
+    docs = rows.groupBy("model", "traj_id", "day").agg(F.collect_list(F.struct("t", "p", "a")).alias("s")).select(
         "model", F.col("s.t").alias("y_true"), F.col("s.p").alias("y_pred"), F.col("s.a").alias("anchor")
     )
     path = new_path(spark, "samples")

@@ -206,18 +206,16 @@ def fit_horizon_regression(windows: DataFrame, horizon_hours: float, step_minute
     from wakeline.sources.scratch import materialize
 
     step = horizon_step(horizon_hours, step_minutes, future_steps)
-    base = windows.withColumn("is_train", train)
+    base = windows.withColumns(
+        {"is_train": train, "window_id": window_id(), "anchor": anchor(), "truth": as_points("fut")[step]}
+    )
     scaled = apply_scaler(base, fit_scaler(base.filter("is_train")))
     flat = F.flatten(F.transform("hist", lambda s: F.array(*[s[f].cast("double") for f in FEATURES])))
-    original = base.withColumn("window_id", window_id()).select(
-        "window_id", anchor().alias("anchor"), as_points("fut")[step].alias("truth")
-    )
-    inputs = scaled.withColumn("window_id", window_id()).select("window_id", "is_train", flat.alias("x"))
     table = materialize(
-        inputs.join(original, "window_id").select(
+        scaled.select(
             "window_id",
             "is_train",
-            "x",
+            flat.alias("x"),
             "anchor",
             "truth",
             (F.col("truth.lat") - F.col("anchor.lat")).alias("dlat"),

@@ -58,21 +58,23 @@ def build_grid(mask: LandGrid, lat_min: float, lat_max: float, lon_min: float, l
 
 
 def flag_land(points: DataFrame, grid: LandGrid, lat: str = "lat", lon: str = "lon", out: str = "land") -> DataFrame:
-    """Land flag by an equi-join on the cell; outside the raster counts as water.
+    """Land flag by an equi-join on the cell; outside the raster counts as water."""
+    keyed = points.withColumn("_row", grid.row_of(F.col(lat))).withColumn("_col", grid.col_of(F.col(lon)))
+    return _join_cells(keyed, grid, out).drop("_row", "_col")
 
-    The raster is broadcast when its cell count is small, otherwise Spark joins by
-    shuffle.
+
+def _join_cells(keyed: DataFrame, grid: LandGrid, out: str) -> DataFrame:
+    """Land flag of the cell (_row, _col).
+
+    The raster is broadcast when its cell count is small; otherwise Spark joins by
+    shuffle, where adaptive execution splits cells that hold very many points.
     """
-    land = grid.cells.filter("land = 1").select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.lit(True).alias("_land"))
+    land = grid.cells.filter("land = 1").select(
+        F.col("row").alias("_row"), F.col("col").alias("_col"), F.lit(True).alias("_land")
+    )
     if grid.size <= MAX_INLINE_CELLS:
         land = F.broadcast(land)
-    return (
-        points.withColumn("_row", grid.row_of(F.col(lat)))
-        .withColumn("_col", grid.col_of(F.col(lon)))
-        .join(land, ["_row", "_col"], "left")
-        .withColumn(out, F.coalesce("_land", F.lit(False)))
-        .drop("_row", "_col", "_land")
-    )
+    return keyed.join(land, ["_row", "_col"], "left").withColumn(out, F.coalesce("_land", F.lit(False))).drop("_land")
 
 
 def land_lookup(grid: LandGrid):
@@ -175,13 +177,18 @@ def land_occupancy(points: DataFrame, grid: LandGrid, lat: str = "lat", lon: str
         .withColumn("_c", F.floor("_x").cast("int"))
     )
     wy, wx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
-    lookup = land_lookup(grid)
+    corners = [(dr, dc, a * b) for dr, a in ((0, 1 - wy), (1, wy)) for dc, b in ((0, 1 - wx), (1, wx))]
     value = F.lit(0.0)
-    for dr, weight_r in ((0, 1 - wy), (1, wy)):
-        for dc, weight_c in ((0, 1 - wx), (1, wx)):
-            hit = lookup(F.col("_r") + dr, F.col("_c") + dc).cast("double")
-            value = value + hit * weight_r * weight_c
-    return pts.withColumn(out, F.when(inside, value).otherwise(F.lit(0.0))).drop("_y", "_x", "_r", "_c")
+    if grid.size <= MAX_INLINE_CELLS:
+        lookup = land_lookup(grid)
+        for dr, dc, weight in corners:
+            value = value + lookup(F.col("_r") + dr, F.col("_c") + dc).cast("double") * weight
+    else:
+        for dr, dc, weight in corners:
+            keyed = pts.withColumn("_row", F.col("_r") + dr).withColumn("_col", F.col("_c") + dc)
+            pts = _join_cells(keyed, grid, f"_land{dr}{dc}").drop("_row", "_col")
+            value = value + F.col(f"_land{dr}{dc}").cast("double") * weight
+    return pts.withColumn(out, F.when(inside, value).otherwise(F.lit(0.0))).select(*points.columns, out)
 
 
 def land_penalty(points: DataFrame, grid: LandGrid, by: list[str], weight: float = 0.1, lat: str = "pred_lat", lon: str = "pred_lon") -> DataFrame:

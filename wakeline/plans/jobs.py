@@ -88,7 +88,10 @@ def raw_to_windows(
 def training_table(
     windows: DataFrame, land: LandGrid | None = None, cfg: TrainingConfig = TrainingConfig(), step_minutes: int = RESAMPLE_MINUTES
 ) -> DataFrame:
-    """Windows that move and lie at sea, labelled train / val / test. The filters are maps; nothing shuffles."""
+    """Windows that move and lie at sea, labelled train / val / test.
+
+    Filters and the split label are maps over the windows; only trajectory ids are shuffled.
+    """
     measured = smart_metrics(history_metrics(windows), step_minutes)
     kept = (
         measured.filter(~is_stationary(cfg.stationary) & ~fails_smart_motion(cfg.smart)).select(*windows.columns)
