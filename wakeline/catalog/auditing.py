@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from wakeline.catalog.base import pct, query
 from wakeline.catalog.cleaning import EAST, STATS, _label_sql
-from wakeline.catalog.modelling import KEYS, forecasts
+from wakeline.catalog.modelling import KEYS, _split_sql, forecasts
 from wakeline.catalog.windowing import SHAPE_SQL, SMART, SMART_REMOVED, SMART_SQL, STEP, WHOLE_SQL, _smart, _win, shapes
 from wakeline.constants import AUDIT_QUANTILES, PORTS
 from wakeline.operators import audit as Q, evaluate as E, land as L, lookup as U, motion as M, routes as V, segment as G
-from wakeline.plans import adapter as A
-from wakeline.sources import ais_csv, days, tables
+from wakeline.operators.windows import cap_per_trajectory
+from wakeline.plans import adapter as A, jobs
+from wakeline.sources import ais_csv, datasets, days, tables
 from wakeline.sources.scratch import new_path
 from wakeline.streaming import ingest
 
@@ -484,6 +485,34 @@ def l06(spark, sf):
     return L.land_penalty(E.to_predictions(forecasts(spark, sf)), land_grid(spark, sf), ["model"])
 
 
+_kept = f"""(SELECT w.* FROM win w JOIN hm USING (window_id) JOIN ({INLAND_SQL.replace('WHERE i % 2', 'WHERE i % 6')}) g USING (window_id)
+    WHERE NOT (radius <= 0.5 AND net < 1.0) AND NOT {SMART_REMOVED} AND inland_fraction <= 0.5)"""
+
+
+@query("p02_training_table", KEYS + "split:s", f"WITH kept AS MATERIALIZED {_kept} {_split_sql('traj_id', 0.2, 0.1, 'kept')}")
+def p02_training(spark, sf):
+    cfg = jobs.TrainingConfig(smart=SMART)
+    return jobs.training_table(_win(spark, sf), land_grid(spark, sf), cfg, STEP)
+
+
+@query("w02_cap_existing_windows", KEYS, """
+    SELECT window_id FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY md5('42|' || traj_id || '|' || CAST(CAST(epoch(start_time) AS BIGINT) AS VARCHAR))) AS rn FROM win)
+    WHERE rn <= 5""")
+def w02_existing(spark, sf):
+    return cap_per_trajectory(_win(spark, sf), 5)
+
+
+@query("s06_read_datasets", "region:s tag:s n:i vessels:i", """
+    SELECT CASE WHEN mmsi % 3 = 0 THEN 'east_coast' ELSE 'west_coast' END AS region, CASE WHEN mmsi % 3 = 0 THEN '30d' ELSE '' END AS tag, count(*) AS n, count(DISTINCT mmsi) AS vessels
+    FROM win WHERE mmsi % 3 < 2 GROUP BY 1, 2""")
+def s06_read(spark, sf):
+    root = new_path(spark, "datasets")
+    places = ["Eastern coast/ais_east_coast_30d_long_horizon", "West Coast/ais_west_coast_long_horizon", "West Coast/ais_gulf_30d_long_horizon"]
+    for i, place in enumerate(places):
+        A.stored_windows(spark, sf).filter(F.col("mmsi") % 3 == i).drop("hist", "fut").write.parquet(f"{root}/{place}/model_ready_windows")
+    return datasets.read_datasets(spark, root).groupBy("region", "tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mmsi").alias("vessels"))
+
+
 # --- incremental and streaming -----------------------------------------------------------
 
 

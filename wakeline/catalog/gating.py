@@ -55,6 +55,17 @@ def s10(spark, sf):
     return X.gate_summary(reports.read_gate_weights(spark, path, multi_line=False), LABELS)
 
 
+@query("e11_softmax_entropy", "label:i n:i mean_entropy:d", """
+    SELECT label, count(*) AS n, avg(h) AS mean_entropy FROM (
+        SELECT label, vec_id, -sum(p * ln(p + 1e-8::DOUBLE)) AS h FROM (
+            SELECT label, vec_id, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM (SELECT label, vec_id, unnest(embedding[1:4])::DOUBLE AS x FROM embeddings))
+        GROUP BY label, vec_id) GROUP BY label""")
+def e11_softmax(spark, sf):
+    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", X.softmax(logits).alias("alpha"))
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(X.entropy(F.col("alpha"))).alias("mean_entropy"))
+
+
 @query("e12_gate_by_class", "vessel_class:i context:s n:i mean_weight:d", f"""
     SELECT coalesce(l.vessel_class, 0) AS vessel_class, v.context, count(*) AS n, avg({_aj}) AS mean_weight
     FROM gate LEFT JOIN lookup l USING (mmsi), {_each} GROUP BY 1, 2""")

@@ -20,14 +20,14 @@ IDS = ("traj_id", "start_time")
 MODELS = {"naive": B.predictor("naive"), "kinematic": B.predictor("kinematic", STEP)}
 
 
-def _split_sql(group: str, test: float, val: float) -> str:
+def _split_sql(group: str, test: float, val: float, source: str = "win") -> str:
     return f"""
         SELECT w.window_id, w.traj_id, w.start_time, w.mmsi, CASE WHEN rn <= n_test THEN 'test' WHEN rn <= n_test + n_val THEN 'val' ELSE 'train' END AS split
-        FROM win w JOIN (
+        FROM {source} w JOIN (
             SELECT {group} AS g, row_number() OVER (ORDER BY md5('42|' || CAST({group} AS VARCHAR))) AS rn,
                    greatest(1, CAST(floor(count(*) OVER () * {test}::DOUBLE) AS BIGINT)) AS n_test,
                    greatest(1, CAST(floor(count(*) OVER () * {val}::DOUBLE) AS BIGINT)) AS n_val
-            FROM (SELECT DISTINCT {group} FROM win)) s ON s.g = w.{group}"""
+            FROM (SELECT DISTINCT {group} FROM {source})) s ON s.g = w.{group}"""
 
 
 @query("p01_split_by_trajectory", KEYS + "split:s", _split_sql("traj_id", 0.2, 0.1))

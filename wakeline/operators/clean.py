@@ -123,13 +123,6 @@ def resolve_bounds(
     return out
 
 
-def region_table(spark) -> DataFrame:
-    return spark.createDataFrame(
-        [(name, *map(float, box)) for name, box in REGIONS.items()],
-        "region string, lat_min double, lat_max double, lon_min double, lon_max double",
-    )
-
-
 def flag_in_frame(points: DataFrame, bounds: tuple[float, float, float, float], *, strict: bool = False) -> DataFrame:
     flagged = points.withColumn("in_frame", F.coalesce(in_box(F.col("lat"), F.col("lon"), bounds), F.lit(False)))
     return flagged.filter("in_frame") if strict else flagged

@@ -64,8 +64,10 @@ def fill_gaps(bins: DataFrame, every_minutes: int, limit: int = MAX_GAP_STEPS, f
         out = out.withColumn(
             "_type", F.coalesce(F.col("_label_type"), F.lag("_last_type").over(ordered))
         )
-        following = ordered.rowsBetween(1, Window.unboundedFollowing)
-        next_label = F.first("_type", ignorenulls=True).over(following)
+        # Read backwards: a frame that ends at the last row would be re-read for every row.
+        backwards = Window.partitionBy(*KEYS).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("_later_type", F.last("_type", ignorenulls=True).over(backwards))
+        next_label = F.col("_later_type")
         close = F.when(
             F.col("_next.bin") == F.col("bin") + 1, F.coalesce(F.lead("_type").over(ordered), F.col("_last_type"))
         ).otherwise(F.col("_last_type"))

@@ -213,16 +213,6 @@ def add_motion_features(df: DataFrame) -> DataFrame:
     )
 
 
-def steps_between(df: DataFrame) -> DataFrame:
-    """dt_sec and dist_km for rows that already carry prev_timestamp, prev_lat and prev_lon."""
-    return df.withColumns(
-        {
-            "dt_sec": seconds_between(F.col("timestamp"), F.col("prev_timestamp")),
-            "dist_km": haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")),
-        }
-    )
-
-
 def drop_invalid_steps(segmented: DataFrame, cfg: SegmentConfig = SegmentConfig()) -> DataFrame:
     """Remove rows without a usable step; a step after a time gap is kept."""
     return segmented.filter(
