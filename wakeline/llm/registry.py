@@ -1,13 +1,16 @@
 """Queries of this package and their SQL, by name."""
 
-from wakeline.llm import line_dedup, mixing
+from wakeline.llm import decontamination, line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op6_fair_mix": mixing.op6_fair_mix,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
+    "op4_decontamination": decontamination.SQL,
     "op6_fair_mix": mixing.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
