@@ -77,6 +77,8 @@ def repeated_lines(
         .where(F.col("n") >= min_docs)
         .select("key", "keeper")
     )
+    # Written, so that both sides of the join are dealt anew and a key with most suspects can be split.
+    often = materialize(often, "line-repeats")
     return (
         seen.join(often, "key")
         .where("doc_id != keeper")
