@@ -1,11 +1,13 @@
 """Queries of this package and their SQL, by name."""
 
-from wakeline.llm import decontamination, line_dedup, mixing, quality_rules
+from wakeline.llm import decontamination, language_id, line_dedup, mixing, quality_model, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_quality_model": quality_model.op5_quality_model,
     "op6_fair_mix": mixing.op6_fair_mix,
+    "op8_language_id": language_id.op8_language_id,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
