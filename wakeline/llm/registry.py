@@ -1,8 +1,9 @@
 """Queries of this package and their SQL, by name."""
 
-from wakeline.llm import decontamination, language_id, line_dedup, mixing, quality_model, quality_rules
+from wakeline.llm import decontamination, language_id, line_dedup, mixing, page_text, quality_model, quality_rules
 
 QUERIES = {
+    "op1_page_text": page_text.op1_page_text,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_model": quality_model.op5_quality_model,
