@@ -1,6 +1,6 @@
 """Queries of this package and their SQL, by name."""
 
-from wakeline.llm import decontamination, language_id, line_dedup, mixing, page_text, quality_model, quality_rules
+from wakeline.llm import decontamination, language_id, line_dedup, mixing, page_text, quality_model, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_page_text": page_text.op1_page_text,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_model": quality_model.op5_quality_model,
     "op6_fair_mix": mixing.op6_fair_mix,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_language_id": language_id.op8_language_id,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLES = {
     "op4_decontamination": decontamination.SQL,
     "op6_fair_mix": mixing.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
