@@ -1,6 +1,16 @@
 """Queries of this package and their SQL, by name."""
 
-from wakeline.llm import decontamination, language_id, line_dedup, mixing, page_text, quality_model, quality_rules, substring_dedup
+from wakeline.llm import (
+    decontamination,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    page_text,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+)
 
 QUERIES = {
     "op1_page_text": page_text.op1_page_text,
@@ -10,6 +20,7 @@ QUERIES = {
     "op6_fair_mix": mixing.op6_fair_mix,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_language_id": language_id.op8_language_id,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
