@@ -7,6 +7,7 @@ from wakeline.llm import (
     mixing,
     near_dedup,
     page_text,
+    pii,
     quality_model,
     quality_rules,
     substring_dedup,
@@ -14,6 +15,7 @@ from wakeline.llm import (
 
 QUERIES = {
     "op1_page_text": page_text.op1_page_text,
+    "op2_surrogates": pii.op2_surrogates,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_quality_model": quality_model.op5_quality_model,
