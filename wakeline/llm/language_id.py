@@ -40,7 +40,7 @@ LARGEST = 1 << 21
 
 def words_of(text: str | None) -> list[str]:
     found = LETTERS.findall(text.lower()) if text else []
-    return found if any(c.isalpha() for w in found for c in w) else []
+    return found if any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w) else []
 
 
 def suffix_automaton(text: str) -> dict[int, int]:
@@ -138,22 +138,33 @@ def identify(docs: DataFrame, models: list | None = None, into: str = "_language
     """`docs` with a struct column: lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs) if models is None else models)
     ready: list = []
-    known: dict[str, np.ndarray] = {}
-
-    def parsed(word: str) -> np.ndarray:
-        found = known.get(word)
-        if found is None:
-            if len(known) >= PARSED_WORDS:
+    known: dict[str, int] = {}  # word -> its row of counts
+    counts = np.empty((0, 0), np.int32)
+
+    def parsed(words: list[str]) -> np.ndarray:
+        """Phrases of a text in each language: the sum over its words."""
+        nonlocal counts
+        if not len(counts):  # made in the worker, so that it does not travel with the function
+            counts = np.zeros((PARSED_WORDS, len(ready)), np.int32)
+        if len(known) + len(words) > PARSED_WORDS:
+            known.clear()
+        total = np.zeros(len(ready), np.int64)
+        for k in range(0, len(words), PARSED_WORDS):
+            part = words[k : k + PARSED_WORDS]
+            if k:
                 known.clear()
-            found = known[word] = np.array([phrases(word, m) for _, _, m in ready], np.int64)
-        return found
+            for word in part:
+                if word not in known:
+                    counts[len(known)] = [phrases(word, m) for _, _, m in ready]
+                    known[word] = len(known)
+            total += counts[[known[w] for w in part]].sum(axis=0)
+        return total
 
     def predict(text: str | None) -> tuple[str, float]:
-        words = Counter(words_of(text))
+        words = words_of(text)
         if not words or not ready:
             return UNKNOWN, 0.0
-        total = sum(parsed(w) * n for w, n in words.items())
-        bits = [int(p) * math.log2(c + 1) for p, (_, c, _) in zip(total, ready)]
+        bits = [int(p) * math.log2(c + 1) for p, (_, c, _) in zip(parsed(words), ready)]
         order = sorted(range(len(bits)), key=lambda k: (bits[k], ready[k][0]))
         if len(order) == 1:
             return ready[0][0], 1.0
