@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators import clean as C, segment as G
 from wakeline.plans import adapter as A, jobs
-from wakeline.sources import ais_csv, datasets, days, tables
+from wakeline.sources import ais_csv, datasets, days, scratch, tables
 from wakeline.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -26,26 +26,84 @@ def columns(spark, path):
     return spark.read.option("header", True).csv(path).columns
 
 
+def same(got, want):
+    want = want.select(got.columns)
+    assert want.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_stream_equals_batch(spark, landing, tmp_path):
-    stream = ingest.clean_stream(spark, landing, columns(spark, landing), A.BOX, commercial_only=False, lateness="400 days", files_per_batch=1)
+    stream = lambda **k: ingest.clean_stream(spark, landing, columns(spark, landing), A.BOX, commercial_only=False, **k)
     out, ckpt = str(tmp_path / "points"), str(tmp_path / "ckpt")
-    ingest.write_points(stream, out, ckpt).awaitTermination()
-    key = ["mmsi", "timestamp", "sog", "cog"]
-    got, want = spark.read.parquet(out).select(*key), A.points(spark, SF).select(*key)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    again = ingest.clean_stream(spark, landing, columns(spark, landing), A.BOX, commercial_only=False, lateness="400 days")
-    ingest.write_points(again, out, ckpt).awaitTermination()
-    assert spark.read.parquet(out).count() == want.count()
+    ingest.write_points(stream(files_per_batch=1), out, ckpt).awaitTermination()
+    same(ingest.read_points(spark, out).drop("lat", "lon"), A.points(spark, SF))
+    n = spark.read.parquet(out).count()
+    ingest.write_points(stream(), out, ckpt).awaitTermination()
+    assert spark.read.parquet(out).count() == n
+
+
+def raw_rows(spark, rows):
+    return spark.createDataFrame(rows, "timestamp string, mmsi string, lat string, lon string, sog string, cog string, heading string, vessel_type string")
+
+
+def test_a_late_file_loses_nothing(spark, tmp_path):
+    def day(n):
+        return raw_rows(spark, [(f"2024-01-{n:02d}T{h:02d}:00:00", "7", "40.0", "-70.0", "5", "10", "", "70") for h in range(24)])
+
+    path, out = str(tmp_path / "raw"), str(tmp_path / "points")
+    for n in (10, 5):
+        ais_csv.write_raw_csv(day(n).coalesce(1), f"{path}/{n}")
+        stream = ingest.clean_stream(spark, path, columns(spark, f"{path}/{n}"), A.BOX)
+        ingest.write_points(stream, out, str(tmp_path / "ckpt")).awaitTermination()
+    assert ingest.read_points(spark, out).count() == 48
+
+
+def test_another_header_stops_the_stream(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    raw = raw_rows(spark, [("2024-01-01T00:00:00", "7", "37.0", "-72.0", "5", "10", "", "70")])
+    ais_csv.write_raw_csv(raw, f"{path}/a")
+    named = columns(spark, f"{path}/a")
+    swapped = ["timestamp", "mmsi", "lon", "lat", "sog", "cog", "heading", "vessel_type"]
+    ais_csv.write_raw_csv(raw, f"{path}/b", in_order=swapped)
+    stream = ingest.clean_stream(spark, path, named, A.BOX)
+    with pytest.raises(Exception, match="header"):
+        ingest.write_points(stream, str(tmp_path / "p"), str(tmp_path / "c")).awaitTermination()
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    raw = raw_rows(spark, [("2024-01-01T00:00:00", "7", "37.0", "-72.0", "5", "10", "", "70")])
+    ais_csv.write_raw_csv(raw, f"{path}/a", "noaa_old")
+    ais_csv.write_raw_csv(raw, f"{path}/b b", in_order=["timestamp", "mmsi", "lon", "lat", "sog", "cog", "heading", "vessel_type"])
+    found, source, fmt = ais_csv.read_raw(spark, path)
+    assert (source, fmt) == ("noaa", None)
+    assert [(r.lat, r.lon, r.mmsi) for r in found.collect()] == [("37.0", "-72.0", "7")] * 2
+    (tmp_path / "raw" / "c.csv").write_text("mmsi,base_date_time,latitude\n7,2024-01-01T00:00:00,37\n")
+    with pytest.raises(ValueError, match=r"c\.csv.*lon"):
+        ais_csv.read_raw(spark, path)
 
 
 def test_streamed_segments_equal_batch(spark, landing, tmp_path):
-    stream = ingest.clean_stream(spark, landing, columns(spark, landing), A.BOX, commercial_only=False, lateness="400 days", files_per_batch=1)
+    stream = ingest.clean_stream(spark, landing, columns(spark, landing), A.BOX, commercial_only=False, files_per_batch=1)
     segments = str(tmp_path / "segments")
     ingest.write_segments(stream, str(tmp_path / "points"), segments, str(tmp_path / "ckpt"), A.SEGMENTS, vessel_groups=4).awaitTermination()
-    key = ["traj_id", "timestamp", "dt_sec"]
-    got, want = spark.read.parquet(segments).select(*key), A.segments(spark, SF).select(*key)
-    assert want.count() > 0
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    same(spark.read.parquet(segments).select("traj_id", "timestamp", "dt_sec"), A.segments(spark, SF))
+
+
+def test_a_group_without_segments_is_emptied(spark, tmp_path):
+    """Later reports break the only segment of a vessel into parts that are too short."""
+    cfg = G.SegmentConfig(max_gap_hours=3.0, max_speed_kmh=90.0, min_points=5, min_hours=4.0, min_distance_km=1.0)
+    path, seg, pts, ckpt = (str(tmp_path / p) for p in ("raw", "seg", "pts", "ckpt"))
+    first = [(f"2024-01-01T{h:02d}:00:00", "7", f"{40 + h / 10}", "-70.0", "5", "10", "", "70") for h in range(0, 7)]
+    jumps = [(f"2024-01-01T{h:02d}:30:00", "7", "46.0", "-70.0", "5", "10", "", "70") for h in range(0, 7)]
+    counts = []
+    for k, rows in enumerate((first, jumps)):
+        ais_csv.write_raw_csv(raw_rows(spark, rows).coalesce(1), f"{path}/{k}")
+        stream = ingest.clean_stream(spark, path, columns(spark, f"{path}/{k}"), A.BOX)
+        ingest.write_segments(stream, pts, seg, ckpt, cfg, vessel_groups=2).awaitTermination()
+        stored = spark.read.schema("traj_id string").option("recursiveFileLookup", True).parquet(seg)
+        counts.append(stored.count())
+    assert counts[0] > 0 and counts[1] == 0
 
 
 def test_days_are_done_once(spark, tmp_path):
@@ -53,7 +111,7 @@ def test_days_are_done_once(spark, tmp_path):
 
     def of(wanted):
         asked.append(list(wanted))
-        return pts.filter(F.to_date("timestamp").isin(*wanted))
+        return pts.withColumn("file_day", F.to_date("timestamp")).filter(F.col("file_day").isin(*wanted))
 
     start = dt.date(2024, 1, 1)
     assert len(days.ingest_days(spark, root, start, start + dt.timedelta(days=3), of)) == 4
@@ -65,6 +123,30 @@ def test_days_are_done_once(spark, tmp_path):
     assert days.dataset_label("gulf", "30d") == "gulf_30d" and days.dataset_label("gulf", None) == "gulf"
 
 
+def test_a_stray_report_keeps_the_days_before(spark, tmp_path):
+    """A report of day 1 in the file of day 2 does not replace the folder of day 1."""
+    root, one, two = str(tmp_path / "days"), dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    rows = [(one, 7, dt.datetime(2024, 1, 1, h)) for h in range(5)] + [(two, 7, dt.datetime(2024, 1, 2, 3)), (two, 7, dt.datetime(2024, 1, 1, 23))]
+    table = spark.createDataFrame(rows, "file_day date, mmsi long, timestamp timestamp_ntz").withColumn("lat", F.lit(1.0))
+    of = lambda wanted: table.filter(F.col("file_day").isin(*wanted))
+    days.ingest_days(spark, root, one, one, of)
+    days.ingest_days(spark, root, one, two, of)
+    assert days.read_days(spark, root).count() == 7
+
+
+def test_shared_folder_is_required_off_local(spark):
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
+    Session.conf = Conf({"spark.master": "local[4]"})
+    assert scratch.shared_dir(Session()) == Session.conf["spark.checkpoint.dir"]
+
+
 def test_raw_to_windows_job(spark, landing, tmp_path):
     cfg = jobs.WindowConfig(resample_minutes=A.STEP_MINUTES, cap=20)
     paths = jobs.raw_to_windows(spark, landing, str(tmp_path / "out"), A.BOX, commercial_only=False, segment_cfg=A.SEGMENTS, window_cfg=cfg)

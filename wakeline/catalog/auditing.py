@@ -12,6 +12,7 @@ from wakeline.catalog.modelling import KEYS, _split_sql, forecasts
 from wakeline.catalog.windowing import SHAPE_SQL, SMART, SMART_REMOVED, SMART_SQL, STEP, WHOLE_SQL, _smart, _win, shapes
 from wakeline.constants import AUDIT_QUANTILES, PORTS
 from wakeline.operators import audit as Q, evaluate as E, land as L, lookup as U, motion as M, routes as V, segment as G
+from wakeline.operators.clean import clean
 from wakeline.operators.windows import cap_per_trajectory
 from wakeline.plans import adapter as A, jobs
 from wakeline.sources import ais_csv, datasets, days, tables
@@ -522,45 +523,71 @@ def _day_range(pts: DataFrame) -> tuple[dt.date, dt.date]:
     return r["a"], r["b"]
 
 
-@query("s14_ingest_days", "day:s n:i", "SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, count(*) AS n FROM points GROUP BY 1")
-def s14(spark, sf):
+POINTS = "timestamp:t mmsi:i lat:d lon:d sog:d cog:d heading:d vessel_type:s vessel_type_code:i"
+POINTS_SQL = "SELECT *, code AS vessel_type_code FROM points"
+
+
+def _files_of_days(pts: DataFrame) -> DataFrame:
+    """Points with the day of the file they come in; some reports come in the next day's file, some in both."""
+    h = F.pmod(F.xxhash64("mmsi", "timestamp"), F.lit(13))
+    day = F.to_date("timestamp")
+    in_files = F.when(h == 0, F.array(F.date_add(day, 1))).when(h == 1, F.array(day, F.date_add(day, 1))).otherwise(F.array(day))
+    return pts.withColumn("file_day", F.explode(in_files))
+
+
+def _ingest(spark, sf) -> DataFrame:
+    """A later day is ingested before the days ahead of it, then the whole range."""
     pts = A.points(spark, sf)
     root = new_path(spark, "days")
     first, last = _day_range(pts)
-    of_days = lambda wanted: pts.filter(F.to_date("timestamp").isin(*wanted))
-    days.ingest_days(spark, root, first, first + dt.timedelta(days=2), of_days)
-    days.ingest_days(spark, root, first, last, of_days)
-    return days.read_days(spark, root).groupBy(F.to_date("timestamp").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    of_days = lambda wanted: _files_of_days(pts).filter(F.col("file_day").isin(*wanted))
+    middle = first + (last - first) / 2
+    days.ingest_days(spark, root, middle, middle + dt.timedelta(days=2), of_days)
+    days.ingest_days(spark, root, first, last + dt.timedelta(days=1), of_days)
+    return days.read_days(spark, root).select(pts.columns)
+
+
+@query("s14_ingest_days", POINTS, POINTS_SQL)
+def s14(spark, sf):
+    return _ingest(spark, sf)
 
 
 @query("s15_segments_of_all_days", STATS, "SELECT * FROM long_stats")
 def s15(spark, sf):
-    pts = A.points(spark, sf)
-    root = new_path(spark, "days")
-    first, last = _day_range(pts)
-    days.ingest_days(spark, root, first, last, lambda wanted: pts.filter(F.to_date("timestamp").isin(*wanted)))
-    return G.trajectory_stats(G.build_segments(days.read_days(spark, root).select(pts.columns), A.SEGMENTS))
+    return G.trajectory_stats(G.build_segments(_ingest(spark, sf), A.SEGMENTS))
+
+
+@query("s02_mixed_headers", POINTS, POINTS_SQL)
+def s02_mixed(spark, sf):
+    """Points of one folder with old names, new names and another column order."""
+    path, raw = new_path(spark, "mixed"), A.raw_reports(spark, sf)
+    part = F.pmod(F.xxhash64("mmsi", "timestamp"), F.lit(3))
+    shuffled = [*raw.columns[4:], *raw.columns[:4]]
+    ais_csv.write_raw_csv(raw.filter(part == 0), f"{path}/old", "noaa_old")
+    ais_csv.write_raw_csv(raw.filter(part == 1), f"{path}/new")
+    ais_csv.write_raw_csv(raw.filter(part == 2), f"{path}/shuffled", in_order=shuffled)
+    mixed, found, fmt = ais_csv.read_raw(spark, path)
+    return clean(mixed, A.BOX, source=found, timestamp_format=fmt, commercial_only=False)
 
 
 def _stream(spark, sf) -> DataFrame:
-    """Clean points of the raw CSV files as a stream."""
+    """Valid points of the raw CSV files as a stream, in batches of any order of time."""
     path = new_path(spark, "landing")
     ais_csv.write_raw_csv(A.raw_reports(spark, sf).repartition(4, "timestamp"), path)
     columns = spark.read.option("header", True).csv(path).columns
-    return ingest.clean_stream(spark, path, columns, A.BOX, commercial_only=False, lateness="400 days", files_per_batch=2)
+    return ingest.clean_stream(spark, path, columns, A.BOX, commercial_only=False, files_per_batch=2)
 
 
-@query("st1_stream_to_points", "timestamp:t mmsi:i sog:d cog:d heading:d vessel_type:s", "SELECT timestamp, mmsi, sog, cog, heading, vessel_type FROM points")
+@query("st1_stream_to_points", POINTS, POINTS_SQL)
 def st1(spark, sf):
     out = new_path(spark, "stream-points")
     ingest.write_points(_stream(spark, sf), out, new_path(spark, "stream-ckpt")).awaitTermination()
-    return spark.read.parquet(out)
+    return ingest.read_points(spark, out)
 
 
-@query("st2_stream_to_segments", "traj_id:s mmsi:i n_points:i start_time:t end_time:t median_dt_sec:d duration_hours:d", """
-    SELECT traj_id, mmsi, n_points, start_time, end_time, median_dt_sec, duration_hours FROM long_stats""")
+@query("st2_stream_to_segments", STATS, "SELECT * FROM long_stats")
 def st2(spark, sf):
     points_path, out = new_path(spark, "stream-points"), new_path(spark, "stream-segments")
-    q = ingest.write_segments(_stream(spark, sf), points_path, out, new_path(spark, "stream-ckpt"), A.SEGMENTS, vessel_groups=8)
+    q = ingest.write_segments(_stream(spark, sf), points_path, out, new_path(spark, "stream-ckpt"), A.SEGMENTS)
     q.awaitTermination()
     return G.trajectory_stats(spark.read.parquet(out))

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.constants import FUTURE_HOURS, HISTORY_HOURS, MAX_WINDOWS_PER_TRAJECTORY, RESAMPLE_MINUTES
+from wakeline.constants import FUTURE_HOURS, HISTORY_HOURS, RESAMPLE_MINUTES
 from wakeline.functions.clock import prepare_session
 from wakeline.operators.audit import trajectory_audit, vessel_audit
 from wakeline.operators.clean import clean
@@ -33,7 +33,7 @@ class WindowConfig:
     future_hours: float = FUTURE_HOURS
     resample_minutes: int = RESAMPLE_MINUTES
     max_gap_steps: int = 6
-    cap: int | None = MAX_WINDOWS_PER_TRAJECTORY
+    cap: int | None = None  # windows per trajectory; all unless asked
     seed: int = 42
     frame: tuple[float, float, float, float] | None = None
     require_contiguous: bool = False

@@ -31,21 +31,25 @@ def processed_days(spark: SparkSession, days_dir: str) -> set[dt.date]:
 def ingest_days(spark: SparkSession, days_dir: str, start: dt.date, end: dt.date, points_of_days) -> list[dt.date]:
     """Write the points of all days of a range that are not done, in one job; returns those days.
 
-    points_of_days(days) gives the clean points of the listed days. Day folders are
-    replaced as a whole and days are recorded after the write, so a run that
-    failed half-way is simply repeated.
+    points_of_days(days) gives the clean points of the files of the listed days, with a
+    column `file_day`: the day of the FILE that a report came in. Folders are by file
+    day, the unit in which days are recorded as done, so a report of another day in a
+    file never replaces that day's folder. Folders are replaced as a whole and days are
+    recorded after the write, so a run that failed half-way is simply repeated. File
+    sizes within a day are left to adaptive execution, which splits busy days.
     """
     done = processed_days(spark, days_dir)
     wanted = [d for d in days_between(start, end) if d not in done]
     if not wanted:
         return []
+    points = points_of_days(wanted)
+    if "file_day" not in points.columns:
+        raise ValueError("points_of_days must return a file_day column")
     (
-        points_of_days(wanted)
-        .withColumn("day", F.to_date("timestamp"))
-        .repartition("day", F.pmod("mmsi", F.lit(16)))
+        points.hint("rebalance", F.col("file_day"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
+        .partitionBy("file_day")
         .parquet(days_dir)
     )
     spark.createDataFrame([(d,) for d in wanted], "day date").coalesce(1).write.mode("append").csv(_state(days_dir))
@@ -53,9 +57,7 @@ def ingest_days(spark: SparkSession, days_dir: str, start: dt.date, end: dt.date
 
 
 def read_days(spark: SparkSession, days_dir: str) -> DataFrame:
-    """All cleaned days as one table of points."""
+    """All cleaned days as one table of points; a report that several files hold is one row."""
     from wakeline.operators.clean import deduplicate
 
-    return deduplicate(spark.read.parquet(days_dir).drop("day"))
-
-
+    return deduplicate(spark.read.parquet(days_dir).drop("file_day"))

@@ -9,6 +9,7 @@ from wakeline.functions.vessel import is_commercial
 from wakeline.operators.clean import deduplicate, is_valid, normalize
 from wakeline.operators.segment import SegmentConfig, build_segments
 from wakeline.sources.ais_csv import stream_raw
+from wakeline.sources.scratch import materialize
 
 
 def clean_stream(
@@ -19,25 +20,19 @@ def clean_stream(
     *,
     source: str = "auto",
     commercial_only: bool = True,
-    lateness: str = "1 day",
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Clean points of a file stream, one per (mmsi, timestamp) within the watermark.
+    """Valid points of a file stream, every copy of every report, however late its file lands.
 
-    Watermarks need a zoned timestamp, so event time is kept as one until the write.
-    The first copy to arrive wins; copies later than the watermark are dropped by
-    the final table read (`deduplicate`).
+    Nothing is dropped by arrival: which copy of a report stays is decided where the
+    points are read (`read_points`) or rebuilt (`write_segments`), by the same rule as
+    in the batch path, so the order of files does not matter and no state is kept.
     """
     raw, found, fmt = stream_raw(spark, path, columns, source, files_per_batch)
     points = normalize(raw, found, fmt).filter(is_valid(bounds))
     if commercial_only:
         points = points.filter(is_commercial(F.col("vessel_type_code"), F.col("vessel_type")))
-    return (
-        points.withColumn("event_time", F.col("timestamp").cast("timestamp"))
-        .withWatermark("event_time", lateness)
-        .dropDuplicatesWithinWatermark(["mmsi", "event_time"])
-        .drop("event_time")
-    )
+    return points
 
 
 def write_points(points: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -53,13 +48,27 @@ def write_points(points: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """Streamed points as one table, one row per (mmsi, timestamp), as the batch path gives them."""
+    return deduplicate(spark.read.parquet(path).drop("day"))
+
+
+def _drop_empty_groups(spark: SparkSession, path: str, touched: list[int], written: set[int]) -> None:
+    """Remove the folders of touched groups that have no segments any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for group in touched:
+        if group not in written:
+            fs.delete(folder(f"{path}/vessel_group={group}"), True)
+
+
 def write_segments(
     points: DataFrame,
     points_path: str,
     segments_path: str,
     checkpoint: str,
     cfg: SegmentConfig = SegmentConfig(),
-    vessel_groups: int = 256,
+    vessel_groups: int = 64,
 ) -> StreamingQuery:
     """Store each batch of points, then rebuild the segments of the vessel groups it touches.
 
@@ -80,13 +89,16 @@ def write_segments(
             return
         stored = spark.read.schema(schema).option("basePath", points_path).parquet(f"{points_path}/batch=*")
         current = deduplicate(stored.filter(F.col("vessel_group").isin(*touched)).select(points.columns))
+        segments = materialize(build_segments(current, cfg).withColumn("vessel_group", group), "batch-segments")
+        written = {r["vessel_group"] for r in segments.select("vessel_group").distinct().collect()}
         (
-            build_segments(current, cfg)
-            .withColumn("vessel_group", group)
+            segments.hint("rebalance", F.col("vessel_group"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("vessel_group")
             .parquet(segments_path)
         )
+        # A group is written as a whole, also when nothing is left of it.
+        _drop_empty_groups(spark, segments_path, touched, written)
 
     return points.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
