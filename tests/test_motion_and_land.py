@@ -102,15 +102,15 @@ def test_land_join_and_inline_agree(spark):
     )
     land = {r["k"]: r["land"] for r in L.flag_land(pts, g).collect()}
     assert land == {"deep": True, "shore": True, "sea": False, "outside": False}
-    joined = {r["k"]: r["open_water"] for r in L.flag_open_water(pts, g, ["k"], km=3.0).collect()}
+    joined = {r["k"]: r["open_water"] for r in L.flag_open_water(pts, g, km=3.0).collect()}
     inline = {r["k"]: r["w"] for r in pts.select("k", L.open_water(F.col("lat"), F.col("lon"), g, L.land_lookup(g), 3.0).alias("w")).collect()}
     assert joined == inline == {"deep": True, "shore": True, "sea": True, "outside": True}
     inner = spark.createDataFrame([("inner", 30.5, -79.8)], "k string, lat double, lon double")
-    assert L.flag_open_water(inner, g, ["k"], km=3.0).first()["open_water"] is False
+    assert L.flag_open_water(inner, g, km=3.0).first()["open_water"] is False
 
 
 @pytest.mark.parametrize("inland_steps,kept", [(12, True), (13, False)])
-def test_inland_rule_is_strictly_more_than_half(spark, monkeypatch, inland_steps, kept):
+def test_inland_rule_is_strictly_more_than_half(spark, inland_steps, kept):
     g = grid(spark)
     rows = window("w", [0.0] * 144, lat0=30.5, lon0=-79.2)
     hist = [list(p) for p in rows[3]]
@@ -118,13 +118,27 @@ def test_inland_rule_is_strictly_more_than_half(spark, monkeypatch, inland_steps
         hist[j * 6][FEATURES.index("lon")] = -79.8
     df = frame(spark, (rows[0], rows[1], rows[2], [tuple(p) for p in hist], rows[4]))
     assert (L.filter_inland(df, g, km=3.0).count() == 1) is kept
-    monkeypatch.setattr(L, "MAX_INLINE_CELLS", 1)
-    assert (L.filter_inland(df, g, km=3.0).count() == 1) is kept
 
 
-@pytest.mark.parametrize("inline_limit", [10**6, 1])
-def test_bilinear_occupancy(spark, monkeypatch, inline_limit):
-    monkeypatch.setattr(L, "MAX_INLINE_CELLS", inline_limit)
+def test_windows_of_two_regions_with_one_key(spark):
+    """Equal ids and times do not mix, and a window without history has no share."""
+    g = grid(spark)
+    rows = [window("w", [0.0] * 144, lat0=30.5, lon0=lon) for lon in (-79.85, -79.1)]
+    empty = (*rows[0][:3], [], rows[0][4])
+    found = L.inland_fraction(frame(spark, *rows, empty), g, km=3.0).select("inland_fraction").collect()
+    assert [r[0] for r in found] == [1.0, 0.0, None]
+    assert L.filter_inland(frame(spark, *rows, empty), g, km=3.0).count() == 2
+
+
+def test_a_raster_beyond_four_million_cells(spark):
+    n = 2100
+    cells = spark.range(n * 3).select((F.col("id") % n).cast("int").alias("row"), F.lit(2099).alias("col"), F.lit(1).cast("tinyint").alias("land"))
+    g = L.LandGrid(cells, 0.0, 0.0, 0.01, n, n)
+    pts = spark.createDataFrame([(0, 5.005, 20.995), (1, 5.005, 20.985), (2, 20.995, 20.995), (3, 21.5, 20.995)], "k int, lat double, lon double")
+    assert [r["land"] for r in L.flag_land(pts, g).orderBy("k").collect()] == [True, False, True, False]
+
+
+def test_bilinear_occupancy(spark):
     g = grid(spark)
     pts = spark.createDataFrame(
         [("node", 30.5, -79.9), ("edge", 30.5, -79.525), ("sea", 30.5, -79.2), ("out", 31.5, -79.9)], "k string, lat double, lon double"
@@ -138,3 +152,10 @@ def test_track_shape_of_a_straight_line(spark):
     w = frame(spark, window("s", STEADY, [71.5 + i for i in range(1, 73)]))
     r = M.track_shape(w.select(W.anchor().alias("anchor"), W.as_points("fut").alias("true_track"))).first()
     assert r["directness"] == pytest.approx(1.0, abs=1e-5) and r["cross_track_km"] < 1e-2 and r["turn_deg"] < 1e-2
+
+
+def test_filters_read_each_metric_once(spark):
+    """The predicate names values, not the expressions that make them."""
+    windows = frame(spark, window("s", STEADY))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    assert plan(M.filter_smart_motion(windows)) <= plan(M.smart_metrics(windows))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -433,7 +434,7 @@ WATER_SQL = f"SELECT mmsi, timestamp, bool_or(NOT land) AS open_water FROM ({lan
 @query("l02_open_water_by_join", "mmsi:i timestamp:t open_water:b", WATER_SQL)
 def l02(spark, sf):
     pts = A.points(spark, sf).select("mmsi", "timestamp", "lat", "lon")
-    return L.flag_open_water(pts, land_grid(spark, sf), ["mmsi", "timestamp"])
+    return L.flag_open_water(pts, land_grid(spark, sf))
 
 
 @query("l02_open_water_inline", "mmsi:i timestamp:t open_water:b", WATER_SQL)
@@ -457,6 +458,15 @@ def l04(spark, sf):
     return L.inland_fraction(_win(spark, sf), land_grid(spark, sf), every=2)
 
 
+@query("l04_two_regions", "region:s " + KEYS + "inland_fraction:d", f"""
+    SELECT region, window_id, inland_fraction FROM ({INLAND_SQL}), (VALUES ('a'), ('b')) r(region)""")
+def l04_regions(spark, sf):
+    """Two regions hold windows of equal trajectory and time; the raster has over 4 million cells, most of them water."""
+    win, grid = _win(spark, sf), land_grid(spark, sf)
+    both = win.withColumn("region", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return L.inland_fraction(both, replace(grid, n_rows=2500, n_cols=2500), every=2)
+
+
 @query("l04_filter_inland", KEYS, f"SELECT window_id FROM ({INLAND_SQL}) WHERE inland_fraction <= 0.5")
 def l04_filter(spark, sf):
     return L.filter_inland(_win(spark, sf), land_grid(spark, sf), every=2)

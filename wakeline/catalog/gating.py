@@ -58,10 +58,10 @@ def s10(spark, sf):
 @query("e11_softmax_entropy", "label:i n:i mean_entropy:d", """
     SELECT label, count(*) AS n, avg(h) AS mean_entropy FROM (
         SELECT label, vec_id, -sum(p * ln(p + 1e-8::DOUBLE)) AS h FROM (
-            SELECT label, vec_id, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM (SELECT label, vec_id, unnest(embedding[1:4])::DOUBLE AS x FROM embeddings))
+            SELECT label, vec_id, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings))
         GROUP BY label, vec_id) GROUP BY label""")
 def e11_softmax(spark, sf):
-    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", X.softmax(logits).alias("alpha"))
     return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(X.entropy(F.col("alpha"))).alias("mean_entropy"))
 
@@ -103,9 +103,22 @@ def e14(spark, sf):
     return X.spearman(flat(spark, sf), PROFILED, COLUMNS)
 
 
-@query("e15_forest_importance", "context:s feature:s importance:d")
+_contexts = ", ".join(f"('{c}')" for c in [*COLUMNS, "probe"])
+
+
+@query("e15_forest_importance", "context:s n_features:i total:d leader:s", f"""
+    SELECT context, {len(M.DESCRIPTIVE)} AS n_features, 1.0::DOUBLE AS total, CASE WHEN context = 'probe' THEN 'mean_sog' ELSE '' END AS leader
+    FROM (VALUES {_contexts}) t(context)""")
 def e15(spark, sf):
-    return X.forest_importance(flat(spark, sf), list(M.DESCRIPTIVE), COLUMNS, trees=20)
+    """Importances of a context sum to 1; a weight made from one feature alone names that feature."""
+    table = flat(spark, sf).withColumn("probe", F.col("mean_sog") * 2 + 1)
+    found = X.forest_importance(table, list(M.DESCRIPTIVE), [*COLUMNS, "probe"], trees=20)
+    leader = F.max_by("feature", "importance")
+    return found.groupBy("context").agg(
+        F.countDistinct("feature").alias("n_features"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.when(F.col("context") == "probe", leader).otherwise(F.lit("")).alias("leader"),
+    )
 
 
 def choices(spark, sf) -> DataFrame:

@@ -11,7 +11,7 @@ from wakeline.functions.ranking import percentile_columns
 from wakeline.operators import baselines as B, evaluate as E, motion as M, split as P, windows as W
 from wakeline.plans import adapter as A
 from wakeline.sources import datasets, reports
-from wakeline.sources.scratch import new_path
+from wakeline.sources.scratch import materialize, new_path
 
 STEP = A.STEP_MINUTES
 KEYS = "window_id:s "
@@ -59,9 +59,9 @@ def p03(spark, sf):
     return P.sample_exact(_win(spark, sf), 500, IDS)
 
 
-@query("p03_sample_fraction", KEYS)
+@query("p03_sample_fraction", KEYS, f"SELECT window_id FROM win WHERE substr({HASH}, 1, 12) <= '{int(0.05 * 16**12):012x}'")
 def p03_fraction(spark, sf):
-    return P.sample_fraction(_win(spark, sf), 0.05)
+    return P.sample_fraction(_win(spark, sf), 0.05, IDS)
 
 
 @query("p04_sample_blocks", KEYS, """
@@ -254,14 +254,30 @@ def b05_kinematic(spark, sf):
     return _rolled(spark, sf, "kinematic")
 
 
-@query("b06_horizon_regression", "is_train:b n:i mae_lat:d mae_lon:d")
+@query("b06_horizon_regression", "target:s n_train:i n_rest:i train_mean_residual:d largest_moment:d", """
+    SELECT target, count(*) FILTER (WHERE mmsi % 5 <> 4) AS n_train, count(*) FILTER (WHERE mmsi % 5 = 4) AS n_rest,
+           0.0::DOUBLE AS train_mean_residual, 0.0::DOUBLE AS largest_moment
+    FROM win, (VALUES ('lat'), ('lon')) t(target) GROUP BY target""")
 def b06(spark, sf):
-    out = B.fit_horizon_regression(A.stored_windows(spark, sf), 12.0, STEP, A.N, F.col("mmsi") % 5 != 4)
-    return out.groupBy("is_train").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(F.col("true_lat") - F.col("pred_lat"))).alias("mae_lat"),
-        F.avg(F.abs(F.col("true_lon") - F.col("pred_lon"))).alias("mae_lon"),
-    )
+    """The fit solves its normal equations: on training rows the residual, and its product with each feature, average to 0."""
+    windows = A.stored_windows(spark, sf)
+    out = B.fit_horizon_regression(windows, 12.0, STEP, A.N, F.col("mmsi") % 5 != 4)
+    flat = F.flatten(F.transform("hist", lambda s: F.array(*[s[f].cast("double") for f in FEATURES])))
+    both = materialize(out.join(windows.select(W.window_id().alias("window_id"), flat.alias("x")), "window_id"), "residuals")
+    parts = []
+    for target in ("lat", "lon"):
+        r = F.col(f"true_{target}") - F.col(f"pred_{target}")
+        moments = both.filter("is_train").select(F.posexplode("x").alias("k", "v"), r.alias("r"))
+        scaled = moments.groupBy("k").agg((F.abs(F.avg(F.col("r") * F.col("v"))) / (F.lit(1.0) + F.avg(F.abs("v")))).alias("m"))
+        largest = scaled.agg(F.max("m")).scalar()
+        parts.append(
+            both.agg(
+                F.count_if("is_train").alias("n_train"),
+                F.count_if(~F.col("is_train")).alias("n_rest"),
+                F.abs(F.round(F.avg(F.when(F.col("is_train"), r)), 5)).alias("train_mean_residual"),
+            ).select(F.lit(target).alias("target"), "*", F.round(largest, 2).alias("largest_moment"))
+        )
+    return parts[0].unionByName(parts[1])
 
 
 # --- evaluation ------------------------------------------------------------------------
@@ -354,7 +370,8 @@ def e06_box(spark, sf):
 
 
 @query("e06_sampled_pairs", "model:s window_id:s true_lat:d pred_lat:d true_lon:d pred_lon:d", """
-    SELECT model, window_id, true_lat, pred_lat, true_lon, pred_lon FROM ferr ORDER BY md5('42|' || window_id || '|' || model) LIMIT 5000""")
+    SELECT model, window_id, true_lat, pred_lat, true_lon, pred_lon FROM (
+        SELECT *, row_number() OVER (PARTITION BY model ORDER BY md5('42|' || window_id), window_id) AS rn FROM ferr) WHERE rn <= 5000""")
 def e06_pairs(spark, sf):
     return E.sampled_pairs(forecasts(spark, sf), 5000, A.N - 1)
 

@@ -225,8 +225,7 @@ def w15(spark, sf):
     return parts[0].unionByName(parts[1]).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m01_haversine", KEYS + "km:d nm:d", f"""
-    SELECT window_id, km, km / 1.852::DOUBLE AS nm FROM (SELECT f.window_id, {hav('f.lat', 'f.lon', 'a.lat', 'a.lon')} AS km FROM first_step f JOIN last a USING (window_id))""")
+@query("m01_haversine", KEYS + "km:d nm:d", "SELECT window_id, net AS km, net / 1.852::DOUBLE AS nm FROM hm")
 def m01(spark, sf):
     w = _win(spark, sf).select("window_id", W.as_points("hist").alias("h"), W.anchor().alias("a"))
     args = (F.col("h")[0]["lat"], F.col("h")[0]["lon"], F.col("a.lat"), F.col("a.lon"))

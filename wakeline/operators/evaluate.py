@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.constants import EXPECTED_FUTURE_STEPS, MIN_NORMALIZE_KM, NM_TO_KM
 from wakeline.functions.geo import haversine_km
-from wakeline.functions.ranking import exact_percentiles, percentile_columns
+from wakeline.functions.ranking import exact_percentiles, hash_rank, percentile_columns
 from wakeline.functions.series import mean, path_km
 from wakeline.operators.motion import bucket_names, motion_buckets
 from wakeline.sources.scratch import materialize
@@ -329,9 +329,10 @@ def paired_comparison(errors: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def sampled_pairs(forecasts: DataFrame, n: int, step: int, seed: int = 42) -> DataFrame:
-    """True and predicted positions of at most n windows of each model at one step."""
-    from wakeline.operators.split import sample_exact
+    """True and predicted positions of at most n windows of each model at one step.
 
+    Windows are drawn by the hash of their id alone, so models that share windows show the same ones.
+    """
     flat = forecasts.select(
         "model",
         "window_id",
@@ -340,7 +341,8 @@ def sampled_pairs(forecasts: DataFrame, n: int, step: int, seed: int = 42) -> Da
         F.col("pred_track")[step]["lat"].alias("pred_lat"),
         F.col("pred_track")[step]["lon"].alias("pred_lon"),
     )
-    return sample_exact(flat, n, ("window_id", "model"), seed)
+    ranked = hash_rank(flat, ["window_id"], seed, by=["model"], name="_rank")
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
 def mask_history(windows: DataFrame, *, zero_from: int | None = None, zero_to: int | None = None, keep_last: int | None = None) -> DataFrame:

@@ -33,7 +33,9 @@ def entropy(alpha: Column) -> Column:
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    # the sum is an argument beside the lambda, so it is computed once for the vector
+    sums = F.array_repeat(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), F.size(logits))
+    return F.zip_with(e, sums, lambda x, s: x / s)
 
 
 def label_of(labels: Sequence[str], index: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wakeline.constants import SPAN_KM_PER_DEG
 
-MAX_INLINE_CELLS = 4_000_000  # about 4 MB of text shipped with the plan
+WORD_BITS = 64
 
 
 @dataclass(frozen=True)
@@ -58,45 +58,30 @@ def build_grid(mask: LandGrid, lat_min: float, lat_max: float, lon_min: float, l
 
 
 def flag_land(points: DataFrame, grid: LandGrid, lat: str = "lat", lon: str = "lon", out: str = "land") -> DataFrame:
-    """Land flag by an equi-join on the cell; outside the raster counts as water."""
-    keyed = points.withColumn("_row", grid.row_of(F.col(lat))).withColumn("_col", grid.col_of(F.col(lon)))
-    return _join_cells(keyed, grid, out).drop("_row", "_col")
-
-
-def _join_cells(keyed: DataFrame, grid: LandGrid, out: str) -> DataFrame:
-    """Land flag of the cell (_row, _col).
-
-    The raster is broadcast when its cell count is small; otherwise Spark joins by
-    shuffle, where adaptive execution splits cells that hold very many points.
-    """
-    land = grid.cells.filter("land = 1").select(
-        F.col("row").alias("_row"), F.col("col").alias("_col"), F.lit(True).alias("_land")
-    )
-    if grid.size <= MAX_INLINE_CELLS:
-        land = F.broadcast(land)
-    return keyed.join(land, ["_row", "_col"], "left").withColumn(out, F.coalesce("_land", F.lit(False))).drop("_land")
+    """Land flag of the cell of each point; outside the raster counts as water."""
+    return points.withColumn(out, land_lookup(grid)(grid.row_of(F.col(lat)), grid.col_of(F.col(lon))))
 
 
 def land_lookup(grid: LandGrid):
-    """A function (row, col) -> land as a Column, for rasters of a checked small size.
+    """A function (row, col) -> land as a Column, the same for a raster of any size.
 
-    The raster becomes one constant string per row, so lookups need neither a join
-    nor one output row per neighbour.
+    The raster is one constant of 64-bit words, a bit per cell: its size is set by the
+    box and the resolution (10 million cells take 1.25 MB), not by the data. A lookup
+    takes the same time for every cell and needs neither a join nor a row per neighbour.
     """
-    if grid.size > MAX_INLINE_CELLS:
-        raise ValueError("The raster is too large to inline; use the join form")
-    rows = {r["row"]: r["cols"] for r in grid.cells.filter("land = 1").groupBy("row").agg(F.collect_list("col").alias("cols")).collect()}
-    lines = []
-    for i in range(grid.n_rows):
-        line = bytearray(b"0" * grid.n_cols)
-        for c in rows.get(i, ()):
-            line[c] = 49
-        lines.append(line.decode())
-    table = F.array(*[F.lit(line) for line in lines])
+    per_row = -(-grid.n_cols // WORD_BITS)
+    place = F.col("row") * per_row + F.floor(F.col("col") / WORD_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(col % {WORD_BITS} as int))")
+    inside = f"land = 1 AND row BETWEEN 0 AND {grid.n_rows - 1} AND col BETWEEN 0 AND {grid.n_cols - 1}"
+    words = [0] * (per_row * grid.n_rows)
+    for r in grid.cells.filter(inside).groupBy(place.alias("w")).agg(F.bit_or(bit).alias("bits")).collect():
+        words[r["w"]] = r["bits"]
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one constant
 
     def at(row: Column, col: Column) -> Column:
         inside = (row >= 0) & (row < grid.n_rows) & (col >= 0) & (col < grid.n_cols)
-        return F.when(inside, F.substr(F.element_at(table, row + 1), col + 1, F.lit(1)) == "1").otherwise(F.lit(False))
+        word = F.element_at(table, (row * per_row + F.floor(col / WORD_BITS) + 1).cast("int"))
+        return F.when(inside, F.getbit(word, col % WORD_BITS) == 1).otherwise(F.lit(False))
 
     return at
 
@@ -118,50 +103,34 @@ def neighbours(lat: Column, lon: Column, km: float) -> Column:
     return F.array(here, *around)
 
 
-def flag_open_water(points: DataFrame, grid: LandGrid, keys: list[str], km: float = 10.0, out: str = "open_water") -> DataFrame:
-    """Whether a point or a neighbour is water, by exploding neighbours and joining the raster."""
-    near = points.withColumn("_n", F.explode(neighbours(F.col("lat"), F.col("lon"), km))).withColumn(
-        "_nlat", F.col("_n.lat")
-    ).withColumn("_nlon", F.col("_n.lon"))
-    flagged = flag_land(near, grid, "_nlat", "_nlon", "_is_land")
-    rest = [c for c in points.columns if c not in keys]
-    return flagged.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in rest], F.bool_or(~F.col("_is_land")).alias(out)
-    )
+def flag_open_water(points: DataFrame, grid: LandGrid, km: float = 10.0, out: str = "open_water") -> DataFrame:
+    """Whether a point or a neighbour is water, within the row of the point."""
+    return points.withColumn(out, open_water(F.col("lat"), F.col("lon"), grid, land_lookup(grid), km))
 
 
 def open_water(lat: Column, lon: Column, grid: LandGrid, lookup, km: float = 10.0) -> Column:
-    """The same test as one expression over an inlined raster."""
+    """The same test as one expression."""
     return F.exists(
         neighbours(lat, lon, km), lambda p: ~lookup(grid.row_of(p.lat), grid.col_of(p.lon))
     )
 
 
 def inland_fraction(windows: DataFrame, grid: LandGrid, *, km: float = 10.0, every: int = 6) -> DataFrame:
-    """Share of every `every`-th history point that has no open water within `km`."""
+    """Share of every `every`-th history point that has no open water within `km`; null for an empty history."""
     picked = F.filter("hist", lambda p, i: i % max(1, every) == 0)
-    if grid.size <= MAX_INLINE_CELLS:
-        lookup = land_lookup(grid)
-        inland = F.transform(
-            picked,
-            lambda p: F.when(open_water(p.lat.cast("double"), p.lon.cast("double"), grid, lookup, km), 0.0).otherwise(1.0),
-        )
-        share = F.aggregate(inland, F.lit(0.0), lambda acc, x: acc + x) / F.size(inland)
-        return windows.withColumn("inland_fraction", share)
-    points = windows.select("traj_id", "start_time", F.posexplode(picked).alias("_i", "_p")).select(
-        "traj_id", "start_time", "_i", F.col("_p.lat").cast("double").alias("lat"), F.col("_p.lon").cast("double").alias("lon")
-    )
-    flagged = flag_open_water(points, grid, ["traj_id", "start_time", "_i"], km)
-    shares = flagged.groupBy("traj_id", "start_time").agg(
-        F.avg((~F.col("open_water")).cast("int")).alias("inland_fraction")
+    lookup = land_lookup(grid)
+    inland = F.transform(
+        picked,
+        lambda p: F.when(open_water(p.lat.cast("double"), p.lon.cast("double"), grid, lookup, km), 0.0).otherwise(1.0),
     )
-    return windows.join(shares, ["traj_id", "start_time"])
+    share = F.aggregate(inland, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(inland), F.lit(0))
+    return windows.withColumn("inland_fraction", share)
 
 
 def filter_inland(windows: DataFrame, grid: LandGrid, *, km: float = 10.0, every: int = 6, max_fraction: float = 0.5) -> DataFrame:
-    """Keep windows whose inland share is at most `max_fraction`."""
+    """Keep windows whose inland share is at most `max_fraction`; an empty history has no inland point and is kept."""
     return inland_fraction(windows, grid, km=km, every=every).filter(
-        F.col("inland_fraction") <= max_fraction
+        F.coalesce("inland_fraction", F.lit(0.0)) <= max_fraction
     ).drop("inland_fraction")
 
 
@@ -178,16 +147,10 @@ def land_occupancy(points: DataFrame, grid: LandGrid, lat: str = "lat", lon: str
     )
     wy, wx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
     corners = [(dr, dc, a * b) for dr, a in ((0, 1 - wy), (1, wy)) for dc, b in ((0, 1 - wx), (1, wx))]
+    lookup = land_lookup(grid)
     value = F.lit(0.0)
-    if grid.size <= MAX_INLINE_CELLS:
-        lookup = land_lookup(grid)
-        for dr, dc, weight in corners:
-            value = value + lookup(F.col("_r") + dr, F.col("_c") + dc).cast("double") * weight
-    else:
-        for dr, dc, weight in corners:
-            keyed = pts.withColumn("_row", F.col("_r") + dr).withColumn("_col", F.col("_c") + dc)
-            pts = _join_cells(keyed, grid, f"_land{dr}{dc}").drop("_row", "_col")
-            value = value + F.col(f"_land{dr}{dc}").cast("double") * weight
+    for dr, dc, weight in corners:
+        value = value + lookup(F.col("_r") + dr, F.col("_c") + dc).cast("double") * weight
     return pts.withColumn(out, F.when(inside, value).otherwise(F.lit(0.0))).select(*points.columns, out)
 
 

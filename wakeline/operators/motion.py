@@ -11,6 +11,7 @@ from wakeline.functions.geo import haversine_km, initial_bearing_deg, turn_deg
 from wakeline.functions.ranking import percentile_columns
 from wakeline.functions.series import consecutive, largest, mean, path_km, std_pop, total
 from wakeline.operators.windows import anchor, as_points, steps_for
+from wakeline.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -105,6 +106,17 @@ def smart_metrics(windows: DataFrame, step_minutes: int = 10) -> DataFrame:
     )
 
 
+def measured_once(measured: DataFrame, columns: list[str]) -> DataFrame:
+    """The added columns of a frame behind a one-element generator, below which no filter is pushed.
+
+    A filter on metrics then reads their values; pushed below the projection it would repeat
+    each metric wherever it is named.
+    """
+    added = [c for c in measured.columns if c not in columns]
+    packed = measured.select(*columns, F.struct(*added).alias("_m"))
+    return packed.select(*columns, F.inline(F.array("_m")))
+
+
 def loop_ratio(path: Column, net: Column, min_path: float) -> Column:
     """Net over path; short paths count as 1 (no loop)."""
     return F.when(path > min_path, net / F.greatest(path, F.lit(1e-6))).otherwise(F.lit(1.0))
@@ -155,6 +167,7 @@ def reject_reason(cfg: SmartMotionConfig = SmartMotionConfig()) -> Column:
 def filter_stationary(windows: DataFrame, cfg: StationaryConfig = StationaryConfig()) -> tuple[DataFrame, DataFrame]:
     """Kept windows and a one-row report. The filter is one map over the windows."""
     measured = history_metrics(windows) if cfg.history_only else window_metrics(windows)
+    measured = measured_once(measured, windows.columns)
     flagged = measured.withColumn("removed", is_stationary(cfg))
     added = [c for c in flagged.columns if c not in windows.columns]
     return flagged.filter(~F.col("removed")).drop(*added), stationary_report(flagged, cfg)
@@ -162,6 +175,7 @@ def filter_stationary(windows: DataFrame, cfg: StationaryConfig = StationaryConf
 
 def stationary_report(flagged: DataFrame, cfg: StationaryConfig = StationaryConfig()) -> DataFrame:
     radius = "history_max_radius_km" if cfg.history_only else "max_radius_km"
+    flagged = materialize(flagged.select("removed", radius), "stationary")
     counts = flagged.agg(
         F.count(F.lit(1)).alias("windows_total"),
         F.coalesce(F.sum(F.col("removed").cast("int")), F.lit(0)).alias("windows_removed"),
@@ -170,7 +184,7 @@ def stationary_report(flagged: DataFrame, cfg: StationaryConfig = StationaryConf
         F.when(F.col("removed"), F.col(radius)).alias("max_radius_km_removed"),
         F.when(~F.col("removed"), F.col(radius)).alias("max_radius_km_kept"),
     )
-    medians = percentile_columns(sides, ["max_radius_km_removed", "max_radius_km_kept"], {"median": 0.5})
+    medians = percentile_columns(sides, ["max_radius_km_removed", "max_radius_km_kept"], {"median": 0.5}, stored=True)
     one = lambda df: df.withColumn("_k", F.lit(1))
     n = F.greatest(F.col("windows_total"), F.lit(1))
     return (
@@ -190,7 +204,7 @@ def stationary_report(flagged: DataFrame, cfg: StationaryConfig = StationaryConf
 
 
 def filter_smart_motion(windows: DataFrame, cfg: SmartMotionConfig = SmartMotionConfig(), step_minutes: int = 10) -> DataFrame:
-    measured = smart_metrics(windows, step_minutes)
+    measured = measured_once(smart_metrics(windows, step_minutes), windows.columns)
     return measured.filter(~fails_smart_motion(cfg)).select(*windows.columns)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -216,22 +217,23 @@ def spread_picks(
     return ordered_rank(pool, "net_km", ["window_id"], seed, "_pos").filter(F.col("_pos").isin(*spots)).drop("_pos", "_pos_avg")
 
 
-def nearest_windows(windows: DataFrame, targets: Sequence[tuple[str, float, float]]) -> DataFrame:
+def nearest_windows(windows: DataFrame, targets: Sequence[tuple[str, float, float]], at_once: int = 200) -> DataFrame:
     """For each named (lat, lon): the window whose anchor is nearest in squared degrees.
 
-    The targets are a short list held as constants, so one aggregate finds all of
-    them in a single pass without a join.
+    The targets are constants, `at_once` of them per pass, and one aggregate finds all of a
+    pass without a join; a longer list takes more passes.
     """
-    if len(targets) > 200:
-        raise ValueError("nearest_windows takes a short list of targets")
     last = F.element_at("hist", -1)
     row = F.struct("traj_id", "start_time", last.lat.cast("double").alias("anchor_lat"), last.lon.cast("double").alias("anchor_lon"))
-    found = []
-    for name, lat, lon in targets:
-        d = F.pow(last.lat.cast("double") - F.lit(lat), F.lit(2)) + F.pow(last.lon.cast("double") - F.lit(lon), F.lit(2))
-        best = F.min(F.struct(d.alias("distance2"), row.alias("w")))
-        found.append(F.struct(F.lit(name).alias("target"), best["distance2"].alias("distance2"), best["w"].alias("w")))
-    return windows.agg(F.array(*found).alias("_a")).select(F.inline("_a")).select("target", "distance2", "w.*")
+    passes = []
+    for k in range(0, len(targets), at_once):
+        found = []
+        for name, lat, lon in targets[k : k + at_once]:
+            d = F.pow(last.lat.cast("double") - F.lit(lat), F.lit(2)) + F.pow(last.lon.cast("double") - F.lit(lon), F.lit(2))
+            best = F.min(F.struct(d.alias("distance2"), row.alias("w")))
+            found.append(F.struct(F.lit(name).alias("target"), best["distance2"].alias("distance2"), best["w"].alias("w")))
+        passes.append(windows.agg(F.array(*found).alias("_a")).select(F.inline("_a")).select("target", "distance2", "w.*"))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def thin(segments: DataFrame, target_points: int = 216) -> DataFrame:

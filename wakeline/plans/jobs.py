@@ -17,6 +17,7 @@ from wakeline.operators.motion import (
     fails_smart_motion,
     history_metrics,
     is_stationary,
+    measured_once,
     smart_metrics,
 )
 from wakeline.operators.resample import resample
@@ -24,6 +25,7 @@ from wakeline.operators.segment import SegmentConfig, build_segments, trajectory
 from wakeline.operators.split import split_groups
 from wakeline.operators.windows import build_windows
 from wakeline.sources.ais_csv import read_raw
+from wakeline.sources.scratch import materialize
 from wakeline.sources.tables import write_csv, write_table
 
 
@@ -90,17 +92,21 @@ def training_table(
 ) -> DataFrame:
     """Windows that move and lie at sea, labelled train / val / test.
 
-    Filters and the split label are maps over the windows; only trajectory ids are shuffled.
+    The filters are maps over the windows. The kept windows are written once: the split
+    reads their trajectory ids, and the label is a map over them again.
     """
-    measured = smart_metrics(history_metrics(windows), step_minutes)
-    kept = (
-        measured.filter(~is_stationary(cfg.stationary) & ~fails_smart_motion(cfg.smart)).select(*windows.columns)
-    )
+    kept = filter_motion(windows, cfg, step_minutes)
     if land is not None:
         kept = filter_inland(kept, land)
+    kept = materialize(kept, "kept-windows")
     return split_groups(kept, test_fraction=cfg.test_fraction, val_fraction=cfg.val_fraction, seed=cfg.seed)
 
 
+def filter_motion(windows: DataFrame, cfg: TrainingConfig, step_minutes: int = RESAMPLE_MINUTES) -> DataFrame:
+    measured = measured_once(smart_metrics(history_metrics(windows), step_minutes), windows.columns)
+    return measured.filter(~is_stationary(cfg.stationary) & ~fails_smart_motion(cfg.smart)).select(*windows.columns)
+
+
 def audit_tables(segments: DataFrame, cfg: WindowConfig = WindowConfig()) -> tuple[DataFrame, DataFrame]:
     trajectories = trajectory_audit(segments, cfg.history_hours, cfg.future_hours, cfg.resample_minutes)
     return trajectories, vessel_audit(trajectories)
