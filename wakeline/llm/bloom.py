@@ -9,8 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wakeline.llm.common import mix
 
 BLOCK_BITS = 1 << 21
 ROWS = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -86,6 +90,26 @@ def twice_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
     return out.reshape(-1)
 
 
+def may_hold(ids: DataFrame, blocks: int = 64):
+    """A column function: whether an id may be among the ids of a one-column frame; false for null.
+
+    The filter has a fixed size; a fuller one only says yes to more ids.
+    """
+
+    def twice(batch: pa.RecordBatch) -> np.ndarray:
+        return np.repeat(mix(np.unique(batch.column(0).drop_null().to_numpy()).view(np.uint64)), 2)
+
+    bits = ids.sparkSession.sparkContext.broadcast(twice_filter(ids, twice, blocks))
+
+    @F.pandas_udf("boolean")
+    def held(values: pd.Series) -> pd.Series:
+        known = values.notna()
+        found = suspected(bits.value, mix(values.fillna(0).to_numpy(np.int64).view(np.uint64)))
+        return known & found
+
+    return held
+
+
 def suspected(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each item may occur twice."""
     blocks = len(bits) * 8 // BLOCK_BITS

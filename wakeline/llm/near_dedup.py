@@ -163,7 +163,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def find_links(docs: DataFrame, sketched: DataFrame, firsts: DataFrame) -> DataFrame:
     """(a, b): links between documents with different words."""
-    spark = docs.sparkSession
     members = materialize(
         sketched.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .select("doc_id", F.posexplode("sketches").alias("sketch", "value"))
@@ -176,16 +175,7 @@ def find_links(docs: DataFrame, sketched: DataFrame, firsts: DataFrame) -> DataF
 
     ids = asked.select("doc_id").unionByName(asked.select(F.col("leader").alias("doc_id")))
 
-    def twice(batch: pa.RecordBatch) -> np.ndarray:
-        h = mix(np.unique(batch.column(0).to_numpy()).view(np.uint64))
-        return np.concatenate((h, h))
-
-    bits = spark.sparkContext.broadcast(bloom.twice_filter(ids, twice, FILTER_BLOCKS))
-
-    @F.pandas_udf("boolean")
-    def wanted(doc_ids: pd.Series) -> pd.Series:
-        return pd.Series(bloom.suspected(bits.value, mix(doc_ids.to_numpy(np.int64).view(np.uint64))))
-
+    wanted = bloom.may_hold(ids, FILTER_BLOCKS)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     texts = materialize(slim.where(wanted(F.col("doc_id"))), "candidate-texts")
 
