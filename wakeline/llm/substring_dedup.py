@@ -11,7 +11,7 @@ The reference is indexed in blocks, and a block is reached only by text that sha
   windows with one seed form a run, about 8 windows.
 - Bloom filters of seeds seen once and twice (bloom.py) set aside text whose seeds occur once: it can be in
   no factor. A full filter costs time only.
-- Whole factors: runs are grouped by a 128-bit digest; all occurrences but the first are factors that point
+- Whole factors: runs are grouped by seed and digest, 128 bits; all occurrences but the first are factors that point
   to it. A run is one slim row, whatever its length.
 - Factor boundaries: where a seed has several different runs, a factor may begin or end within a run.
   Only there are single windows compared, by 96 bits, each with the first place that holds it.
@@ -36,8 +36,8 @@ from wakeline.llm.common import WordHashes, by_batch, grams, mix, signed, table,
 from wakeline.sources.scratch import materialize
 
 WINDOW, SEED = 20, 6
-#: 64 blocks: filters of 16 MiB.
-FILTER_BLOCKS = 64
+#: 128 blocks: filters of 32 MiB.
+FILTER_BLOCKS = 128
 
 
 def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -75,7 +75,7 @@ def parsed(text: bytes | None, hashes: WordHashes) -> Parsed | None:
 
 
 RUNS = pa.schema(
-    [("seed", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("twin", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
+    [("seed", pa.int64()), ("a", pa.int64()), ("twin", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
 )
 WINDOWS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32())])
 
@@ -87,14 +87,13 @@ def runs_of(doc: Parsed, suspects: np.ndarray) -> tuple[np.ndarray, ...]:
     size = np.diff(np.append(edge, len(windows)))
     at = (np.arange(len(windows)) - np.repeat(edge, size)).astype(np.uint64)
     a = np.add.reduceat(mix(windows + at * np.uint64(0xD6E8FEB86659FD93)), edge)
-    b = np.add.reduceat(mix((windows ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9FB21C651E98DF25) + at), edge)
     run = np.repeat(np.arange(len(edge)), size)
     order = np.argsort(windows, kind="stable")
     same = (windows[order][1:] == windows[order][:-1]) & (run[order][1:] == run[order][:-1])
     twin = np.zeros(len(edge), bool)
     twin[run[order][1:][same]] = True
     keep = suspects[edge]
-    return doc.seeds[edge][keep], a[keep], b[keep], twin[keep], edge[keep], size[keep]
+    return doc.seeds[edge][keep], a[keep], twin[keep], edge[keep], size[keep]
 
 
 def find_factors(docs: DataFrame, blocks: int = FILTER_BLOCKS) -> DataFrame:
@@ -119,23 +118,22 @@ def find_factors(docs: DataFrame, blocks: int = FILTER_BLOCKS) -> DataFrame:
                     ids.append(np.full(len(found[-1][0]), doc_id))
         if not found:
             return [[] for _ in RUNS]
-        seed, a, b, twin, start, n = map(np.concatenate, zip(*found))
-        return [signed(seed), signed(a), signed(b), twin, np.concatenate(ids), start.astype(np.int32), n.astype(np.int32)]
+        seed, a, twin, start, n = map(np.concatenate, zip(*found))
+        return [signed(seed), signed(a), twin, np.concatenate(ids), start.astype(np.int32), n.astype(np.int32)]
 
-    schema = "seed long, a long, b long, twin boolean, doc_id long, start int, n int"
+    schema = "seed long, a long, twin boolean, doc_id long, start int, n int"
     rows = materialize(slim.mapInArrow(by_batch(RUNS, runs), schema), "passage-runs")
     firsts = materialize(
-        rows.groupBy("a", "b").agg(
+        rows.groupBy("seed", "a").agg(
             F.min(F.struct("doc_id", "start")).alias("ref"),
             F.count("*").alias("times"),
-            F.max("seed").alias("seed"),
             F.max("twin").alias("twin"),
         ),
         "passage-firsts",
     )
-    known = firsts.where("times > 1").select("a", "b", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
+    known = firsts.where("times > 1").select("seed", "a", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     earlier = (F.col("doc_id") != F.col("ref_doc")) | (F.col("start") != F.col("ref_start"))
-    whole = rows.join(known, ["a", "b"]).where(earlier).select("doc_id", "start", "n", "ref_doc", "ref_start")
+    whole = rows.join(known, ["seed", "a"]).where(earlier).select("doc_id", "start", "n", "ref_doc", "ref_start")
 
     # Seeds of several different runs, or of a run that repeats a window within itself.
     def contested(batch: pa.RecordBatch) -> np.ndarray:
@@ -202,14 +200,17 @@ def drop_passages(docs: DataFrame, into: str = "_passages", blocks: int = FILTER
             rows.append((len(words), len(words) - len(stay), b" ".join(stay).decode(), factors))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "text", "factors"])
 
-    factors = find_factors(docs, blocks).groupBy(F.col("doc_id").alias("_passage_doc")).agg(
-        F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("_passage_parts")
-    )
-    return (
-        docs.join(factors, F.col("doc_id") == F.col("_passage_doc"), "left")
-        .withColumn(into, kept(F.col("text"), F.col("_passage_parts")))
-        .drop("_passage_doc", "_passage_parts")
+    factors = materialize(
+        find_factors(docs, blocks)
+        .groupBy(F.col("doc_id").alias("_passage_doc"))
+        .agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("_passage_parts")),
+        "passage-factors",
     )
+    # Only texts that have a factor meet the factors by shuffle.
+    touched = bloom.may_hold(factors.select("_passage_doc"))(F.col("doc_id").cast("long"))
+    met = docs.where(touched).join(factors, F.col("doc_id") == F.col("_passage_doc"), "left").drop("_passage_doc")
+    rest = docs.where(~touched).withColumn("_passage_parts", F.lit(None).cast(factors.schema["_passage_parts"].dataType))
+    return met.unionByName(rest).withColumn(into, kept(F.col("text"), F.col("_passage_parts"))).drop("_passage_parts")
 
 
 def op7_substring_dedup(spark, sf_dir):
