@@ -14,7 +14,7 @@ from wakeline.catalog.windowing import SHAPE_SQL, SMART, SMART_REMOVED, SMART_SQ
 from wakeline.constants import AUDIT_QUANTILES, PORTS
 from wakeline.operators import audit as Q, evaluate as E, land as L, lookup as U, motion as M, routes as V, segment as G
 from wakeline.operators.clean import clean
-from wakeline.operators.windows import cap_per_trajectory
+from wakeline.operators.windows import cap_per_trajectory, window_id
 from wakeline.plans import adapter as A, jobs
 from wakeline.sources import ais_csv, datasets, days, tables
 from wakeline.sources.scratch import new_path
@@ -506,6 +506,61 @@ def p02_training(spark, sf):
     return jobs.training_table(_win(spark, sf), land_grid(spark, sf), cfg, STEP)
 
 
+def _coasts(spark, sf) -> dict[str, DataFrame]:
+    """Two coasts that hold some of the same trajectories."""
+    w = A.stored_windows(spark, sf)
+    return {"east_coast": w.filter("mmsi % 2 = 0 OR mmsi % 7 = 0"), "gulf": w.filter("mmsi % 2 = 1")}
+
+
+_inland6 = INLAND_SQL.replace("WHERE i % 2", "WHERE i % 6")
+_united = f"""(SELECT window_id, r.region || ':' || w.traj_id AS traj_id, r.region AS region,
+        NOT (radius <= 0.5 AND net < 1.0) AS moves, NOT (radius <= 0.5 AND net < 1.0) AND NOT {SMART_REMOVED} AS smart, inland_fraction <= 0.5 AS at_sea
+    FROM win w JOIN hm USING (window_id) JOIN ({_inland6}) g USING (window_id), (VALUES ('east_coast'), ('gulf')) r(region)
+    WHERE CASE WHEN r.region = 'gulf' THEN w.mmsi % 2 = 1 ELSE w.mmsi % 2 = 0 OR w.mmsi % 7 = 0 END)"""
+
+
+def _label_split(table: str) -> str:
+    return f"""SELECT t.*, CASE WHEN rn <= greatest(1, floor(n * 0.2::DOUBLE)) THEN 'test' WHEN rn <= greatest(1, floor(n * 0.2::DOUBLE)) + greatest(1, floor(n * 0.1::DOUBLE)) THEN 'val' ELSE 'train' END AS split
+        FROM {table} t JOIN (SELECT traj_id, row_number() OVER (ORDER BY md5('42|' || traj_id)) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT traj_id FROM {table})) USING (traj_id)"""
+
+
+_stages = "SELECT 'combined' AS stage, split FROM labelled UNION ALL SELECT 'stationary', split FROM labelled WHERE moves UNION ALL SELECT 'smart_motion', split FROM labelled WHERE smart"
+
+
+@query("p02_combine_job", "stage:s split:s windows:i", f"""
+    WITH united AS MATERIALIZED {_united}, labelled AS MATERIALIZED ({_label_split('united')})
+    SELECT stage, split, count(*) AS windows FROM ({_stages} UNION ALL SELECT 'inland', split FROM labelled WHERE smart AND at_sea) GROUP BY 1, 2""")
+def p02_combine(spark, sf):
+    cfg = jobs.TrainingConfig(smart=SMART)
+    return jobs.combine_job(spark, _coasts(spark, sf), new_path(spark, "combined"), land_grid(spark, sf), cfg, STEP, qualify_ids=True)
+
+
+@query("p02_second_split", "region:s window_id:s split:s", f"""
+    WITH united AS MATERIALIZED {_united}, labelled AS MATERIALIZED ({_label_split('united')}),
+    train AS MATERIALIZED (SELECT region, window_id, traj_id FROM labelled WHERE split = 'train' AND smart AND at_sea)
+    SELECT region, window_id, split FROM ({_label_split('train')})""")
+def p02_second(spark, sf):
+    """The train part filtered by land and split again, as the job writes it."""
+    cfg, path = jobs.TrainingConfig(smart=SMART), new_path(spark, "combined")
+    jobs.combine_job(spark, _coasts(spark, sf), path, land_grid(spark, sf), cfg, STEP, qualify_ids=True, second_split=True)
+    kept = spark.read.parquet(f"{path}/windows")
+    plain = kept.withColumn("traj_id", F.regexp_replace("traj_id", "^[a-z_]+:", ""))
+    return plain.select("region", "split", window_id().alias("window_id"))
+
+
+@query("s14_incremental_job", KEYS, "SELECT window_id FROM win")
+def s14_job(spark, sf):
+    """Days in two runs of the job; the second rebuilds windows over all of them."""
+    pts = A.points(spark, sf)
+    days_dir, out = new_path(spark, "days"), new_path(spark, "incremental")
+    first, last = _day_range(pts)
+    of_days = lambda wanted: _files_of_days(pts).filter(F.col("file_day").isin(*wanted)).select(*pts.columns, "file_day")
+    cfg = jobs.WindowConfig(history_hours=A.HISTORY_HOURS, future_hours=A.FUTURE_HOURS, resample_minutes=STEP)
+    for start, end in ((first + dt.timedelta(days=3), first + dt.timedelta(days=5)), (first, last + dt.timedelta(days=1))):
+        paths = jobs.incremental_job(spark, days_dir, out, "gulf", "30d", start, end, of_days, segment_cfg=A.SEGMENTS, window_cfg=cfg)
+    return spark.read.parquet(paths["windows"]).select(window_id().alias("window_id"))
+
+
 @query("w02_cap_existing_windows", KEYS, """
     SELECT window_id FROM (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY md5('42|' || traj_id || '|' || CAST(CAST(epoch(start_time) AS BIGINT) AS VARCHAR))) AS rn FROM win)
     WHERE rn <= 5""")

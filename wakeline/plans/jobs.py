@@ -1,16 +1,17 @@
-"""The three whole jobs: raw files to windows, windows to a training table, and audits."""
+"""Whole jobs: raw files or days to windows, coasts to split tables, windows to a training table, and audits."""
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wakeline.constants import FUTURE_HOURS, HISTORY_HOURS, RESAMPLE_MINUTES
 from wakeline.functions.clock import prepare_session
 from wakeline.operators.audit import trajectory_audit, vessel_audit
 from wakeline.operators.clean import clean
-from wakeline.operators.land import LandGrid, filter_inland
+from wakeline.operators.land import LandGrid, filter_inland, inland_fraction
 from wakeline.operators.motion import (
     SmartMotionConfig,
     StationaryConfig,
@@ -25,6 +26,8 @@ from wakeline.operators.segment import SegmentConfig, build_segments, trajectory
 from wakeline.operators.split import split_groups
 from wakeline.operators.windows import build_windows
 from wakeline.sources.ais_csv import read_raw
+from wakeline.sources.datasets import unite_coasts
+from wakeline.sources.days import dataset_label, ingest_days, read_days
 from wakeline.sources.scratch import materialize
 from wakeline.sources.tables import write_csv, write_table
 
@@ -87,6 +90,85 @@ def raw_to_windows(
     return paths
 
 
+def incremental_job(
+    spark: SparkSession,
+    days_dir: str,
+    out_dir: str,
+    region: str,
+    tag: str | None,
+    start: dt.date,
+    end: dt.date,
+    points_of_days,
+    *,
+    segment_cfg: SegmentConfig = SegmentConfig(),
+    window_cfg: WindowConfig = WindowConfig(),
+) -> dict[str, str]:
+    """Ingest the days that are not done, then rebuild segments and windows once over all days.
+
+    Tables carry the label of region and tag in their folder name.
+    """
+    prepare_session(spark)
+    ingest_days(spark, days_dir, start, end, points_of_days)
+    root = f"{out_dir}/ais_{dataset_label(region, tag)}_long_horizon"
+    paths = {name: f"{root}/{name}" for name in ("segments", "trajectory_stats", "windows")}
+    write_table(build_segments(read_days(spark, days_dir), segment_cfg), paths["segments"], mode="overwrite")
+    segments = spark.read.parquet(paths["segments"])
+    write_csv(trajectory_stats(segments), paths["trajectory_stats"], mode="overwrite")
+    write_table(windows_of(segments, window_cfg), paths["windows"], mode="overwrite")
+    return paths
+
+
+def combine_job(
+    spark: SparkSession,
+    coasts: dict[str, DataFrame],
+    out_dir: str,
+    land: LandGrid | None = None,
+    cfg: TrainingConfig = TrainingConfig(),
+    step_minutes: int = RESAMPLE_MINUTES,
+    *,
+    qualify_ids: bool = False,
+    second_split: bool = False,
+) -> DataFrame:
+    """Union of coasts, split, filters, one table per split, and a report of each stage.
+
+    All windows are split first and filtered within their split. With `second_split` the
+    inland filter is applied to the train part only, which is then split again: the other
+    parts are left out. Each window is written once with its label and whether it passes
+    each filter; the report (stage, split, windows) and the tables read that. The report is
+    also written as JSON.
+    """
+    prepare_session(spark)
+    united = unite_coasts(coasts, qualify_ids)
+    measured = measured_once(smart_metrics(history_metrics(united), step_minutes), united.columns)
+    at_sea = inland_fraction(measured, land) if land is not None else measured.withColumn("inland_fraction", F.lit(0.0))
+    flagged = materialize(
+        at_sea.select(
+            *united.columns,
+            (~is_stationary(cfg.stationary)).alias("_moves"),
+            (~is_stationary(cfg.stationary) & ~fails_smart_motion(cfg.smart)).alias("_smart"),
+            (F.coalesce("inland_fraction", F.lit(0.0)) <= 0.5).alias("_at_sea"),
+        ),
+        "flagged-windows",
+    )
+    fractions = {"test_fraction": cfg.test_fraction, "val_fraction": cfg.val_fraction, "seed": cfg.seed}
+    labelled = split_groups(flagged, **fractions, always_val=True)
+    stages = [("combined", F.lit(True)), ("stationary", F.col("_moves")), ("smart_motion", F.col("_smart"))]
+    kept = labelled.filter("_smart AND _at_sea")
+    if second_split:
+        kept = split_groups(materialize(kept.filter("split = 'train'").drop("split"), "train-windows"), **fractions)
+    else:
+        stages.append(("inland", F.col("_smart") & F.col("_at_sea")))
+    passed = F.array(*[F.when(ok, F.lit(name)) for name, ok in stages])
+    counts = labelled.select("split", F.explode(F.array_compact(passed)).alias("stage")).groupBy("stage", "split").count()
+    if second_split:
+        last = kept.groupBy("split").count().select(F.lit("inland_second_split").alias("stage"), "split", "count")
+        counts = counts.unionByName(last)
+    kept.drop("_moves", "_smart", "_at_sea").write.mode("overwrite").partitionBy("split").parquet(f"{out_dir}/windows")
+    report = materialize(counts.withColumnRenamed("count", "windows"), "stage-report")
+    report.coalesce(1).write.mode("overwrite").json(f"{out_dir}/report")
+    return report
+
+
 def training_table(
     windows: DataFrame, land: LandGrid | None = None, cfg: TrainingConfig = TrainingConfig(), step_minutes: int = RESAMPLE_MINUTES
 ) -> DataFrame:

@@ -55,11 +55,17 @@ def list_datasets(spark: SparkSession, root: str, file_glob: str = "*.parquet",
     )
 
 
-def unite_coasts(parts: dict[str, DataFrame]) -> DataFrame:
-    """Union of window tables by region; missing columns become NULL."""
+def unite_coasts(parts: dict[str, DataFrame], qualify_ids: bool = False) -> DataFrame:
+    """Union of window tables by region; missing columns become NULL.
+
+    Trajectories are numbered per coast, so two coasts may share an id and then form one
+    group in splits. `qualify_ids` puts the region before each id, which keeps them apart.
+    """
     out = None
     for region, df in parts.items():
-        labelled = df.withColumn("region", F.lit(region)).withColumn("traj_id", F.col("traj_id").cast("string"))
+        plain = F.col("traj_id").cast("string")
+        traj_id = F.concat(F.lit(f"{region}:"), plain) if qualify_ids else plain
+        labelled = df.withColumn("region", F.lit(region)).withColumn("traj_id", traj_id)
         out = labelled if out is None else out.unionByName(labelled, allowMissingColumns=True)
     return out
 
