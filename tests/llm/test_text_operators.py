@@ -403,7 +403,7 @@ def test_null_ids_stay_alone(spark):
     assert null._passages.n_removed == 0
 
 
-def test_members_of_a_bucket_that_do_not_match_elect_a_leader(monkeypatch, spark):
+def test_members_of_a_bucket_that_do_not_match_the_first_meet_each_other(monkeypatch, spark):
     # sketches of one shingle collide for texts that share a passage only
     monkeypatch.setattr(near_dedup, "ORDERED", 1)
     passage = " ".join(f"p{k}" for k in range(40))

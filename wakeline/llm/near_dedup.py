@@ -9,10 +9,13 @@ connected documents; a class is named by its smallest doc_id.
 
 With 32 sketches of 5, a pair of similarity 0.8 is missed with a chance of 0.672^32, about 3 in a million.
 
-Copies with the same words collapse first and are represented by their smallest doc_id. Within a bucket of
-one sketch, members are compared with a leader, the smallest; members that do not match it elect the next
-leader, which is compared with all members, until none is left. So the pairs are members times leaders,
-not all pairs, and there is no cap. Only the texts of documents in buckets of two or more are shuffled.
+Copies with the same words collapse first and are represented by their smallest doc_id. Only texts of
+documents that share a sketch with another are shuffled. Within a bucket of one sketch, all members are
+compared with the smallest. The links of all buckets give first classes; then members of a bucket that are
+still in different classes are compared with each other, without a cap. Before texts are compared, an exact
+bound from the parities of their shingle counts, evaluated within the join, leaves out pairs that can't be
+similar, which are most of a large family whose copies differ too much. So every two documents that share
+a sketch end in one class, are compared, or are proved apart.
 
 Texts of fewer than `SHINGLE` words have one shingle, all of them. Null text, and text without words, is a
 class of its own; a row with a null doc_id has a null class. Rows that repeat a doc_id are one document.
@@ -37,6 +40,8 @@ from wakeline.sources.scratch import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, ORDERED = 32, 5
 FILTER_BLOCKS = 64
+#: Bins of the parity bound; it leaves out pairs of up to about 2.25 times as many shingles each.
+PARITY_BITS = 2048
 #: Shingles whose hashes for all sketches are held at once.
 AT_ONCE = 50_000
 MULTIPLIERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -161,48 +166,92 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", similar(F.col("_one"), F.col("_two")).alias("linked"))
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, parity): distinct shingles of each text and, for each of `PARITY_BITS` bins, whether an odd number falls there."""
+    hashes = WordHashes()
+
+    @F.pandas_udf("n long, parity array<long>, folded array<long>")
+    def parity(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in values:
+            found = np.unique(shingles(hashes.of(text.encode().split())))
+            odd = np.bincount((mix(found) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+            words = np.packbits(odd.astype(bool)).view(np.int64)
+            rows.append((len(found), words, np.bitwise_xor.reduce(words.reshape(4, -1))))
+        return pd.DataFrame(rows, columns=["n", "parity", "folded"])
+
+    return texts.select("doc_id", parity("text").alias("p")).select("doc_id", "p.*")
+
+
+def _renamed(sizes: DataFrame, *keep) -> DataFrame:
+    """The columns that bound a pair's similarity, for its other text."""
+    names = {"n": "m", "parity": "other_parity", "folded": "other_folded"}
+    return sizes.select(*keep, *[F.col(c).alias(d) for c, d in names.items()])
+
+
+def _may_be_similar():
+    """Whether two texts could reach `SIMILARITY`.
+
+    Bins of different parity are at most as many as the shingles that only one of two texts holds,
+    and similar texts have few of those: a bound that never leaves out a similar pair. Parities
+    folded to a quarter of the bins bound too, and are compared first.
+    """
+    apart = F.lit((1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9) * (F.col("n") + F.col("m"))
+
+    def differ(name: str, words: int):
+        return sum(F.bit_count(F.col(name)[k].bitwiseXOR(F.col(f"other_{name}")[k])) for k in range(words))
+
+    words = PARITY_BITS // 64
+    return (F.abs(F.col("n") - F.col("m")) <= apart) & (differ("folded", words // 4) <= apart) & (differ("parity", words) <= apart)
+
+
 def find_links(docs: DataFrame, sketched: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b): links between documents with different words."""
+    """(a, b): links between documents with different words; not all, but enough to connect each class."""
+    bucket = ["sketch", "value"]
     members = materialize(
         sketched.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .select("doc_id", F.posexplode("sketches").alias("sketch", "value"))
         .distinct(),
         "sketch-members",
     )
-    leaders = members.groupBy("sketch", "value").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    leaders = materialize(leaders.drop("n"), "sketch-leaders")
-    asked = materialize(members.join(leaders, ["sketch", "value"]).where("doc_id != leader"), "sketch-pairs")
+    leaders = members.groupBy(*bucket).agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    leaders = materialize(leaders.drop("size"), "sketch-leaders")
+    members = materialize(members.join(leaders, bucket), "bucket-members")
 
-    ids = asked.select("doc_id").unionByName(asked.select(F.col("leader").alias("doc_id")))
-
-    wanted = bloom.may_hold(ids, FILTER_BLOCKS)
+    # Texts of the members, and what bounds the similarity of two of them.
+    ids = members.select("doc_id").distinct()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    wanted = bloom.may_hold(ids, FILTER_BLOCKS)
     texts = materialize(slim.where(wanted(F.col("doc_id"))), "candidate-texts")
-
-    links = None
-    done = None  # pairs judged so far
-    while True:
-        pairs = asked.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        judged = materialize(_verified(pairs, texts), "judged-pairs")
-        done = judged if done is None else done.unionByName(judged)
-        found = judged.where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        # members that no leader of their bucket has matched yet; the smallest leads next
-        failed = asked.join(
-            done.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "linked"), ["leader", "doc_id"]
-        )
-        failed = failed.withColumn("open", ~F.col("linked") & F.col("open")) if "open" in failed.columns else failed.withColumn("open", ~F.col("linked"))
-        failed = materialize(failed.select("sketch", "value", "doc_id", "open"), "open-members")
-        leaders = materialize(
-            failed.where("open").groupBy("sketch", "value").agg(F.min("doc_id").alias("leader")), "sketch-leaders"
+    sizes = materialize(parities(texts), "parities")
+    led = _renamed(sizes, F.col("doc_id").alias("leader"))
+
+    star = members.where("doc_id != leader").select(F.col("leader"), "doc_id").distinct()
+    star = star.join(sizes, "doc_id").join(led, "leader").where(_may_be_similar())
+    first = materialize(_verified(star.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), texts), "judged-pairs")
+    links = first.where("linked").select("a", "b")
+
+    # Members of a bucket that are in one class by now need no comparison; the others meet each other.
+    classes = smallest_in_component(links)
+    named = members.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        *bucket, "doc_id", F.coalesce("label", "doc_id").alias("label")
+    )
+    split = named.groupBy(*bucket).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    apart = materialize(named.join(split.select(*bucket), bucket).join(sizes, "doc_id"), "open-members")
+    other = _renamed(apart, *bucket, F.col("doc_id").alias("b"), F.col("label").alias("other"))
+    pairs = (
+        apart.withColumnRenamed("doc_id", "a")
+        .join(
+            other,
+            [apart[c] == other[c] for c in bucket]
+            + [F.col("a") < F.col("b"), F.col("label") != F.col("other"), _may_be_similar()],
         )
-        if leaders.isEmpty():
-            return links
-        asked = materialize(failed.join(leaders, ["sketch", "value"]).where("doc_id != leader"), "sketch-pairs")
-        if asked.isEmpty():
-            return links
+        .select("a", "b")
+        .distinct()
+        .join(first.select("a", "b"), ["a", "b"], "left_anti")
+    )
+    second = materialize(_verified(pairs, texts), "judged-pairs")
+    return links.unionByName(second.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
