@@ -43,7 +43,7 @@ FILTER_BLOCKS = 64
 #: Bins of the parity bound; it leaves out pairs of up to about 2.25 times as many shingles each.
 PARITY_BITS = 2048
 #: Shingles whose hashes for all sketches are held at once.
-AT_ONCE = 50_000
+AT_ONCE = 8_000
 MULTIPLIERS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 SALTS = mix(np.arange(1001, 1001 + SKETCHES, dtype=np.uint64))
 
