@@ -414,6 +414,27 @@ def test_members_of_a_bucket_that_do_not_match_the_first_meet_each_other(monkeyp
     assert found == {k: k % 6 for k in range(18)}
 
 
+def test_moved_and_repeated_passages_are_linked(spark):
+    rng = random.Random(6)
+    blocks = [" ".join(f"m{rng.randrange(10**6)}" for _ in range(400)) for _ in range(10)]
+    shuffled = [blocks[k] for k in (7, 2, 9, 4, 0, 6, 1, 8, 3, 5)]
+    groups = [
+        [" ".join(blocks), " ".join(shuffled), " ".join(blocks[5:] + blocks[:5]), " ".join(blocks[::-1])],
+        [" ".join(["an often repeated passage of a text"] * n) for n in (10, 100)],
+    ]
+    for k in range(20):
+        a, b = (" ".join(f"h{k}x{rng.randrange(10**6)}" for _ in range(300)) for _ in range(2))
+        groups.append([f"{a} {b}", f"{b} {a}"])
+    rows, expected = [], {}
+    for group in groups:
+        first = len(rows)
+        for text in group:
+            expected[len(rows)] = first
+            rows.append((len(rows), text))
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == expected
+
+
 def test_alignment_counts_moved_passages():
     import numpy as np
 

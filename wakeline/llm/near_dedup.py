@@ -3,11 +3,13 @@
 Words are runs of characters other than ASCII white space. The k-mers are `SHINGLE`-word shingles, labelled
 with their number of occurrence. Each of `SKETCHES` sketches takes the `ORDERED` k-mers with the smallest
 hashes and keeps them in the order of the text, so sketches agree only where similar text stands in similar
-order. Documents that share a sketch are candidates; they are verified by a banded alignment of their
-shingles, and linked if the Jaccard similarity of their shingles is `SIMILARITY` or more. Classes are the
-connected documents; a class is named by its smallest doc_id.
+order. As links don't depend on order and repeats, each text also has as many sketches of its distinct
+shingles, as sets. Documents that share a sketch of either kind are candidates; they are verified by a banded
+alignment of their shingles, and linked if the Jaccard similarity of their shingles is `SIMILARITY` or more.
+Classes are the connected documents; a class is named by its smallest doc_id.
 
-With 32 sketches of 5, a pair of similarity 0.8 is missed with a chance of 0.672^32, about 3 in a million.
+With 32 sketches of 5 as sets, a pair of similarity 0.8 is missed with a chance of 0.672^32, about 3 in a million,
+whatever the order and the repeats in its texts.
 
 Copies with the same words collapse first and are represented by their smallest doc_id. Only texts of
 documents that share a sketch with another are shuffled. Within a bucket of one sketch, all members are
@@ -62,22 +64,29 @@ def labelled(values: np.ndarray) -> np.ndarray:
     return mix(values + count * np.uint64(0xD1B54A32D192ED03))
 
 
-def order_min_hash(values: np.ndarray) -> np.ndarray:
-    """One number per sketch."""
-    kmers = labelled(values)
+def sketch_keys(kmers: np.ndarray, ordered: bool) -> np.ndarray:
+    """One number per sketch: of the k-mers with the smallest hashes, in the order of the text or as a set."""
     take = min(ORDERED, len(kmers))
     out = []
     step = max(1, AT_ONCE * SKETCHES // max(len(kmers), AT_ONCE))
     for k in range(0, SKETCHES, step):
         hashes = (kmers[None, :] ^ SALTS[k : k + step, None]) * MULTIPLIERS[k : k + step, None]
-        least = np.sort(np.argpartition(hashes, take - 1, axis=1)[:, :take], axis=1)
-        found = np.zeros(len(least), np.uint64)
-        for j in range(take):
-            found = mix(found * np.uint64(0x9E3779B97F4A7C15) + kmers[least[:, j]])
+        least = np.argpartition(hashes, take - 1, axis=1)[:, :take]
+        if ordered:
+            found = SALTS[k : k + step].copy()
+            for j in np.sort(least, axis=1).T:
+                found = mix(found * np.uint64(0x9E3779B97F4A7C15) + kmers[j])
+        else:
+            found = mix(kmers[least].sum(axis=1, dtype=np.uint64) ^ MULTIPLIERS[k : k + step])
         out.append(found)
     return np.concatenate(out)
 
 
+def candidate_keys(values: np.ndarray) -> np.ndarray:
+    """Keys of the buckets in which a text meets others: Order MinHash, and sketches of its distinct shingles without order."""
+    return np.concatenate((sketch_keys(labelled(values), True), sketch_keys(mix(np.unique(values)), False)))
+
+
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
     """Distinct shingles that a banded alignment of two shingle sequences keeps in order.
 
@@ -126,25 +135,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 ROWS = pa.schema(
-    [("doc_id", pa.int64()), ("copy", pa.binary()), ("n_words", pa.int64()), ("sketches", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("copy", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))]
 )
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, n_words, sketches) for each row: digest of its words, and Order MinHash."""
+    """(doc_id, copy, n_words, keys) for each row: digest of its words, and its candidate keys."""
     hashes = WordHashes()
 
     def rows(batch: pa.RecordBatch) -> list:
-        copies, sizes, sketches = [], [], []
+        copies, sizes, keys = [], [], []
         for text in utf8(batch, "text"):
             words = text.split() if text else []
             copies.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
             sizes.append(len(words))
-            sketches.append(signed(order_min_hash(shingles(hashes.of(words)))) if words else None)
-        return [batch.column(0), copies, sizes, sketches]
+            keys.append(signed(candidate_keys(shingles(hashes.of(words)))) if words else None)
+        return [batch.column(0), copies, sizes, keys]
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(by_batch(ROWS, rows), "doc_id long, copy binary, n_words long, sketches array<long>")
+    return slim.mapInArrow(by_batch(ROWS, rows), "doc_id long, copy binary, n_words long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -207,10 +216,10 @@ def _may_be_similar():
 
 def find_links(docs: DataFrame, sketched: DataFrame, firsts: DataFrame) -> DataFrame:
     """(a, b): links between documents with different words; not all, but enough to connect each class."""
-    bucket = ["sketch", "value"]
+    bucket = ["key"]
     members = materialize(
         sketched.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .select("doc_id", F.posexplode("sketches").alias("sketch", "value"))
+        .select("doc_id", F.explode("keys").alias("key"))
         .distinct(),
         "sketch-members",
     )
