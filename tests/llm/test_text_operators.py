@@ -435,6 +435,31 @@ def test_moved_and_repeated_passages_are_linked(spark):
     assert {r.doc_id: r.class_id for r in found} == expected
 
 
+def test_short_texts_that_differ_by_a_word_are_linked(spark):
+    sizes = range(1, 36)
+    rows = [(100 * n + d, " ".join(f"w{n}x{k}" for k in range(n + d))) for n in sizes for d in (0, 1)]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: shingle_set(t) for k, t in rows}
+    similar = {n: len(sets[100 * n] & sets[100 * n + 1]) >= 0.8 * len(sets[100 * n] | sets[100 * n + 1]) for n in sizes}
+    assert similar[8] and not similar[7]
+    assert all(found[100 * n + 1] == found[100 * n] for n in sizes if similar[n])
+
+
+def test_similar_short_texts_always_share_a_key():
+    import numpy as np
+
+    from wakeline.llm.common import mix
+
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        common, more, others = rng.integers(1, 32), rng.integers(0, 6), rng.integers(0, 6)
+        if common < near_dedup.SIMILARITY * (common + more + others) or common + min(more, others) > near_dedup.SHORT:
+            continue
+        values = mix(rng.integers(0, 2**63, common + more + others).astype(np.uint64))
+        a, b = values[: common + more], np.concatenate((values[:common], values[common + more :]))
+        assert len(np.intersect1d(near_dedup.candidate_keys(a), near_dedup.candidate_keys(rng.permutation(b))))
+
+
 def test_alignment_counts_moved_passages():
     import numpy as np
 

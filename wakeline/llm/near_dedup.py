@@ -9,7 +9,9 @@ alignment of their shingles, and linked if the Jaccard similarity of their shing
 Classes are the connected documents; a class is named by its smallest doc_id.
 
 With 32 sketches of 5 as sets, a pair of similarity 0.8 is missed with a chance of 0.672^32, about 3 in a million,
-whatever the order and the repeats in its texts.
+whatever the order and the repeats in its texts. For short texts the chance is larger, at most 0.702^32 = 12 in a
+million from 25 distinct shingles on; a pair with a text of up to `SHORT` is never missed, as it shares one of its
+`short_keys`.
 
 Copies with the same words collapse first and are represented by their smallest doc_id. Only texts of
 documents that share a sketch with another are shuffled. Within a bucket of one sketch, all members are
@@ -26,6 +28,8 @@ class of its own; a row with a null doc_id has a null class. Rows that repeat a
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -41,6 +45,8 @@ from wakeline.sources.scratch import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, ORDERED = 32, 5
+#: Texts of up to `SHORT` distinct shingles meet all similar ones by choices of `TOGETHER` shingles.
+SHORT, TOGETHER = 24, 3
 FILTER_BLOCKS = 64
 #: Bins of the parity bound; it leaves out pairs of up to about 2.25 times as many shingles each.
 PARITY_BITS = 2048
@@ -82,9 +88,31 @@ def sketch_keys(kmers: np.ndarray, ordered: bool) -> np.ndarray:
     return np.concatenate(out)
 
 
+def short_keys(distinct: np.ndarray) -> np.ndarray:
+    """Keys of which every two similar texts share one, for few distinct shingles.
+
+    A text of n shingles holds at least `SIMILARITY` * n of those of a similar one. So the `TOGETHER` smallest
+    common hashes of two similar texts are among the smallest `left` of each: every choice of `TOGETHER` is a key.
+    """
+    n = len(distinct)
+    together = min(TOGETHER, n)
+    left = n - ceil(SIMILARITY * n - 1e-9) + together
+    chosen = np.array(list(combinations(range(left), together)))
+    return mix(np.sort(distinct)[chosen].sum(axis=1, dtype=np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+
+
 def candidate_keys(values: np.ndarray) -> np.ndarray:
-    """Keys of the buckets in which a text meets others: Order MinHash, and sketches of its distinct shingles without order."""
-    return np.concatenate((sketch_keys(labelled(values), True), sketch_keys(mix(np.unique(values)), False)))
+    """Keys of the buckets in which a text meets others.
+
+    Order MinHash, sketches of the distinct shingles without order, and exact keys of short texts.
+    """
+    distinct = mix(np.unique(values))
+    keys = [sketch_keys(labelled(values), True)]
+    if len(distinct) > SHORT:
+        keys.append(sketch_keys(distinct, False))
+    if SIMILARITY * len(distinct) <= SHORT:  # short, or similar to a short one
+        keys.append(short_keys(distinct))
+    return np.concatenate(keys)
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
