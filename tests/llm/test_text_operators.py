@@ -194,6 +194,24 @@ def test_surrogates_are_drawn_again_on_collision(spark, monkeypatch):
     assert len(set(drawn)) == 13 and "10.0.0.9" not in drawn
 
 
+@pytest.mark.parametrize("text", ["“Mr Smith left.”", "by Mr\u00a0Smith.", "—Anna Miller—", "‘Anna Miller’", "Jean-Luc Picard", "x…Dr. Weber", "«г-жа Иванова»", "non-Anna Miller", "(г-н\u00a0Иванов)", "x\u2028Maria Weber"])
+def test_names_are_found_next_to_any_separator(text):
+    spans = [m.span("a" if m["a"] else "b") for m in pii.PERSON.finditer(text)]
+    assert spans
+    found = [(a, b) for a, b, _, _ in pii.find_entities(text)]
+    assert all(any(a <= k < b for a, b in found) for start, end in spans for k in range(start, end) if text[k].isalpha())
+
+
+def test_names_are_found_wherever_the_pattern_matches():
+    assert [(a, b) for a, b, _, _ in pii.find_entities("met Jean-Luc Picard")] == [(4, 12), (13, 19)]
+    names = [n for g in (pii.TITLES, pii.GIVEN) for names in g.values() for n in names.split()]
+    for name in names:
+        for before in ("", " ", "-", "“", "—", "\u00a0", "'", "\u200b", "é "):
+            for after in (" ", "\u00a0", ". "):
+                text = f"{before}{name}{after}Smith”"
+                assert bool(pii.find_entities(text)) == bool(pii.PERSON.search(text))
+
+
 # 3
 def rule_counts(text: str | None) -> tuple:
     text = text or ""

@@ -51,7 +51,7 @@ TITLE_GENDER = {n.casefold(): g for g, names in TITLES.items() for n in names.sp
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)*"
 PERSON = re.compile(
     rf"(?<!\w)(?:(?P<title>{'|'.join(n for names in TITLES.values() for n in names.split())})\.?[  ]+(?P<a>{_CAPITAL}(?:[  ]{_CAPITAL}){{0,2}})"
-    rf"|(?P<b>(?:{'|'.join(n for names in GIVEN.values() for n in names.split())})(?:[  ]{_CAPITAL}){{1,2}}))(?!\w)"
+    rf"|(?P<b>(?:{'|'.join(n for names in GIVEN.values() for n in names.split())})(?:-{_CAPITAL})?(?:[  ]{_CAPITAL}){{1,2}}))(?!\w)"
 )
 FORMATS = re.compile(
     r"""(?P<email>(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,24}(?!\w))
@@ -70,9 +70,10 @@ FORMATS = re.compile(
 #: A text without any of these characters or prefixes can't hold an entity of FORMATS.
 HINT = re.compile(r"[0-9@=:]")
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp", "gho", "ghu", "ghs", "ghr", "sk-", "sk_", "pk-", "pk_", "xox")
-#: Words of which a text needs one to hold a name: titles and given names, looked up among its words.
-NAMES = frozenset(n.encode() for names in (*TITLES.values(), *GIVEN.values()) for n in names.split())
-SPACED = bytes(b if chr(b).isalnum() or b >= 0x80 or b == 0x2D else 0x20 for b in range(256))
+#: First words of titles and given names. A text needs one among its words to hold a name: PERSON starts at a word and
+#: ends each title and given name before a character outside \w, so the test never leaves out a match.
+NAMES = frozenset(re.findall(r"\w+", n)[0] for names in (*TITLES.values(), *GIVEN.values()) for n in names.split())
+WORDS = re.compile(r"\w+")
 ALPHABETS = {
     "latin": ("bcdfghklmnprstvw", "aeiou"),
     "cyrillic": ("бвгдзклмнпрст", "аеиоу"),
@@ -189,10 +190,10 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             start, end = m.span("value") if kind == "secret" and m["value"] else m.span()
             found.append((start, end, kind, canonical(kind, text[start:end])))
     names: dict[str, str] = {}
-    named = not NAMES.isdisjoint(text.encode("utf-8", "replace").translate(SPACED).split())
+    named = not NAMES.isdisjoint(WORDS.findall(text))
     for m in PERSON.finditer(text) if named else ():
         words = re.split(r"[  ]", m["a"] or m["b"])
-        known = GENDER_OF.get(words[0].casefold())
+        known = GENDER_OF.get(words[0].casefold(), GENDER_OF.get(words[0].partition("-")[0].casefold()))
         gender = TITLE_GENDER.get((m["title"] or "").casefold(), known)
         for k, w in enumerate(words):
             given = (k < len(words) - 1 and len(words) > 1) or (len(words) == 1 and known and not m["title"])
