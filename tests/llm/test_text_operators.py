@@ -279,6 +279,21 @@ def test_decontamination(spark, docs, rows, nothing):
     assert decontamination.find_contamination(nothing, bench).count() == 0
 
 
+def test_blocks_of_the_benchmark_keep_every_document_row(spark, monkeypatch):
+    texts_of = [f"x {PASSAGE} y", "again and more words", f"{PASSAGE} again and", None]
+    rows = [(k, t) for k in (None, 1, 2) for t in texts_of] + [(1, texts_of[0]), (None, texts_of[1])]
+    bench = spark.createDataFrame([("a", PASSAGE), ("b", "again and"), ("c", "nowhere else"), ("d", "more words")], "item_id string, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = []
+    for chars in (decontamination.BLOCK_CHARS, 30):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)
+        found = decontamination.find_contamination(df, bench)
+        assert found.columns == ["doc_id", "n_words", "spans", "items", "n_hit", "contaminated"]
+        got.append(sorted((r.doc_id or 0, r.n_words, [(s.start, s.end) for s in r.spans], sorted(r["items"]), r.n_hit, r.contaminated) for r in found.collect()))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert sorted(set(x[4] for x in got[0])) == [0, 4, 30, 32]
+
+
 # 5
 def labels_of(spark, rows):
     return spark.createDataFrame([(r[0], 1 if r[0] % 5 else 0, "q") for r in rows] + [(None, 1, "q"), (3, None, "q")], "doc_id long, quality int, text string")

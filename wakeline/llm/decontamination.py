@@ -11,7 +11,8 @@ these are indexed: nothing else can match. All windows are searched at once, bac
 ranks; occurrences are located from sampled suffix positions and merged to spans.
 
 The benchmark is the stated query set. It is sent to the tasks in blocks of at most `BLOCK_CHARS`
-characters, one scan per block, so what is broadcast stays bounded.
+characters, one scan per block, so what is broadcast stays bounded. With several blocks the documents are
+numbered and written once, and the hits of all scans meet by that number.
 
 Null text has no words; such documents, and items, take part in nothing (n_hit 0, not contaminated).
 """
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import table, utf8
 from wakeline.llm.fm_index import FMIndex
+from wakeline.sources.scratch import materialize
 
 WINDOW = 13
 SHARE = 0.05
@@ -39,7 +41,13 @@ WORD_BYTES = bytes(
 )
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 ROWS = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))]
+    [
+        ("doc_id", pa.int64()),
+        ("row", pa.int64()),
+        ("n_words", pa.int64()),
+        ("spans", pa.list_(SPAN)),
+        ("items", pa.list_(pa.string())),
+    ]
 )
 
 
@@ -72,12 +80,12 @@ class Shard:
     """Documents of a task: retained runs with the document and word that each symbol comes from."""
 
     def __init__(self, phrases: Phrases) -> None:
-        self.phrases, self.ids, self.n_words, self.size = phrases, [], [], 0
+        self.phrases, self.ids, self.rows_of, self.n_words, self.size = phrases, [], [], [], 0
         self.symbols: list[np.ndarray] = []
         self.docs: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
 
-    def add(self, doc_id: int, text: bytes | None) -> None:
+    def add(self, doc_id: int | None, row: int, text: bytes | None) -> None:
         words = words_of(text)
         known = self.phrases.words.get
         ids = np.fromiter((known(w, 0) for w in words), np.int64, len(words))
@@ -90,6 +98,7 @@ class Shard:
                     self.places.append(np.arange(a, b + 1))
                     self.size += b - a + 1
         self.ids.append(doc_id)
+        self.rows_of.append(row)
         self.n_words.append(len(words))
 
     def rows(self) -> pa.RecordBatch:
@@ -117,6 +126,7 @@ class Shard:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(self.ids, pa.int64()),
+                pa.array(self.rows_of, pa.int64()),
                 pa.array(self.n_words, pa.int64()),
                 pa.array(spans, pa.list_(SPAN)),
                 pa.array([sorted(x) for x in items], pa.list_(pa.string())),
@@ -131,15 +141,15 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(phrases.value)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
-                shard.add(doc_id, text)
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text")):
+                shard.add(doc_id, row, text)
                 if shard.size >= SHARD_WORDS or len(shard.ids) >= SHARD_DOCS:
                     yield shard.rows()
                     shard = Shard(phrases.value)
         if shard.ids:
             yield shard.rows()
 
-    schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    schema = "doc_id long, row long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     return docs.mapInArrow(run, schema)
 
 
@@ -148,16 +158,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     `spans` are merged half-open ranges of word numbers to remove; `items` the items with occurring windows.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
+    if blocks > 1:
+        slim = materialize(slim, "numbered-documents")  # each scan must see the same numbers
     part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     scans = [_scan(slim, [tuple(r) for r in bench.where(part == b).collect()], window) for b in range(blocks)]
     found = scans[0]
     if blocks > 1:
-        # the same rows from each scan: hits of all blocks meet by document (repeated ids agree)
-        every = reduce(DataFrame.unionByName, scans).groupBy("doc_id").agg(
+        # the same rows from each scan: hits of all blocks meet by row, as ids may be null or repeated
+        every = reduce(DataFrame.unionByName, scans).groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"),
             F.max("n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
@@ -177,7 +190,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         )
         found = every.withColumn("spans", F.coalesce(merge, F.array().cast("array<struct<start:long,end:long>>")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.withColumn("n_hit", hit).withColumn(
+    return found.drop("row").withColumn("n_hit", hit).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(1 / share) >= F.col("n_words"))
     )
 
