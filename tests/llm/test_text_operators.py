@@ -294,6 +294,19 @@ def test_blocks_of_the_benchmark_keep_every_document_row(spark, monkeypatch):
     assert sorted(set(x[4] for x in got[0])) == [0, 4, 30, 32]
 
 
+def test_items_without_an_id_are_one_item_spread_over_the_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([("a", "one two three"), *((None, f"lone{k} word") for k in range(40))] * 2, "item_id string, text string")
+    df = spark.createDataFrame([(1, "one two three lone7 word lone8 word"), (2, "lone9 word")], "doc_id long, text string")
+    scan, sizes = decontamination._scan, []
+    monkeypatch.setattr(decontamination, "_scan", lambda docs, items, window: sizes.append(len(items)) or scan(docs, items, window))
+    for chars, blocks in ((decontamination.BLOCK_CHARS, 1), (150, 3)):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)
+        sizes.clear()
+        found = {r.doc_id: (r["items"], r.n_hit) for r in decontamination.find_contamination(df, bench).collect()}
+        assert {k: (set(v), len(v), n) for k, (v, n) in found.items()} == {1: ({"a", None}, 2, 7), 2: ({None}, 1, 2)}
+        assert len(sizes) == blocks and sum(sizes) == 41 and (blocks == 1 or max(sizes) < 30)
+
+
 # 5
 def labels_of(spark, rows):
     return spark.createDataFrame([(r[0], 1 if r[0] % 5 else 0, "q") for r in rows] + [(None, 1, "q"), (3, None, "q")], "doc_id long, quality int, text string")

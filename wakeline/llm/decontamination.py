@@ -10,11 +10,13 @@ words that occur in the benchmark, at least as long as its shortest window, can
 these are indexed: nothing else can match. All windows are searched at once, backwards, by wavelet-tree
 ranks; occurrences are located from sampled suffix positions and merged to spans.
 
-The benchmark is the stated query set. It is sent to the tasks in blocks of at most `BLOCK_CHARS`
-characters, one scan per block, so what is broadcast stays bounded. With several blocks the documents are
+The benchmark is the stated query set. It is sent to the tasks in blocks of about `BLOCK_CHARS` characters,
+dealt by a hash of item and text without repeated rows, one scan per block, so what is broadcast stays bounded
+unless a single text is longer. With several blocks the documents are
 numbered and written once, and the hits of all scans meet by that number.
 
 Null text has no words; such documents, and items, take part in nothing (n_hit 0, not contaminated).
+Texts with a null item_id are one item, a null that stands last in `items`.
 """
 
 from __future__ import annotations
@@ -58,9 +60,9 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Phrases:
     """Windows of a block of items: word numbers from 2, windows by length, items of each window."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         self.words: dict[bytes, int] = {}
-        self.items: list[set[str]] = []
+        self.items: list[set[str | None]] = []
         known: dict[tuple[int, ...], int] = {}
         for item, text in items:
             ids = [self.words.setdefault(w, len(self.words) + 2) for w in words_of((text or "").encode())]
@@ -129,7 +131,7 @@ class Shard:
                 pa.array(self.rows_of, pa.int64()),
                 pa.array(self.n_words, pa.int64()),
                 pa.array(spans, pa.list_(SPAN)),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string())),
             ],
             schema=ROWS,
         )
@@ -159,12 +161,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     `spans` are merged half-open ranges of word numbers to remove; `items` the items with occurring windows.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
     if blocks > 1:
         slim = materialize(slim, "numbered-documents")  # each scan must see the same numbers
-    part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     scans = [_scan(slim, [tuple(r) for r in bench.where(part == b).collect()], window) for b in range(blocks)]
     found = scans[0]
     if blocks > 1:
