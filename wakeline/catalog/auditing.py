@@ -506,7 +506,7 @@ def p02_training(spark, sf):
     return jobs.training_table(_win(spark, sf), land_grid(spark, sf), cfg, STEP)
 
 
-def _coasts(spark, sf) -> dict[str, DataFrame]:
+def _overlapping_coasts(spark, sf) -> dict[str, DataFrame]:
     """Two coasts that hold some of the same trajectories."""
     w = A.stored_windows(spark, sf)
     return {"east_coast": w.filter("mmsi % 2 = 0 OR mmsi % 7 = 0"), "gulf": w.filter("mmsi % 2 = 1")}
@@ -532,7 +532,7 @@ _stages = "SELECT 'combined' AS stage, split FROM labelled UNION ALL SELECT 'sta
     SELECT stage, split, count(*) AS windows FROM ({_stages} UNION ALL SELECT 'inland', split FROM labelled WHERE smart AND at_sea) GROUP BY 1, 2""")
 def p02_combine(spark, sf):
     cfg = jobs.TrainingConfig(smart=SMART)
-    return jobs.combine_job(spark, _coasts(spark, sf), new_path(spark, "combined"), land_grid(spark, sf), cfg, STEP, qualify_ids=True)
+    return jobs.combine_job(spark, _overlapping_coasts(spark, sf), new_path(spark, "combined"), land_grid(spark, sf), cfg, STEP, qualify_ids=True)
 
 
 @query("p02_second_split", "region:s window_id:s split:s", f"""
@@ -542,7 +542,7 @@ def p02_combine(spark, sf):
 def p02_second(spark, sf):
     """The train part filtered by land and split again, as the job writes it."""
     cfg, path = jobs.TrainingConfig(smart=SMART), new_path(spark, "combined")
-    jobs.combine_job(spark, _coasts(spark, sf), path, land_grid(spark, sf), cfg, STEP, qualify_ids=True, second_split=True)
+    jobs.combine_job(spark, _overlapping_coasts(spark, sf), path, land_grid(spark, sf), cfg, STEP, qualify_ids=True, second_split=True)
     kept = spark.read.parquet(f"{path}/windows")
     plain = kept.withColumn("traj_id", F.regexp_replace("traj_id", "^[a-z_]+:", ""))
     return plain.select("region", "split", window_id().alias("window_id"))
