@@ -3,6 +3,7 @@
 from wakeline.llm import (
     decontamination,
     language_id,
+    lexical_search,
     line_dedup,
     mixing,
     near_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op6_fair_mix": mixing.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
