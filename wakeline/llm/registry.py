@@ -1,6 +1,7 @@
 """Queries of this package and their SQL, by name."""
 
 from wakeline.llm import (
+    collocations,
     decontamination,
     language_id,
     lexical_search,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
@@ -34,4 +36,5 @@ ORACLES = {
     "op7_substring_dedup": substring_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
     "op12_lexical_search": lexical_search.SQL,
+    "op13_collocations": collocations.SQL,
 }
