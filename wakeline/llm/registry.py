@@ -8,6 +8,7 @@ from wakeline.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    packing,
     page_text,
     pii,
     quality_model,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_best_fit_packing": packing.op11_best_fit_packing,
     "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_collocations": collocations.op13_collocations,
 }
