@@ -24,6 +24,8 @@ each for itself. An empty table gives no rows. Texts of any length are encoded w
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +41,7 @@ from wakeline.sources.scratch import new_path
 
 CAPACITY, END = 4096, 1
 #: Words longer than this, in bytes, are not kept; the cache starts anew when it has so many words.
-WORD_BYTES, CACHE_WORDS = 64, 200_000
+WORD_BYTES, CACHE_WORDS = 64, 400_000
 PIECES = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -54,6 +56,14 @@ PIECES = pa.schema(
 PIECE_TYPE = "doc_id long, piece int, start long, length int, ids binary, task int, number long"
 
 
+#: Lower-case letters of the Latin blocks, and a word that ends in punctuation.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
+TRAILING = re.compile(rb"(.*[A-Za-z])([.,;:!?]+)", re.S)
+#: Byte-level vocabularies write printable bytes as themselves and the others as U+0100 and on, in order.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers, from a cache of words."""
 
@@ -64,23 +74,38 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[bytes, bytes] = {}
 
-    def _ids(self, word: bytes) -> bytes:
+    def _plain(self, word: bytes) -> bytes:
+        """Ids of a word. One of plain lower-case letters is a unit that normalising leaves as it is."""
         text = word.decode("utf-8", "replace")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if LETTERS.fullmatch(text) and text.lower() == text:
+            units = self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))
+            return array("I", [unit.id for unit in units]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, word: bytes) -> bytes:
+        ids = self.kept.get(word)
+        if ids is None:
+            ids = self._plain(word)
+            if len(word) <= WORD_BYTES:
+                self.kept[word] = ids
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
+        """Letter case of ASCII words and punctuation after an ASCII letter are no matter of the rest of a word."""
+        lower = word.lower() if word.isascii() else word
+        ends = TRAILING.fullmatch(lower)
+        return self._part(ends[1]) + self._part(ends[2]) if ends else self._part(lower)
 
     def encode(self, text: bytes | None) -> bytes:
         words = (text or b"").split()
-        kept = self.kept
-        try:
-            return b"".join(map(kept.__getitem__, words))
-        except KeyError:
-            pass
-        if len(kept) >= CACHE_WORDS:
-            kept.clear()
+        if len(self.kept) >= CACHE_WORDS:
+            self.kept.clear()
         own = {}
-        for word in set(words) - kept.keys():
-            (kept if len(word) <= WORD_BYTES else own)[word] = self._ids(word)
-        return b"".join([kept[w] if w in kept else own[w] for w in words])
+        for word in set(words).difference(self.kept):
+            (self.kept if len(word) <= WORD_BYTES else own)[word] = self._ids(word)
+        if own:
+            return b"".join([own[w] if w in own else self.kept[w] for w in words])
+        return b"".join(map(self.kept.__getitem__, words))
 
 
 def _largest_up_to(left: np.ndarray) -> np.ndarray:
