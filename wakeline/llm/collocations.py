@@ -39,7 +39,9 @@ from wakeline.sources.scratch import materialize
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: The filter has at most this many blocks of 256 KiB; a block serves 100,000 frequent hashes.
 FILTER_BLOCKS, FILTER_ITEMS = 128, 100_000
-TASK_PHRASES, TASK_HASHES = 1_000_000, 4_000_000
+TASK_PHRASES, TASK_HASHES = 500_000, 2_000_000
+#: Texts are hashed in steps of this many tokens, and sent in batches of so many rows.
+STEP_TOKENS, BATCH_ROWS = 200_000, 100_000
 #: Parts of a stripe by the number of words of its prefix; longer prefixes have few followers.
 PARTS = {1: 16, 2: 4}
 TOP_GROUPS = 64
@@ -68,13 +70,15 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return text.translate(PIECE_BYTES).replace(b";", b" ; ").split() if text else []
 
 
-def _by_lang(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
-    """Tokens of the texts of each lang; texts end with a separator."""
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
+    """Tokens of texts with one lang, some texts at a time; each text ends with a separator."""
     found: dict[str, list[bytes]] = defaultdict(list)
     for lang, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
         found[lang] += tokens_of(text)
         found[lang].append(b";")
-    return found
+        if len(found[lang]) >= STEP_TOKENS:
+            yield lang, found.pop(lang)
+    yield from found.items()
 
 
 class _Hashed:
@@ -98,20 +102,22 @@ def frequent_hashes(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, held, size = _Hashed(), [], 0
 
-        def counted() -> pa.RecordBatch:
+        def counted() -> Iterator[pa.RecordBatch]:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=HASHES)
+            for i in range(0, len(h), BATCH_ROWS):
+                part = [pa.array(h[i : i + BATCH_ROWS].view(np.int64)), pa.array(n[i : i + BATCH_ROWS])]
+                yield pa.RecordBatch.from_arrays(part, schema=HASHES)
 
         for batch in batches:
-            for lang, tokens in _by_lang(batch).items():
+            for lang, tokens in _by_lang(batch):
                 is_word, single, is_pair, pair = hashed.of(lang, tokens)
                 held += [single[is_word], pair[is_pair]]
                 size += len(held[-1]) + len(held[-2])
                 if size >= TASK_HASHES:
-                    yield counted()
+                    yield from counted()
                     held, size = [], 0
         if size:
-            yield counted()
+            yield from counted()
 
     found = docs.mapInArrow(run, "h long, n long")
     return found.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
@@ -149,8 +155,8 @@ def partial_stripes(docs: DataFrame, frequent: DataFrame, longest: int) -> DataF
                             parts[n % PARTS.get(length, 1)].append((OTHER.encode(), other))
                         rows += [(prefix, part, [w for w, _ in x], [k for _, k in x]) for part, x in parts.items()]
                 rows.append((b"", 0, [OTHER.encode()], [words[lang]]))
-                for i in range(0, len(rows), 50_000):
-                    prefixes, parts_of, nexts, ns = zip(*rows[i : i + 50_000])
+                for i in range(0, len(rows), BATCH_ROWS):
+                    prefixes, parts_of, nexts, ns = zip(*rows[i : i + BATCH_ROWS])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([lang] * len(prefixes)),
@@ -163,7 +169,7 @@ def partial_stripes(docs: DataFrame, frequent: DataFrame, longest: int) -> DataF
                     )
 
         for batch in batches:
-            for lang, tokens in _by_lang(batch).items():
+            for lang, tokens in _by_lang(batch):
                 is_word, single, is_pair, pair = hashed.of(lang, tokens)
                 words[lang] += int(is_word.sum())
                 counts = phrases[lang]
