@@ -41,7 +41,7 @@ from wakeline.sources.scratch import new_path
 
 CAPACITY, END = 4096, 1
 #: Words longer than this, in bytes, are not kept; the cache starts anew when it has so many words.
-WORD_BYTES, CACHE_WORDS = 64, 400_000
+WORD_BYTES, CACHE_WORDS = 64, 800_000
 PIECES = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -56,56 +56,50 @@ PIECES = pa.schema(
 PIECE_TYPE = "doc_id long, piece int, start long, length int, ids binary, task int, number long"
 
 
-#: Lower-case letters of the Latin blocks, and a word that ends in punctuation.
-LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
-TRAILING = re.compile(rb"(.*[A-Za-z])([.,;:!?]+)", re.S)
+#: A word of Latin letters, perhaps with ASCII punctuation but the apostrophe after it, which is one more unit.
+#: Normalising only lowers these letters, one by one.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: First bytes of U+0300 to U+036F, the marks that letters are composed with.
+MARKS = (b"\xcc", b"\xcd")
 #: Byte-level vocabularies write printable bytes as themselves and the others as U+0100 and on, in order.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
 
 
-class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit integers, from a cache of words."""
+class WordIds(dict):
+    """Ids of each word as little-endian unsigned 32-bit integers, kept until the cache is full."""
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[bytes, bytes] = {}
+        self.units = self.tokenizer.model.tokenize
 
-    def _plain(self, word: bytes) -> bytes:
-        """Ids of a word. One of plain lower-case letters is a unit that normalising leaves as it is."""
+    def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if LETTERS.fullmatch(text) and text.lower() == text:
-            units = self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))
-            return array("I", [unit.id for unit in units]).tobytes()
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _part(self, word: bytes) -> bytes:
-        ids = self.kept.get(word)
-        if ids is None:
-            ids = self._plain(word)
-            if len(word) <= WORD_BYTES:
-                self.kept[word] = ids
+        plain = PLAIN.fullmatch(text)
+        if plain and plain[2]:
+            ids = self[plain[1].encode()] + self[plain[2].encode()]
+        elif plain:
+            lower = text.lower()
+            units = self.units(lower if lower.isascii() else lower.encode().decode("latin-1").translate(BYTE_LETTERS))
+            ids = array("I", [unit.id for unit in units]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= WORD_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
-    def _ids(self, word: bytes) -> bytes:
-        """Letter case of ASCII words and punctuation after an ASCII letter are no matter of the rest of a word."""
-        lower = word.lower() if word.isascii() else word
-        ends = TRAILING.fullmatch(lower)
-        return self._part(ends[1]) + self._part(ends[2]) if ends else self._part(lower)
-
     def encode(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
-        if len(self.kept) >= CACHE_WORDS:
-            self.kept.clear()
-        own = {}
-        for word in set(words).difference(self.kept):
-            (self.kept if len(word) <= WORD_BYTES else own)[word] = self._ids(word)
-        if own:
-            return b"".join([own[w] if w in own else self.kept[w] for w in words])
-        return b"".join(map(self.kept.__getitem__, words))
+        """Ids of a text. Lowering A-Z first is safe unless a combining mark could join a letter."""
+        if not text:
+            return b""
+        if not any(mark in text for mark in MARKS):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def _largest_up_to(left: np.ndarray) -> np.ndarray:
@@ -178,7 +172,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end: int) -> DataFrame:
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(shared.value), TaskContext.get().partitionId()
+        encoder, task = WordIds(shared.value), TaskContext.get().partitionId()
         numbers, rows, size = Counter(), [], 0
 
         def send() -> pa.RecordBatch:
