@@ -4,16 +4,16 @@ A-Z is lower-cased, texts are split at `[.,;:!?]` and line ends into pieces, and
 `[^\\x20\\x09]+`. All counts are per lang. A phrase of 2 to `longest` words that occurs `least` times or more is
 a candidate; it is scored by its weakest cut, and dropped if a longer candidate that holds it occurs as often.
 
-A stripe belongs to a prefix of up to `longest` - 1 words. It counts what follows each occurrence of the
-prefix, with one entry for all that can't matter (rare words, the end of a piece), so the sum of a stripe is
-the number of occurrences of its prefix. Stripes of all tasks are merged elementwise. Everything comes from
-the merged stripes: extensions (entries), prefix totals (sums), the largest extension to the right (maximum
-of the entries) and to the left (maximum over stripes whose prefix has another first word).
+A stripe belongs to a prefix of up to `longest` - 1 words and counts what follows it; the stripe of no words at all
+counts words, with one entry for all rare ones, so that its sum is the number of words. Stripes of all tasks
+are merged elementwise. Everything comes from the merged stripes: extensions (entries), prefix totals (the
+prefix's entry in the stripe one word shorter), the largest extension to the right (maximum of a stripe) and
+to the left (maximum over the stripes whose prefix differs in the first word only).
 
-Pass 1 counts the hashes of words and neighbouring words; those seen `least` times go into a Bloom filter
-whose size follows their number, up to `FILTER_BLOCKS`. A fuller filter, or hashes that collide, only let more
-through. Pass 2 counts runs of words whose neighbours all pass. A rare phrase has no
-frequent extension, so no candidate is lost, and all counts are exact.
+Passes 1 and 2 count the hashes of words and pairs of words, then of three words whose pairs are frequent. Those
+seen `least` times go into Bloom filters whose size follows their number, up to `FILTER_BLOCKS`. A fuller filter, or
+hashes that collide, only let more through. Pass 3 counts the runs whose words, pairs and threes all pass. A rare
+phrase has no frequent extension, so no candidate is lost, and all counts are exact.
 
 A stripe is split into parts by a hash of the following word: a frequent prefix is not one row, and not one
 task's. A task holds at most `TASK_PHRASES` phrases before it sends its stripes; merging holds one part.
@@ -25,10 +25,11 @@ empty table gives no rows. Products of counts are exact decimals of 38 digits, e
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +40,11 @@ from wakeline.sources.scratch import materialize
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: The filter has at most this many blocks of 256 KiB; a block serves 100,000 frequent hashes.
 FILTER_BLOCKS, FILTER_ITEMS = 128, 100_000
-TASK_PHRASES, TASK_HASHES = 500_000, 2_000_000
+TASK_PHRASES, TASK_TOKENS = 500_000, 1_000_000
 #: Texts are hashed in steps of this many tokens, and sent in batches of so many rows.
 STEP_TOKENS, BATCH_ROWS = 200_000, 100_000
 #: Parts of a stripe by the number of words of its prefix; longer prefixes have few followers.
-PARTS = {1: 16, 2: 4}
+PARTS = {0: 64, 1: 16, 2: 4}
 TOP_GROUPS = 64
 #: A-Z become a-z, tab becomes space, separators of pieces become `;`.
 PIECE_BYTES = bytes(
@@ -62,7 +63,8 @@ STRIPES = pa.schema(
 STRIPE_TYPE = "lang string, prefix string, part int, next array<string>, n array<long>"
 MERGED_TYPE = STRIPE_TYPE + ", total long"
 MERGED = pa.schema([*STRIPES, ("total", pa.int64())])
-OTHER = ""
+#: The entry of all rare words in the stripe of no words.
+RARE = b""
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -87,17 +89,33 @@ class _Hashed:
     def __init__(self) -> None:
         self.words, self.langs = WordHashes(), WordHashes()
 
-    def of(self, lang: str, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Which tokens are words, their hashes, which places start a pair, the hashes of the pairs."""
+    def of(self, lang: str, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of words, and of pairs of words, with their hashes; hashes of the words alone."""
         plain = self.words.of(tokens)
         is_word = plain != np.uint64(self.words[b";"])
         single = mix(plain ^ np.uint64(self.langs[lang.encode()]))
-        pair = mix(single[:-1] * np.uint64(0x9E3779B97F4A7C15) + plain[1:])
-        return is_word, single, is_word[:-1] & is_word[1:], pair
+        one, two = np.flatnonzero(is_word), np.flatnonzero(is_word[:-1] & is_word[1:])
+        return one, single[one], two, _then(single[two], plain[two + 1]), plain
 
 
-def frequent_hashes(docs: DataFrame, least: int) -> DataFrame:
-    """(h): hashes of words and neighbouring words that occur `least` times or more within a lang."""
+def _then(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a run of words and one more."""
+    return mix(run * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _threes(bits: np.ndarray, two: np.ndarray, pair: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a frequent pair starts at each token; places and hashes of three words with frequent pairs."""
+    frequent = bloom.suspected(bits, pair)
+    joins = np.zeros(len(plain), bool)
+    joins[two[frequent]] = True
+    place, hashed = two[frequent], pair[frequent]
+    both = joins[place + 1]
+    place = place[both]
+    return joins, place, _then(hashed[both], plain[place + 2])
+
+
+def _hash_counts(docs: DataFrame, hashes: Callable, least: int) -> DataFrame:
+    """(h): hashes that occur `least` times or more; `hashes` gives those of some tokens of a lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, held, size = _Hashed(), [], 0
@@ -110,25 +128,43 @@ def frequent_hashes(docs: DataFrame, least: int) -> DataFrame:
 
         for batch in batches:
             for lang, tokens in _by_lang(batch):
-                is_word, single, is_pair, pair = hashed.of(lang, tokens)
-                held += [single[is_word], pair[is_pair]]
-                size += len(held[-1]) + len(held[-2])
-                if size >= TASK_HASHES:
+                held += hashes(hashed, lang, tokens)
+                size += len(tokens)
+                if size >= TASK_TOKENS:
                     yield from counted()
                     held, size = [], 0
         if size:
             yield from counted()
 
     found = docs.mapInArrow(run, "h long, n long")
-    return found.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    return materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "frequent-hashes")
+
+
+def _filter(hashes: DataFrame) -> Broadcast:
+    blocks = min(FILTER_BLOCKS, hashes.count() // FILTER_ITEMS + 1)
+    bits = bloom.twice_filter(hashes, lambda batch: np.repeat(batch.column(0).to_numpy().view(np.uint64), 2), blocks)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
 
+def frequent_runs(docs: DataFrame, least: int) -> tuple[Broadcast, Broadcast]:
+    """Filters of the words and pairs, and of the three words in a row, that occur `least` times within a lang."""
 
-def partial_stripes(docs: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """(lang, prefix, part, next, n): stripes of each task; prefix "" counts the words of its lang."""
-    size = frequent.count()
-    blocks = min(FILTER_BLOCKS, size // FILTER_ITEMS + 1)
-    bits = bloom.twice_filter(frequent, lambda batch: np.repeat(batch.column(0).to_numpy().view(np.uint64), 2), blocks)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    def words_and_pairs(hashed: _Hashed, lang: str, tokens: list[bytes]) -> list[np.ndarray]:
+        _, single, _, pair, _ = hashed.of(lang, tokens)
+        return [single, pair]
+
+    short = _filter(_hash_counts(docs, words_and_pairs, least))
+
+    def threes(hashed: _Hashed, lang: str, tokens: list[bytes]) -> list[np.ndarray]:
+        _, _, two, pair, plain = hashed.of(lang, tokens)
+        return [_threes(short.value, two, pair, plain)[2]]
+
+    return short, _filter(_hash_counts(docs, threes, least))
+
+
+def partial_stripes(docs: DataFrame, filters: tuple[Broadcast, Broadcast], longest: int) -> DataFrame:
+    """(lang, prefix, part, next, n): stripes of each task."""
+    short, long = filters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _Hashed()
@@ -137,52 +173,40 @@ def partial_stripes(docs: DataFrame, frequent: DataFrame, longest: int) -> DataF
 
         def stripes() -> Iterator[pa.RecordBatch]:
             for lang, counts in phrases.items():
-                after: dict[bytes, dict[bytes, int]] = defaultdict(dict)
+                after: dict[tuple[bytes, int], list[tuple[bytes, int]]] = defaultdict(list)
                 for phrase, n in counts.items():
                     prefix, _, last = phrase.rpartition(b" ")
-                    if prefix:
-                        after[prefix][last] = n
-                rows = []
-                for prefix, n in counts.items():
-                    length = prefix.count(b" ") + 1
-                    if length < longest:
-                        followers = after.get(prefix, {})
-                        parts: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
-                        for word, k in followers.items():
-                            parts[hashed.words[word] % PARTS.get(length, 1)].append((word, k))
-                        other = n - sum(followers.values())
-                        if other:
-                            parts[n % PARTS.get(length, 1)].append((OTHER.encode(), other))
-                        rows += [(prefix, part, [w for w, _ in x], [k for _, k in x]) for part, x in parts.items()]
-                rows.append((b"", 0, [OTHER.encode()], [words[lang]]))
-                for i in range(0, len(rows), BATCH_ROWS):
-                    prefixes, parts_of, nexts, ns = zip(*rows[i : i + BATCH_ROWS])
+                    length = prefix.count(b" ") + 1 if prefix else 0
+                    after[prefix, hashed.words[last] % PARTS.get(length, 1)].append((last, n))
+                rare = words[lang] - sum(n for (prefix, _), x in after.items() if not prefix for _, n in x)
+                after[b"", 0].append((RARE, rare))
+                keys = list(after)
+                for i in range(0, len(keys), BATCH_ROWS):
+                    some = keys[i : i + BATCH_ROWS]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([lang] * len(prefixes)),
-                            pa.array(prefixes, pa.binary()).cast(pa.string()),
-                            pa.array(parts_of, pa.int32()),
-                            pa.array(nexts, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                            pa.array(ns, pa.list_(pa.int64())),
+                            pa.array([lang] * len(some)),
+                            pa.array([prefix for prefix, _ in some], pa.binary()).cast(pa.string()),
+                            pa.array([part for _, part in some], pa.int32()),
+                            pa.array([[w for w, _ in after[k]] for k in some], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+                            pa.array([[n for _, n in after[k]] for k in some], pa.list_(pa.int64())),
                         ],
                         schema=STRIPES,
                     )
 
         for batch in batches:
             for lang, tokens in _by_lang(batch):
-                is_word, single, is_pair, pair = hashed.of(lang, tokens)
-                words[lang] += int(is_word.sum())
+                one, single, two, pair, plain = hashed.of(lang, tokens)
+                joins, place, three = _threes(short.value, two, pair, plain)
+                goes_on = np.zeros(len(tokens), bool)
+                goes_on[place[bloom.suspected(long.value, three)]] = True
+                words[lang] += len(one)
                 counts = phrases[lang]
-                at = np.flatnonzero(is_word)
-                counts.update([tokens[i] for i in at[bloom.suspected(shared.value, single[at])]])
-                joins = np.zeros(len(tokens), bool)
-                at = np.flatnonzero(is_pair)
-                joins[at[bloom.suspected(shared.value, pair[at])]] = True
-                chain = np.flatnonzero(joins)
+                counts.update([tokens[i] for i in one[bloom.suspected(short.value, single)]])
+                starts = np.flatnonzero(joins)
                 for length in range(2, longest + 1):
-                    counts.update([b" ".join(tokens[i : i + length]) for i in chain])
-                    if length < longest:
-                        chain = chain[joins[chain + length - 1]]
+                    counts.update([b" ".join(tokens[i : i + length]) for i in starts])
+                    starts = starts[goes_on[starts + length - 2]]
             if sum(map(len, phrases.values())) >= TASK_PHRASES:
                 yield from stripes()
                 phrases, words = defaultdict(Counter), Counter()
@@ -201,7 +225,7 @@ def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
         key, entries, out = None, Counter(), []
 
         def close() -> None:
-            kept = [(w, n) for w, n in entries.items() if w != OTHER and n >= least]
+            kept = [(w, n) for w, n in entries.items() if w and n >= least]
             out.append((*key, [w for w, _ in kept], [n for _, n in kept], entries.total()))
 
         def send() -> pa.RecordBatch:
@@ -229,22 +253,17 @@ def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, phrase, a, l, r, n, score): every candidate that no longer candidate replaces."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    frequent = materialize(frequent_hashes(texts, least), "frequent-hashes")
-    merged = materialize(merge_stripes(partial_stripes(texts, frequent, longest), least), "stripes")
-
-    of_prefix = merged.groupBy("lang", "prefix").agg(
-        F.sum("total").alias("total"), F.max(F.coalesce(F.array_max("n"), F.lit(0))).alias("right_most")
+    merged = materialize(merge_stripes(partial_stripes(texts, frequent_runs(texts, least), longest), least), "stripes")
+    sizes = merged.where(F.col("prefix") == "").groupBy("lang").agg(F.sum("total").alias("words"))
+    entries = merged.select("lang", "prefix", F.explode(F.arrays_zip("next", "n")).alias("e")).select(
+        "lang", "prefix", F.ltrim(F.concat("prefix", F.lit(" "), F.col("e.next"))).alias("phrase"), F.col("e.n").alias("a")
     )
-    totals = of_prefix.where(F.col("prefix") != "")
-    sizes = of_prefix.where(F.col("prefix") == "").select("lang", F.col("total").alias("words"))
-    entries = merged.select("lang", "prefix", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    found = entries.select(
-        "lang", F.concat("prefix", F.lit(" "), F.col("e.next")).alias("phrase"), F.col("e.n").alias("a")
-    ).withColumn("rest", F.expr("substring(phrase, instr(phrase, ' ') + 1)"))
+    totals = entries.select("lang", "phrase", "a")
+    found = entries.where(F.col("prefix") != "").drop("prefix").withColumn("rest", F.expr("substring(phrase, instr(phrase, ' ') + 1)"))
 
     # a phrase goes if the largest extension to either side occurs as often
     left = found.groupBy("lang", F.col("rest").alias("phrase")).agg(F.max("a").alias("left_most"))
-    right = totals.select("lang", F.col("prefix").alias("phrase"), "right_most")
+    right = merged.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max(F.array_max("n")).alias("right_most"))
     kept = (
         found.join(left, ["lang", "phrase"], "left")
         .join(right, ["lang", "phrase"], "left")
@@ -263,10 +282,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) ->
         F.expr("substring_index(phrase, ' ', k)").alias("first"),
         F.expr("substring_index(phrase, ' ', k - size(split(phrase, ' ')))").alias("rest"),
     )
-    parts = totals.select("lang", "prefix", "total")
     scored = (
-        cuts.join(parts.select("lang", F.col("prefix").alias("first"), F.col("total").alias("l")), ["lang", "first"])
-        .join(parts.select("lang", F.col("prefix").alias("rest"), F.col("total").alias("r")), ["lang", "rest"])
+        cuts.join(totals.toDF("lang", "first", "l"), ["lang", "first"])
+        .join(totals.toDF("lang", "rest", "r"), ["lang", "rest"])
         .join(sizes, "lang")
     )
     # a decimal product has the digits of both sides and one more: 4 + 16 + 1, and 16 + 1
