@@ -15,8 +15,9 @@ seen `least` times go into Bloom filters whose size follows their number, up to
 hashes that collide, only let more through. Pass 3 counts the runs whose words, pairs and threes all pass. A rare
 phrase has no frequent extension, so no candidate is lost, and all counts are exact.
 
-A stripe is split into parts by a hash of the following word: a frequent prefix is not one row, and not one
-task's. A task holds at most `TASK_PHRASES` phrases before it sends its stripes; merging holds one part.
+A stripe is split into parts by a hash of the following word, so a frequent prefix is not one task's. Parts are
+sent and merged in buckets of about `BUCKET_RUNS` frequent runs; their number follows the number of frequent
+runs. A task holds at most `TASK_PHRASES` phrases before it sends its stripes; merging holds one bucket.
 
 Null texts are empty, null lang is `und`. Rows that repeat count each. Texts of any length are read whole. An
 empty table gives no rows. Products of counts are exact decimals of 38 digits, enough for 10^16 words a lang.
@@ -42,9 +43,10 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 FILTER_BLOCKS, FILTER_ITEMS = 128, 100_000
 TASK_PHRASES, TASK_TOKENS = 500_000, 1_000_000
 #: Texts are hashed in steps of this many tokens, and sent in batches of so many rows.
-STEP_TOKENS, BATCH_ROWS = 200_000, 100_000
+STEP_TOKENS, BATCH_ROWS, BATCH_BUCKETS = 200_000, 100_000, 100
 #: Parts of a stripe by the number of words of its prefix; longer prefixes have few followers.
 PARTS = {0: 64, 1: 16, 2: 4}
+BUCKET_RUNS = 1_000
 TOP_GROUPS = 64
 #: A-Z become a-z, tab becomes space, separators of pieces become `;`.
 PIECE_BYTES = bytes(
@@ -54,15 +56,18 @@ HASHES = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 STRIPES = pa.schema(
     [
         ("lang", pa.string()),
-        ("prefix", pa.string()),
-        ("part", pa.int32()),
-        ("next", pa.list_(pa.string())),
-        ("n", pa.list_(pa.int64())),
+        ("bucket", pa.int64()),
+        ("prefix", pa.list_(pa.string())),
+        ("part", pa.list_(pa.int32())),
+        ("next", pa.list_(pa.list_(pa.string()))),
+        ("n", pa.list_(pa.list_(pa.int64()))),
     ]
 )
-STRIPE_TYPE = "lang string, prefix string, part int, next array<string>, n array<long>"
-MERGED_TYPE = STRIPE_TYPE + ", total long"
-MERGED = pa.schema([*STRIPES, ("total", pa.int64())])
+STRIPE_TYPE = "lang string, bucket long, prefix array<string>, part array<int>, next array<array<string>>, n array<array<long>>"
+MERGED = pa.schema(
+    [("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("total", pa.int64())]
+)
+MERGED_TYPE = "lang string, prefix string, part int, next array<string>, n array<long>, total long"
 #: The entry of all rare words in the stripe of no words.
 RARE = b""
 
@@ -140,31 +145,43 @@ def _hash_counts(docs: DataFrame, hashes: Callable, least: int) -> DataFrame:
     return materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "frequent-hashes")
 
 
-def _filter(hashes: DataFrame) -> Broadcast:
-    blocks = min(FILTER_BLOCKS, hashes.count() // FILTER_ITEMS + 1)
+def _filter(hashes: DataFrame) -> tuple[Broadcast, int]:
+    """A filter of the hashes, and their number."""
+    size = hashes.count()
+    blocks = min(FILTER_BLOCKS, size // FILTER_ITEMS + 1)
     bits = bloom.twice_filter(hashes, lambda batch: np.repeat(batch.column(0).to_numpy().view(np.uint64), 2), blocks)
-    return hashes.sparkSession.sparkContext.broadcast(bits)
+    return hashes.sparkSession.sparkContext.broadcast(bits), size
 
 
-def frequent_runs(docs: DataFrame, least: int) -> tuple[Broadcast, Broadcast]:
-    """Filters of the words and pairs, and of the three words in a row, that occur `least` times within a lang."""
+def frequent_runs(docs: DataFrame, least: int) -> tuple[Broadcast, Broadcast, int]:
+    """Filters of the words and pairs, and of three words, that occur `least` times within a lang; their number."""
 
     def words_and_pairs(hashed: _Hashed, lang: str, tokens: list[bytes]) -> list[np.ndarray]:
         _, single, _, pair, _ = hashed.of(lang, tokens)
         return [single, pair]
 
-    short = _filter(_hash_counts(docs, words_and_pairs, least))
+    short, n_short = _filter(_hash_counts(docs, words_and_pairs, least))
 
     def threes(hashed: _Hashed, lang: str, tokens: list[bytes]) -> list[np.ndarray]:
         _, _, two, pair, plain = hashed.of(lang, tokens)
         return [_threes(short.value, two, pair, plain)[2]]
 
-    return short, _filter(_hash_counts(docs, threes, least))
+    long, n_long = _filter(_hash_counts(docs, threes, least))
+    return short, long, n_short + n_long
+
 
+def _texts(values: list, depth: int) -> pa.Array:
+    """Nested lists of bytes as lists of strings."""
+    raw, text = pa.binary(), pa.string()
+    for _ in range(depth):
+        raw, text = pa.list_(raw), pa.list_(text)
+    return pa.array(values, raw).cast(text)
 
-def partial_stripes(docs: DataFrame, filters: tuple[Broadcast, Broadcast], longest: int) -> DataFrame:
-    """(lang, prefix, part, next, n): stripes of each task."""
-    short, long = filters
+
+def partial_stripes(docs: DataFrame, runs: tuple[Broadcast, Broadcast, int], longest: int) -> DataFrame:
+    """(lang, bucket, prefix, part, next, n): stripes of each task, a bucket of them a row."""
+    short, long, frequent = runs
+    buckets = frequent // BUCKET_RUNS + 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _Hashed()
@@ -180,16 +197,20 @@ def partial_stripes(docs: DataFrame, filters: tuple[Broadcast, Broadcast], longe
                     after[prefix, hashed.words[last] % PARTS.get(length, 1)].append((last, n))
                 rare = words[lang] - sum(n for (prefix, _), x in after.items() if not prefix for _, n in x)
                 after[b"", 0].append((RARE, rare))
-                keys = list(after)
-                for i in range(0, len(keys), BATCH_ROWS):
-                    some = keys[i : i + BATCH_ROWS]
+                keys: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
+                for prefix, part in after:
+                    keys[(hashed.words[prefix] + part) % buckets].append((prefix, part))
+                packed = list(keys.items())
+                for i in range(0, len(packed), BATCH_BUCKETS):
+                    some = packed[i : i + BATCH_BUCKETS]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([lang] * len(some)),
-                            pa.array([prefix for prefix, _ in some], pa.binary()).cast(pa.string()),
-                            pa.array([part for _, part in some], pa.int32()),
-                            pa.array([[w for w, _ in after[k]] for k in some], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                            pa.array([[n for _, n in after[k]] for k in some], pa.list_(pa.int64())),
+                            pa.array([bucket for bucket, _ in some], pa.int64()),
+                            _texts([[prefix for prefix, _ in x] for _, x in some], 1),
+                            pa.array([[part for _, part in x] for _, x in some], pa.list_(pa.int32())),
+                            _texts([[[w for w, _ in after[k]] for k in x] for _, x in some], 2),
+                            pa.array([[[n for _, n in after[k]] for k in x] for _, x in some], STRIPES.field("n").type),
                         ],
                         schema=STRIPES,
                     )
@@ -218,36 +239,32 @@ def partial_stripes(docs: DataFrame, filters: tuple[Broadcast, Broadcast], longe
 def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
     """(lang, prefix, part, next, n, total): sums of the parts; only frequent entries are listed.
 
-    Rows are sorted by key, so one part of one stripe is in memory at a time.
+    Rows are sorted by bucket, so the stripes of one bucket are in memory at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, entries, out = None, Counter(), []
-
-        def close() -> None:
-            kept = [(w, n) for w, n in entries.items() if w and n >= least]
-            out.append((*key, [w for w, _ in kept], [n for _, n in kept], entries.total()))
+        key, merged = None, {}
 
-        def send() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), MERGED.types)], schema=MERGED)
+        def send() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for (prefix, part), entries in merged.items():
+                kept = [(w, n) for w, n in entries.items() if w and n >= least]
+                rows.append((key[0], prefix, part, [w for w, _ in kept], [n for _, n in kept], entries.total()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), MERGED.types)], schema=MERGED)
 
         for batch in batches:
-            for *this, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if this != key:
-                    if key is not None:
-                        close()
-                        if len(out) >= 20_000:
-                            yield send()
-                            out = []
-                    key, entries = this, Counter()
-                for word, n in zip(words, counts):
-                    entries[word] += n
-        if key is not None:
-            close()
-            yield send()
-
-    keys = ["lang", "prefix", "part"]
-    return stripes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, MERGED_TYPE)
+            for lang, bucket, *stripe in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, bucket) != key:
+                    yield from send()
+                    key, merged = (lang, bucket), {}
+                for prefix, part, words, counts in zip(*stripe):
+                    entries = merged.setdefault((prefix, part), Counter())
+                    for word, n in zip(words, counts):
+                        entries[word] += n
+        yield from send()
+
+    return stripes.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(run, MERGED_TYPE)
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
