@@ -64,11 +64,10 @@ def _chunk_rows(points: DataFrame, cfg: SegmentConfig) -> DataFrame:
 
     The explicit filter makes every reader of this frame ask for the same shuffle.
     """
-    chunk_us = cfg.chunk_hours * 3_600_000_000
     report = F.struct(*ORDER)
     in_chunk = Window.partitionBy(*KEY).orderBy(*ORDER)
     return (
-        points.withColumn("_chunk", F.floor(micros_of(F.col("timestamp")) / F.lit(chunk_us)))
+        points.withColumn("_chunk", chunk_of(cfg))
         .filter(F.col("mmsi").isNotNull() & F.col("_chunk").isNotNull())
         .repartition(*KEY)
         .withColumn("_cur", report)
@@ -83,11 +82,10 @@ def _chunk_rows(points: DataFrame, cfg: SegmentConfig) -> DataFrame:
     )
 
 
-def _chain_chunks(rows: DataFrame, points: DataFrame, cfg: SegmentConfig) -> DataFrame:
-    """One row per chunk: the report before it, the step across the border, breaks before it.
+def _summarise_chunks(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """One row per chunk: its first and last report, its breaks, and the usable rows per local segment in `_parts`.
 
-    The last report is kept whole so that this branch reads the same shuffle as
-    the rows themselves. `_parts` holds the usable rows per local segment.
+    The last report is kept whole so that this branch reads the same shuffle as the rows themselves.
     """
     whole = F.struct(*ORDER, *[c for c in points.columns if c not in ORDER])
     usable = lambda c: F.when(F.col("_ok"), c)
@@ -101,12 +99,16 @@ def _chain_chunks(rows: DataFrame, points: DataFrame, cfg: SegmentConfig) -> Dat
             F.max(usable(F.col("timestamp"))).alias("t1"),
         ).alias("_sum"),
     )
-    chunks = per_segment.groupBy(*KEY).agg(
+    return per_segment.groupBy(*KEY).agg(
         F.min("_head").alias("_head"),
         F.max("_tail").alias("_tail"),
         F.max("_local").alias("_inside"),
         F.collect_list(F.struct("_local", "_sum")).alias("_parts"),
     )
+
+
+def _chain_chunks(chunks: DataFrame, cfg: SegmentConfig) -> DataFrame:
+    """Adds the report before each chunk, the step across the border and the breaks before it."""
     over_time = Window.partitionBy("mmsi").orderBy("_chunk")
     upto = over_time.rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -169,7 +171,7 @@ def _with_ids(rows: DataFrame) -> DataFrame:
 def segment_points(points: DataFrame, cfg: SegmentConfig = SegmentConfig()) -> DataFrame:
     """All motion features, break flags, segment numbers and trajectory ids, no row dropped."""
     rows = _chunk_rows(points, cfg)
-    chunks = _chain_chunks(rows, points, cfg).select(*KEY, "_before", "_hin", "_hnew", "_base")
+    chunks = _chain_chunks(_summarise_chunks(rows, points), cfg).select(*KEY, "_before", "_hin", "_hnew", "_base")
     return _with_ids(add_motion_features(_resolve(rows.join(chunks, list(KEY)), points)))
 
 
@@ -181,7 +183,31 @@ def build_segments(points: DataFrame, cfg: SegmentConfig = SegmentConfig()) -> D
     keep_long_segments(drop_invalid_steps(segment_points(points))).
     """
     rows = _chunk_rows(points, cfg)
-    chunks = _long_segments_by_chunk(_chain_chunks(rows, points, cfg), cfg)
+    chunks = _long_segments_by_chunk(_chain_chunks(_summarise_chunks(rows, points), cfg), cfg)
+    return _kept_rows(rows, chunks, points)
+
+
+def chunk_of(cfg: SegmentConfig) -> Column:
+    """Number of the time chunk of a report."""
+    return F.floor(micros_of(F.col("timestamp")) / F.lit(cfg.chunk_hours * 3_600_000_000))
+
+
+def chunk_summaries(points: DataFrame, cfg: SegmentConfig) -> DataFrame:
+    """One row per vessel and chunk that later chunks can be chained to without reading its reports again."""
+    return _summarise_chunks(_chunk_rows(points, cfg), points)
+
+
+def chain_summaries(summaries: DataFrame, cfg: SegmentConfig) -> DataFrame:
+    """What each chunk with a long trajectory needs from the chunks around it; all chunks of a vessel at once."""
+    return _long_segments_by_chunk(_chain_chunks(summaries, cfg), cfg).withColumn("_keep", F.array_sort("_keep"))
+
+
+def segments_of_chunks(points: DataFrame, chain: DataFrame, cfg: SegmentConfig) -> DataFrame:
+    """The rows of build_segments that lie in the chunks of `points`, given their rows of the chain."""
+    return _kept_rows(_chunk_rows(points, cfg), chain, points)
+
+
+def _kept_rows(rows: DataFrame, chunks: DataFrame, points: DataFrame) -> DataFrame:
     border = F.col("_prev").isNull()
     wanted = rows.join(chunks, list(KEY)).filter(
         F.when(border, F.col("_hok")).otherwise(F.col("_ok")) & F.array_contains("_keep", F.col("_local"))
