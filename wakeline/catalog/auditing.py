@@ -16,8 +16,9 @@ from wakeline.operators import audit as Q, evaluate as E, land as L, lookup as U
 from wakeline.operators.clean import clean
 from wakeline.operators.windows import cap_per_trajectory, window_id
 from wakeline.plans import adapter as A, jobs
+from wakeline.plans.increments import SegmentState
 from wakeline.sources import ais_csv, datasets, days, tables
-from wakeline.sources.scratch import new_path
+from wakeline.sources.scratch import materialize, new_path
 from wakeline.streaming import ingest
 
 
@@ -622,6 +623,20 @@ def s15(spark, sf):
     return G.trajectory_stats(G.build_segments(_ingest(spark, sf), A.SEGMENTS))
 
 
+@query("s15_incremental_segments", STATS, "SELECT * FROM long_stats")
+def s15_incremental(spark, sf):
+    """Segments kept up to date: the middle days first, then the days ahead of and after them, by file day."""
+    pts = A.points(spark, sf)
+    first, last = _day_range(pts)
+    filed = materialize(_files_of_days(pts), "filed-points")
+    middle = first + (last - first) / 2
+    state = SegmentState(spark, new_path(spark, "segment-state"), A.SEGMENTS)
+    day = F.col("file_day")
+    for part in (day.between(middle, middle + dt.timedelta(days=2)), day < middle, day > middle + dt.timedelta(days=2)):
+        state.append(filed.filter(part).drop("file_day"))
+    return G.trajectory_stats(state.segments())
+
+
 @query("s02_mixed_headers", POINTS, POINTS_SQL)
 def s02_mixed(spark, sf):
     """Points of one folder with old names, new names and another column order."""

@@ -106,10 +106,15 @@ def e14(spark, sf):
 _contexts = ", ".join(f"('{c}')" for c in [*COLUMNS, "probe"])
 
 
-@query("e15_forest_importance", "context:s n_features:i total:d leader:s", f"""
+@query("e15_forest_importance", "context:s feature:s importance:d")
+def e15(spark, sf):
+    return X.forest_importance(flat(spark, sf), list(M.DESCRIPTIVE), COLUMNS)
+
+
+@query("e15_importance_invariants", "context:s n_features:i total:d leader:s", f"""
     SELECT context, {len(M.DESCRIPTIVE)} AS n_features, 1.0::DOUBLE AS total, CASE WHEN context = 'probe' THEN 'mean_sog' ELSE '' END AS leader
     FROM (VALUES {_contexts}) t(context)""")
-def e15(spark, sf):
+def e15_invariants(spark, sf):
     """Importances of a context sum to 1; a weight made from one feature alone names that feature."""
     table = flat(spark, sf).withColumn("probe", F.col("mean_sog") * 2 + 1)
     found = X.forest_importance(table, list(M.DESCRIPTIVE), [*COLUMNS, "probe"], trees=20)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from wakeline.catalog.base import hav, pct, query
 from wakeline.catalog.windowing import _win
 from wakeline.constants import FEATURES
+from wakeline.functions.geo import haversine_km
 from wakeline.functions.ranking import percentile_columns
 from wakeline.operators import baselines as B, evaluate as E, motion as M, split as P, windows as W
 from wakeline.plans import adapter as A
@@ -254,14 +255,24 @@ def b05_kinematic(spark, sf):
     return _rolled(spark, sf, "kinematic")
 
 
-@query("b06_horizon_regression", "target:s n_train:i n_rest:i train_mean_residual:d largest_moment:d", """
+def _regression(spark, sf) -> DataFrame:
+    return B.fit_horizon_regression(A.stored_windows(spark, sf), 12.0, STEP, A.N, F.col("mmsi") % 5 != 4)
+
+
+@query("b06_horizon_regression", "window_id:s is_train:b true_lat:d true_lon:d pred_lat:d pred_lon:d error_km:d")
+def b06(spark, sf):
+    """Every window's forecast at the horizon and its error; the fit reads training windows only."""
+    return _regression(spark, sf).withColumn("error_km", haversine_km(*map(F.col, ("true_lat", "true_lon", "pred_lat", "pred_lon"))))
+
+
+@query("b06_regression_invariants", "target:s n_train:i n_rest:i train_mean_residual:d largest_moment:d", """
     SELECT target, count(*) FILTER (WHERE mmsi % 5 <> 4) AS n_train, count(*) FILTER (WHERE mmsi % 5 = 4) AS n_rest,
            0.0::DOUBLE AS train_mean_residual, 0.0::DOUBLE AS largest_moment
     FROM win, (VALUES ('lat'), ('lon')) t(target) GROUP BY target""")
-def b06(spark, sf):
+def b06_invariants(spark, sf):
     """The fit solves its normal equations: on training rows the residual, and its product with each feature, average to 0."""
     windows = A.stored_windows(spark, sf)
-    out = B.fit_horizon_regression(windows, 12.0, STEP, A.N, F.col("mmsi") % 5 != 4)
+    out = _regression(spark, sf)
     flat = F.flatten(F.transform("hist", lambda s: F.array(*[s[f].cast("double") for f in FEATURES])))
     both = materialize(out.join(windows.select(W.window_id().alias("window_id"), flat.alias("x")), "window_id"), "residuals")
     parts = []

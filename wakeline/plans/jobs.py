@@ -25,9 +25,10 @@ from wakeline.operators.resample import resample
 from wakeline.operators.segment import SegmentConfig, build_segments, trajectory_stats
 from wakeline.operators.split import split_groups
 from wakeline.operators.windows import build_windows
+from wakeline.plans.increments import SegmentState
 from wakeline.sources.ais_csv import read_raw
 from wakeline.sources.datasets import unite_coasts
-from wakeline.sources.days import dataset_label, ingest_days, read_days
+from wakeline.sources.days import dataset_label, ingest_days, points_of_file_days, processed_days
 from wakeline.sources.scratch import materialize
 from wakeline.sources.tables import write_csv, write_table
 
@@ -103,16 +104,21 @@ def incremental_job(
     segment_cfg: SegmentConfig = SegmentConfig(),
     window_cfg: WindowConfig = WindowConfig(),
 ) -> dict[str, str]:
-    """Ingest the days that are not done, then rebuild segments and windows once over all days.
+    """Ingest the days that are not done, bring the segments up to date, and write statistics and windows again.
 
-    Tables carry the label of region and tag in their folder name.
+    Tables carry the label of region and tag in their folder name. Segments are kept as a state that new days are
+    added to: only chunks of time that they change are read and derived again. Days that were ingested
+    by a run that was lost before it added them are added by the next one.
     """
     prepare_session(spark)
     ingest_days(spark, days_dir, start, end, points_of_days)
     root = f"{out_dir}/ais_{dataset_label(region, tag)}_long_horizon"
-    paths = {name: f"{root}/{name}" for name in ("segments", "trajectory_stats", "windows")}
-    write_table(build_segments(read_days(spark, days_dir), segment_cfg), paths["segments"], mode="overwrite")
-    segments = spark.read.parquet(paths["segments"])
+    paths = {name: f"{root}/{name}" for name in ("segment_state", "trajectory_stats", "windows")}
+    state = SegmentState(spark, paths["segment_state"], segment_cfg)
+    new = sorted(d for d in processed_days(spark, days_dir) if d.toordinal() not in state.sources())
+    if new:
+        state.append(points_of_file_days(spark, days_dir, new), [d.toordinal() for d in new])
+    segments = state.segments()
     write_csv(trajectory_stats(segments), paths["trajectory_stats"], mode="overwrite")
     write_table(windows_of(segments, window_cfg), paths["windows"], mode="overwrite")
     return paths

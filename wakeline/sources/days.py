@@ -56,6 +56,11 @@ def ingest_days(spark: SparkSession, days_dir: str, start: dt.date, end: dt.date
     return wanted
 
 
+def points_of_file_days(spark: SparkSession, days_dir: str, days: list[dt.date]) -> DataFrame:
+    """The points of the files of some days, copies included; other folders are not read."""
+    return spark.read.parquet(days_dir).filter(F.col("file_day").isin(days)).drop("file_day")
+
+
 def read_days(spark: SparkSession, days_dir: str) -> DataFrame:
     """All cleaned days as one table of points; a report that several files hold is one row."""
     from wakeline.operators.clean import deduplicate
