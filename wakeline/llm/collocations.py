@@ -72,6 +72,13 @@ MERGED_TYPE = "lang string, prefix string, part int, next array<string>, n array
 RARE = b""
 
 
+#: A decimal product has the digits of both sides and one more: 4 + 16 + 1 and 16 + 1, and 16 + 16 + 1.
+SCORE = (
+    "cast(1000 as decimal(4,0)) * cast(a as decimal(16,0)) * cast(words as decimal(16,0))"
+    " div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))"
+)
+
+
 def tokens_of(text: bytes | None) -> list[bytes]:
     """Words, and `;` wherever a piece ends."""
     return text.translate(PIECE_BYTES).replace(b";", b" ; ").split() if text else []
@@ -304,12 +311,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) ->
         .join(totals.toDF("lang", "rest", "r"), ["lang", "rest"])
         .join(sizes, "lang")
     )
-    # a decimal product has the digits of both sides and one more: 4 + 16 + 1, and 16 + 1
-    score = F.expr(
-        "cast(1000 as decimal(4,0)) * cast(a as decimal(16,0)) * cast(words as decimal(16,0))"
-        " div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))"
-    )
-    lowest = F.min(F.struct(score.alias("score"), "k", "l", "r"))
+    lowest = F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r"))
     return (
         scored.groupBy("lang", "phrase", "a")
         .agg(lowest.alias("cut"), F.first("words").alias("n"))

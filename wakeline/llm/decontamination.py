@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from wakeline.sources.scratch import materialize
 WINDOW = 13
 SHARE = 0.05
 SHARD_WORDS, SHARD_DOCS = 500_000, 20_000
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 3_200_000
 #: ASCII bytes outside 0-9 and letters become spaces, A-Z become a-z, other bytes stay.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -81,7 +82,7 @@ class Phrases:
 class Shard:
     """Documents of a task: retained runs with the document and word that each symbol comes from."""
 
-    def __init__(self, phrases: Phrases) -> None:
+    def __init__(self, phrases: SimpleNamespace) -> None:
         self.phrases, self.ids, self.rows_of, self.n_words, self.size = phrases, [], [], [], 0
         self.symbols: list[np.ndarray] = []
         self.docs: list[np.ndarray] = []
@@ -138,16 +139,18 @@ class Shard:
 
 
 def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+    # plain values: what is broadcast must load where this package isn't installed
+    tables = docs.sparkSession.sparkContext.broadcast(vars(Phrases(items, window)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(phrases.value)
+        phrases = SimpleNamespace(**tables.value)
+        shard = Shard(phrases)
         for batch in batches:
             for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text")):
                 shard.add(doc_id, row, text)
                 if shard.size >= SHARD_WORDS or len(shard.ids) >= SHARD_DOCS:
                     yield shard.rows()
-                    shard = Shard(phrases.value)
+                    shard = Shard(phrases)
         if shard.ids:
             yield shard.rows()
 

@@ -9,18 +9,20 @@ same surrogate, and an address or number written in two ways is one entity.
 
 All distinct entities are collected in a table (never on the driver); a surrogate that is also drawn by a
 smaller entity, or that is a real entity of the corpus, is drawn again with the next attempt number, until
-none collides. Texts are then replaced in place; only entities with a later attempt, which random draws make
+none collides; from the fifth draw on surrogates get longer, so even one-letter addresses find one. Texts are then replaced in place; only entities with a later attempt, which random draws make
 rare, are joined to their documents.
 
 Null text stays null, empty text empty, and text without entities is unchanged. Rows are independent but for
-the table of entities, so repeated rows get equal results. The key is a parameter; without it surrogates
-can't be linked to entities.
+the table of entities, so repeated rows get equal results. The key is a parameter or a setting, and required;
+without it surrogates can't be linked to entities.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -30,8 +32,11 @@ from pyspark.sql import functions as F
 from wakeline.llm.common import by_batch, table
 from wakeline.sources.scratch import materialize
 
-#: Setting that holds the key; the default is for tests only.
-KEY_SETTING, DEFAULT_KEY = "spark.wakeline.surrogateKey", "wakeline"
+#: Setting that holds the key.
+KEY_SETTING = "spark.wakeline.surrogateKey"
+#: From this attempt on a surrogate gets longer with each draw, so that short formats don't run out of surrogates;
+#: formats of fixed length (addresses of machines) have 2^32 of them and more. No entity is drawn more often than this.
+WIDER_FROM, MOST_ATTEMPTS = 4, 60
 
 #: Titles and given names by gender.
 TITLES = {
@@ -133,30 +138,31 @@ def canonical(kind: str, text: str) -> str:
 def substitute(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """Canonical surrogate of a canonical entity."""
     draw = Draw(key, kind, value, attempt)
+    longer = max(0, attempt - WIDER_FROM + 1)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
         named = Draw(key, "domain", domain, 0)  # addresses of one domain stay together
-        return f"{pour(draw, local)}@{'.'.join(pour(named, x) for x in labels[:-1])}.{labels[-1]}"
+        return f"{pour(draw, local)}{pour(draw, 'x0' * longer)}@{'.'.join(pour(named, x) for x in labels[:-1])}.{labels[-1]}"
     if kind == "ipv4":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
-        body = value[0] + pour(draw, value[1:-1])
+        body = value[0] + pour(draw, value[1:-1] + "0" * longer)
         right = luhn_digit(body)
         return body + (right if luhn_digit(value[:-1]) == value[-1] else str((int(right) + 1 + draw.below(9)) % 10))
     if kind == "phone":
-        return (str(2 + draw.below(8)) if len(value) == 10 else "") + pour(draw, value[len(value) == 10 :])
+        return (str(2 + draw.below(8)) if len(value) == 10 else "") + pour(draw, value[len(value) == 10 :] + "0" * longer)
     if kind == "ssn":
-        return f"{100 + draw.below(566):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
+        return f"{100 + draw.below(566):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}" + pour(draw, "0" * longer)
     if kind == "iban":
-        body = pour(draw, value[4:]).lower()
+        body = pour(draw, value[4:] + "0" * longer).lower()
         number = "".join(str(int(c, 36)) for c in body + value[:2] + "00")
         return f"{value[:2]}{98 - int(number) % 97:02d}{body}"
     if kind in ("mac", "ipv6"):
         return "".join("0123456789abcdef"[draw.below(16)] if c.isalnum() else c for c in value)
     if kind == "secret":
         head = value[:4] if value[:4] in ("AKIA", "ASIA") else ""
-        return head + pour(draw, value[len(head) :])
+        return head + pour(draw, value[len(head) :] + "x0" * longer)
     # names: syllables of the script; given names end as their gender often does
     consonants, vowels = ALPHABETS["cyrillic" if re.search("[а-яё]", value) else "latin"]
     size = 2 + draw.below(2) + attempt // 4
@@ -177,6 +183,8 @@ def refill(kind: str, found: str, surrogate: str) -> str:
             if rest and re.match(keep, out[k]):
                 c = rest.pop()
                 out[k] = c.upper() if out[k].isupper() or kind == "iban" or (kind == "mac" and found.upper() == found) else c
+        if rest:  # a surrogate longer than the entity
+            out.insert(re.search(keep, found).start(), "".join(rest).upper() if kind == "iban" else "".join(rest))
         return "".join(out)
     return surrogate.upper() if found.isupper() else surrogate[:1].upper() + surrogate[1:]
 
@@ -199,9 +207,12 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             given = (k < len(words) - 1 and len(words) > 1) or (len(words) == 1 and known and not m["title"])
             names.setdefault(w, f"given-{known or gender or 'x'}" if given else "family")
     if names:
-        spans = [s[:2] for s in found]
+        spans = sorted(s[:2] for s in found)
+        ends = list(accumulate((b for _, b in spans), max))
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)", text):
-            if all(m.end() <= a or m.start() >= b for a, b in spans):
+            # spans that start before the name ends; the last end among them says whether one meets it
+            before = bisect_left(spans, (m.end(),))
+            if not before or ends[before - 1] <= m.start():
                 found.append((m.start(), m.end(), names[m[0]], m[0].casefold()))
     return sorted(found)
 
@@ -222,7 +233,7 @@ def later_attempts(docs: DataFrame, key: bytes) -> DataFrame | None:
 
     every = docs.select("text").mapInArrow(by_batch(ENTITIES, entities), "kind string, value string").distinct()
     state = materialize(every.withColumn("attempt", F.lit(0)), "entities")
-    while True:
+    for _ in range(MOST_ATTEMPTS):
         named = materialize(state.withColumn("surrogate", drawn("kind", "value", "attempt")), "surrogates")
         owner = named.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"))
         taken = named.join(owner, ["kind", "surrogate"]).where("value != owner").select("kind", "value")
@@ -234,6 +245,8 @@ def later_attempts(docs: DataFrame, key: bytes) -> DataFrame | None:
             state.join(again, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")),
             "entities",
         )
+    else:
+        raise ValueError(f"a kind of entity has more values than surrogates after {MOST_ATTEMPTS} draws")
     late = state.where("attempt > 0")
     return None if late.isEmpty() else late
 
@@ -241,7 +254,10 @@ def later_attempts(docs: DataFrame, key: bytes) -> DataFrame | None:
 def replace_entities(docs: DataFrame, key: str | None = None, into: str = "_private") -> DataFrame:
     """`docs` with a struct column: text with surrogates and the entities (kind, start and end in the old text)."""
     spark = docs.sparkSession
-    secret = hashlib.sha256((key or spark.conf.get(KEY_SETTING, DEFAULT_KEY)).encode()).digest()
+    key = key or spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"Give a key or set {KEY_SETTING}: whoever knows it can tell which surrogate stands for what")
+    secret = hashlib.sha256(key.encode()).digest()
     late = later_attempts(docs, secret)
 
     def rewrite(text: str | None, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list]:
@@ -298,6 +314,7 @@ def replace_entities(docs: DataFrame, key: str | None = None, into: str = "_priv
 
 def op2_surrogates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_entities(docs).select(
+    # the tables of this query are synthetic; real ones need a key of their own
+    return replace_entities(docs, spark.conf.get(KEY_SETTING, "synthetic-tables")).select(
         "doc_id", F.col("_private.text").alias("text"), F.size("_private.entities").cast("long").alias("n_entities")
     )
