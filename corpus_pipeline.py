@@ -1,8 +1,8 @@
 """From documents to a training mix: five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the
-columns of their input. Decisions are joined back by doc_id as lists of what goes, so a row with a null
-doc_id stays.
+columns of their input. Ids may be null or repeated, so the stages that drop rows number them once, write them
+with their numbers, and decide by number.
 """
 
 from __future__ import annotations
@@ -15,9 +15,19 @@ from wakeline.llm.common import table
 from wakeline.sources.scratch import materialize
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number in `_pipeline_row`; written, so that all passes see the same numbers."""
+    return materialize(docs.withColumn("_pipeline_row", F.monotonically_increasing_id()), "numbered-rows")
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with the number of the row as its id."""
+    return rows.select(F.col("_pipeline_row").alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    numbers = gone.select(F.col("doc_id").alias("_pipeline_row"))
+    return rows.join(numbers, "_pipeline_row", "left_anti").drop("_pipeline_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +45,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id."""
-    return _without(docs, near_dedup.near_duplicates(docs).where("doc_id != class_id"))
+    """One row of each class, the first of them. Rows without words are classes of their own."""
+    rows = _numbered(docs)
+    return _without(rows, near_dedup.near_duplicates(_as_documents(rows)).where("doc_id != class_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    """Rows that are not contaminated by the benchmark."""
+    rows = _numbered(docs)
+    found = decontamination.find_contamination(_as_documents(rows), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
