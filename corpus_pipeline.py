@@ -45,9 +45,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class, the first of them. Rows without words are classes of their own."""
+    """One row of each class, one with the smallest doc_id. Rows without words are classes of their own."""
     rows = _numbered(docs)
-    return _without(rows, near_dedup.near_duplicates(_as_documents(rows)).where("doc_id != class_id"))
+    found = near_dedup.near_duplicates(_as_documents(rows)).select(F.col("doc_id").alias("_pipeline_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_pipeline_row"))["_pipeline_row"]
+    stay = found.join(rows.select("_pipeline_row", "doc_id"), "_pipeline_row").groupBy("class_id").agg(first.alias("_pipeline_row"))
+    gone = found.join(stay, "_pipeline_row", "left_anti")
+    return _without(rows, gone.select(F.col("_pipeline_row").alias("doc_id")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
