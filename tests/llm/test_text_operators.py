@@ -575,7 +575,7 @@ def test_pipeline_stages(spark, docs, folder, rows):
 
 
 def test_every_query_runs(spark, folder):
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in registry.QUERIES) == list(range(1, 14))
     for name in ("op1_page_text", "op3_quality_rules", "op5_quality_model", "op6_fair_mix", "op8_language_id"):
         df = registry.QUERIES[name](spark, folder)
         assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
