@@ -47,6 +47,22 @@ def test_ordered_rank_with_hot_ties(spark):
     assert list(ties.id) == sorted(ties.id, key=lambda i: hashlib.md5(f"0|{i}".encode()).hexdigest())
 
 
+def test_average_ranks_of_many_columns(spark):
+    df = numbers(spark).select("id", "v", (F.col("id") % 7).alias("few"), F.lit(1).alias("same"), F.cos(F.col("id").cast("double")).alias("w"))
+    stored = K.materialize(df, "average-ranks")
+    pdf = df.toPandas().sort_values("id")
+    got = K.average_ranks(stored, ["v", "few", "same", "w"], "id").toPandas().sort_values("id")
+    for c in ("v", "few", "same", "w"):
+        assert np.allclose(got[c].to_numpy(), pdf[c].rank(method="average").to_numpy())
+
+
+def test_average_ranks_use_the_same_exchanges_for_any_number_of_columns(spark):
+    df = numbers(spark)
+    stored = K.materialize(df.select("id", *[(F.col("v") * k).alias(f"c{k}") for k in range(1, 7)]), "average-ranks")
+    plans = [K.average_ranks(stored, [f"c{k}" for k in range(1, n + 1)], "id")._jdf.queryExecution().executedPlan().toString() for n in (1, 6)]
+    assert plans[0].count("Exchange hashpartitioning") == plans[1].count("Exchange hashpartitioning")
+
+
 def test_hash_rank_and_cut(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2 == 0).alias("even"))
     order = sorted((str(i) for i in range(3000)), key=lambda k: hashlib.md5(f"42|{k}".encode()).hexdigest())

@@ -150,6 +150,43 @@ def ordered_rank(df: DataFrame, value: str, keys: Sequence[str], seed: int = 0,
     )
 
 
+def average_ranks(stored: DataFrame, values: Sequence[str], row: str) -> DataFrame:
+    """Exact average ranks (from 1, ties share their mean) of several columns, in columns of the same names.
+
+    stored must be a written table without nulls in `values`, and `row` a column that tells its rows apart.
+    All columns are ranked in one exchange: each row becomes one slim entry per column, dealt by column and
+    bucket of a quantile sketch; a second exchange brings the ranks of a row together. A value that holds more
+    than a bucket's share of rows is an edge: its rank follows from counts alone, so its entries are spread by
+    hash and not ordered. What is broadcast is a count per column and bucket.
+    """
+    edges = _edges(stored, values)
+    entries = [
+        F.struct(
+            F.lit(i).alias("column"),
+            F.col(v).cast("double").alias("v"),
+            F.expr(_bucket_case(v, [*edges[v], float("inf")], 0, len(edges[v]))).alias("bucket"),
+        )
+        for i, v in enumerate(values)
+    ]
+    tall = stored.select(F.col(row).alias("row"), F.inline(F.array(*entries)))
+    on_edge = F.col("bucket") % 2 == 1
+    counts = tall.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.withColumn("before", F.sum("n").over(Window.partitionBy("column").orderBy("bucket")) - F.col("n"))
+    dealt = tall.withColumn("part", F.when(on_edge, F.pmod(F.xxhash64("row"), F.lit(256))).otherwise(F.lit(0)))
+    bucket = ["column", "bucket", "part"]
+    ranked = (
+        dealt.withColumn("lowest", F.rank().over(Window.partitionBy(*bucket).orderBy("v")))
+        .withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*bucket, "v")))
+        .join(F.broadcast(offsets), ["column", "bucket"])
+    )
+    average = F.col("before") + F.when(on_edge, (F.col("n") + 1) / 2).otherwise(F.col("lowest") + (F.col("ties") - 1) / 2)
+    return (
+        ranked.groupBy("row")
+        .agg(*[F.max(F.when(F.col("column") == i, average)).alias(v) for i, v in enumerate(values)])
+        .withColumnRenamed("row", row)
+    )
+
+
 def exact_percentiles(
     df: DataFrame,
     values: Sequence[str],

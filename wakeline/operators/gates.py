@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wakeline.functions.ranking import exact_percentiles, ordered_ranks, percentile_columns
+from wakeline.functions.ranking import average_ranks, exact_percentiles, percentile_columns
 from wakeline.functions.series import total
 from wakeline.operators.motion import bucket_names
 from wakeline.sources.scratch import materialize
@@ -94,16 +94,16 @@ def tercile_weights(table: DataFrame, feature: str, labels: Sequence[str]) -> Da
     return slim.groupBy(part.alias("motion")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(w).alias(w) for w in labels])
 
 
-def spearman(table: DataFrame, features: Sequence[str], labels: Sequence[str], key: str = "window_id") -> DataFrame:
+def spearman(table: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """Rank correlation of each feature with each weight, largest absolute value first.
 
-    Each column is ranked over the whole table with average ranks for ties.
+    Each column is ranked over the whole table with average ranks for ties. Rows with a null in a column are left
+    out. All columns share one exchange (average_ranks); the correlations of all pairs are one aggregate.
     """
     columns = [*features, *labels]
-    slim = materialize(table.select(key, *columns).na.drop(subset=columns), "spearman")
-    ranked = materialize(
-        ordered_ranks(slim, columns, [key]).select(*[F.col(f"{c}_rank_avg").alias(c) for c in columns]), "ranks"
-    )
+    slim = table.select(*columns).na.drop().withColumn("_row", F.monotonically_increasing_id())
+    # Written, so that every pass sees the same row numbers.
+    ranked = average_ranks(materialize(slim, "spearman"), columns, "_row")
     pairs = [
         F.struct(F.lit(f).alias("feature"), F.lit(w).alias("context"), F.corr(f, w).alias("r"))
         for f in features
