@@ -5,7 +5,8 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 largest doc_id that holds them. Documents are told apart by doc_id.
 
 Pass 1 builds the filters of keys seen once and seen twice (bloom.py). Pass 2 emits the keys that may
-occur twice, each once per document, as 128-bit digests; these are counted exactly. Pass 3 drops lines.
+occur twice, each once per document, as 128-bit digests; these are counted exactly. Pass 3 drops lines; only texts
+that lose a line are shuffled.
 
 Null and empty text: one empty line, kept. A null doc_id takes part in no count and keeps its text.
 Rows that repeat a doc_id are one document for the counts and lose the same lines.
@@ -108,11 +109,12 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "text"])
 
     gone = repeated_lines(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "_line_doc", "keys": "_line_keys"})
-    return (
-        docs.join(gone, F.col("doc_id") == F.col("_line_doc"), "left")
-        .withColumn(into, kept(F.col("text"), F.col("_line_keys")))
-        .drop("_line_doc", "_line_keys")
-    )
+    gone = materialize(gone, "line-losses")
+    # Only texts that lose a line meet their losses by shuffle.
+    touched = bloom.may_hold(gone.select("_line_doc"))(F.col("doc_id").cast("long"))
+    met = docs.where(touched).join(gone, F.col("doc_id") == F.col("_line_doc"), "left").drop("_line_doc")
+    rest = docs.where(~touched).withColumn("_line_keys", F.lit(None).cast(gone.schema["_line_keys"].dataType))
+    return met.unionByName(rest).withColumn(into, kept(F.col("text"), F.col("_line_keys"))).drop("_line_keys")
 
 
 def op10_line_dedup(spark, sf_dir):
