@@ -20,7 +20,8 @@ Pointers of adjoining pieces that continue each other join into one factor. All
 joins by hash; no group is ever in one task, and a hot passage is one row per task after partial sums.
 
 Null text has no words. Texts of fewer than `WINDOW` words are kept whole, and so are rows with a null
-doc_id. Rows that repeat a doc_id are one document: equal ones do not count as each other's copies.
+doc_id. Rows that repeat a doc_id and text are one document and do not count as each other's copies. Different texts
+with one doc_id are documents of their own, in the order of a 64-bit digest of the text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
@@ -75,9 +76,9 @@ def parsed(text: bytes | None, hashes: WordHashes) -> Parsed | None:
 
 
 RUNS = pa.schema(
-    [("seed", pa.int64()), ("a", pa.int64()), ("twin", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
+    [("seed", pa.int64()), ("a", pa.int64()), ("twin", pa.bool_()), ("doc_id", pa.int64()), ("text_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
 )
-WINDOWS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32())])
+WINDOWS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("text_id", pa.int64()), ("start", pa.int32())])
 
 
 def runs_of(doc: Parsed, suspects: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -96,10 +97,19 @@ def runs_of(doc: Parsed, suspects: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc.seeds[edge][keep], a[keep], twin[keep], edge[keep], size[keep]
 
 
-def find_factors(docs: DataFrame, blocks: int = FILTER_BLOCKS) -> DataFrame:
-    """(doc_id, start, n, ref_doc, ref_start): n windows from `start` on that also start at ref_doc, ref_start."""
+def text_number(docs: DataFrame) -> Column:
+    """0, or a digest of the text for doc_ids that may have several texts, which it tells apart."""
+    digest, doc = F.xxhash64("text"), F.col("doc_id").cast("long")
+    ids = docs.where("doc_id is not null").groupBy(doc.alias("doc")).agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    shared = materialize(ids.where("low != high").select("doc"), "passage-shared-ids")
+    return F.lit(0).cast("long") if shared.isEmpty() else F.when(bloom.may_hold(shared)(doc), digest).otherwise(F.lit(0))
+
+
+def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS) -> DataFrame:
+    """(doc_id, text_id, start, n, ref_doc, ref_start): n windows from `start` on that also start at ref_doc, ref_start."""
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    slim = docs.where("doc_id is not null and text is not null").select(doc_id, text_id.alias("text_id"), "text")
     hashes = WordHashes()
 
     def seeds(batch: pa.RecordBatch) -> np.ndarray:
@@ -109,31 +119,33 @@ def find_factors(docs: DataFrame, blocks: int = FILTER_BLOCKS) -> DataFrame:
     common = spark.sparkContext.broadcast(bloom.twice_filter(slim, seeds, blocks))
 
     def runs(batch: pa.RecordBatch) -> list:
-        found, ids = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
+        found, ids, texts = [], [], []
+        for doc_id, text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text")):
             if d := parsed(text, hashes):
                 suspects = bloom.suspected(common.value, d.seeds)
                 if suspects.any():
                     found.append(runs_of(d, suspects))
                     ids.append(np.full(len(found[-1][0]), doc_id))
+                    texts.append(np.full(len(found[-1][0]), text_id))
         if not found:
             return [[] for _ in RUNS]
         seed, a, twin, start, n = map(np.concatenate, zip(*found))
-        return [signed(seed), signed(a), twin, np.concatenate(ids), start.astype(np.int32), n.astype(np.int32)]
+        return [signed(seed), signed(a), twin, np.concatenate(ids), np.concatenate(texts), start.astype(np.int32), n.astype(np.int32)]
 
-    schema = "seed long, a long, twin boolean, doc_id long, start int, n int"
+    schema = "seed long, a long, twin boolean, doc_id long, text_id long, start int, n int"
     rows = materialize(slim.mapInArrow(by_batch(RUNS, runs), schema), "passage-runs")
     firsts = materialize(
         rows.groupBy("seed", "a").agg(
-            F.min(F.struct("doc_id", "start")).alias("ref"),
+            F.min(F.struct("doc_id", "text_id", "start")).alias("ref"),
             F.count("*").alias("times"),
             F.max("twin").alias("twin"),
         ),
         "passage-firsts",
     )
-    known = firsts.where("times > 1").select("seed", "a", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
-    earlier = (F.col("doc_id") != F.col("ref_doc")) | (F.col("start") != F.col("ref_start"))
-    whole = rows.join(known, ["seed", "a"]).where(earlier).select("doc_id", "start", "n", "ref_doc", "ref_start")
+    pointer = [F.col("ref.doc_id").alias("ref_doc"), F.col("ref.text_id").alias("ref_text"), F.col("ref.start").alias("ref_start")]
+    known = firsts.where("times > 1").select("seed", "a", *pointer)
+    earlier = (F.col("doc_id") != F.col("ref_doc")) | (F.col("text_id") != F.col("ref_text")) | (F.col("start") != F.col("ref_start"))
+    whole = rows.join(known, ["seed", "a"]).where(earlier).select("doc_id", "text_id", "start", "n", "ref_doc", "ref_start")
 
     # Seeds of several different runs, or of a run that repeats a window within itself.
     def contested(batch: pa.RecordBatch) -> np.ndarray:
@@ -144,25 +156,25 @@ def find_factors(docs: DataFrame, blocks: int = FILTER_BLOCKS) -> DataFrame:
 
     def boundary(batch: pa.RecordBatch) -> list:
         found = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
+        for doc_id, text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text")):
             if d := parsed(text, hashes):
                 at = np.flatnonzero(bloom.suspected(open_seeds.value, d.seeds) & bloom.suspected(common.value, d.seeds))
                 if len(at):
-                    found.append((d.windows()[at], d.seeds[at].astype(np.uint32), np.full(len(at), doc_id), at))
+                    found.append((d.windows()[at], d.seeds[at].astype(np.uint32), np.full(len(at), doc_id), np.full(len(at), text_id), at))
         if not found:
             return [[] for _ in WINDOWS]
-        h, c, ids, at = map(np.concatenate, zip(*found))
-        return [signed(h), c.view(np.int32), ids, at.astype(np.int32)]
+        h, c, ids, texts, at = map(np.concatenate, zip(*found))
+        return [signed(h), c.view(np.int32), ids, texts, at.astype(np.int32)]
 
-    single = materialize(slim.mapInArrow(by_batch(WINDOWS, boundary), "h long, c int, doc_id long, start int"), "passage-windows")
+    single = materialize(slim.mapInArrow(by_batch(WINDOWS, boundary), "h long, c int, doc_id long, text_id long, start int"), "passage-windows")
     places = materialize(
         single.groupBy("h", "c")
-        .agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.count("*").alias("times"))
+        .agg(F.min(F.struct("doc_id", "text_id", "start")).alias("ref"), F.count("*").alias("times"))
         .where("times > 1")
-        .select("h", "c", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start")),
+        .select("h", "c", *pointer),
         "passage-places",
     )
-    parts = single.join(places, ["h", "c"]).where(earlier).select("doc_id", "start", F.lit(1).alias("n"), "ref_doc", "ref_start")
+    parts = single.join(places, ["h", "c"]).where(earlier).select("doc_id", "text_id", "start", F.lit(1).alias("n"), "ref_doc", "ref_start")
     return whole.unionByName(parts)
 
 
@@ -200,15 +212,18 @@ def drop_passages(docs: DataFrame, into: str = "_passages", blocks: int = FILTER
             rows.append((len(words), len(words) - len(stay), b" ".join(stay).decode(), factors))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "text", "factors"])
 
+    text_id = text_number(docs)
     factors = materialize(
-        find_factors(docs, blocks)
-        .groupBy(F.col("doc_id").alias("_passage_doc"))
+        find_factors(docs, text_id, blocks)
+        .groupBy(F.col("doc_id").alias("_passage_doc"), F.col("text_id").alias("_passage_text"))
         .agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("_passage_parts")),
         "passage-factors",
     )
     # Only texts that have a factor meet the factors by shuffle.
     touched = bloom.may_hold(factors.select("_passage_doc"))(F.col("doc_id").cast("long"))
-    met = docs.where(touched).join(factors, F.col("doc_id") == F.col("_passage_doc"), "left").drop("_passage_doc")
+    mine = (F.col("doc_id") == F.col("_passage_doc")) & (F.col("_passage_of") == F.col("_passage_text"))
+    met = docs.where(touched).withColumn("_passage_of", text_id).join(factors, mine, "left")
+    met = met.drop("_passage_doc", "_passage_text", "_passage_of")
     rest = docs.where(~touched).withColumn("_passage_parts", F.lit(None).cast(factors.schema["_passage_parts"].dataType))
     return met.unionByName(rest).withColumn(into, kept(F.col("text"), F.col("_passage_parts"))).drop("_passage_parts")
 
