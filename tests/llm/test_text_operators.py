@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -393,6 +394,15 @@ def test_substring_dedup(docs, rows, nothing):
     assert all(r.n_removed == expected[r.doc_id][1] for r in tight)
 
 
+def test_texts_with_one_id_are_cut_at_their_own_passages(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(60))
+    x = " ".join(f"x{k}" for k in range(5))
+    made = [(1, a), (2, f"{x} {' '.join(a.split()[:30])} {x}"), (2, b), (2, b), (3, f"{x} {b}"), (None, b)]
+    got = substring_dedup.drop_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    left = sorted((str(r.doc_id), r._passages.text) for r in got)
+    assert left == sorted([("1", a), ("2", f"{x} {x}"), ("2", b), ("2", b), ("3", x), ("None", b)])
+
+
 # 8
 def test_suffix_automaton_parses_like_longest_match():
     text = " der die das haus und nicht straße winter "
@@ -405,6 +415,46 @@ def test_suffix_automaton_parses_like_longest_match():
         assert language_id.phrases(word, moves) == count
 
 
+def longest_matches(text: bytes, known: bytes) -> int:
+    count = 0
+    while text:
+        n = 0
+        while n < len(text) and text[: n + 1] in known:
+            n += 1
+        text, count = text[max(n, 1) :], count + 1
+    return count
+
+
+@pytest.mark.parametrize("few", [1, 24, 1000])
+def test_predictions_equal_parsing_each_text(monkeypatch, few):
+    monkeypatch.setattr(language_id, "FEW", few)
+    monkeypatch.setattr(language_id, "SIDE_BY_SIDE", 3000)
+    rng = random.Random(few)
+    prose = [t for t in texts() if t and len(t) < 2000]
+    learned = {lang: language_id.running(language_id.words_of(" ".join(rng.sample(prose, 6)))) for lang in ("a", "b", "c")}
+    models = [language_id.model(lang, known.decode()) for lang, known in learned.items()]
+    asked = [*prose, None, "", "123", "字", "x" * 3000]
+    got = language_id.predictions(asked, models, language_id.Parser(models))
+    for text, (lang, score) in zip(asked, got):
+        words = language_id.words_of(text)
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        bits = {k: longest_matches(language_id.running(words), known) * math.log2(len(known) + 1) for k, known in learned.items()}
+        best = sorted(bits, key=lambda k: (bits[k], k))
+        assert lang == best[0] and score == pytest.approx(bits[best[1]] / (bits[best[0]] + bits[best[1]]))
+
+
+def test_sample_is_bounded_and_rows_are_whole(spark, docs, rows):
+    got = language_id.sample(docs, 5, 900).collect()
+    assert all((r.doc_id, r.lang, r.text) in {(x[0], x[2], x[1]) for x in rows} and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in got)
+    for lang in ("de", "en"):
+        mine = [r for r in got if r.lang == lang]
+        assert 0 < len(mine) <= 5 and sum(len(r.text) for r in mine) <= 900
+    huge = spark.createDataFrame([(1, "y " * 1000, "de"), (3, "kurz", "de"), (3, "kurz", "de")], "doc_id long, text string, lang string")
+    assert [r.text for r in language_id.sample(huge, 5, 900).collect()] == ["kurz"]
+
+
 def test_language_id(spark, docs, rows, nothing):
     found = {r.doc_id: r._language for r in language_id.identify(docs).collect()}
     assert all(0 <= r.score <= 1 for r in found.values())

@@ -1,14 +1,15 @@
 """Language identification by cross-parsing.
 
-A suffix automaton of labelled text is built per language. A text is parsed greedily against each
-automaton: a phrase is the longest match from where the last one ended. The cross-parsing entropy of a
-language is phrases * log2(labelled characters) / characters; the lowest wins, ties go to the smaller name.
-Text is taken as its words (runs of letters, lower-cased, a space on either side), and phrases end at
-word ends, so a word parses alike wherever it stands and a worker parses each word once.
+A suffix automaton of labelled running text is built per language. A text is parsed greedily against each
+automaton: a phrase is the longest match from where the last one ended, across words. The cross-parsing entropy
+of a language is phrases * log2(labelled bytes) / bytes; the lowest wins, ties go to the smaller name.
+Text is taken as its words (runs of letters, lower-cased) with a space before, between and after them, in UTF-8.
 
-Training takes documents that are not held out: per language the first `TRAIN_DOCS` by a hash of doc_id,
-and of their distinct words, most frequent first, as many as fit in `TRAIN_CHARS` (documented bounds on
-the sample). Prediction reads every text as a whole.
+Training takes whole documents that are not held out, in the order of a hash of doc_id, longer ones last: per
+language at most `TRAIN_DOCS`, while they have at most `TRAIN_CHARS` characters together, and at most `ALL_CHARS` for
+all languages. These are documented bounds on the sample of labelled rows; no row is cut. The `LANGUAGES` most
+frequent values of lang are learned. A language that has only texts beyond its bound is not learned.
+Prediction reads every text as a whole: a batch of texts is parsed side by side, a byte of each at a time.
 
 Null text, and text without a letter: `und`, score 0; so is everything if nothing could be learned.
 The score is the runner-up's entropy over the sum of both: 0.5 for a tie; 1 if only one language is known.
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import crc_mod, table
 
-TRAIN_DOCS, TRAIN_CHARS = 400, 50_000
+TRAIN_DOCS, TRAIN_CHARS = 100, 80_000
+ALL_CHARS, LANGUAGES, SALTS = 320_000, 64, 16
 HELD_OUT = (4, 2)
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words whose parses a worker remembers.
-PARSED_WORDS = 200_000
+#: Bytes of text that are parsed side by side; fewer texts than FEW are parsed one by one.
+SIDE_BY_SIDE, FEW = 16_000_000, 24
 UNKNOWN = "und"
-LARGEST = 1 << 21
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,11 +43,15 @@ def words_of(text: str | None) -> list[str]:
     return found if any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w) else []
 
 
+def running(words: list[str]) -> bytes:
+    return f" {' '.join(words)} ".encode()
+
+
 def suffix_automaton(text: str) -> dict[int, int]:
-    """Transitions of the smallest automaton of all substrings: state * LARGEST + character -> state."""
+    """Transitions of the smallest automaton of all substrings in UTF-8: state * 256 + byte -> state."""
     links, lengths, moves = [-1], [0], [{}]
     last = 0
-    for ch in text:
+    for ch in text.encode():
         new = len(links)
         links.append(0)
         lengths.append(lengths[last] + 1)
@@ -70,112 +74,170 @@ def suffix_automaton(text: str) -> dict[int, int]:
                     p = links[p]
                 links[q] = links[new] = clone
         last = new
-    return {s * LARGEST + ord(ch): t for s, out in enumerate(moves) for ch, t in out.items()}
+    return {s * 256 + ch: t for s, out in enumerate(moves) for ch, t in out.items()}
 
 
-def phrases(word: str, moves: dict[int, int]) -> int:
-    """Phrases of the greedy parse of a word; an unseen character is a phrase."""
-    state, count = 0, 0
-    for code in map(ord, f" {word} "):
-        step = moves.get(state * LARGEST + code)
-        if step is None:
-            count += state != 0
-            step = moves.get(code, 0)
-            count += step == 0
-        state = step
-    return count + (state != 0)
+class Parser:
+    """Counts the phrases of texts against the automata of several languages.
 
+    All automata share one table, a row per state and a column per byte in use; 0 is no transition.
+    """
 
-def train(docs: DataFrame, per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(language, characters, transition keys, transition targets), by language.
+    def __init__(self, models: list[tuple]) -> None:
+        used = np.unique(np.concatenate([keys & 255 for _, _, keys, _ in models]))
+        self.codes = np.zeros(256, np.uint8)
+        self.codes[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        states = [int(targets.max()) + 1 for *_, targets in models]
+        self.roots = 1 + np.concatenate(([0], np.cumsum(states)[:-1])).astype(np.int64)
+        self.table = np.zeros((1 + sum(states)) * self.width, np.int32)
+        for root, (_, _, keys, targets) in zip(self.roots, models):
+            self.table[(root + (keys >> 8)) * self.width + self.codes[keys & 255]] = root + targets
+
+    def count(self, texts: list[bytes]) -> np.ndarray:
+        """Phrases by text and language. A byte that a language lacks is a phrase."""
+        size = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-size, kind="stable")
+        data = self.codes[np.frombuffer(b"".join(texts[k] for k in order), np.uint8)]
+        size = size[order]
+        first = np.cumsum(size) - size
+        found = np.zeros((len(self.roots), len(texts)), np.int64)
+        state = np.repeat(self.roots[:, None], len(texts), axis=1)
+        at = 0
+        while (n := int(np.searchsorted(-size, -at))) >= FEW:
+            now, code = state[:, :n], data[first[:n] + at]
+            step = self.table[now * self.width + code].astype(np.int64)
+            lang, text = np.nonzero(step == 0)
+            root = self.roots[lang]
+            again = self.table[root * self.width + code[text]].astype(np.int64)
+            found[lang, text] += (now[lang, text] != root).astype(np.int64) + (again == 0)
+            step[lang, text] = np.where(again == 0, root, again)
+            state[:, :n] = step
+            at += 1
+        for k in range(n):  # the longest texts
+            rest = data[first[k] + at : first[k] + size[k]].tobytes()
+            for lang, root in enumerate(self.roots.tolist()):
+                more, state[lang, k] = self._rest(rest, int(state[lang, k]), root)
+                found[lang, k] += more
+        found += state != self.roots[:, None]
+        out = np.empty((len(texts), len(self.roots)), np.int64)
+        out[order] = found.T
+        return out
+
+    def _rest(self, codes: bytes, state: int, root: int) -> tuple[int, int]:
+        table, width, count = memoryview(self.table), self.width, 0
+        for code in codes:
+            step = table[state * width + code]
+            if not step:
+                count += state != root
+                step = table[root * width + code]
+                if not step:
+                    count += 1
+                    step = root
+            state = step
+        return count, state
+
+
+def model(lang: str, text: str) -> tuple[str, int, np.ndarray, np.ndarray]:
+    moves = suffix_automaton(text)
+    keys, targets = np.fromiter(moves.keys(), np.int64, len(moves)), np.fromiter(moves.values(), np.int32, len(moves))
+    return lang, len(text.encode()), keys, targets
 
-    What reaches the driver is bounded by `chars` per language: an automaton has under 3 transitions a character.
-    """
+
+def phrases(word: str, moves: dict[int, int]) -> int:
+    """Phrases of a word with a space on either side."""
+    keys, targets = np.array(list(moves), np.int64), np.array(list(moves.values()), np.int32)
+    return int(Parser([("", 1, keys, targets)]).count([f" {word} ".encode()])[0, 0])
+
+
+def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """(lang, text): the labelled rows to learn from, whole."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     mod, rest = HELD_OUT
-    usable = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != rest) & F.col("lang").isNotNull()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    usable = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != rest) & F.col("doc_id").isNotNull()
+    rows = rows.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
+    frequent = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    chars = min(chars, ALL_CHARS // max(1, len(frequent)))
+    slim = (
+        rows.where(F.col("lang").isin(frequent))
+        .select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("digest"))
+        .where(F.col("size") <= chars)
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)))
+    )
+    order = [F.col("size") > chars // 8, F.xxhash64("doc_id"), "doc_id", "digest"]
+    salted = Window.partitionBy("lang", "salt").orderBy(*order)
+    whole = Window.partitionBy("lang").orderBy(*order)
     chosen = (
-        rows.where(usable & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-        .select("lang", "doc_id")
-        .withColumn("rank", F.row_number().over(order))
+        slim.withColumn("rank", F.row_number().over(salted))
         .where(F.col("rank") <= per_language)
-        .select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_doc"))
-        .distinct()
+        .dropDuplicates(["lang", "doc_id", "digest"])
+        .withColumn("rank", F.row_number().over(whole))
+        .withColumn("sum", F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+        .where((F.col("rank") <= per_language) & (F.col("sum") <= chars))
+        .select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
     )
-    sample = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_doc")))
-
-    def build(key: tuple, sample: pa.Table) -> pa.Table:
-        counts: Counter = Counter()
-        for text in sample.column("text").to_pylist():
-            counts.update(words_of(text))
-        text = " "
-        for word, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0])):
-            if len(text) + len(word) < chars:
-                text += word + " "
-        moves = suffix_automaton(text)
-        keys = np.fromiter(moves.keys(), np.int64, len(moves))
-        targets = np.fromiter(moves.values(), np.int32, len(moves))
+    same = (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_digest"))
+    return rows.join(F.broadcast(chosen), same).dropDuplicates(["lang", "doc_id", "_digest"]).select("lang", "doc_id", "text")
+
+
+def train(docs: DataFrame, per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(language, bytes, transition keys, transition targets), by language.
+
+    What reaches the driver is bounded by ALL_CHARS: an automaton has under 3 transitions a byte.
+    """
+
+    def build(key: tuple, part: pa.Table) -> pa.Table:
+        texts = [t for _, t in sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()))]
+        lang, size, keys, targets = model(key[0].as_py(), running([w for t in texts for w in words_of(t)]).decode())
         return pa.Table.from_pydict(
-            {"lang": [key[0].as_py()], "chars": [len(text)], "keys": [keys.tobytes()], "targets": [targets.tobytes()]},
-            schema=pa.schema([("lang", pa.string()), ("chars", pa.int64()), ("keys", pa.binary()), ("targets", pa.binary())]),
+            {"lang": [lang], "size": [size], "keys": [keys.tobytes()], "targets": [targets.tobytes()]},
+            schema=pa.schema([("lang", pa.string()), ("size", pa.int64()), ("keys", pa.binary()), ("targets", pa.binary())]),
         )
 
-    found = (
-        sample.select("lang", "text")
-        .groupBy("lang")
-        .applyInArrow(build, "lang string, chars long, keys binary, targets binary")
-        .collect()
-    )
+    found = sample(docs, per_language, chars).groupBy("lang").applyInArrow(build, "lang string, size long, keys binary, targets binary").collect()
     return [
-        (r.lang, r.chars, np.frombuffer(r["keys"], np.int64), np.frombuffer(r["targets"], np.int32))
+        (r.lang, r["size"], np.frombuffer(r["keys"], np.int64), np.frombuffer(r["targets"], np.int32))
         for r in sorted(found, key=lambda r: r.lang)
-        if r.chars > 1
+        if r["size"] > 2
     ]
 
 
+def predictions(texts: list[str | None], models: list[tuple], parser: Parser | None) -> list[tuple[str, float]]:
+    """(lang_pred, score) of each text."""
+    out = [(UNKNOWN, 0.0)] * len(texts)
+    part: list[tuple[int, bytes]] = []
+
+    def parse() -> None:
+        for (k, _), counts in zip(part, parser.count([t for _, t in part]).tolist()):
+            bits = [n * math.log2(size + 1) for n, (_, size, *_) in zip(counts, models)]
+            order = sorted(range(len(bits)), key=lambda i: (bits[i], models[i][0]))
+            best, second = bits[order[0]], bits[order[-1 if len(order) == 1 else 1]]
+            out[k] = models[order[0]][0], 1.0 if len(order) == 1 else second / (best + second)
+        part.clear()
+
+    held = 0
+    for k, text in enumerate(texts):
+        if parser and (words := words_of(text)):
+            part.append((k, running(words)))
+            held += len(part[-1][1])
+            if held >= SIDE_BY_SIDE:
+                parse()
+                held = 0
+    if part:
+        parse()
+    return out
+
+
 def identify(docs: DataFrame, models: list | None = None, into: str = "_language") -> DataFrame:
     """`docs` with a struct column: lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs) if models is None else models)
-    ready: list = []
-    known: dict[str, int] = {}  # word -> its row of counts
-    counts = np.empty((0, 0), np.int32)
-
-    def parsed(words: list[str]) -> np.ndarray:
-        """Phrases of a text in each language: the sum over its words."""
-        nonlocal counts
-        if not len(counts):  # made in the worker, so that it does not travel with the function
-            counts = np.zeros((PARSED_WORDS, len(ready)), np.int32)
-        if len(known) + len(words) > PARSED_WORDS:
-            known.clear()
-        total = np.zeros(len(ready), np.int64)
-        for k in range(0, len(words), PARSED_WORDS):
-            part = words[k : k + PARSED_WORDS]
-            if k:
-                known.clear()
-            for word in part:
-                if word not in known:
-                    counts[len(known)] = [phrases(word, m) for _, _, m in ready]
-                    known[word] = len(known)
-            total += counts[[known[w] for w in part]].sum(axis=0)
-        return total
-
-    def predict(text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not ready:
-            return UNKNOWN, 0.0
-        bits = [int(p) * math.log2(c + 1) for p, (_, c, _) in zip(parsed(words), ready)]
-        order = sorted(range(len(bits)), key=lambda k: (bits[k], ready[k][0]))
-        if len(order) == 1:
-            return ready[0][0], 1.0
-        best, second = bits[order[0]], bits[order[1]]
-        return ready[order[0]][0], second / (best + second)
+    ready: list = []  # made in the worker, so that it does not travel with the function
 
     @F.pandas_udf("lang_pred string, score double")
     def language(texts: pd.Series) -> pd.DataFrame:
         if not ready:
-            ready.extend((lang, n, dict(zip(k.tolist(), t.tolist()))) for lang, n, k, t in sent.value)
-        return pd.DataFrame([predict(t) for t in texts], columns=["lang_pred", "score"])
+            ready.append(Parser(sent.value) if sent.value else None)
+        return pd.DataFrame(predictions(texts.tolist(), sent.value, ready[0]), columns=["lang_pred", "score"])
 
     return docs.withColumn(into, language(F.col("text")))
 
