@@ -5,8 +5,7 @@ automaton: a phrase is the longest match from where the last one ended, across w
 of a language is phrases * log2(labelled bytes) / bytes; the lowest wins, ties go to the smaller name.
 Text is taken as its words (runs of letters, lower-cased) with a space before, between and after them, in UTF-8.
 
-Training takes whole documents that are not held out, in the order of a hash of doc_id, longer ones last: per
-language at most `TRAIN_DOCS`, while they have at most `TRAIN_CHARS` characters together, and at most `ALL_CHARS` for
+Training takes whole documents that are not held out, of those drawn by hash, longer ones last: per language at most `TRAIN_DOCS`, while they have at most `TRAIN_CHARS` characters together, and at most `ALL_CHARS` for
 all languages. These are documented bounds on the sample of labelled rows; no row is cut. The `LANGUAGES` most
 frequent values of lang are learned. A language that has only texts beyond its bound is not learned.
 Prediction reads every text as a whole: a batch of texts is parsed side by side, a byte of each at a time.
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from wakeline.llm.common import crc_mod, table
 
 TRAIN_DOCS, TRAIN_CHARS = 100, 80_000
-ALL_CHARS, LANGUAGES, SALTS = 320_000, 64, 16
+ALL_CHARS, LANGUAGES, DRAWN = 320_000, 64, 8
 HELD_OUT = (4, 2)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bytes of text that are parsed side by side; fewer texts than FEW are parsed one by one.
@@ -155,23 +154,22 @@ def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, chars: int = TRAIN_C
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     mod, rest = HELD_OUT
     usable = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod != rest) & F.col("doc_id").isNotNull()
-    rows = rows.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
-    frequent = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    chars = min(chars, ALL_CHARS // max(1, len(frequent)))
+    rows = rows.where(usable & F.col("lang").isNotNull() & F.length("text").between(1, chars))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return rows.limit(0).select("lang", "doc_id", "text")
+    chars = min(chars, ALL_CHARS // len(counts))
+    # A draw by hash leaves about DRAWN times the rows wanted of each language, so what is ordered does not grow.
+    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, DRAWN * per_language / r.n)))])
+    drawn = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     slim = (
-        rows.where(F.col("lang").isin(frequent))
-        .select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("digest"))
-        .where(F.col("size") <= chars)
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)))
+        rows.select("lang", "doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("digest"))
+        .where((F.col("size") <= chars) & (drawn < share[F.col("lang")]))
+        .dropDuplicates(["lang", "doc_id", "digest"])
     )
-    order = [F.col("size") > chars // 8, F.xxhash64("doc_id"), "doc_id", "digest"]
-    salted = Window.partitionBy("lang", "salt").orderBy(*order)
-    whole = Window.partitionBy("lang").orderBy(*order)
+    whole = Window.partitionBy("lang").orderBy(F.col("size") > chars // 8, F.xxhash64("doc_id"), "doc_id", "digest")
     chosen = (
-        slim.withColumn("rank", F.row_number().over(salted))
-        .where(F.col("rank") <= per_language)
-        .dropDuplicates(["lang", "doc_id", "digest"])
-        .withColumn("rank", F.row_number().over(whole))
+        slim.withColumn("rank", F.row_number().over(whole))
         .withColumn("sum", F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
         .where((F.col("rank") <= per_language) & (F.col("sum") <= chars))
         .select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
