@@ -5,8 +5,9 @@ automaton: a phrase is the longest match from where the last one ended, across w
 of a language is phrases * log2(labelled bytes) / bytes; the lowest wins, ties go to the smaller name.
 Text is taken as its words (runs of letters, lower-cased) with a space before, between and after them, in UTF-8.
 
-Training takes whole documents that are not held out, of those drawn by hash, longer ones last: per language at most `TRAIN_DOCS`, while they have at most `TRAIN_CHARS` characters together, and at most `ALL_CHARS` for
-all languages. These are documented bounds on the sample of labelled rows; no row is cut. The `LANGUAGES` most
+Training takes whole documents that are not held out, of those drawn by hash, longer ones last: per language at
+most `TRAIN_DOCS`, while they have at most `TRAIN_CHARS` characters together, and at most `ALL_CHARS` for all
+languages. These are documented bounds on the sample of labelled rows; no row is cut. The `LANGUAGES` most
 frequent values of lang are learned. A language that has only texts beyond its bound is not learned.
 Prediction reads every text as a whole: a batch of texts is parsed side by side, a byte of each at a time.
 
