@@ -17,11 +17,10 @@ def numbers(spark, n=5000, hot=0.35):
     return spark.range(n).select(F.col("id"), v.alias("v"), (F.col("id") % 3).cast("string").alias("g"))
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_percentiles_match_numpy(spark, small):
+def test_percentiles_match_numpy(spark):
     df = numbers(spark)
     probs = [0.0, 0.1, 0.37, 0.5, 0.9, 0.995, 1.0]
-    got = {(r["g"], r["p"]): r["value"] for r in K.exact_percentiles(df, ["v"], probs, ["g"], small_group=small).collect()}
+    got = {(r["g"], r["p"]): r["value"] for r in K.exact_percentiles(df, ["v"], probs, ["g"]).collect()}
     pdf = df.toPandas()
     for g, part in pdf.groupby("g"):
         for p in probs:
@@ -29,13 +28,37 @@ def test_percentiles_match_numpy(spark, small):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 25])
-def test_percentiles_of_tiny_groups_by_brackets(spark, n):
+def test_percentiles_of_tiny_groups(spark, n):
     df = spark.range(n).select((F.col("id") * 1.5).alias("v"))
-    got = {r["p"]: r["value"] for r in K.exact_percentiles(df, ["v"], [0.25, 0.5, 0.9], small_group=0).collect()}
+    got = {r["p"]: r["value"] for r in K.exact_percentiles(df, ["v"], [0.25, 0.5, 0.9]).collect()}
     for p, v in got.items():
         assert v == pytest.approx(np.quantile(np.arange(n) * 1.5, p))
 
 
+def test_percentiles_of_signs_scales_null_groups_and_infinities(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(0, 1, 400), rng.normal(0, 1e-300, 90), rng.normal(0, 1e300, 90), np.zeros(60), [-0.0, 5e-324, -5e-324]])
+    near = 1.0 + np.arange(300) * 2.0**-52  # neighbouring doubles
+    rows = [(None, float(x)) for x in v] + [("near", float(x)) for x in near] + [("one", 3.25), ("one", None), ("one", float("nan"))]
+    rows += [("ends", float("-inf")), ("ends", -1.0), ("ends", 2.0), ("ends", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 1 / 3, 0.999, 1.0]
+    got = {(r["g"], r["p"]): (r["n"], r["value"]) for r in K.exact_percentiles(df, ["v"], probs, ["g"]).collect()}
+    for g, x in ((None, v), ("near", near), ("one", np.array([3.25]))):
+        for p in probs:
+            assert got[(g, p)][0] == len(x)
+            assert got[(g, p)][1] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=0)
+    assert [got[("ends", p)][1] for p in (0.0, 1 / 3, 1.0)] == [float("-inf"), -1.0, float("inf")]
+
+
+def test_percentiles_shuffle_counts_and_reach_the_driver_only_as_results(spark):
+    df = numbers(spark)
+    stored = K.materialize(df, "percentiles")
+    plan = K.exact_percentiles(stored, ["v"], [0.5], ["g"], stored=True)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan.lower().replace("percentiles", "")
+    assert K.exact_percentiles(stored.limit(0), ["v"], [0.5], ["g"]).collect() == []
+
+
 def test_ordered_rank_with_hot_ties(spark):
     df = numbers(spark)
     got = K.ordered_rank(df, "v", ["id"]).toPandas()

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.sources.scratch import materialize
 
 PREFIX_LEN = 3  # 16**3 = 4096 buckets, a fixed bound
 PAST_EVERY_HASH = "g"  # sorts after any hex digest
-SMALL_GROUP = 1_000_000
-SKETCH_ACCURACY = 100_000
+#: Cells of percentiles: for each factor of e, and in a cell that is divided.
+LEADING_CELLS, EQUAL_CELLS = 256, 1 << 20
 ORDER_BUCKETS = 128
 
 
@@ -192,99 +192,78 @@ def exact_percentiles(
     values: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    small_group: int = SMALL_GROUP,
     stored: bool = False,
 ) -> DataFrame:
-    """Exact linear-interpolated percentiles as rows (by..., metric, p, n, value).
-
-    `by` must name a fixed set of groups (model, step, bucket). One pass counts
-    each group and sketches its distribution; only those bounded rows reach the
-    driver. Groups of proven small size use the built-in percentile. Beyond that
-    the sketch brackets every wanted rank, only the rows inside a bracket are
-    shuffled, counted per distinct value and ranked. If a bracket should ever miss
-    its rank, it is widened and the pass repeated, so the result stays exact.
+    """Exact linear-interpolated percentiles as rows (by..., metric, p, n, value), of groups of any size.
+
+    `by` must name a fixed set of groups (model, step, bucket). Radix selection in one lazy plan: values are
+    counted by sign and leading digits, 256 cells for each factor of e; the cells that hold a wanted rank are
+    counted again in 2^20 equal cells between their least and largest value, and what is left is counted per
+    distinct value. Each pass shuffles counts only, and reads the rows of the wanted cells only; what is
+    broadcast is at most two cells per group and percentile. Nulls and NaN are left out.
     `stored` tells that df is cheap to read again; otherwise its columns are written first.
     """
-    spark = df.sparkSession
     entries = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in values]
     slim = df.select(*by, *values) if stored else materialize(df.select(*by, *values), "percentiles")
     tall = (
-        slim.select(*by, F.explode(F.array(*entries)).alias("_e"))
-        .select(*by, "_e.metric", "_e.v")
+        slim.select(*by, F.inline(F.array(*entries)))
         .filter(F.col("v").isNotNull() & ~F.isnan("v"))
     )
     group = [*by, "metric"]
-    margin = 4.0 / SKETCH_ACCURACY
-    edges = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = (
-        tall.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edges"))
-        .collect()
+    position = lambda p, n: F.lit(float(p)) * (n - 1)
+    ranks = F.array(*[edge(position(p, F.col("total"))) for p in probs for edge in (F.floor, F.ceil)])
+
+    digits = F.struct(F.signum("v"), F.floor(F.ln(F.abs("v")) * F.lit(LEADING_CELLS)))
+    leading = (
+        _cell_counts(tall.withColumns({"above": F.lit(0), "under": F.lit(0).cast("long")}), [*group, "above", "under"], digits)
+        .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
+        .withColumn("ranks", F.array_distinct(ranks))
     )
-    p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    if not sketch or max(r["n"] for r in sketch) <= small_group:
-        small = tall.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile("v", p_arr).alias("_q")
-        )
-        return small.select(
-            *group, "n", F.explode(F.arrays_zip(p_arr.alias("p"), F.col("_q").alias("q"))).alias("_z")
-        ).select(*group, F.col("_z.p").alias("p"), "n", F.col("_z.q").alias("value"))
-
-    brackets = []
-    key_types = {f.name: f.dataType for f in tall.schema.fields}
-    for r in sketch:
-        for i, p in enumerate(probs):
-            whole = r["n"] <= small_group
-            lo = float("-inf") if whole else float(r["edges"][2 * i])
-            hi = float("inf") if whole else float(r["edges"][2 * i + 1])
-            brackets.append((*[r[g] for g in group], float(p), int(r["n"]), lo, hi))
-    schema = T.StructType(
-        [T.StructField(g, key_types[g]) for g in group]
-        + [T.StructField("p", T.DoubleType()), T.StructField("n", T.LongType()),
-           T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]
+    held = [*group, "total", "ranks", "above", "under"]
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    equal_cells = F.when(F.col("hi") > F.col("lo"), F.floor(share * F.lit(EQUAL_CELLS))).otherwise(F.lit(0))
+    middle = _cell_counts(_rows_of_cells(tall, _wanted(leading, group), group), held, equal_cells)
+    last = _wanted(_cell_counts(_rows_of_cells(tall, _wanted(middle, group), group), held, F.col("v")), group)
+
+    holds = lambda k: (F.col("under") <= k) & (k < F.col("under") + F.col("n"))
+    wanted = last.select(
+        *group, "lo", "under", "n", "total", F.explode(F.array_distinct(F.array(*[F.lit(float(p)) for p in probs]))).alias("p")
     )
-    while True:
-        table = F.broadcast(spark.createDataFrame(brackets, schema))
-        near = tall.join(table, group)
-        counted = (
-            near.groupBy(*group, "p", "n", "lo", "hi")
-            .agg(
-                F.sum(F.when(F.col("v") < F.col("lo"), 1).otherwise(0)).alias("under"),
-                F.sum(F.when(F.col("v") <= F.col("hi"), 1).otherwise(0)).alias("upto"),
-            )
-            .collect()
-        )
-        under = {tuple(r[g] for g in group) + (r["p"],): r["under"] for r in counted}
-        missed = {
-            tuple(r[g] for g in group) + (r["p"],)
-            for r in counted
-            if not (r["under"] <= int(r["p"] * (r["n"] - 1)) and r["upto"] >= min(r["n"], int(r["p"] * (r["n"] - 1)) + 2))
-        }
-        if not missed:
-            break
-        k = len(group)
-        brackets = [
-            (*b[: k + 2], *_widen(b[k + 2], b[k + 3])) if tuple(b[: k + 1]) in missed else b for b in brackets
-        ]
-    ranked_schema = T.StructType(schema.fields + [T.StructField("under", T.LongType())])
-    rows = [(*b, int(under[tuple(b[: len(group) + 1])])) for b in brackets]
-    table = F.broadcast(spark.createDataFrame(rows, ranked_schema))
-    inside = tall.join(table, group).filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    per_value = inside.groupBy(*group, "p", "n", "under", "v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*group, "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = per_value.withColumn("_upto", F.col("under") + F.sum("c").over(w))
-    pos = F.col("p") * (F.col("n") - 1)
-    first = F.min(F.when(F.col("_upto") > F.floor(pos), F.col("v")))
-    second = F.min(F.when(F.col("_upto") > F.ceil(pos), F.col("v")))
+    pos = F.col("p") * (F.col("total") - 1)
+    first = F.max(F.when(holds(F.floor(pos)), F.col("lo")))
+    second = F.max(F.when(holds(F.ceil(pos)), F.col("lo")))
     frac = pos - F.floor(pos)
-    return upto.groupBy(*group, "p", "n").agg(first.alias("_a"), second.alias("_b")).select(
-        *group, "p", "n", (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("value")
+    between = F.when(frac == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
+    found = wanted.groupBy(*group, "total", "p").agg(first.alias("_a"), second.alias("_b"))
+    return found.select(*group, "p", F.col("total").alias("n"), between.alias("value"))
+
+
+def _cell_counts(rows: DataFrame, held: list[str], cell: Column) -> DataFrame:
+    """(held..., n, lo, hi): rows of each cell, its least and largest value, and in `under` the rows below it.
+
+    `under` comes in as the rows below the cell that is divided, whose least value is `above`.
+    """
+    counts = rows.groupBy(*held, cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
+    whole = [c for c in held if c not in ("under", "total", "ranks")]
+    below = Window.partitionBy(*whole).orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("under", F.col("under") + F.sum("n").over(below) - F.col("n")).drop("cell")
+
+
+def _wanted(cells: DataFrame, group: list[str]) -> DataFrame:
+    """The cells that hold a wanted rank."""
+    held = F.exists("ranks", lambda k: (F.col("under") <= k) & (k < F.col("under") + F.col("n")))
+    return cells.filter(held).select(*group, "total", "ranks", "under", "n", "lo", "hi", F.col("lo").alias("above"))
 
 
-def _widen(lo: float, hi: float) -> tuple[float, float]:
-    span = max(hi - lo, abs(hi) * 1e-9, 1e-9)
-    return lo - span, hi + span
+def _rows_of_cells(tall: DataFrame, cells: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of tall in one of the cells, with that cell; cells do not overlap."""
+    named = cells.drop("n").withColumnsRenamed({g: f"_{g}" for g in group})
+    same = F.col("v").between(F.col("lo"), F.col("hi"))
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return tall.join(F.broadcast(named), same).drop(*[f"_{g}" for g in group])
 
 
 def percentile_columns(
