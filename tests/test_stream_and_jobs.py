@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators import clean as C, segment as G
 from wakeline.plans import adapter as A, jobs
+from wakeline.plans.increments import SegmentState
 from wakeline.sources import ais_csv, datasets, days, scratch, tables
 from wakeline.streaming import ingest
 
@@ -90,6 +91,38 @@ def test_streamed_segments_equal_batch(spark, landing, tmp_path):
     same(spark.read.parquet(segments).select("traj_id", "timestamp", "dt_sec"), A.segments(spark, SF))
 
 
+def test_followed_segments_equal_batch_for_files_in_any_order(spark, landing, tmp_path):
+    stream = lambda: ingest.clean_stream(spark, landing, columns(spark, landing), A.BOX, commercial_only=False, files_per_batch=1)
+    root = str(tmp_path / "state")
+    ingest.follow_segments(stream(), root, str(tmp_path / "ckpt"), A.SEGMENTS).awaitTermination()
+    state = SegmentState(spark, root, A.SEGMENTS)
+    assert len(state.sources()) > 1
+    same(state.segments().select("traj_id", "timestamp", "dt_sec"), A.segments(spark, SF))
+    # a lost query starts over with the same batches: none is added twice
+    ingest.follow_segments(stream(), root, str(tmp_path / "ckpt-2"), A.SEGMENTS).awaitTermination()
+    assert SegmentState(spark, root, A.SEGMENTS).held == state.held
+
+
+def test_followed_segments_read_only_the_days_a_batch_touches(spark, tmp_path):
+    cfg = G.SegmentConfig(max_gap_hours=3.0, max_speed_kmh=90.0, min_points=5, min_hours=4.0, min_distance_km=1.0)
+    hours = lambda n: [(f"2024-01-{n:02d}T{h:02d}:00:00", "7", f"{36 + h / 10}", "-70.0", "5", "10", "", "70") for h in range(0, 8)]
+    path, root, ckpt = (str(tmp_path / p) for p in ("raw", "state", "ckpt"))
+    held = []
+    for n in (1, 2, 9, 5):
+        ais_csv.write_raw_csv(raw_rows(spark, hours(n)).coalesce(1), f"{path}/{n}")
+        stream = ingest.clean_stream(spark, path, columns(spark, f"{path}/{n}"), A.BOX)
+        ingest.follow_segments(stream, root, ckpt, cfg).awaitTermination()
+        held.append(SegmentState(spark, root, cfg).held)
+    day = (dt.date(2024, 1, 2) - dt.date(1970, 1, 1)).days
+    # the late file of day 5 renumbers day 9 after it; reports, summaries and segments of days 1 and 2 stay
+    for table in ("points", "summaries", "segments"):
+        assert held[3][table, day] == held[1][table, day]
+        assert held[3][table, day - 1] == held[0][table, day - 1]
+    assert held[3]["points", day + 7] == held[2]["points", day + 7] and held[3]["segments", day + 7] > held[2]["segments", day + 7]
+    want = G.build_segments(C.deduplicate(SegmentState(spark, root, cfg)._read("points", ingest.clean_stream(spark, path, columns(spark, path + "/1"), A.BOX).schema)), cfg)
+    same(SegmentState(spark, root, cfg).segments().select("traj_id", "timestamp", "dt_sec"), want)
+
+
 def test_a_group_without_segments_is_emptied(spark, tmp_path):
     """Later reports break the only segment of a vessel into parts that are too short."""
     cfg = G.SegmentConfig(max_gap_hours=3.0, max_speed_kmh=90.0, min_points=5, min_hours=4.0, min_distance_km=1.0)

@@ -379,6 +379,19 @@ def v08(spark, sf):
     return V.nearest_windows(A.stored_windows(spark, sf), [(n, lat, lon) for n, lon, lat in PORTS["east_coast"]])
 
 
+@query("v08_nearest_of_many", "target:s distance2:d traj_id:s start_time:t", """
+    WITH p AS (SELECT traj_id AS target, arg_min(lat, timestamp)::DOUBLE AS lat, arg_min(lon, timestamp)::DOUBLE AS lon FROM segments GROUP BY traj_id)
+    SELECT target, d AS distance2, traj_id, start_time FROM (
+        SELECT p.target, pow(l.lat - p.lat, 2) + pow(l.lon - p.lon, 2) AS d, l.traj_id, l.start_time FROM last l, p)
+    QUALIFY row_number() OVER (PARTITION BY target ORDER BY d, traj_id, start_time) = 1""")
+def v08_many(spark, sf):
+    """The window that ends nearest to where each trajectory starts."""
+    starts = A.segments(spark, sf).groupBy(F.col("traj_id").alias("target")).agg(
+        F.min_by("lat", "timestamp").alias("lat"), F.min_by("lon", "timestamp").alias("lon")
+    )
+    return V.nearest_windows_of(A.stored_windows(spark, sf), starts).drop("anchor_lat", "anchor_lon")
+
+
 @query("v09_thin_track", "traj_id:s timestamp:t lat:d", """
     SELECT traj_id, timestamp, lat FROM (
         SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY timestamp) - 1 AS pos, count(*) OVER (PARTITION BY traj_id) AS n FROM segments)
@@ -671,3 +684,11 @@ def st2(spark, sf):
     q = ingest.write_segments(_stream(spark, sf), points_path, out, new_path(spark, "stream-ckpt"), A.SEGMENTS)
     q.awaitTermination()
     return G.trajectory_stats(spark.read.parquet(out))
+
+
+@query("st2_stream_followed_by_state", STATS, "SELECT * FROM long_stats")
+def st2_state(spark, sf):
+    """Segments kept by chunk of time while files of any order of time land."""
+    root = new_path(spark, "stream-state")
+    ingest.follow_segments(_stream(spark, sf), root, new_path(spark, "stream-ckpt"), A.SEGMENTS).awaitTermination()
+    return G.trajectory_stats(SegmentState(spark, root, A.SEGMENTS).segments())

@@ -236,6 +236,73 @@ def nearest_windows(windows: DataFrame, targets: Sequence[tuple[str, float, floa
     return reduce(DataFrame.unionByName, passes)
 
 
+#: Edges of cells in degrees, coarse to fine; powers of two, so borders of cells are exact. 1/8192 is some 13 m.
+CELL_EDGES = tuple(32.0 / 8**k for k in range(7))
+
+
+def nearest_windows_of(windows: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each row of targets (target, lat, lon): the window whose anchor is nearest in squared degrees.
+
+    For target lists of any length; `nearest_windows` takes a few constants. Anchors are counted in cells of
+    seven sizes, each an eighth of the one before, with one anchor per cell as its witness. All targets go down
+    from coarse to fine together: a witness bounds the nearest distance from above, the border of a cell bounds
+    its anchors from below, and a cell that cannot hold the nearest anchor is left out with all its parts. Only
+    the finest cells that stay are joined with anchors, one row per distinct place. Every join is by cell.
+
+    `target` must be unique and not null. Targets and anchors without a position, or outside latitudes -96 to 96
+    and longitudes -192 to 192, are left out. Equal distances go to the first traj_id and start_time.
+    """
+    last = F.element_at("hist", -1)
+    inside = F.col("lat").between(-96.0, 95.999) & F.col("lon").between(-192.0, 191.999)
+    places = materialize(
+        windows.select(last.lat.cast("double").alias("lat"), last.lon.cast("double").alias("lon"), "traj_id", "start_time")
+        .filter(inside)
+        .groupBy("lat", "lon")
+        .agg(F.min(F.struct("traj_id", "start_time")).alias("window")),
+        "anchor-places",
+    )
+    cell = lambda edge: [F.floor(F.col(c) / F.lit(edge)).alias(name) for c, name in (("lat", "row"), ("lon", "col"))]
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), *cell(edge)) for k, edge in enumerate(CELL_EDGES)])
+    cells = materialize(
+        places.select("lat", "lon", F.inline(levels))
+        .groupBy("level", "row", "col")
+        .agg(F.min(F.struct("lat", "lon")).alias("witness"))
+        .select("*", F.floor(F.col("row") / 8).alias("up_row"), F.floor(F.col("col") / 8).alias("up_col")),
+        "anchor-cells",
+    )
+
+    def apart(value: Column, low: Column, high: Column) -> Column:
+        return F.pow(F.greatest(low - value, value - high, F.lit(0.0)), F.lit(2))
+
+    def square(lat: Column, lon: Column) -> Column:
+        return F.pow(lat - F.col("lat"), F.lit(2)) + F.pow(lon - F.col("lon"), F.lit(2))
+
+    # All coarsest cells there are: 6 by 12 of them.
+    grid = lambda n, name: F.explode(F.sequence(F.lit(-n).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    open_cells = (
+        targets.select("target", F.col("lat").cast("double"), F.col("lon").cast("double")).filter(inside)
+        .select("*", grid(3, "up_row")).select("*", grid(6, "up_col"))
+    )
+    of_target = Window.partitionBy("target")
+    for k, edge in enumerate(CELL_EDGES):
+        part = cells.filter(F.col("level") == k).drop("level")
+        if k == 0:
+            part = part.withColumns({"up_row": F.col("row"), "up_col": F.col("col")})
+        low = lambda name: F.col(name) * F.lit(edge)
+        border = apart(F.col("lat"), low("row"), low("row") + edge) + apart(F.col("lon"), low("col"), low("col") + edge)
+        open_cells = (
+            open_cells.join(part, ["up_row", "up_col"])
+            .withColumn("upper", F.min(square(F.col("witness.lat"), F.col("witness.lon"))).over(of_target))
+            .filter(border <= F.col("upper"))
+            .select("target", "lat", "lon", F.col("row").alias("up_row"), F.col("col").alias("up_col"))
+        )
+    finest = [c.alias(f"up_{name}") for c, name in zip(cell(CELL_EDGES[-1]), ("row", "col"))]
+    anchors = places.select(F.col("lat").alias("anchor_lat"), F.col("lon").alias("anchor_lon"), "window", *finest)
+    found = open_cells.join(anchors, ["up_row", "up_col"]).withColumn("distance2", square(F.col("anchor_lat"), F.col("anchor_lon")))
+    best = F.min(F.struct("distance2", "window.traj_id", "window.start_time", "anchor_lat", "anchor_lon"))
+    return found.groupBy("target").agg(best.alias("best")).select("target", "best.*")
+
+
 def thin(segments: DataFrame, target_points: int = 216) -> DataFrame:
     """Every k-th point of each trajectory so that about `target_points` remain.
 

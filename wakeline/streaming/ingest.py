@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wakeline.functions.vessel import is_commercial
 from wakeline.operators.clean import deduplicate, is_valid, normalize
 from wakeline.operators.segment import SegmentConfig, build_segments
+from wakeline.plans.increments import SegmentState
 from wakeline.sources.ais_csv import stream_raw
 from wakeline.sources.scratch import materialize
 
@@ -102,3 +103,20 @@ def write_segments(
         _drop_empty_groups(spark, segments_path, touched, written)
 
     return points.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow_segments(points: DataFrame, root: str, checkpoint: str, cfg: SegmentConfig = SegmentConfig()) -> StreamingQuery:
+    """Keep the segment state under `root` current: a batch costs the vessels' chunks of time it touches.
+
+    Earlier reports are read only in chunks that a report of the batch lies in, or whose segments it changes; of all
+    others the summaries are enough, so a vessel's history is not read again. Files may land in any order. A batch's
+    number is part of the manifest that makes it visible: a batch that is repeated after a loss is not added twice.
+    The state must be fed by this stream alone. Read it with `SegmentState(spark, root, cfg).segments()`.
+    """
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        state = SegmentState(batch.sparkSession, root, cfg)
+        if number not in state.sources():
+            state.append(batch, sources=[number])
+
+    return points.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
