@@ -95,3 +95,50 @@ PAGES += [
     f'<body><div class="nav">{links("A", "B")}</div><h1 data-keep="1">{SHORT}</h1><p data-keep="1">{LONG}</p><p data-keep="1">{WORD}</p><div class="footer">{SHORT}</div>',
     f'<body><table><tr><td><a href="/">Home</a></td><td data-keep="1"><h2>{SHORT}</h2><p>{LONG}</p><p>{MID}</p></td></tr></table></body>',
 ]
+
+# Layouts whose parts are named in other languages or by roles, or not named at all. Each tuple names, in this order,
+# the top, the menu, the text, the side column, the advert, the comments and the bottom of a page.
+PART_NAMES = [
+    ("kopf", "navigation", "inhalt", "seitenleiste", "werbung", "kommentare", "fuss"),
+    ("entete", "menu", "contenu", "barre laterale", "publicite", "commentaires", "pied"),
+    ("cabecera", "menu", "contenido", "barra lateral", "publicidad", "comentarios", "pie"),
+    ("testata", "menu", "contenuto", "colonna", "pubblicita", "commenti", "fondo"),
+    ("masthead", "toolbar", "primary", "secondary", "sponsor", "replies", "colophon"),
+    ("hd", "nv", "bd", "sd", "pr", "rp", "ft"),
+    ("", "", "", "", "", "", ""),
+]
+
+
+def layouts(top: str, menu: str, text: str, side: str, advert: str, comments: str, bottom: str) -> list[str]:
+    """A few pages with parts of these names."""
+    entries = f'<div class="{menu}"><ul>{links("Home", "News", "Sport")}</ul></div>'
+    notes = f'<ol class="{comments}"><li><p>{MID}</p></li><li><p>{LONG}</p></li></ol>'
+    return [
+        f'<body><div class="{top}"><span>Daily Post</span></div>{entries}<div class="{text}" data-keep="1">{PROSE}</div>'
+        f'<div class="{side}"><h4>{WORD}</h4><ul>{linked(4)}</ul></div><div class="{bottom}"><p>&copy; {SHORT}</p></div>',
+        f'<body><div class="{top}">Daily Post</div><div class="{text}"><p data-keep="1">{LONG}</p></div><div class="{bottom}">{SHORT}</div>',
+        f'<body><div id="{top}">{entries}</div><div id="{text}" data-keep="1"><h2>{SHORT}</h2><p>{LONG}</p><p>{MID}</p><p>{LONG}</p>'
+        f'<div class="{advert}" data-keep="0"><a href="/buy">{SHORT}</a></div><p>{LONG}</p></div>'
+        f'<div id="{side}"><p>{SHORT}</p><ul>{linked(3)}</ul></div><div id="{bottom}"><a href="/">Home</a> {SHORT}</div>',
+        f'<body>{entries}<main><p data-keep="1">{LONG}</p></main>{notes}<div class="{bottom}"><a href="/about">About us</a></div>',
+        f'<body><section class="{text}" data-keep="1"><h1>{SHORT}</h1><p>{LONG} {LONG}</p><p>{LONG}</p></section>'
+        f'<section><h2>{WORD}</h2>{notes}</section><div class="{advert}">{SHORT}</div>',
+    ]
+
+
+for names in PART_NAMES:
+    PAGES += layouts(*names)
+
+PAGES += [
+    # roles in place of elements
+    f'<body><div role="banner">Daily Post</div><div role="navigation"><ul>{links("A", "B", "C")}</ul></div><div role="main" data-keep="1"><p>{LONG}</p></div>'
+    f'<div role="complementary"><p>{MID}</p><ul>{linked(3)}</ul></div><div role="contentinfo">{SHORT}</div>',
+    f'<body><div role="navigation">{links("A", "B")}</div><div role="main" data-keep="1">{PROSE}</div><div role="complementary"><p>{LONG}</p></div>',
+    f'<body><div role="search"><p>{SHORT}</p></div><div role="article" data-keep="1"><h1>{MID}</h1><p>{LONG}</p></div><div role="contentinfo"><p>{MID}</p></div>',
+    # the header of an article belongs to it, that of a page does not
+    f'<body><article data-keep="1"><header><h1>{MID}</h1></header><p>{LONG}</p><p>{SHORT}</p></article><footer>{SHORT}</footer>',
+    f'<body><header><p>{SHORT}</p></header>{NAV}<article data-keep="1"><header><h1>{SHORT}</h1><p>{WORD}</p></header><p>{LONG}</p><p>{MID}</p></article>',
+    f'<body><main><article data-keep="1"><header class="entry"><h2>{WORD}</h2><p class="author">{SHORT}</p></header><div>{PROSE}</div></article></main><footer>{SHORT}</footer>',
+    f'<body><header><h1>Daily Post</h1></header><main data-keep="1"><p>{LONG}</p></main><footer><p>{MID}</p></footer>',
+    f'<body>{NAV}<main data-keep="1"><p>{MID}</p></main><section class="comments"><div><p>{LONG}</p></div></section>',
+]

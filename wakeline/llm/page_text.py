@@ -2,13 +2,16 @@
 
 A page becomes a tree of block elements; each run of text directly inside a block is a leaf. Every node has
 a hidden label, content or not. Node potentials come from the tag, the names in class, id and role, the
-number of words and the share of linked words; parent-child potentials tie a node to its parent by the
-child's kind. Sum-product messages, once up and once down, give each node's exact marginal; leaves whose
-content marginal is over 0.5 are the text, in page order.
+number of words, paragraphs and linked words, and the block's share of the page's prose; parent-child
+potentials tie a node to its parent by the child's kind. Sum-product messages, once up and once down, give
+each node's exact marginal; leaves whose content marginal is over 0.5 are the text, in page order.
 
 The weights are trained on labelled pages by gradient steps on their likelihood: the gradient is what the
 labels have of each feature less what the marginals expect. The labelled set is small and fixed
-(labelled_pages.py; `train` takes any other list); pages are scored where they lie, without a shuffle.
+(labelled_pages.py; `train` takes any other list). Each page is learned a second time without its names, so
+that names alone decide nothing. Pages are scored where they lie, without a shuffle.
+
+Parsing takes time in proportion to the page, however deep its elements are nested.
 
 Text of script, style and other elements that show none is no leaf. Character references are decoded, white
 space becomes one space, blocks are joined by two line feeds. Null and empty html: empty text. Rows are
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 from math import exp, log1p
@@ -53,15 +57,17 @@ ENDS["td"] = ENDS["th"] = ({"td", "th", "p"}, {"table", "tr"})
 ENDS["option"] = ({"option"}, {"select"})
 ENDS["body"] = ({"head"}, set())
 KINDS = ("leaf", "paragraph", "section")
+SENTENCE_ENDS = frozenset(".!?…。！？؟।”\"»")
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd pre blockquote ul ol dl table tbody figcaption figure label caption".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "inside", "parent", "label", "words", "linked", "text", "kind")
+    __slots__ = ("tag", "names", "inside", "parent", "label", "words", "linked", "text", "kind", "paragraphs", "share")
 
     def __init__(self, tag: str, names: str, parent: int, label: int, kind: int) -> None:
         self.tag, self.names, self.parent, self.label, self.kind = tag, names, parent, label, kind
         self.words, self.linked, self.text, self.inside = 0, 0, "", ""
+        self.paragraphs, self.share = 0, 0.0
 
 
 def parse(source: str) -> list[Node]:
@@ -69,6 +75,7 @@ def parse(source: str) -> list[Node]:
     nodes = [Node("#page", "", -1, 0, 2)]
     # open elements: tag, number of its block node, whether hidden, inside a link
     stack: list[tuple[str, int, bool, bool]] = [("#page", 0, False, False)]
+    places: dict[str, list[int]] = defaultdict(list)  # depths of the open elements by tag
     parts: list[str] = []
     linked = 0
 
@@ -87,6 +94,7 @@ def parse(source: str) -> list[Node]:
             at = stack[-1][1]
             leaf = Node("#text", nodes[at].tag, at, nodes[at].label, 0)
             leaf.text, leaf.words, leaf.linked = block, block.count(" ") + 1, linked
+            leaf.paragraphs = int(nodes[at].tag == "p")
             nodes.append(leaf)
         parts.clear()
         linked = 0
@@ -94,6 +102,8 @@ def parse(source: str) -> list[Node]:
     def end(depth: int) -> None:
         if any(t in BLOCK for t, *_ in stack[depth:]):
             flush()
+        for t, *_ in stack[depth:]:
+            places[t].pop()
         del stack[depth:]
 
     at, n = 0, len(source)
@@ -109,22 +119,17 @@ def parse(source: str) -> list[Node]:
             continue
         tag, closing = tag.lower(), found[1] or found[4]
         if closing:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
-            if depth:
-                end(depth)
+            if places[tag]:
+                end(places[tag][-1])
             continue
         if tag in ("br", "hr") or tag in BLOCK:
             parts.append(" ")
         if tag in ENDS:
             gone, limit = ENDS[tag]
-            depth = 0
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] in limit:
-                    break
-                if stack[d][0] in gone:
-                    depth = d
-            if depth:
-                end(depth)
+            border = max((places[t][-1] for t in limit if places[t]), default=0)
+            beyond = [d[bisect_right(d, border)] for t in gone if (d := places[t]) and d[-1] > border]
+            if beyond:
+                end(min(beyond))
         if tag in VOID:
             continue
         _, block, hidden, link = stack[-1]
@@ -139,12 +144,17 @@ def parse(source: str) -> list[Node]:
         if tag in RAW:
             close = re.compile(rf"</{tag}\b", re.I).search(source, at)
             at = close.start() if close else n
+        places[tag].append(len(stack))
         stack.append((tag, block, hidden or tag in HIDDEN, link or tag == "a"))
     flush()
     for node in reversed(nodes[1:]):
         up = nodes[node.parent]
         up.words += node.words
         up.linked += node.linked
+        up.paragraphs += node.paragraphs
+    prose = max(1, nodes[0].words - nodes[0].linked)
+    for node in nodes:
+        node.share = (node.words - node.linked) / prose
     return nodes
 
 
@@ -158,8 +168,11 @@ def features(node: Node) -> tuple[str, ...]:
     link = "none" if not share else "few" if share < 0.3 else "half" if share < 0.7 else "most"
     if node.kind == 0:
         size = min(6, node.words.bit_length())
-        return ("leaf", f"leaf in {node.names}", f"leaf words {size}", f"leaf links {link}")
-    return (*named_features(node.tag, node.names), f"{node.tag} in {node.inside}", f"links {link}")
+        closed = node.text[-1] in SENTENCE_ENDS
+        return ("leaf", f"leaf in {node.names}", f"leaf words {size}", f"leaf links {link}", f"leaf closed {closed}")
+    part = "some" if node.share < 0.25 else "half" if node.share < 0.6 else "most"
+    extent = f"{KINDS[node.kind]} prose {part}", f"{KINDS[node.kind]} paragraphs {min(3, node.paragraphs)}"
+    return (*named_features(node.tag, node.names), f"{node.tag} in {node.inside}", f"links {link}", *extent)
 
 
 def _log_add(a: float, b: float) -> float:
@@ -196,9 +209,18 @@ def marginals(nodes: list[Node], scores: list[float], ties: list[list[list[float
     return out, joint
 
 
-def train(pages: list[str] = PAGES, steps: int = 400, rate: float = 0.5, decay: float = 0.0003) -> tuple[dict[str, float], list]:
-    """Feature weights and parent-child potentials by kind of child, from labelled pages."""
-    trees = [parse(p) for p in pages]
+def unnamed(page: str) -> str:
+    """A page without the names in class, id and role."""
+    return TAG.sub(lambda m: ATTRIBUTE.sub(lambda a: a[0] if a[1].lower() == "data-keep" else "", m[0]), page)
+
+
+def train(pages: list[str] = PAGES, steps: int = 200, rate: float = 0.5, decay: float = 0.0003) -> tuple[dict[str, float], list]:
+    """Feature weights and parent-child potentials by kind of child, from labelled pages with and without names.
+
+    A page without its names counts half as much, as names may be what tells its parts apart.
+    """
+    trees = [parse(p) for page in pages for p in (page, unnamed(page))]
+    counts = [x / (1.5 * len(pages)) for _ in pages for x in (1.0, 0.5)]
     known = [[features(x) for x in nodes] for nodes in trees]
     weights: dict[str, float] = defaultdict(float)
     ties = [[[0.5, -0.5], [-0.5, 0.5]] for _ in KINDS]
@@ -212,18 +234,18 @@ def train(pages: list[str] = PAGES, steps: int = 400, rate: float = 0.5, decay:
     for _ in range(steps):
         slope: dict[str, float] = defaultdict(float)
         tied: dict[tuple, float] = defaultdict(float)
-        for nodes, named in zip(trees, known):
+        for nodes, named, count in zip(trees, known, counts):
             chances, joint = marginals(nodes, [sum(weights[f] for f in fs) for fs in named], ties)
             for k, node in enumerate(nodes):
                 for f in named[k]:
-                    slope[f] += (node.label - chances[k]) / len(trees)
+                    slope[f] += (node.label - chances[k]) * count
                 if k:
                     top = max(joint[k])
                     share = [exp(x - top) for x in joint[k]]
                     total = sum(share)
                     for i, x in enumerate(share):
-                        tied[node.kind, i // 2, i % 2] -= x / total / len(trees)
-                    tied[node.kind, nodes[node.parent].label, node.label] += 1 / len(trees)
+                        tied[node.kind, i // 2, i % 2] -= x / total * count
+                    tied[node.kind, nodes[node.parent].label, node.label] += count
         for f, x in slope.items():
             weights[f] = move(f, weights[f], x)
         for (kind, i, j), x in tied.items():
