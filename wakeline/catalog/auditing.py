@@ -307,6 +307,16 @@ def v04(spark, sf):
     return V.polylines(seg, V.top_by_points(seg, 10))
 
 
+@query("v04_polyline_parts", "traj_id:s part:i n_points:i start_time:t end_time:t wkt:s", """
+    WITH n AS (SELECT traj_id, timestamp, lat, lon, row_number() OVER (PARTITION BY traj_id ORDER BY timestamp) - 1 AS pos FROM segments),
+    e AS (SELECT *, pos // 10 AS part FROM n UNION ALL SELECT *, pos // 10 - 1 FROM n WHERE pos % 10 = 0 AND pos > 0)
+    SELECT traj_id, part, count(*) AS n_points, min(timestamp) AS start_time, max(timestamp) AS end_time,
+           'LINESTRING (' || string_agg(printf('%.5f %.5f', lon, lat), ', ' ORDER BY pos) || ')' AS wkt
+    FROM e GROUP BY traj_id, part HAVING count(*) >= 2""")
+def v04_parts(spark, sf):
+    return V.polyline_parts(A.segments(spark, sf), 10)
+
+
 def examples(spark, sf) -> DataFrame:
     """Naive forecast error, true displacement and true path of each window."""
     one = E.with_errors(forecasts(spark, sf).filter("model = 'naive'"), floor_km=0.0)

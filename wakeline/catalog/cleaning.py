@@ -288,6 +288,16 @@ def s04(spark, sf):
     return tables.read_matching(spark, path, "traj_id", keys)
 
 
+@query("s04_scan_of_keyed_table", ID + "traj_id:s", """
+    SELECT mmsi, timestamp, traj_id FROM segments WHERE traj_id IN (
+        SELECT traj_id FROM segments GROUP BY traj_id ORDER BY count(*) DESC, traj_id LIMIT 25)""")
+def s04_keyed(spark, sf):
+    path = new_path(spark, "keyed")
+    tables.write_by_key(A.stored_segments(spark, sf), path, "traj_id", "timestamp")
+    keys = spark.read.parquet(path).groupBy("traj_id").count().orderBy(F.col("count").desc(), "traj_id").limit(25)
+    return tables.read_by_keys(spark, path, "traj_id", keys)
+
+
 @query("s05_parquet_zstd", STATS, "SELECT * FROM long_stats")
 def s05(spark, sf):
     path = new_path(spark, "stats")

@@ -33,7 +33,8 @@ def polylines(segments: DataFrame, routes: DataFrame, bucket_points: int = 10_00
     """Ordered line per chosen route with end points, times, label and WKT.
 
     Meant for a handful of routes: the line of a route is one value, so its points
-    are collected. Parts of a route are built in parallel and joined in order.
+    are collected. Parts of a route are built in parallel and joined in order. For routes
+    of any number and length see `polyline_parts`.
     """
     g = group_column(segments)
     chosen = route_points(segments, routes)
@@ -150,41 +151,42 @@ def shape_classes(shapes: DataFrame) -> DataFrame:
 def picks_by_shape(shapes: DataFrame, n: int = 15) -> DataFrame:
     """Gallery of straight and maneuver tracks over error bands, each window used once.
 
-    shapes: window_id, err_km and the track_shape columns. The rules run in order
-    on what is left; each takes a few top rows, so only those are carried between
-    rules. Left-over places go to maneuvers, then to any travelling track. Every
-    class implies travel, so only travelling tracks are stored for the rules.
+    shapes: window_id, err_km and the track_shape columns. One pass keeps the first rows of every rule, so many
+    that the rules before it cannot use them all up; the rules then choose in order from these few rows.
+    Left-over places go to maneuvers, then to any travelling track. Every class implies travel.
     """
-    columns = ("window_id", "err_km", "net_km", "directness", "cross_track_km", "maneuver_score")
-    classed = materialize(
-        shape_classes(shapes).filter("mid").select(*columns, "long", "mid", "is_maneuver", "is_straight"), "shapes"
-    )
+    rules = (*SHAPE_RULES, ("Maneuver (extra)", "maneuver", None, None, n, "maneuver_score"), ("Extra track", "mid", None, None, n, "net_km"))
+    spare = sum(k for *_, k, _ in SHAPE_RULES) + 2 * n
     flag = {"straight": "is_straight", "long": "long", "maneuver": "is_maneuver", "mid": "mid"}
-    used: list[str] = []
-    parts: list[tuple] = []
-
-    def take(label: str, cls: str, low, high, k: int, order: str) -> None:
-        if k <= 0:
-            return
+    entries = []
+    for i, (_, cls, low, high, _, order) in enumerate(rules):
         cond = F.col(flag[cls])
         if low is not None:
             cond = cond & (F.col("err_km") >= low)
         if high is not None:
             cond = cond & (F.col("err_km") < high)
-        rows = (
-            classed.filter(cond & ~F.col("window_id").isin(*used) if used else cond)
-            .orderBy(F.col(order).desc(), "window_id")
-            .limit(k)
-            .collect()
-        )
-        for j, r in enumerate(rows, 1):
-            used.append(r["window_id"])
-            parts.append((len(parts), label, j, r["window_id"], r["net_km"], r["directness"], r["cross_track_km"], r["err_km"]))
-
-    for rule in SHAPE_RULES:
-        take(*rule)
-    take("Maneuver (extra)", "maneuver", None, None, n - len(parts), "maneuver_score")
-    take("Extra track", "mid", None, None, n - len(parts), "net_km")
+        entries.append(F.when(cond, F.struct(F.lit(i).alias("_rule"), F.col(order).cast("double").alias("_score"))))
+    columns = ("window_id", "net_km", "directness", "cross_track_km", "err_km")
+    entered = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    tall = shape_classes(shapes).filter("mid").select(*columns, F.inline(entered))
+    best = (F.col("_score").desc(), F.col("window_id"))
+    in_salt = Window.partitionBy("_rule", F.pmod(F.xxhash64("window_id"), F.lit(256))).orderBy(*best)
+    in_rule = Window.partitionBy("_rule").orderBy(*best)
+    rows = (
+        tall.withColumn("_at", F.row_number().over(in_salt))
+        .filter(F.col("_at") <= spare)
+        .withColumn("_at", F.row_number().over(in_rule))
+        .filter(F.col("_at") <= spare)
+        .collect()
+    )
+    used: set[str] = set()
+    parts: list[tuple] = []
+    for i, (label, _, _, _, k, _) in enumerate(rules):
+        left = k if i < len(SHAPE_RULES) else n - len(parts)
+        of_rule = sorted((r for r in rows if r["_rule"] == i and r["window_id"] not in used), key=lambda r: r["_at"])
+        for j, r in enumerate(of_rule[: max(left, 0)], 1):
+            used.add(r["window_id"])
+            parts.append((len(parts), label, j, *(r[c] for c in columns)))
     return shapes.sparkSession.createDataFrame(
         parts[:n],
         "place int, rule string, number int, window_id string, net_km double, directness double, cross_track_km double, err_km double",
@@ -304,24 +306,55 @@ def nearest_windows_of(windows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def thin(segments: DataFrame, target_points: int = 216) -> DataFrame:
-    """Every k-th point of each trajectory so that about `target_points` remain.
+    """Every k-th point of each trajectory so that about `target_points` remain."""
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / target_points))
+    return numbered_points(segments, "traj_id").filter(F.col("_pos") % step == 0).drop("_pos", "_n")
+
 
-    Positions come from per-day counts chained per trajectory, so a long
-    trajectory is numbered in parallel.
+def numbered_points(segments: DataFrame, key: str) -> DataFrame:
+    """Adds `_pos`, the place of a point in its route from 0, and `_n`, the points of the route.
+
+    Positions come from per-day counts chained per route, so a long route is numbered in parallel.
     """
     day = F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / 86400)
-    spread = segments.withColumn("_day", day).repartition("traj_id", "_day")
-    inside = Window.partitionBy("traj_id", "_day").orderBy("timestamp")
+    spread = segments.withColumn("_day", day).repartition(key, "_day")
+    inside = Window.partitionBy(key, "_day").orderBy("timestamp")
     local = spread.withColumn("_r", F.row_number().over(inside))
-    counts = local.groupBy("traj_id", "_day").agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy("traj_id").orderBy("_day")
+    counts = local.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(key).orderBy("_day")
     offsets = counts.withColumn("_before", F.sum("_c").over(order) - F.col("_c")).withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy("traj_id"))
+        "_n", F.sum("_c").over(Window.partitionBy(key))
     )
-    pos = F.col("_before") + F.col("_r") - 1
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / target_points))
     return (
-        local.join(offsets.drop("_c"), ["traj_id", "_day"])
-        .filter(pos % step == 0)
-        .drop("_day", "_r", "_before", "_n")
+        local.join(offsets.drop("_c"), [key, "_day"])
+        .withColumn("_pos", F.col("_before") + F.col("_r") - 1)
+        .drop("_day", "_r", "_before")
+    )
+
+
+def polyline_parts(segments: DataFrame, part_points: int = 1000) -> DataFrame:
+    """(key, part, n_points, start_time, end_time, wkt): lines of all routes in parts of a fixed size.
+
+    A part ends with the first point of the next one, so the parts of a route, in order, draw its whole line, and
+    no value grows with the route. A route of one point, and a last point that its part has already, give no line.
+    """
+    g = group_column(segments)
+    part = F.floor(F.col("_pos") / part_points)
+    shared = (F.col("_pos") % part_points == 0) & (F.col("_pos") > 0)
+    numbered = numbered_points(segments.select(g, "timestamp", "lat", "lon"), g)
+    points = numbered.select(
+        g, "_pos", "timestamp", "lat", "lon", F.explode(F.when(shared, F.array(part - 1, part)).otherwise(F.array(part))).alias("part")
+    )
+    line = F.array_sort(F.collect_list(F.struct("_pos", F.format_string("%.5f %.5f", "lon", "lat").alias("pair"))))
+    return (
+        points.groupBy(g, "part")
+        .agg(
+            F.count(F.lit(1)).alias("n_points"),
+            F.min("timestamp").alias("start_time"),
+            F.max("timestamp").alias("end_time"),
+            line.alias("_line"),
+        )
+        .filter("n_points >= 2")
+        .withColumn("wkt", F.concat(F.lit("LINESTRING ("), F.array_join("_line.pair", ", "), F.lit(")")))
+        .drop("_line")
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wakeline.operators.clean import flag_in_frame
 
@@ -30,6 +31,34 @@ def write_table(df: DataFrame, path: str, *, compression: str = "snappy", partit
     df.write.mode(mode).option("compression", compression).partitionBy(*partition_by).parquet(path)
 
 
+def write_by_key(df: DataFrame, path: str, key: str, *then: str, keys_per_group: int = 10_000, mode: str = "error") -> None:
+    """Parquet laid out for reads by key: in ranges of (key, then), sorted, with a Bloom filter of the keys of each
+    row group. A key with many rows is spread over ranges by the columns of `then`."""
+    (
+        df.repartitionByRange(key, *then)
+        .sortWithinPartitions(key, *then)
+        .write.mode(mode)
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{key}", str(keys_per_group))
+        .parquet(path)
+    )
+
+
+def read_by_keys(spark: SparkSession, path: str, key: str, keys: DataFrame, listed: int = 500) -> DataFrame:
+    """Rows whose key is in a table of keys; row groups that cannot hold one are not read.
+
+    Up to `listed` keys become a filter of the scan, which asks statistics, dictionary and Bloom filter of each row
+    group for each key. A longer table, of which a row group is likely to hold a key, is joined; rows are the same.
+    """
+    wanted = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    some = [r[0] for r in wanted.limit(listed + 1).collect()]
+    if len(some) > listed:
+        return read_matching(spark, path, key, wanted)
+    # short lists: the scan turns a list of more than ten into a range
+    lists = [F.col(key).isin(*some[i : i + 10]) for i in range(0, len(some), 10)]
+    return spark.read.parquet(path).filter(reduce(Column.__or__, lists, F.lit(False)))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
