@@ -482,6 +482,19 @@ def l04(spark, sf):
     return L.inland_fraction(_win(spark, sf), land_grid(spark, sf), every=2)
 
 
+@query("l01_land_flag_by_tiles", "mmsi:i timestamp:t land:b", f"SELECT mmsi, timestamp, land FROM ({land_sql('points', 's.lat', 's.lon')})")
+def l01_tiles(spark, sf):
+    grid = land_grid(spark, sf)
+    return L.flag_land_by_tiles(A.points(spark, sf), grid, L.land_tiles(grid))
+
+
+@query("l04_inland_fraction_by_tiles", KEYS + "inland_fraction:d", INLAND_SQL)
+def l04_tiles(spark, sf):
+    """By tiles of a raster that would be too large for a constant."""
+    grid = replace(land_grid(spark, sf), n_cols=100_000)
+    return L.inland_fraction_by_tiles(_win(spark, sf), grid, L.land_tiles(grid), every=2)
+
+
 @query("l04_two_regions", "region:s " + KEYS + "inland_fraction:d", f"""
     SELECT region, window_id, inland_fraction FROM ({INLAND_SQL}), (VALUES ('a'), ('b')) r(region)""")
 def l04_regions(spark, sf):

@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wakeline.constants import SPAN_KM_PER_DEG
+from wakeline.sources.scratch import materialize
 
 WORD_BITS = 64
+#: A raster with more cells is not put into a plan as a constant (2.5 MB of bits); see `land_tiles`.
+CONSTANT_CELLS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +71,10 @@ def land_lookup(grid: LandGrid):
     The raster is one constant of 64-bit words, a bit per cell: its size is set by the
     box and the resolution (10 million cells take 1.25 MB), not by the data. A lookup
     takes the same time for every cell and needs neither a join nor a row per neighbour.
+    Rasters of more than `CONSTANT_CELLS` cells are refused: they are read by tiles.
     """
+    if grid.size > CONSTANT_CELLS:
+        raise ValueError(f"A raster of {grid.size} cells is too large for a constant; use land_tiles and the functions *_by_tiles")
     per_row = -(-grid.n_cols // WORD_BITS)
     place = F.col("row") * per_row + F.floor(F.col("col") / WORD_BITS)
     bit = F.expr(f"shiftleft(1L, cast(col % {WORD_BITS} as int))")
@@ -86,6 +92,63 @@ def land_lookup(grid: LandGrid):
     return at
 
 
+def land_tiles(grid: LandGrid) -> DataFrame:
+    """(tile, words): a written table with the bits of 64 by 64 cells a row; tiles without land have no row.
+
+    For rasters of any size, such as one of the globe: no cell reaches the driver or the plan.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(col % {WORD_BITS} as int))")
+    inside = f"land = 1 AND row BETWEEN 0 AND {grid.n_rows - 1} AND col BETWEEN 0 AND {grid.n_cols - 1}"
+    line = (F.col("row") % WORD_BITS).cast("int").alias("line")
+    lines = grid.cells.filter(inside).groupBy(tile_of(grid, F.col("row"), F.col("col")).alias("tile"), line).agg(F.bit_or(bit).alias("bits"))
+    by_line = lines.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("line", "bits"))).alias("lines"))
+    every_line = F.sequence(F.lit(0), F.lit(WORD_BITS - 1))
+    words = F.transform(every_line, lambda i: F.coalesce(F.element_at("lines", i), F.lit(0).cast("bigint")))
+    return materialize(by_line.select("tile", words.alias("words")), "land-tiles")
+
+
+def tile_of(grid: LandGrid, row: Column, col: Column) -> Column:
+    """Number of the tile of a cell; null outside the raster."""
+    inside = (row >= 0) & (row < grid.n_rows) & (col >= 0) & (col < grid.n_cols)
+    tiles_per_row = -(-grid.n_cols // WORD_BITS)
+    return F.when(inside, F.floor(row / WORD_BITS) * tiles_per_row + F.floor(col / WORD_BITS))
+
+
+def _bit(words: Column, row: Column, col: Column) -> Column:
+    """The land bit of a cell in the words of its tile; water without a tile."""
+    word = F.element_at(words, (F.pmod(row, F.lit(WORD_BITS)) + 1).cast("int"))
+    return F.coalesce(F.getbit(word, F.pmod(col, F.lit(WORD_BITS))) == 1, F.lit(False))
+
+
+def flag_land_by_tiles(points: DataFrame, grid: LandGrid, tiles: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "land") -> DataFrame:
+    """`flag_land` by one join on the tile; AQE splits a tile that holds many of the points."""
+    row, col = grid.row_of(F.col(lat)), grid.col_of(F.col(lon))
+    joined = points.withColumn("_tile", tile_of(grid, row, col)).join(
+        tiles.select(F.col("tile").alias("_tile"), F.col("words").alias("_words")), "_tile", "left"
+    )
+    return joined.withColumn(out, _bit(F.col("_words"), row, col)).drop("_tile", "_words")
+
+
+def inland_fraction_by_tiles(
+    windows: DataFrame, grid: LandGrid, tiles: DataFrame, *, km: float = 10.0, every: int = 6, key: str = "window_id"
+) -> DataFrame:
+    """`inland_fraction` with the few tiles around a window's track joined to it, once per (window, tile).
+
+    `key` must be unique. What a window holds is set by the length of its history, not by the raster.
+    """
+
+    def tiles_near(p: Column) -> Column:
+        near = neighbours(p.lat.cast("double"), p.lon.cast("double"), km)
+        return F.transform(near, lambda q: tile_of(grid, grid.row_of(q.lat), grid.col_of(q.lon)))
+
+    around = F.array_distinct(F.flatten(F.transform(_picked(every), tiles_near)))
+    needs = windows.select(F.col(key).alias("_key"), F.explode(around).alias("tile")).filter(F.col("tile").isNotNull())
+    held = needs.join(tiles, "tile").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("tile", "words"))).alias("_held"))
+    lookup = lambda row, col: _bit(F.element_at("_held", tile_of(grid, row, col)), row, col)
+    joined = windows.join(held, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn("inland_fraction", _inland_share(grid, lookup, km, every)).drop("_key", "_held")
+
+
 def neighbours(lat: Column, lon: Column, km: float) -> Column:
     """The point and, for km > 0, eight points about `km` away."""
     here = F.struct(lat.alias("lat"), lon.alias("lon"))
@@ -117,14 +180,19 @@ def open_water(lat: Column, lon: Column, grid: LandGrid, lookup, km: float = 10.
 
 def inland_fraction(windows: DataFrame, grid: LandGrid, *, km: float = 10.0, every: int = 6) -> DataFrame:
     """Share of every `every`-th history point that has no open water within `km`; null for an empty history."""
-    picked = F.filter("hist", lambda p, i: i % max(1, every) == 0)
-    lookup = land_lookup(grid)
+    return windows.withColumn("inland_fraction", _inland_share(grid, land_lookup(grid), km, every))
+
+
+def _picked(every: int) -> Column:
+    return F.filter("hist", lambda p, i: i % max(1, every) == 0)
+
+
+def _inland_share(grid: LandGrid, lookup, km: float, every: int) -> Column:
     inland = F.transform(
-        picked,
+        _picked(every),
         lambda p: F.when(open_water(p.lat.cast("double"), p.lon.cast("double"), grid, lookup, km), 0.0).otherwise(1.0),
     )
-    share = F.aggregate(inland, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(inland), F.lit(0))
-    return windows.withColumn("inland_fraction", share)
+    return F.aggregate(inland, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(inland), F.lit(0))
 
 
 def filter_inland(windows: DataFrame, grid: LandGrid, *, km: float = 10.0, every: int = 6, max_fraction: float = 0.5) -> DataFrame:
