@@ -29,10 +29,12 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept while the worker lives or until the cache is full."""
+    """64-bit hash of each word, kept while the worker lives or until the cache of `limit` words is full."""
+
+    limit = CACHE_WORDS
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.limit:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

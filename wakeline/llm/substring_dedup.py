@@ -39,6 +39,7 @@ from wakeline.sources.scratch import materialize
 WINDOW, SEED = 20, 6
 #: 128 blocks: filters of 32 MiB.
 FILTER_BLOCKS = 128
+CACHE_WORDS = 50_000
 
 
 def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -111,6 +112,7 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     slim = docs.where("doc_id is not null and text is not null").select(doc_id, text_id.alias("text_id"), "text")
     hashes = WordHashes()
+    hashes.limit = CACHE_WORDS  # a worker holds filters besides
 
     def seeds(batch: pa.RecordBatch) -> np.ndarray:
         found = [d.seed_places() for t in utf8(batch, "text") if (d := parsed(t, hashes))]
@@ -174,6 +176,9 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
         .select("h", "c", *pointer),
         "passage-places",
     )
+    # both tables that need the filters are written
+    common.unpersist()
+    open_seeds.unpersist()
     parts = single.join(places, ["h", "c"]).where(earlier).select("doc_id", "text_id", "start", F.lit(1).alias("n"), "ref_doc", "ref_start")
     return whole.unionByName(parts)
 
