@@ -9,6 +9,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,8 +80,6 @@ def nothing(spark):
 
 
 def test_blocked_filter_keeps_every_repeat(spark):
-    import numpy as np
-
     from wakeline.llm.common import mix
 
     values = [k for k in range(3000)] + [k for k in range(0, 3000, 7)]
@@ -95,8 +95,6 @@ def test_blocked_filter_keeps_every_repeat(spark):
 
 
 def test_fm_index_finds_all_occurrences():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(2, 6, 3000), 0)
     text[1000:1400] = 2
@@ -542,8 +540,6 @@ def test_short_texts_that_differ_by_a_word_are_linked(spark):
 
 
 def test_similar_short_texts_always_share_a_key():
-    import numpy as np
-
     from wakeline.llm.common import mix
 
     rng = np.random.default_rng(3)
@@ -557,8 +553,6 @@ def test_similar_short_texts_always_share_a_key():
 
 
 def test_alignment_counts_moved_passages():
-    import numpy as np
-
     from wakeline.llm.common import mix
 
     a = mix(np.arange(1, 400, dtype=np.uint64))
@@ -595,6 +589,32 @@ def test_line_dedup(docs, rows, nothing):
     assert line_dedup.drop_lines(nothing).count() == 0
 
 
+def test_texts_that_lose_no_line_pass_one_worker(docs):
+    """The filter's; a second worker in the same task would hold their texts besides."""
+    plan = line_dedup.drop_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("kept(" in x for x in plan.splitlines() if "ArrowEvalPython" in x) == 1
+
+
+def test_filters_hold_one_block_at_a_time():
+    items = [np.array(x, np.uint32) for x in ([5, 9], [5], [], [1])]
+    read = []
+
+    def batches():
+        for block, first, again in ((0, 0, 2), (0, 1, 2), (3, 3, 3), (7, 0, 2)):
+            read.append(block)
+            row = [pa.array([block], pa.int32()), pa.array([items[first].tobytes()]), pa.array([items[again].tobytes()])]
+            yield pa.RecordBatch.from_arrays(row, schema=bloom.ROWS)
+
+    merged = bloom.merge(batches())
+    for block, twice, known in ((0, [5], [0, 0, 3]), (3, [1], [0, 0, 3, 7]), (7, [], [0, 0, 3, 7])):
+        found = next(merged)
+        assert found["block"].to_pylist() == [block] and read == known
+        bits = np.unpackbits(np.frombuffer(found["bits"][0].as_py(), np.uint8))
+        p, q = bloom._bits(np.array(twice, np.uint32))
+        assert set(np.flatnonzero(bits).tolist()) == {*p.tolist(), *q.tolist()}
+    assert next(merged, None) is None
+
+
 # pipeline and queries
 @pytest.fixture(scope="module")
 def folder(spark, docs, rows, tmp_path_factory):

@@ -31,12 +31,37 @@ def _bits(sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sub & mask, ((sub * np.uint32(2654435761)) >> np.uint32(7)) & mask
 
 
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter of items seen twice of each block, from rows in the order of blocks: one block is held at a time."""
+    block, once, twice = None, np.empty(0, bool), np.empty(0, bool)
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], schema=BITS
+        )
+
+    for batch in batches:
+        for b, first, again in zip(*batch.columns):
+            if b.as_py() != block:
+                if block is not None:
+                    yield done()
+                block, once, twice = b.as_py(), np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
+            p, q = _bits(np.frombuffer(first.as_buffer(), np.uint32))
+            seen = once[p] & once[q]
+            twice[p[seen]] = twice[q[seen]] = True
+            once[p] = once[q] = True
+            p, q = _bits(np.frombuffer(again.as_buffer(), np.uint32))
+            twice[p] = twice[q] = True
+    if block is not None:
+        yield done()
+
+
 def twice_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], blocks: int) -> np.ndarray:
     """Bits of the filter of items seen at least twice.
 
     `hashes` gives the 64-bit item hashes of a batch. Each task sends 4 bytes per distinct item to the
-    item's block; a block's task holds the two filters and reads these bytes as a stream. The result,
-    `blocks` * 256 KiB, goes to the driver: a fixed size.
+    item's block; a block's task holds the two filters and reads these bytes as a stream. A task that gets
+    several blocks reads them one after the other. The result, `blocks` * 256 KiB, goes to the driver: a fixed size.
     """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,28 +84,10 @@ def twice_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
                 schema=ROWS,
             )
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = row["block"]
-                if b not in once:
-                    once[b], twice[b] = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
-                p, q = _bits(np.frombuffer(row["once"], np.uint32))
-                seen = once[b][p] & once[b][q]
-                twice[b][p[seen]] = twice[b][q[seen]] = True
-                once[b][p] = once[b][q] = True
-                p, q = _bits(np.frombuffer(row["twice"], np.uint32))
-                twice[b][p] = twice[b][q] = True
-        for b, bits in twice.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], schema=BITS
-            )
-
     rows = (
         df.mapInArrow(parts, "block int, once binary, twice binary")
         .repartition("block")
+        .sortWithinPartitions("block")
         .mapInArrow(merge, "block int, bits binary")
         .collect()
     )

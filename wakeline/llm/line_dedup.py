@@ -96,7 +96,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         rows = []
         for t, gone in zip(text, keys):
             t = t or ""
-            if gone is None or not len(gone):
+            if gone is None or not len(gone):  # the filter also lets some texts pass that lose nothing
                 rows.append((t.count("\n") + 1, 0, t))
                 continue
             gone, lines = set(gone), t.encode().split(b"\n")
@@ -113,8 +113,12 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     # Only texts that lose a line meet their losses by shuffle.
     touched = bloom.may_hold(gone.select("_line_doc"))(F.col("doc_id").cast("long"))
     met = docs.where(touched).join(gone, F.col("doc_id") == F.col("_line_doc"), "left").drop("_line_doc")
-    rest = docs.where(~touched).withColumn("_line_keys", F.lit(None).cast(gone.schema["_line_keys"].dataType))
-    return met.unionByName(rest).withColumn(into, kept(F.col("text"), F.col("_line_keys"))).drop("_line_keys")
+    met = met.withColumn(into, kept(F.col("text"), F.col("_line_keys"))).drop("_line_keys")
+    # The others stay as they are: a second Python worker beside the filter's would hold their texts again.
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    whole = F.struct(n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), text.alias("text"))
+    return met.unionByName(docs.where(~touched).withColumn(into, whole))
 
 
 def op10_line_dedup(spark, sf_dir):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
-from wakeline.llm.common import WordHashes, by_batch, grams, mix, signed, table, utf8
+from wakeline.llm.common import by_batch, grams, mix, signed, table, utf8, word_hashes
 from wakeline.llm.components import smallest_in_component
 from wakeline.sources.scratch import materialize
 
@@ -169,7 +169,6 @@ ROWS = pa.schema(
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, n_words, keys) for each row: digest of its words, and its candidate keys."""
-    hashes = WordHashes()
 
     def rows(batch: pa.RecordBatch) -> list:
         copies, sizes, keys = [], [], []
@@ -177,7 +176,7 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
             words = text.split() if text else []
             copies.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
             sizes.append(len(words))
-            keys.append(signed(candidate_keys(shingles(hashes.of(words)))) if words else None)
+            keys.append(signed(candidate_keys(shingles(word_hashes(words)))) if words else None)
         return [batch.column(0), copies, sizes, keys]
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -186,13 +185,12 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) with whether they are linked."""
-    hashes = WordHashes()
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series(
             [
-                similarity(*(shingles(hashes.of(t.encode().split())) for t in pair)) >= SIMILARITY
+                similarity(*(shingles(word_hashes(t.encode().split())) for t in pair)) >= SIMILARITY
                 for pair in zip(left, right)
             ],
             dtype=bool,
@@ -205,13 +203,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def parities(texts: DataFrame) -> DataFrame:
     """(doc_id, n, parity): distinct shingles of each text and, for each of `PARITY_BITS` bins, whether an odd number falls there."""
-    hashes = WordHashes()
 
     @F.pandas_udf("n long, parity array<long>, folded array<long>")
     def parity(values: pd.Series) -> pd.DataFrame:
         rows = []
         for text in values:
-            found = np.unique(shingles(hashes.of(text.encode().split())))
+            found = np.unique(shingles(word_hashes(text.encode().split())))
             odd = np.bincount((mix(found) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
             words = np.packbits(odd.astype(bool)).view(np.int64)
             rows.append((len(found), words, np.bitwise_xor.reduce(words.reshape(4, -1))))
