@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wakeline.llm import (
     bloom,
+    common,
     components,
     decontamination,
     fm_index,
@@ -392,6 +393,38 @@ def test_substring_dedup(docs, rows, nothing):
     assert all(r.n_removed == expected[r.doc_id][1] for r in tight)
 
 
+def test_texts_are_parsed_side_by_side(monkeypatch):
+    rng = random.Random(11)
+    made = [" ".join(rng.choices("ab", k=rng.randrange(15, 70))) for _ in range(300)] + [None, "", "a b c " * 20, "x " * 60]
+    batch = pa.RecordBatch.from_pydict({"text": made})
+    calls = []
+
+    def counted(words, n):
+        calls.append(n)
+        return common.grams(words, n)
+
+    def all_runs():
+        out = []
+        for some, row in substring_dedup.parsed(batch):
+            edge, size = some.runs()
+            seed, a, twin = substring_dedup.runs_of(some, edge, size)
+            out += zip(row[some.text[edge]].tolist(), some.start[edge].tolist(), size.tolist(), seed.tolist(), a.tolist(), twin.tolist())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "grams", counted)
+    together = all_runs()
+    assert len(calls) < 10
+    monkeypatch.setattr(substring_dedup, "SIDE_BY_SIDE", 1)
+    assert all_runs() == together
+    for k, text in enumerate(made):
+        words = (text or "").split()
+        windows = [tuple(words[i : i + 20]) for i in range(len(words) - 19)]
+        mine = [r for r in together if r[0] == k]
+        assert [i for _, start, n, *_ in mine for i in range(start, start + n)] == list(range(len(windows)))
+        for _, start, n, _, _, twin in mine:
+            assert twin == (len(set(windows[start : start + n])) < n)
+
+
 def test_texts_with_one_id_are_cut_at_their_own_passages(spark):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(60))
     x = " ".join(f"x{k}" for k in range(5))

@@ -26,6 +26,8 @@ with one doc_id are documents of their own, in the order of a 64-bit digest of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,13 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
-from wakeline.llm.common import WordHashes, by_batch, grams, mix, signed, table, utf8
+from wakeline.llm.common import by_batch, grams, mix, signed, table, utf8, word_hashes
 from wakeline.sources.scratch import materialize
 
 WINDOW, SEED = 20, 6
 #: 128 blocks: filters of 32 MiB.
 FILTER_BLOCKS = 128
-CACHE_WORDS = 50_000
+#: Words of texts that are parsed side by side.
+SIDE_BY_SIDE = 20_000
 
 
 def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -52,28 +55,51 @@ def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Parsed:
-    """Windows of a text with their seeds."""
-
-    def __init__(self, words: np.ndarray) -> None:
-        width = WINDOW - SEED + 1
-        self.grams = grams(words, SEED)
-        self.seeds = slide(self.grams, width, np.minimum)
-        self.words = words
-        self.width = width
+    """Windows of several texts with their seeds, texts side by side; each text has a window."""
+
+    def __init__(self, texts: list[np.ndarray]) -> None:
+        self.words = np.concatenate(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        counts = sizes - WINDOW + 1
+        #: Number of the text, start there and place among all words of each window; none crosses a border.
+        self.text = np.repeat(np.arange(len(texts)), counts)
+        self.start = np.arange(len(self.text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.at = np.repeat(np.cumsum(sizes) - sizes, counts) + self.start
+        self.width = WINDOW - SEED + 1
+        self.grams = grams(self.words, SEED)
+        self.seeds = slide(self.grams, self.width, np.minimum)[self.at]
 
     def seed_places(self) -> np.ndarray:
         """Hash of every gram that is the seed of some window, once for each place, ties included."""
-        pad = np.zeros(self.width - 1, np.uint64)
-        highest = slide(np.concatenate((pad, self.seeds, pad)), self.width, np.maximum)
-        return self.grams[self.grams == highest]
+        pad = self.width - 1
+        within = np.zeros(len(self.grams) + pad, np.uint64)
+        within[self.at + pad] = self.seeds
+        return self.grams[self.grams == slide(within, self.width, np.maximum)]
 
     def windows(self) -> np.ndarray:
-        return grams(self.words, WINDOW)
-
-
-def parsed(text: bytes | None, hashes: WordHashes) -> Parsed | None:
-    words = text.split() if text else []
-    return Parsed(hashes.of(words)) if len(words) >= WINDOW else None
+        return grams(self.words, WINDOW)[self.at]
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First window and number of windows of each run."""
+        new = (self.seeds[1:] != self.seeds[:-1]) | (self.text[1:] != self.text[:-1])
+        edge = np.flatnonzero(np.concatenate(([True], new)))
+        return edge, np.diff(np.append(edge, len(self.seeds)))
+
+
+def parsed(batch: pa.RecordBatch) -> Iterator[tuple[Parsed, np.ndarray]]:
+    """The texts of a batch that have a window, some at a time, and their row numbers."""
+    rows, texts, size = [], [], 0
+    for row, text in enumerate(utf8(batch, "text")):
+        words = text.split() if text else []
+        if len(words) >= WINDOW:
+            rows.append(row)
+            texts.append(word_hashes(words))
+            size += len(words)
+        if size >= SIDE_BY_SIDE:
+            yield Parsed(texts), np.array(rows)
+            rows, texts, size = [], [], 0
+    if texts:
+        yield Parsed(texts), np.array(rows)
 
 
 RUNS = pa.schema(
@@ -82,20 +108,22 @@ RUNS = pa.schema(
 WINDOWS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("text_id", pa.int64()), ("start", pa.int32())])
 
 
-def runs_of(doc: Parsed, suspects: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Seed, digest, whether a window repeats within, start and number of windows of each suspected run."""
-    windows = doc.windows()
-    edge = np.flatnonzero(np.concatenate(([True], doc.seeds[1:] != doc.seeds[:-1])))
-    size = np.diff(np.append(edge, len(windows)))
-    at = (np.arange(len(windows)) - np.repeat(edge, size)).astype(np.uint64)
-    a = np.add.reduceat(mix(windows + at * np.uint64(0xD6E8FEB86659FD93)), edge)
+def runs_of(docs: Parsed, edge: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Seed, digest, and whether a window repeats within, of runs by their first windows and sizes."""
     run = np.repeat(np.arange(len(edge)), size)
-    order = np.argsort(windows, kind="stable")
-    same = (windows[order][1:] == windows[order][:-1]) & (run[order][1:] == run[order][:-1])
+    before = np.cumsum(size) - size
+    at = np.arange(len(run)) - before[run]
+    windows = docs.windows()[edge[run] + at]
+    a = np.add.reduceat(mix(windows + at.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), before)
     twin = np.zeros(len(edge), bool)
-    twin[run[order][1:][same]] = True
-    keep = suspects[edge]
-    return doc.seeds[edge][keep], a[keep], twin[keep], edge[keep], size[keep]
+    # A window can only repeat within a run whose seed has two places, which follow each other among all places.
+    places = docs.seed_places()
+    some = np.isin(docs.seeds[edge], places[1:][places[1:] == places[:-1]])[run]
+    if some.any():
+        order = np.lexsort((windows[some], run[some]))
+        w, r = windows[some][order], run[some][order]
+        twin[r[1:][(w[1:] == w[:-1]) & (r[1:] == r[:-1])]] = True
+    return docs.seeds[edge], a, twin
 
 
 def text_number(docs: DataFrame) -> Column:
@@ -111,28 +139,27 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     slim = docs.where("doc_id is not null and text is not null").select(doc_id, text_id.alias("text_id"), "text")
-    hashes = WordHashes()
-    hashes.limit = CACHE_WORDS  # a worker holds filters besides
 
     def seeds(batch: pa.RecordBatch) -> np.ndarray:
-        found = [d.seed_places() for t in utf8(batch, "text") if (d := parsed(t, hashes))]
+        found = [some.seed_places() for some, _ in parsed(batch)]
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
     common = spark.sparkContext.broadcast(bloom.twice_filter(slim, seeds, blocks))
 
     def runs(batch: pa.RecordBatch) -> list:
-        found, ids, texts = [], [], []
-        for doc_id, text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text")):
-            if d := parsed(text, hashes):
-                suspects = bloom.suspected(common.value, d.seeds)
-                if suspects.any():
-                    found.append(runs_of(d, suspects))
-                    ids.append(np.full(len(found[-1][0]), doc_id))
-                    texts.append(np.full(len(found[-1][0]), text_id))
+        doc_id, text_id = (batch.column(k).to_numpy() for k in range(2))
+        found = []
+        for some, row in parsed(batch):
+            edge, size = some.runs()
+            suspects = bloom.suspected(common.value, some.seeds[edge])
+            if suspects.any():
+                edge, size = edge[suspects], size[suspects]
+                row = row[some.text[edge]]
+                found.append((*runs_of(some, edge, size), doc_id[row], text_id[row], some.start[edge], size))
         if not found:
             return [[] for _ in RUNS]
-        seed, a, twin, start, n = map(np.concatenate, zip(*found))
-        return [signed(seed), signed(a), twin, np.concatenate(ids), np.concatenate(texts), start.astype(np.int32), n.astype(np.int32)]
+        seed, a, twin, ids, texts, start, n = map(np.concatenate, zip(*found))
+        return [signed(seed), signed(a), twin, ids, texts, start.astype(np.int32), n.astype(np.int32)]
 
     schema = "seed long, a long, twin boolean, doc_id long, text_id long, start int, n int"
     rows = materialize(slim.mapInArrow(by_batch(RUNS, runs), schema), "passage-runs")
@@ -157,12 +184,16 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
     open_seeds = spark.sparkContext.broadcast(bloom.twice_filter(firsts.select("seed", "twin"), contested, blocks))
 
     def boundary(batch: pa.RecordBatch) -> list:
+        doc_id, text_id = (batch.column(k).to_numpy() for k in range(2))
         found = []
-        for doc_id, text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text")):
-            if d := parsed(text, hashes):
-                at = np.flatnonzero(bloom.suspected(open_seeds.value, d.seeds) & bloom.suspected(common.value, d.seeds))
-                if len(at):
-                    found.append((d.windows()[at], d.seeds[at].astype(np.uint32), np.full(len(at), doc_id), np.full(len(at), text_id), at))
+        for some, row in parsed(batch):
+            edge, size = some.runs()
+            keep = bloom.suspected(open_seeds.value, some.seeds[edge])
+            keep[keep] = bloom.suspected(common.value, some.seeds[edge][keep])
+            at = np.flatnonzero(np.repeat(keep, size))
+            if len(at):
+                row = row[some.text[at]]
+                found.append((some.windows()[at], some.seeds[at].astype(np.uint32), doc_id[row], text_id[row], some.start[at]))
         if not found:
             return [[] for _ in WINDOWS]
         h, c, ids, texts, at = map(np.concatenate, zip(*found))
