@@ -425,6 +425,37 @@ def test_texts_are_parsed_side_by_side(monkeypatch):
             assert twin == (len(set(windows[start : start + n])) < n)
 
 
+def test_texts_that_lose_no_passage_pass_one_worker(docs):
+    """The filter's, as for lines."""
+    plan = substring_dedup.drop_passages(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("kept(" in x for x in plan.splitlines() if "ArrowEvalPython" in x) == 1
+
+
+def test_texts_that_lose_no_passage_keep_all_their_words(spark):
+    made = [None, "", " ", "\t a  b\x0b\x0cc\r\n", "é\u00a0b \x1f \u2003 x", " ".join(f"w{k}" for k in range(30))]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for r in substring_dedup.drop_passages(df).collect():
+        words = [w.decode() for w in (r.text or "").encode().split()]
+        assert tuple(r._passages) == (len(words), 0, " ".join(words), [])
+
+
+def test_workers_of_a_seed_hold_one_filter(spark, monkeypatch):
+    """The filter of contested seeds holds no more than that of repeated ones, so one of them does."""
+    held, plain = [], bloom.twice_filter
+
+    def kept(*args):
+        held.append(plain(*args))
+        return held[-1]
+
+    sent = []
+    monkeypatch.setattr(bloom, "twice_filter", kept)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value, f=type(spark.sparkContext).broadcast: (sent.append(value), f(self, value))[1])
+    w = [f"w{k}" for k in range(60)]
+    made = [(1, " ".join(w)), (2, " ".join(w[5:50])), (3, " ".join(f"x{k}" for k in range(40)))]
+    found = substring_dedup.find_factors(spark.createDataFrame(made, "doc_id long, text string"), F.lit(0).cast("long"), 2).collect()
+    assert found and np.array_equal(sent[0], held[0]) and np.array_equal(sent[1], held[0] & held[1])
+
+
 def test_texts_with_one_id_are_cut_at_their_own_passages(spark):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(60))
     x = " ".join(f"x{k}" for k in range(5))
@@ -628,6 +659,17 @@ def test_texts_that_lose_no_line_pass_one_worker(docs):
     assert sum("kept(" in x for x in plan.splitlines() if "ArrowEvalPython" in x) == 1
 
 
+def test_workers_turn_small_parts_of_a_batch_into_objects():
+    made = ["x" * 1000] * 3000 + ["y" * 3_000_000, None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": made})
+    parts = list(common.slices(batch))
+    assert [t for part in parts for t in part["text"].to_pylist()] == made
+    assert len(parts) > 3 and max(part.num_rows for part in parts) < 1000
+    sizes = []
+    run = common.by_slice(near_dedup.ROWS, lambda part: sizes.append(part.num_rows) or [[0] * part.num_rows, [None] * part.num_rows, [0] * part.num_rows, [None] * part.num_rows])
+    assert sum(out.num_rows for out in run(iter([batch]))) == sum(sizes) == len(made) and len(sizes) == len(parts)
+
+
 def test_filters_hold_one_block_at_a_time():
     items = [np.array(x, np.uint32) for x in ([5, 9], [5], [], [1])]
     read = []

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import mix
+from wakeline.llm.common import mix, slices
 
 BLOCK_BITS = 1 << 21
 ROWS = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -59,7 +59,7 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def twice_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], blocks: int) -> np.ndarray:
     """Bits of the filter of items seen at least twice.
 
-    `hashes` gives the 64-bit item hashes of a batch. Each task sends 4 bytes per distinct item to the
+    `hashes` gives the 64-bit item hashes of a part of a batch. Each task sends 4 bytes per distinct item to the
     item's block; a block's task holds the two filters and reads these bytes as a stream. A task that gets
     several blocks reads them one after the other. The result, `blocks` * 256 KiB, goes to the driver: a fixed size.
     """
@@ -68,7 +68,7 @@ def twice_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found, counts = np.unique(hashes(batch), return_counts=True)
+            found, counts = np.unique(np.concatenate([hashes(part) for part in slices(batch)]), return_counts=True)
             block, sub = _places(found, blocks)
             order = np.argsort(block, kind="stable")
             block, sub, again = block[order], sub[order], counts[order] > 1

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
-from wakeline.llm.common import by_batch, grams, mix, signed, table, utf8, word_hashes
+from wakeline.llm.common import by_slice, grams, mix, signed, table, utf8, word_hashes
 from wakeline.sources.scratch import materialize
 
 WINDOW, SEED = 20, 6
@@ -144,7 +144,8 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
         found = [some.seed_places() for some, _ in parsed(batch)]
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
-    common = spark.sparkContext.broadcast(bloom.twice_filter(slim, seeds, blocks))
+    repeated = bloom.twice_filter(slim, seeds, blocks)
+    common = spark.sparkContext.broadcast(repeated)
 
     def runs(batch: pa.RecordBatch) -> list:
         doc_id, text_id = (batch.column(k).to_numpy() for k in range(2))
@@ -162,7 +163,7 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
         return [signed(seed), signed(a), twin, ids, texts, start.astype(np.int32), n.astype(np.int32)]
 
     schema = "seed long, a long, twin boolean, doc_id long, text_id long, start int, n int"
-    rows = materialize(slim.mapInArrow(by_batch(RUNS, runs), schema), "passage-runs")
+    rows = materialize(slim.mapInArrow(by_slice(RUNS, runs), schema), "passage-runs")
     firsts = materialize(
         rows.groupBy("seed", "a").agg(
             F.min(F.struct("doc_id", "text_id", "start")).alias("ref"),
@@ -181,7 +182,9 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
         seed = batch.column(0).to_numpy().view(np.uint64)
         return np.concatenate((seed, seed[batch.column(1).to_numpy(zero_copy_only=False)]))
 
-    open_seeds = spark.sparkContext.broadcast(bloom.twice_filter(firsts.select("seed", "twin"), contested, blocks))
+    # An item is in both filters if its bits are set in both: their meet is one filter, half the memory in a worker.
+    open_seeds = spark.sparkContext.broadcast(repeated & bloom.twice_filter(firsts.select("seed", "twin"), contested, blocks))
+    common.unpersist()  # the runs are written
 
     def boundary(batch: pa.RecordBatch) -> list:
         doc_id, text_id = (batch.column(k).to_numpy() for k in range(2))
@@ -189,7 +192,6 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
         for some, row in parsed(batch):
             edge, size = some.runs()
             keep = bloom.suspected(open_seeds.value, some.seeds[edge])
-            keep[keep] = bloom.suspected(common.value, some.seeds[edge][keep])
             at = np.flatnonzero(np.repeat(keep, size))
             if len(at):
                 row = row[some.text[at]]
@@ -199,7 +201,7 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
         h, c, ids, texts, at = map(np.concatenate, zip(*found))
         return [signed(h), c.view(np.int32), ids, texts, at.astype(np.int32)]
 
-    single = materialize(slim.mapInArrow(by_batch(WINDOWS, boundary), "h long, c int, doc_id long, text_id long, start int"), "passage-windows")
+    single = materialize(slim.mapInArrow(by_slice(WINDOWS, boundary), "h long, c int, doc_id long, text_id long, start int"), "passage-windows")
     places = materialize(
         single.groupBy("h", "c")
         .agg(F.min(F.struct("doc_id", "text_id", "start")).alias("ref"), F.count("*").alias("times"))
@@ -207,8 +209,6 @@ def find_factors(docs: DataFrame, text_id: Column, blocks: int = FILTER_BLOCKS)
         .select("h", "c", *pointer),
         "passage-places",
     )
-    # both tables that need the filters are written
-    common.unpersist()
     open_seeds.unpersist()
     parts = single.join(places, ["h", "c"]).where(earlier).select("doc_id", "text_id", "start", F.lit(1).alias("n"), "ref_doc", "ref_start")
     return whole.unionByName(parts)
@@ -260,8 +260,13 @@ def drop_passages(docs: DataFrame, into: str = "_passages", blocks: int = FILTER
     mine = (F.col("doc_id") == F.col("_passage_doc")) & (F.col("_passage_of") == F.col("_passage_text"))
     met = docs.where(touched).withColumn("_passage_of", text_id).join(factors, mine, "left")
     met = met.drop("_passage_doc", "_passage_text", "_passage_of")
-    rest = docs.where(~touched).withColumn("_passage_parts", F.lit(None).cast(factors.schema["_passage_parts"].dataType))
-    return met.unionByName(rest).withColumn(into, kept(F.col("text"), F.col("_passage_parts"))).drop("_passage_parts")
+    met = met.withColumn(into, kept(F.col("text"), F.col("_passage_parts"))).drop("_passage_parts")
+    # The others lose nothing: a second Python worker beside the filter's would hold their texts again.
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    n_words = (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + (text != "").cast("int")).cast("long")
+    none = F.array().cast(met.schema[into].dataType["factors"].dataType)
+    whole = F.struct(n_words.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), text.alias("text"), none.alias("factors"))
+    return met.unionByName(docs.where(~touched).withColumn(into, whole))
 
 
 def op7_substring_dedup(spark, sf_dir):
