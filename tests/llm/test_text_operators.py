@@ -328,6 +328,19 @@ def test_quality_model(spark, nothing):
     assert {r._score for r in quality_model.score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_trainers_keep_counts_and_train_on_the_same_values():
+    parts = quality_model.WordParts()
+    made = [(PASSAGE + " The x, the Y! " * 20).encode(), COMMON.encode(), b"x", b" ", None]
+    kept = [(*quality_model.counted(t, parts), float(k % 2)) for k, t in enumerate(made)]
+    full = [(*quality_model.features(t, parts), float(k % 2)) for k, t in enumerate(made)]
+    samples = quality_model.Samples(kept)
+    assert sum(a.nbytes for sample in kept for a in sample[:2]) * 2 <= sum(8 * len(i) + v.nbytes for i, v, _ in full)
+    for _ in range(2):
+        for (i, v, label), (j, w, other) in zip(samples, full, strict=True):
+            assert np.array_equal(i, j) and np.array_equal(v, w) and label == other
+    assert np.array_equal(quality_model.follow_leader(samples), quality_model.follow_leader(full))
+
+
 def test_held_out_labels_are_not_used(spark, docs, rows):
     labels = labels_of(spark, rows)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
-from wakeline.llm.common import by_batch, table, utf8
+from wakeline.llm.common import by_slice, table, utf8
 from wakeline.sources.scratch import materialize
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -71,7 +71,7 @@ def repeated_lines(
                 keys += [xxhash.xxh3_128_digest(found[i]) for i in some]
         return [ids, keys]
 
-    seen = materialize(slim.mapInArrow(by_batch(KEYS, suspects), "doc_id long, key binary"), "line-suspects")
+    seen = materialize(slim.mapInArrow(by_slice(KEYS, suspects), "doc_id long, key binary"), "line-suspects")
     often = (
         seen.groupBy("key")
         .agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))

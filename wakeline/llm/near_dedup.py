@@ -32,14 +32,13 @@ from itertools import combinations
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
-from wakeline.llm.common import by_batch, grams, mix, signed, table, utf8, word_hashes
+from wakeline.llm.common import by_slice, grams, mix, signed, table, utf8, word_hashes
 from wakeline.llm.components import smallest_in_component
 from wakeline.sources.scratch import materialize
 
@@ -166,6 +165,9 @@ ROWS = pa.schema(
     [("doc_id", pa.int64()), ("copy", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))]
 )
 
+LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+PARITIES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("parity", pa.list_(pa.int64())), ("folded", pa.list_(pa.int64()))])
+
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, n_words, keys) for each row: digest of its words, and its candidate keys."""
@@ -180,41 +182,39 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
         return [batch.column(0), copies, sizes, keys]
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(by_batch(ROWS, rows), "doc_id long, copy binary, n_words long, keys array<long>")
+    return slim.mapInArrow(by_slice(ROWS, rows), "doc_id long, copy binary, n_words long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) with whether they are linked."""
 
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                similarity(*(shingles(word_hashes(t.encode().split())) for t in pair)) >= SIMILARITY
-                for pair in zip(left, right)
-            ],
-            dtype=bool,
-        )
+    def similar(batch: pa.RecordBatch) -> list:
+        both = zip(utf8(batch, "_one"), utf8(batch, "_two"))
+        linked = [similarity(*(shingles(word_hashes(t.split())) for t in pair)) >= SIMILARITY for pair in both]
+        return [batch.column(0), batch.column(1), linked]
 
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_one"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_two"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", similar(F.col("_one"), F.col("_two")).alias("linked"))
+    met = pairs.join(two, "b").join(one, "a").select("a", "b", "_one", "_two")
+    return met.mapInArrow(by_slice(LINKED, similar), "a long, b long, linked boolean")
 
 
 def parities(texts: DataFrame) -> DataFrame:
     """(doc_id, n, parity): distinct shingles of each text and, for each of `PARITY_BITS` bins, whether an odd number falls there."""
 
-    @F.pandas_udf("n long, parity array<long>, folded array<long>")
-    def parity(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in values:
-            found = np.unique(shingles(word_hashes(text.encode().split())))
+    def parity(batch: pa.RecordBatch) -> list:
+        sizes, parity, folded = [], [], []
+        for text in utf8(batch, "text"):
+            found = np.unique(shingles(word_hashes(text.split())))
             odd = np.bincount((mix(found) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
             words = np.packbits(odd.astype(bool)).view(np.int64)
-            rows.append((len(found), words, np.bitwise_xor.reduce(words.reshape(4, -1))))
-        return pd.DataFrame(rows, columns=["n", "parity", "folded"])
+            sizes.append(len(found))
+            parity.append(words)
+            folded.append(np.bitwise_xor.reduce(words.reshape(4, -1)))
+        return [batch.column(0), sizes, parity, folded]
 
-    return texts.select("doc_id", parity("text").alias("p")).select("doc_id", "p.*")
+    slim = texts.select("doc_id", "text")
+    return slim.mapInArrow(by_slice(PARITIES, parity), "doc_id long, n long, parity array<long>, folded array<long>")
 
 
 def _renamed(sizes: DataFrame, *keep) -> DataFrame:

@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import CACHE_WORDS, crc_mod, grams, mix, table, utf8
+from wakeline.llm.common import CACHE_WORDS, crc_mod, grams, mix, slices, table, utf8
 
 DIMENSIONS = 1 << 18
 TRAIN_ROWS, TRAINERS = 16_000, 4
@@ -54,18 +53,35 @@ class WordParts(dict):
         return found
 
 
-def features(text: bytes | None, parts: WordParts) -> tuple[np.ndarray, np.ndarray]:
-    """Weight numbers and values of a text."""
+def counted(text: bytes | None, parts: WordParts) -> tuple[np.ndarray, np.ndarray]:
+    """Weight numbers of a text and how often each is met."""
     words = text.split() if text else []
     if not words:
-        return np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     both = np.array([parts[w] for w in words], np.uint64)
     core, shape = both[:, 0], both[:, 1].copy()
     shape[1:][core[1:] == core[:-1]] ^= np.uint64(0x9E3779B97F4A7C15)
     found = [mix(grams(core, n) + np.uint64(n)) for n in CORE_GRAMS] + [mix(grams(shape, n) + np.uint64(16 + n)) for n in SHAPE_GRAMS]
     index, counts = np.unique(np.concatenate(found) % np.uint64(DIMENSIONS), return_counts=True)
-    values = np.log1p(counts)
-    return index.astype(np.int64), values / np.sqrt((values * values).sum())
+    return index.astype(np.int32), counts.astype(np.int32)
+
+
+def weighed(counts: np.ndarray) -> np.ndarray:
+    values = np.log1p(counts.astype(np.float64))
+    return values / np.sqrt((values * values).sum())
+
+
+def features(text: bytes | None, parts: WordParts) -> tuple[np.ndarray, np.ndarray]:
+    """Weight numbers and values of a text."""
+    index, counts = counted(text, parts)
+    return index, weighed(counts)
+
+
+class Samples(list):
+    """(index, counts, label) of each text, weighed whenever they are read: half the memory of their values."""
+
+    def __iter__(self):
+        return ((index, weighed(counts), label) for index, counts, label in super().__iter__())
 
 
 def follow_leader(samples: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
@@ -106,15 +122,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, trainers:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = WordParts()
         seen: dict[int, list] = {}
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             for shard, doc_id, label, text in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), utf8(batch, "text")
+                part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), utf8(part, "text")
             ):
-                seen.setdefault(shard, []).append((doc_id, label, *features(text, parts)))
+                seen.setdefault(shard, []).append((doc_id, label, *counted(text, parts)))
         for shard, found in seen.items():
             # an order that depends on nothing but the rows
             found.sort(key=lambda s: (xxhash.xxh3_64_intdigest(str(s[0])), len(s[2])))
-            weights = follow_leader([(i, v, label) for _, label, i, v in found])
+            weights = follow_leader(Samples((i, n, label) for _, label, i, n in found))
             yield pa.RecordBatch.from_pydict(
                 {"shard": [shard], "rows": [len(found)], "weights": [weights.astype(np.float32).tobytes()]},
                 schema=pa.schema([("shard", pa.int32()), ("rows", pa.int64()), ("weights", pa.binary())]),
@@ -139,15 +155,16 @@ def scorer(docs: DataFrame, weights: np.ndarray):
     model = docs.sparkSession.sparkContext.broadcast(weights)
     parts = WordParts()
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    # On Arrow arrays: one text at a time is a Python object.
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         w = model.value
         out = np.full(len(texts), float(w[-1]))
-        for k, text in enumerate(texts):
-            if text:
-                index, values = features(text.encode("utf-8", "replace"), parts)
+        for k, text in enumerate(texts.cast(pa.binary())):
+            if text := text.as_py():
+                index, values = features(text, parts)
                 out[k] += w[index] @ values
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+        return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
     return score
 
