@@ -6,15 +6,18 @@ import math
 import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wakeline.llm import collocations, decontamination, lexical_search, packing, pii
+from wakeline.llm import bloom, collocations, decontamination, lexical_search, packing, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, length int, rank int, score string, item_id string, piece int"
 SPECIAL = [None, "", " \n\t ", "x", "é", "\n\n", "...", ";;", "a,b.c", "Ünïcode STRASSE straße"]
@@ -233,6 +236,41 @@ def test_scores_past_64_bits(spark):
     assert row.select(F.expr(collocations.SCORE)).first()[0] == 1000 * a * n // (left * right)
 
 
+class Captured:
+    """In place of a frame: keeps the function that a worker would run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_a_worker_holds_phrases_as_numbers():
+    """All phrases pass the filters, and nearly all differ."""
+    everything = SimpleNamespace(value=np.full(bloom.BLOCK_BITS // 8, 255, np.uint8))
+    texts = [" ".join(f"w{(k * 7919 + i * i) % 3000}" for i in range(1200)) for k in range(25)]
+    batch = pa.record_batch([pa.array(["en"] * 25), pa.array(texts)], names=["lang", "text"])
+    frame = Captured()
+    collocations.partial_stripes(frame, (everything, everything, 100_000), 5)
+    tracemalloc.start()
+    rows = total = 0
+    for out in frame.run(iter([batch])):
+        rows += out.num_rows
+        total += int(out.column(5).flatten().flatten().to_numpy().sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == sum(1200 - n + 1 for n in range(1, 6)) * 25 and rows > 100
+    assert peak < 50e6  # 35 MB; as counters of texts 78 MB
+
+
+def test_tokens_of_all_langs_count_together(monkeypatch):
+    monkeypatch.setattr(collocations, "STEP_TOKENS", 100)
+    batch = pa.record_batch([pa.array([f"l{k % 40}" for k in range(80)]), pa.array(["a b c d"] * 80)], names=["lang", "text"])
+    found = list(collocations._by_lang(batch))
+    assert Counter(t for _, tokens in found for t in tokens) == {b: 80 for b in (b"a", b"b", b"c", b"d", b";")}
+    # 20 texts reach the limit; before, 80 texts of 40 langs were held to the end of the batch
+    assert max(map(len, (tokens for _, tokens in found))) == 5 and len(found) == 80
+
+
 # --- mended cases ---------------------------------------------------------------------------
 
 

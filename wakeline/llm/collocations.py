@@ -17,7 +17,8 @@ phrase has no frequent extension, so no candidate is lost, and all counts are ex
 
 A stripe is split into parts by a hash of the following word, so a frequent prefix is not one task's. Parts are
 sent and merged in buckets of about `BUCKET_RUNS` frequent runs; their number follows the number of frequent
-runs. A task holds at most `TASK_PHRASES` phrases before it sends its stripes; merging holds one bucket.
+runs. A task holds about `TASK_PHRASES` phrases, as rows of word numbers, before it sends its stripes; merging holds
+one bucket. Texts become Python objects a slice of a batch and `STEP_TOKENS` tokens at a time, whatever the number of langs.
 
 Null texts are empty, null lang is `und`. Rows that repeat count each. Texts of any length are read whole. An
 empty table gives no rows. Products of counts are exact decimals of 38 digits, enough for 10^16 words a lang.
@@ -35,13 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
-from wakeline.llm.common import WordHashes, mix, table, utf8
+from wakeline.llm.common import WordHashes, mix, slices, table, utf8, word_hashes
 from wakeline.sources.scratch import materialize
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: The filter has at most this many blocks of 256 KiB; a block serves 100,000 frequent hashes.
 FILTER_BLOCKS, FILTER_ITEMS = 128, 100_000
 TASK_PHRASES, TASK_TOKENS = 500_000, 1_000_000
+#: Phrases of the steps since the last sum that wait to be summed.
+WAITING_PHRASES = 200_000
 #: Texts are hashed in steps of this many tokens, and sent in batches of so many rows.
 STEP_TOKENS, BATCH_ROWS, BATCH_BUCKETS = 200_000, 100_000, 100
 #: Parts of a stripe by the number of words of its prefix; longer prefixes have few followers.
@@ -68,8 +71,8 @@ MERGED = pa.schema(
     [("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("total", pa.int64())]
 )
 MERGED_TYPE = "lang string, prefix string, part int, next array<string>, n array<long>, total long"
-#: The entry of all rare words in the stripe of no words.
-RARE = b""
+#: The entry of all rare words in the stripe of no words, and its number; 0 is no word.
+RARE, RARE_NUMBER = b"", 1
 
 
 #: A decimal product has the digits of both sides and one more: 4 + 16 + 1 and 16 + 1, and 16 + 16 + 1.
@@ -87,11 +90,17 @@ def tokens_of(text: bytes | None) -> list[bytes]:
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     """Tokens of texts with one lang, some texts at a time; each text ends with a separator."""
     found: dict[str, list[bytes]] = defaultdict(list)
-    for lang, text in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
-        found[lang] += tokens_of(text)
-        found[lang].append(b";")
-        if len(found[lang]) >= STEP_TOKENS:
-            yield lang, found.pop(lang)
+    size = 0
+    for part in slices(batch):
+        for lang, text in zip(part.column(0).to_pylist(), utf8(part, "text")):
+            tokens = tokens_of(text)
+            found[lang] += tokens
+            found[lang].append(b";")
+            size += len(tokens) + 1
+            if size >= STEP_TOKENS:
+                yield from found.items()
+                found.clear()
+                size = 0
     yield from found.items()
 
 
@@ -99,12 +108,13 @@ class _Hashed:
     """Hashes of words and of neighbouring words, by lang."""
 
     def __init__(self) -> None:
-        self.words, self.langs = WordHashes(), WordHashes()
+        self.langs = WordHashes()
+        self.end = np.uint64(self.langs[b";"])
 
     def of(self, lang: str, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of words, and of pairs of words, with their hashes; hashes of the words alone."""
-        plain = self.words.of(tokens)
-        is_word = plain != np.uint64(self.words[b";"])
+        plain = word_hashes(tokens)
+        is_word = plain != self.end
         single = mix(plain ^ np.uint64(self.langs[lang.encode()]))
         one, two = np.flatnonzero(is_word), np.flatnonzero(is_word[:-1] & is_word[1:])
         return one, single[one], two, _then(single[two], plain[two + 1]), plain
@@ -133,10 +143,13 @@ def _hash_counts(docs: DataFrame, hashes: Callable, least: int) -> DataFrame:
         hashed, held, size = _Hashed(), [], 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(h), BATCH_ROWS):
-                part = [pa.array(h[i : i + BATCH_ROWS].view(np.int64)), pa.array(n[i : i + BATCH_ROWS])]
-                yield pa.RecordBatch.from_arrays(part, schema=HASHES)
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            first = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]))[: len(h) + 1]
+            for i in range(0, len(first) - 1, BATCH_ROWS):
+                cuts = first[i : i + BATCH_ROWS + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(h[cuts[:-1]].view(np.int64)), pa.array(np.diff(cuts))], schema=HASHES)
 
         for batch in batches:
             for lang, tokens in _by_lang(batch):
@@ -144,7 +157,7 @@ def _hash_counts(docs: DataFrame, hashes: Callable, least: int) -> DataFrame:
                 size += len(tokens)
                 if size >= TASK_TOKENS:
                     yield from counted()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from counted()
 
@@ -177,12 +190,121 @@ def frequent_runs(docs: DataFrame, least: int) -> tuple[Broadcast, Broadcast, in
     return short, long, n_short + n_long
 
 
-def _texts(values: list, depth: int) -> pa.Array:
-    """Nested lists of bytes as lists of strings."""
-    raw, text = pa.binary(), pa.string()
-    for _ in range(depth):
-        raw, text = pa.list_(raw), pa.list_(text)
-    return pa.array(values, raw).cast(text)
+class _Phrases:
+    """Counts of phrases as columns of numbers: the lang's, those of up to `longest` words, then zeros."""
+
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
+        self.words: dict[bytes, int] = {RARE: RARE_NUMBER}
+        self.langs: dict[str, int] = {}
+        self.n_words: Counter = Counter()
+        self.held = [(np.empty((longest + 1, 0), np.int32), np.empty(0, np.int64))]
+        self.summed = self.waiting = 0
+
+    def __len__(self) -> int:
+        return self.summed + self.waiting
+
+    def add(self, lang: str, tokens: list[bytes], starts: list[np.ndarray], n_words: int) -> None:
+        """Count the phrases of 1, 2, ... words that start at these places."""
+        used = np.zeros(len(tokens), bool)
+        for length, at in enumerate(starts, 1):
+            used[at] = used[at + length - 1] = True
+        numbers = np.zeros(len(tokens), np.int32)
+        places = np.flatnonzero(used)
+        known = self.words
+        numbers[places] = [known.setdefault(tokens[i], len(known) + 1) for i in places.tolist()]
+        phrases = np.zeros((self.longest + 1, sum(map(len, starts))), np.int32)
+        phrases[0] = self.langs.setdefault(lang, len(self.langs))
+        end = 0
+        for length, at in enumerate(starts, 1):
+            begin, end = end, end + len(at)
+            for k in range(length):
+                phrases[k + 1, begin:end] = numbers[at + k]
+        self.n_words[lang] += n_words
+        self.held.append(_summed(phrases, np.ones(end, np.int64)))
+        self.waiting += len(self.held[-1][1])
+        if self.waiting >= WAITING_PHRASES:
+            self.sum()
+
+    def sum(self) -> None:
+        phrases, counts = (np.concatenate(x, axis=-1) for x in zip(*self.held))
+        self.held.clear()
+        self.held.append(_summed(phrases, counts))
+        self.summed, self.waiting = len(self.held[0][1]), 0
+
+    def stripes(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Rows of `STRIPES`; this ends the counts. A key that comes twice is summed when stripes are merged."""
+        self.sum()
+        phrases, counts = self.held.pop()
+        # what the frequent words of a lang leave of all its words is its rare ones
+        rare = np.zeros((self.longest + 1, len(self.langs)), np.int32)
+        rare[0], rare[1] = np.arange(len(self.langs)), RARE_NUMBER
+        left = np.array([self.n_words[lang] for lang in self.langs], np.int64)
+        single = np.flatnonzero(np.count_nonzero(phrases[1:], axis=0) == 1)
+        np.subtract.at(left, phrases[0, single], counts[single])
+        phrases, counts = np.concatenate((phrases, rare), axis=1), np.concatenate((counts, left))
+
+        # the last word of each goes, the rest is its prefix
+        length, each = np.count_nonzero(phrases[1:], axis=0), np.arange(len(counts))
+        last = phrases[length, each]
+        phrases[length, each] = 0
+        hashes = np.concatenate((np.zeros(1, np.uint64), word_hashes(list(self.words))))
+        prefix = np.zeros(len(counts), np.uint64)
+        for column in phrases[1:]:
+            prefix = np.where(column > 0, _then(prefix, hashes[column]), prefix)
+        parts = np.array([PARTS.get(k, 1) for k in range(self.longest)], np.uint64)[length - 1]
+        part = np.where(last == RARE_NUMBER, 0, hashes[last] % parts).astype(np.int32)
+        bucket = ((prefix + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((part, prefix, bucket, phrases[0]))
+        del each, length, parts, prefix, single
+
+        new_row = _changes(order, bucket, phrases[0])
+        new_stripe = new_row | _changes(order, part, *phrases[1:])
+        stripe = np.concatenate(([0], np.flatnonzero(new_stripe) + 1, [len(order)]))
+        row = np.searchsorted(stripe, np.concatenate(([0], np.flatnonzero(new_row) + 1, [len(order)])))
+        words, langs = list(self.words), pa.array(self.langs, pa.string())
+        texts = pa.array(words, pa.binary()).cast(pa.string())
+        for i in range(0, len(row) - 1, BATCH_BUCKETS):
+            of_row = row[i : i + BATCH_BUCKETS + 1]
+            of_stripe = stripe[of_row[0] : of_row[-1] + 1]
+            entries, stripes, rows = order[of_stripe[0] : of_stripe[-1]], order[of_stripe[:-1]], order[stripe[of_row[:-1]]]
+            prefixes = [b" ".join([words[w - 1] for w in x if w]) for x in phrases[1:, stripes].T.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.take(pa.array(phrases[0, rows])),
+                    pa.array(bucket[rows]),
+                    _lists(pa.array(prefixes, pa.binary()).cast(pa.string()), of_row),
+                    _lists(pa.array(part[stripes]), of_row),
+                    _lists(_lists(texts.take(pa.array(last[entries] - 1)), of_stripe), of_row),
+                    _lists(_lists(pa.array(counts[entries]), of_stripe), of_row),
+                ],
+                schema=STRIPES,
+            )
+
+
+def _lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), values)
+
+
+def _changes(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Whether each but the first, in this order, differs from the one before in any column."""
+    out = np.zeros(max(0, len(order) - 1), bool)
+    for column in columns:
+        values = column[order]
+        out |= values[1:] != values[:-1]
+    return out
+
+
+def _summed(phrases: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal phrases together. They are compared whole; if hashes collide, one may come twice."""
+    if not len(counts):
+        return phrases, counts
+    key = np.zeros(len(counts), np.uint64)
+    for column in phrases:
+        key = _then(key, column.astype(np.uint64))
+    order = np.argsort(key)
+    first = np.concatenate(([0], np.flatnonzero(_changes(order, *phrases)) + 1))
+    return phrases[:, order[first]], np.add.reduceat(counts[order], first)
 
 
 def partial_stripes(docs: DataFrame, runs: tuple[Broadcast, Broadcast, int], longest: int) -> DataFrame:
@@ -191,54 +313,24 @@ def partial_stripes(docs: DataFrame, runs: tuple[Broadcast, Broadcast, int], lon
     buckets = frequent // BUCKET_RUNS + 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _Hashed()
-        phrases: dict[str, Counter] = defaultdict(Counter)
-        words: Counter = Counter()
-
-        def stripes() -> Iterator[pa.RecordBatch]:
-            for lang, counts in phrases.items():
-                after: dict[tuple[bytes, int], list[tuple[bytes, int]]] = defaultdict(list)
-                for phrase, n in counts.items():
-                    prefix, _, last = phrase.rpartition(b" ")
-                    length = prefix.count(b" ") + 1 if prefix else 0
-                    after[prefix, hashed.words[last] % PARTS.get(length, 1)].append((last, n))
-                rare = words[lang] - sum(n for (prefix, _), x in after.items() if not prefix for _, n in x)
-                after[b"", 0].append((RARE, rare))
-                keys: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
-                for prefix, part in after:
-                    keys[(hashed.words[prefix] + part) % buckets].append((prefix, part))
-                packed = list(keys.items())
-                for i in range(0, len(packed), BATCH_BUCKETS):
-                    some = packed[i : i + BATCH_BUCKETS]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(some)),
-                            pa.array([bucket for bucket, _ in some], pa.int64()),
-                            _texts([[prefix for prefix, _ in x] for _, x in some], 1),
-                            pa.array([[part for _, part in x] for _, x in some], pa.list_(pa.int32())),
-                            _texts([[[w for w, _ in after[k]] for k in x] for _, x in some], 2),
-                            pa.array([[[n for _, n in after[k]] for k in x] for _, x in some], STRIPES.field("n").type),
-                        ],
-                        schema=STRIPES,
-                    )
-
+        hashed, phrases = _Hashed(), _Phrases(longest)
         for batch in batches:
             for lang, tokens in _by_lang(batch):
                 one, single, two, pair, plain = hashed.of(lang, tokens)
                 joins, place, three = _threes(short.value, two, pair, plain)
                 goes_on = np.zeros(len(tokens), bool)
                 goes_on[place[bloom.suspected(long.value, three)]] = True
-                words[lang] += len(one)
-                counts = phrases[lang]
-                counts.update([tokens[i] for i in one[bloom.suspected(short.value, single)]])
-                starts = np.flatnonzero(joins)
-                for length in range(2, longest + 1):
-                    counts.update([b" ".join(tokens[i : i + length]) for i in starts])
-                    starts = starts[goes_on[starts + length - 2]]
-            if sum(map(len, phrases.values())) >= TASK_PHRASES:
-                yield from stripes()
-                phrases, words = defaultdict(Counter), Counter()
-        yield from stripes()
+                starts = [one[bloom.suspected(short.value, single)], np.flatnonzero(joins)]
+                for length in range(2, longest):
+                    starts.append(starts[-1][goes_on[starts[-1] + length - 2]])
+                phrases.add(lang, tokens, starts[:longest], len(one))
+                if len(phrases) >= TASK_PHRASES:
+                    phrases.sum()
+                    if len(phrases) >= TASK_PHRASES:
+                        yield from phrases.stripes(buckets)
+                        phrases = _Phrases(longest)
+        if phrases.langs:
+            yield from phrases.stripes(buckets)
 
     return docs.mapInArrow(run, STRIPE_TYPE)
 
@@ -260,7 +352,7 @@ def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), MERGED.types)], schema=MERGED)
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             for lang, bucket, *stripe in zip(*(c.to_pylist() for c in batch.columns)):
                 if (lang, bucket) != key:
                     yield from send()
