@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wakeline.llm import bloom, collocations, decontamination, lexical_search, packing, pii
+from wakeline.llm import bloom, collocations, common, decontamination, lexical_search, near_dedup, packing, pii, quality_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, length int, rank int, score string, item_id string, piece int"
 SPECIAL = [None, "", " \n\t ", "x", "é", "\n\n", "...", ";;", "a,b.c", "Ünïcode STRASSE straße"]
@@ -274,6 +274,55 @@ def test_tokens_of_all_langs_count_together(monkeypatch):
 # --- mended cases ---------------------------------------------------------------------------
 
 
+def test_passes_hand_small_batches_to_workers(spark, monkeypatch):
+    monkeypatch.setattr(common, "BATCH_BYTES", 100_000)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 100).alias("text"))
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    before = spark.conf.get(common.BATCH_CONF)
+    with common.small_batches(spark):
+        found = [r.n for r in rows.mapInArrow(size, "n long").collect()]
+    assert sum(found) == 4000 and max(found) <= 120 and spark.conf.get(common.BATCH_CONF) == before
+    seen = []
+    write = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda *a: seen.append(spark.conf.get(common.BATCH_CONF)) or write(*a))
+    texts = spark.createDataFrame([(k, "one two three four five six " * 3) for k in range(5)], "doc_id long, text string")
+    assert {r.class_id for r in near_dedup.near_duplicates(texts).collect()} == {0}
+    assert set(seen) == {"100000"} and spark.conf.get(common.BATCH_CONF) == before
+
+
+def test_decontamination_reads_a_slice_of_a_batch_at_a_time():
+    frame = Captured()
+    frame.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+    item = " ".join(f"i{k}" for k in range(13))
+    texts = ["x" * 20_000] * 999 + [f"a {item} b"]
+    batch = pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(range(1000), pa.int64()), pa.array(texts)], names=["doc_id", "row", "text"])
+    decontamination._scan(frame, [("q", item)], 13)
+    tracemalloc.start()
+    (out,) = frame.run(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["spans"].to_pylist() == [[]] * 999 + [[{"start": 1, "end": 14}]]
+    assert peak < 5e6  # before: 20 MB of texts
+
+
+def test_word_parts_keep_places_in_one_array(monkeypatch):
+    words = [f"Word{k},".encode() for k in range(30_000)]
+    tracemalloc.start()
+    parts = quality_model.WordParts()
+    both = parts.of(words * 2)
+    held = tracemalloc.get_traced_memory()[0] - both.nbytes
+    tracemalloc.stop()
+    assert both.tolist() == [list(quality_model.word_parts(w)) for w in words] * 2
+    assert held < 120 * len(words)  # before: a tuple and two numbers more a word
+    monkeypatch.setattr(quality_model, "CACHE_WORDS", 10)
+    again = parts.of(words[5:9])
+    assert len(parts) == 4 and again.tolist() == both[5:9].tolist()
+
+
 def test_broadcast_phrases_are_plain_values():
     tables = vars(decontamination.Phrases([("a", "one two three"), (None, "four")], 13))
     assert b"wakeline" not in pickle.dumps(tables)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,29 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 100_000
 #: Bytes of a batch that are turned into Python objects at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch that Spark hands to a worker, in passes that ask for small ones.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Passes run meanwhile hand about `BATCH_BYTES` at a time to a worker, all rows after one another.
+
+    By default a batch has up to 64 MiB; Spark's copy of it is outside its heap, the worker has another.
+    """
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def crc_mod(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo a number; -1 for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(-1))

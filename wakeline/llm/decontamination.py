@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import table, utf8
+from wakeline.llm.common import slices, table, utf8
 from wakeline.llm.fm_index import FMIndex
 from wakeline.sources.scratch import materialize
 
@@ -145,7 +145,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = SimpleNamespace(**tables.value)
         shard = Shard(phrases)
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text")):
                 shard.add(doc_id, row, text)
                 if shard.size >= SHARD_WORDS or len(shard.ids) >= SHARD_DOCS:

@@ -15,20 +15,20 @@ Rows that repeat a doc_id are one document for the counts and lose the same line
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
-from wakeline.llm.common import by_slice, table, utf8
+from wakeline.llm.common import by_slice, slices, small_batches, table, utf8
 from wakeline.sources.scratch import materialize
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: 64 blocks: filters of 16 MiB.
 FILTER_BLOCKS = 64
 KEYS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
+KEPT = [("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("text", pa.string())]
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -91,25 +91,27 @@ def repeated_lines(
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, into: str = "_lines") -> DataFrame:
     """`docs` with a struct column: n_lines, n_dropped and the kept text."""
 
-    @F.pandas_udf("n_lines long, n_dropped long, text string")
-    def kept(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, gone in zip(text, keys):
-            t = t or ""
-            if gone is None or not len(gone):  # the filter also lets some texts pass that lose nothing
-                rows.append((t.count("\n") + 1, 0, t))
-                continue
-            gone, lines = set(gone), t.encode().split(b"\n")
-            stay = [
-                line
-                for line in lines
-                if (key := line_key(line, min_chars)) is None or xxhash.xxh3_128_digest(key) not in gone
-            ]
-            rows.append((len(lines), len(lines) - len(stay), b"\n".join(stay).decode()))
-        return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "text"])
-
-    gone = repeated_lines(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "_line_doc", "keys": "_line_keys"})
-    gone = materialize(gone, "line-losses")
+    def cut(text: bytes | None, gone: list[bytes] | None) -> tuple[int, int, bytes]:
+        lines = (text or b"").split(b"\n")
+        if not gone:  # the filter also lets some texts pass that lose nothing
+            return len(lines), 0, text or b""
+        digests = set(gone)
+        stay = [line for line in lines if (key := line_key(line, min_chars)) is None or xxhash.xxh3_128_digest(key) not in digests]
+        return len(lines), len(lines) - len(stay), b"\n".join(stay)
+
+    @F.arrow_udf("n_lines long, n_dropped long, text string")
+    def kept(text: pa.Array, keys: pa.Array) -> pa.Array:
+        done = []
+        for part in slices(pa.record_batch([text, keys], names=["text", "keys"])):
+            rows = [cut(*row) for row in zip(utf8(part, "text"), part.column(1).to_pylist())]
+            n_lines, n_dropped, texts = ([row[i] for row in rows] for i in range(3))
+            columns = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+            done.append(pa.StructArray.from_arrays(columns, ["n_lines", "n_dropped", "text"]))
+        return pa.concat_arrays(done) if done else pa.array([], pa.struct(KEPT))
+
+    with small_batches(docs.sparkSession):
+        gone = repeated_lines(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "_line_doc", "keys": "_line_keys"})
+        gone = materialize(gone, "line-losses")
     # Only texts that lose a line meet their losses by shuffle.
     touched = bloom.may_hold(gone.select("_line_doc"))(F.col("doc_id").cast("long"))
     met = docs.where(touched).join(gone, F.col("doc_id") == F.col("_line_doc"), "left").drop("_line_doc")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm import bloom
-from wakeline.llm.common import by_slice, grams, mix, signed, table, utf8, word_hashes
+from wakeline.llm.common import by_slice, grams, mix, signed, small_batches, table, utf8, word_hashes
 from wakeline.llm.components import smallest_in_component
 from wakeline.sources.scratch import materialize
 
@@ -290,11 +290,12 @@ def find_links(docs: DataFrame, sketched: DataFrame, firsts: DataFrame) -> DataF
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, copy_of, n_words) for each row: the class, and the first document with the same words."""
-    sketched = materialize(sketch_rows(docs), "sketches")
-    firsts = materialize(
-        sketched.where("copy is not null and doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("first")), "copies"
-    )
-    classes = smallest_in_component(find_links(docs, sketched, firsts))
+    with small_batches(docs.sparkSession):
+        sketched = materialize(sketch_rows(docs), "sketches")
+        firsts = materialize(
+            sketched.where("copy is not null and doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("first")), "copies"
+        )
+        classes = smallest_in_component(find_links(docs, sketched, firsts))
     known = sketched.select("doc_id", "copy", "n_words").join(firsts, "copy", "left")
     named = known.join(classes.select(F.col("node").alias("first"), "label"), "first", "left")
     return named.select(

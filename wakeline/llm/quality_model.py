@@ -15,6 +15,7 @@ labels of one doc_id the mean decides. Without any label every score is 0.5. A n
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import CACHE_WORDS, crc_mod, grams, mix, slices, table, utf8
+from wakeline.llm.common import CACHE_WORDS, crc_mod, grams, mix, slices, small_batches, table, utf8
 
 DIMENSIONS = 1 << 18
 TRAIN_ROWS, TRAINERS = 16_000, 4
@@ -46,11 +47,23 @@ def word_parts(word: bytes) -> tuple[int, int]:
 
 
 class WordParts(dict):
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    """Place of each word in `hashes`, which holds the two of each word one after the other."""
+
+    def __init__(self) -> None:
+        self.hashes = array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.hashes.extend(word_parts(word))
+        return place
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Core and shape of each word; the cache starts anew between texts."""
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = self[word] = word_parts(word)
-        return found
+            self.hashes = array("Q")
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)[places]
 
 
 def counted(text: bytes | None, parts: WordParts) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +71,7 @@ def counted(text: bytes | None, parts: WordParts) -> tuple[np.ndarray, np.ndarra
     words = text.split() if text else []
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.int32)
-    both = np.array([parts[w] for w in words], np.uint64)
+    both = parts.of(words)
     core, shape = both[:, 0], both[:, 1].copy()
     shape[1:][core[1:] == core[:-1]] ^= np.uint64(0x9E3779B97F4A7C15)
     found = [mix(grams(core, n) + np.uint64(n)) for n in CORE_GRAMS] + [mix(grams(shape, n) + np.uint64(16 + n)) for n in SHAPE_GRAMS]
@@ -123,10 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, trainers:
         parts = WordParts()
         seen: dict[int, list] = {}
         for part in (part for batch in batches for part in slices(batch)):
-            for shard, doc_id, label, text in zip(
-                part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), utf8(part, "text")
-            ):
-                seen.setdefault(shard, []).append((doc_id, label, *counted(text, parts)))
+            index, counts = zip(*(counted(text, parts) for text in utf8(part, "text")))
+            # a few large arrays are given back when the shard is done; many small ones stay with the worker
+            cuts = np.cumsum([len(i) for i in index])[:-1]
+            texts = zip(np.split(np.concatenate(index), cuts), np.split(np.concatenate(counts), cuts))
+            for shard, doc_id, label, text in zip(*(part.column(k).to_pylist() for k in range(3)), texts):
+                seen.setdefault(shard, []).append((doc_id, label, *text))
         for shard, found in seen.items():
             # an order that depends on nothing but the rows
             found.sort(key=lambda s: (xxhash.xxh3_64_intdigest(str(s[0])), len(s[2])))
@@ -137,12 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, trainers:
             )
 
     shard = (F.pmod(F.xxhash64("doc_id"), F.lit(trainers))).cast("int").alias("shard")
-    models = (
-        texts.select(shard, "doc_id", "label", "text")
-        .repartition(trainers, "shard")
-        .mapInArrow(fit, "shard int, rows long, weights binary")
-        .collect()
-    )
+    with small_batches(docs.sparkSession):
+        models = (
+            texts.select(shard, "doc_id", "label", "text")
+            .repartition(trainers, "shard")
+            .mapInArrow(fit, "shard int, rows long, weights binary")
+            .collect()
+        )
     total = sum(m["rows"] for m in models)
     out = np.zeros(DIMENSIONS + 1, np.float32)
     for m in sorted(models, key=lambda m: m["shard"]):
