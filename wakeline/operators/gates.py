@@ -124,18 +124,11 @@ def forest_importance(
     min_leaf: int = 40,
     seed: int = 42,
 ) -> DataFrame:
-    """Importance of each feature for each weight from a random forest per weight."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
+    """Importance of each feature for each weight from a random forest per weight, all grown together (forest)."""
+    from wakeline.operators.forest import importances
 
-    slim = materialize(table.select(*features, *labels), "forest")
-    vectors = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip").transform(slim)
-    rows = []
-    for w in labels:
-        forest = RandomForestRegressor(
-            featuresCol="x", labelCol=w, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed
-        ).fit(vectors)
-        rows += [(w, f, float(v)) for f, v in zip(features, forest.featureImportances.toArray())]
+    found = importances(table, features, labels, trees=trees, depth=depth, min_leaf=min_leaf, seed=seed)
+    rows = [(w, f, float(v)) for w, shares in zip(labels, found) for f, v in zip(features, shares)]
     return table.sparkSession.createDataFrame(rows, "context string, feature string, importance double")
 
 
