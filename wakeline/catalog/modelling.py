@@ -12,7 +12,7 @@ from wakeline.functions.ranking import percentile_columns
 from wakeline.operators import baselines as B, evaluate as E, motion as M, split as P, windows as W
 from wakeline.plans import adapter as A
 from wakeline.sources import datasets, reports
-from wakeline.sources.scratch import materialize, new_path
+from wakeline.sources.scratch import new_path
 
 STEP = A.STEP_MINUTES
 KEYS = "window_id:s "
@@ -255,8 +255,8 @@ def b05_kinematic(spark, sf):
     return _rolled(spark, sf, "kinematic")
 
 
-def _regression(spark, sf) -> DataFrame:
-    return B.fit_horizon_regression(A.stored_windows(spark, sf), 12.0, STEP, A.N, F.col("mmsi") % 5 != 4)
+def _regression(spark, sf, keep: tuple[str, ...] = ()) -> DataFrame:
+    return B.fit_horizon_regression(A.stored_windows(spark, sf), 12.0, STEP, A.N, F.col("mmsi") % 5 != 4, keep)
 
 
 @query("b06_horizon_regression", "window_id:s is_train:b true_lat:d true_lon:d pred_lat:d pred_lon:d error_km:d")
@@ -271,24 +271,25 @@ def b06(spark, sf):
     FROM win, (VALUES ('lat'), ('lon')) t(target) GROUP BY target""")
 def b06_invariants(spark, sf):
     """The fit solves its normal equations: on training rows the residual, and its product with each feature, average to 0."""
-    windows = A.stored_windows(spark, sf)
-    out = _regression(spark, sf)
-    flat = F.flatten(F.transform("hist", lambda s: F.array(*[s[f].cast("double") for f in FEATURES])))
-    both = materialize(out.join(windows.select(W.window_id().alias("window_id"), flat.alias("x")), "window_id"), "residuals")
-    parts = []
-    for target in ("lat", "lon"):
-        r = F.col(f"true_{target}") - F.col(f"pred_{target}")
-        moments = both.filter("is_train").select(F.posexplode("x").alias("k", "v"), r.alias("r"))
-        scaled = moments.groupBy("k").agg((F.abs(F.avg(F.col("r") * F.col("v"))) / (F.lit(1.0) + F.avg(F.abs("v")))).alias("m"))
-        largest = scaled.agg(F.max("m")).scalar()
-        parts.append(
-            both.agg(
-                F.count_if("is_train").alias("n_train"),
-                F.count_if(~F.col("is_train")).alias("n_rest"),
-                F.abs(F.round(F.avg(F.when(F.col("is_train"), r)), 5)).alias("train_mean_residual"),
-            ).select(F.lit(target).alias("target"), "*", F.round(largest, 2).alias("largest_moment"))
-        )
-    return parts[0].unionByName(parts[1])
+    return _fit_invariants(_regression(spark, sf, ("hist",)))
+
+
+def _fit_invariants(out: DataFrame) -> DataFrame:
+    """Per target of a fit with its histories: rows, mean residual and the largest moment, in one pass over the steps."""
+    targets = ("lat", "lon")
+    both = out.withColumns({f"_{t}": F.col(f"true_{t}") - F.col(f"pred_{t}") for t in targets})
+    steps = both.filter("is_train").select(F.posexplode("hist").alias("k", "s"), *[f"_{t}" for t in targets])
+    values = [F.col(f"s.{f}").cast("double") for f in FEATURES]
+    moment = lambda t, v: F.abs(F.avg(F.col(f"_{t}") * v)) / (F.lit(1.0) + F.avg(F.abs(v)))
+    largest = steps.groupBy("k").agg(*[F.greatest(*[moment(t, v) for v in values]).alias(t) for t in targets])
+    largest = largest.agg(*[F.round(F.max(t), 2).alias(f"moment_{t}") for t in targets])
+    found = both.agg(
+        F.count_if("is_train").alias("n_train"),
+        F.count_if(~F.col("is_train")).alias("n_rest"),
+        *[F.abs(F.round(F.avg(F.when(F.col("is_train"), F.col(f"_{t}"))), 5)).alias(f"mean_{t}") for t in targets],
+    ).crossJoin(F.broadcast(largest))
+    row = lambda t: F.struct(F.lit(t).alias("target"), F.col(f"mean_{t}").alias("train_mean_residual"), F.col(f"moment_{t}").alias("largest_moment"))
+    return found.select("n_train", "n_rest", F.inline(F.array(*[row(t) for t in targets])))
 
 
 # --- evaluation ------------------------------------------------------------------------

@@ -194,23 +194,26 @@ def roll_forward(
     return out.withColumn("pred_track", F.concat(*tracks)).drop("_h", "_pos", "_move", "_last", *tracks)
 
 
-def fit_horizon_regression(windows: DataFrame, horizon_hours: float, step_minutes: float, future_steps: int, train: Column) -> DataFrame:
+def fit_horizon_regression(
+    windows: DataFrame, horizon_hours: float, step_minutes: float, future_steps: int, train: Column, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Two linear fits (latitude and longitude offset at a horizon) on the scaled history.
 
-    Returns every window with its true and predicted position at the horizon.
+    Returns every window with its true and predicted position at the horizon, and the columns of `keep` as they came.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 
     from wakeline.operators.split import apply_scaler, fit_scaler
-    from wakeline.sources.scratch import materialize
+    from wakeline.sources.scratch import OVERLAPPING, materialize
 
     step = horizon_step(horizon_hours, step_minutes, future_steps)
     base = windows.withColumns(
         {"is_train": train, "window_id": window_id(), "anchor": anchor(), "truth": as_points("fut")[step]}
+        | {f"_kept_{c}": F.col(c) for c in keep}
     )
     scaled = apply_scaler(base, fit_scaler(base.filter("is_train")))
-    flat = F.flatten(F.transform("hist", lambda s: F.array(*[s[f].cast("double") for f in FEATURES])))
+    flat = F.flatten(F.transform("hist", lambda s: F.array(*[s[f] for f in FEATURES])))
     table = materialize(
         scaled.select(
             "window_id",
@@ -220,10 +223,12 @@ def fit_horizon_regression(windows: DataFrame, horizon_hours: float, step_minute
             "truth",
             (F.col("truth.lat") - F.col("anchor.lat")).alias("dlat"),
             (F.col("truth.lon") - F.col("anchor.lon")).alias("dlon"),
+            *[f"_kept_{c}" for c in keep],
         ),
         "regression",
+        OVERLAPPING,
     )
-    vectors = table.withColumn("features", array_to_vector("x"))
+    vectors = table.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
     out = vectors
     for target in ("dlat", "dlon"):
         model = LinearRegression(featuresCol="features", labelCol=target, predictionCol=f"pred_{target}", solver="normal").fit(
@@ -238,4 +243,5 @@ def fit_horizon_regression(windows: DataFrame, horizon_hours: float, step_minute
         F.col("truth.lon").alias("true_lon"),
         (F.col("anchor.lat") + F.col("pred_dlat")).alias("pred_lat"),
         (F.col("anchor.lon") + F.col("pred_dlon")).alias("pred_lon"),
+        *[F.col(f"_kept_{c}").alias(c) for c in keep],
     )

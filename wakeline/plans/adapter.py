@@ -18,7 +18,7 @@ from wakeline.operators.clean import clean
 from wakeline.operators.resample import resample
 from wakeline.operators.segment import SegmentConfig, build_segments
 from wakeline.operators.windows import build_windows
-from wakeline.sources.scratch import materialize
+from wakeline.sources.scratch import OVERLAPPING, materialize
 
 BOX = (33.0, 48.0, -76.0, -68.0)
 SEGMENTS = SegmentConfig(max_gap_hours=24.0, max_speed_kmh=92.6, min_points=5, min_hours=36.0, min_distance_km=1.0)
@@ -87,11 +87,11 @@ def windows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def _stored(spark: SparkSession, sf_dir: str, name: str, build, options: dict[str, str] | None = None) -> DataFrame:
     """A table written once per application and input folder, as the jobs write theirs."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = materialize(build(), name)
+        _STORED[key] = materialize(build(), name, options)
     return _STORED[key]
 
 
@@ -112,4 +112,5 @@ def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
             future_hours=FUTURE_HOURS,
             resample_minutes=STEP_MINUTES,
         ),
+        OVERLAPPING,
     )

@@ -25,12 +25,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wakeline-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+#: For tables of windows: a window repeats the steps of the one before it, which compress to a fraction of their size
+#: as they are, and hardly at all as indexes of a dictionary.
+OVERLAPPING = {"compression": "zstd", "parquet.enable.dictionary": "false"}
+
+
+def materialize(df: DataFrame, name: str = "table", options: dict[str, str] | None = None) -> DataFrame:
     """Write a table once and read it back, so later passes do not recompute its plan.
 
     Multi-pass operators also need this to see the same rows in each pass when an
     executor is lost. Only slim tables (keys, flags, metrics) are written this way.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
